@@ -100,6 +100,20 @@ def with_position(stats: DataFrame, df: DataFrame, columns: Sequence[str]) -> Da
     return column_index(df, columns).join(F.broadcast(stats), "col_name", "left")
 
 
+def clock_seconds(df: DataFrame, name: str) -> Column:
+    """A time as seconds, in the order of the clock that wrote it.
+
+    Zone-free times and ISO text are counted as written: going through the
+    session's zone would bend the scale where clocks change.
+    """
+    col, dtype = F.col(quoted(name)), df.schema[name].dataType
+    if isinstance(dtype, T.TimestampType) or is_numeric(dtype, True):
+        return col.cast("double")
+    at = col.cast("timestamp_ntz")
+    seconds = F.hour(at) * 3600 + F.minute(at) * 60 + F.extract(F.lit("SECOND"), at).cast("double")
+    return F.unix_date(at.cast("date")) * 86400.0 + seconds
+
+
 def half_even(value: Column, digits: int) -> Column:
     """Banker's rounding, used wherever a rounded number feeds a later decision."""
     return F.bround(value, digits)
