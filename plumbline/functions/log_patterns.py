@@ -29,6 +29,11 @@ def captured(text: str | Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
 
+def stripped(text: str | Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def metric(line: Column, hint: str, pattern: str, kind: str, group: int = 1) -> Column:
     """A number from a log line; NULL if absent or malformed.
 

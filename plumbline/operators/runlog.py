@@ -39,7 +39,7 @@ def finished_lines(
     done = runs.where(F.col("status").isin(*FINISHED))
     logs = tail(lines, n, None) if n else lines
     logs = logs.join(done.select(F.col("id").alias("job_id")), "job_id", "left_semi")
-    written = logs.groupBy("job_id").agg(F.max(F.trim("line") != "").alias("has_text"))
+    written = logs.groupBy("job_id").agg(F.max(F.col("line").rlike(r"\S")).alias("has_text"))
     silent = done.join(
         written.where("has_text"), F.col("id") == F.col("job_id"), "left_anti"
     )

@@ -61,14 +61,15 @@ def iteration_reports(transcripts: DataFrame) -> DataFrame:
         "iteration",
         P.captured(out, P.REPORT_ACCURACY).try_cast("double").alias("accuracy"),
         F.coalesce(
-            F.transform(F.split(actions, ","), F.trim), F.array().cast("array<string>")
+            F.transform(F.split(actions, ","), lambda a: P.stripped(a)),
+            F.array().cast("array<string>"),
         ).alias("actions"),
         P.captured(out, P.REPORT_JOB).alias("job_id"),
         P.captured(out, P.REPORT_FEATURES).try_cast("int").alias("features"),
         F.coalesce(F.lower(P.captured(out, P.REPORT_STOP)) == "true", F.lit(False)).alias(
             "should_stop"
         ),
-        F.coalesce(F.trim(P.captured(out, P.REPORT_REASON)), F.lit("")).alias("reason"),
+        F.coalesce(P.stripped(P.captured(out, P.REPORT_REASON)), F.lit("")).alias("reason"),
         F.length(out).alias("raw_output_length"),
     )
 

@@ -27,14 +27,19 @@ TASKS = """
 VERSION = "struct<created:string,source:string,description:string,protected:boolean>"
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per run."""
-    return spark.read.schema(RUNS).option("pathGlobFilter", "*.json").json(path, multiLine=True)
+def read_runs(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Run records: one JSON document per file, or one per line where they were compacted."""
+    return _documents(spark, path, RUNS, one_per_line)
 
 
-def read_tasks(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per task."""
-    return spark.read.schema(TASKS).option("pathGlobFilter", "*.json").json(path, multiLine=True)
+def read_tasks(spark: SparkSession, path: str, one_per_line: bool = False) -> DataFrame:
+    """Task records, stored like runs."""
+    return _documents(spark, path, TASKS, one_per_line)
+
+
+def _documents(spark: SparkSession, path: str, schema: str, one_per_line: bool) -> DataFrame:
+    reader = spark.read.schema(schema).option("pathGlobFilter", "*.json")
+    return reader.json(path, multiLine=not one_per_line)
 
 
 def read_versions(spark: SparkSession, path: str) -> DataFrame:
