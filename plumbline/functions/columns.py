@@ -117,3 +117,10 @@ def clock_seconds(df: DataFrame, name: str) -> Column:
 def half_even(value: Column, digits: int) -> Column:
     """Banker's rounding, used wherever a rounded number feeds a later decision."""
     return F.bround(value, digits)
+
+
+def number_text(value: Column, digits: int, signed: bool = False) -> Column:
+    """A number as text with fixed digits, ties to even; NULL stays NULL."""
+    size = F.format_string(f"%.{digits}f", half_even(F.abs(value), digits))
+    sign = F.when(value < 0, "-").otherwise("+" if signed else "")
+    return F.when(value.isNotNull(), F.concat(sign, size))

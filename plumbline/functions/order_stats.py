@@ -18,11 +18,16 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from .columns import INTEGRAL, as_double, long_form, quoted
 
 BUCKETS = 1024
 SMALL_RANGE = 100_000
+EXACT_INTEGERS = 2**53
 
 
 @dataclass(frozen=True)
@@ -41,25 +46,98 @@ class _Range:
     hi: float
     below: int
     n: int
+    narrowed: bool = False
+
+    @property
+    def small(self) -> bool:
+        return self.n <= SMALL_RANGE
+
+
+class GroupedCells:
+    """Values of many groups in long form, ``(col_name, x)``."""
+
+    def __init__(self, cells: DataFrame):
+        self.cells = cells
+        self.spark = cells.sparkSession
+        self.value_type = cells.schema["x"].dataType
+
+    def extents(self) -> dict[str, Extent]:
+        rows = (
+            self.cells.groupBy("col_name")
+            .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+            .collect()
+        )
+        return {r.col_name: Extent(r.n, r.lo, r.hi) for r in rows}
+
+    def inside(self, ranges: Mapping[_Range, int]) -> DataFrame:
+        """``(range_id, lo, hi, small, x)`` of the values in the ranges, few per group."""
+        listed = self.spark.createDataFrame(
+            [(i, r.key, r.lo, r.hi, r.small) for r, i in ranges.items()],
+            T.StructType(
+                [
+                    T.StructField("range_id", T.IntegerType()),
+                    T.StructField("col_name", T.StringType()),
+                    T.StructField("lo", self.value_type),
+                    T.StructField("hi", self.value_type),
+                    T.StructField("small", T.BooleanType()),
+                ]
+            ),
+        )
+        return self.cells.join(F.broadcast(listed), "col_name").where(
+            F.col("x").between(F.col("lo"), F.col("hi"))
+        )
+
+
+class ColumnCells:
+    """Values of the numeric columns of a table.
+
+    Once the ranges are narrow, rows outside all of them are dropped by a filter
+    on the table itself, which a columnar scan can use to skip row groups.
+    """
+
+    def __init__(self, df: DataFrame, columns: Sequence[str]):
+        self.df = df
+        self.columns = columns
+        self.spark = df.sparkSession
+        self.value_type = T.DoubleType()
+
+    def extents(self) -> dict[str, Extent]:
+        return GroupedCells(long_form(self.df, self.columns)).extents()
+
+    def inside(self, ranges: Mapping[_Range, int]) -> DataFrame:
+        df = self.df
+        if all(r.narrowed for r in ranges):
+            df = df.where(reduce(or_, [self._within(r) for r in ranges]))
+        cells = [
+            F.struct(
+                F.lit(i).alias("range_id"),
+                F.lit(r.lo).alias("lo"),
+                F.lit(r.hi).alias("hi"),
+                F.lit(r.small).alias("small"),
+                as_double(df, r.key).alias("x"),
+            )
+            for r, i in ranges.items()
+        ]
+        return df.select(F.inline(F.array(*cells))).where(
+            F.col("x").between(F.col("lo"), F.col("hi"))
+        )
 
-
-def extents(cells: DataFrame) -> dict[str, Extent]:
-    """``Extent`` of each key of ``(col_name, x)``."""
-    rows = (
-        cells.groupBy("col_name")
-        .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        .collect()
-    )
-    return {r.col_name: Extent(r.n, r.lo, r.hi) for r in rows}
+    def _within(self, r: _Range) -> Column:
+        exact = isinstance(self.df.schema[r.key].dataType, INTEGRAL) and max(
+            abs(r.lo), abs(r.hi)
+        ) < EXACT_INTEGERS
+        if exact:
+            return F.col(quoted(r.key)).between(int(r.lo), int(r.hi))
+        return as_double(self.df, r.key).between(r.lo, r.hi)
 
 
 def order_statistics(
-    cells: DataFrame,
+    cells: GroupedCells | ColumnCells,
     ranks: Mapping[str, Sequence[int]],
     known: Mapping[str, Extent] | None = None,
 ) -> dict[tuple[str, int], float]:
-    """The value at each 0-based rank of each key of ``(col_name, x)``; NULL x ignored."""
-    known = known or extents(cells)
+    """The value at each 0-based rank of each group; missing values ignored."""
+    known = known or cells.extents()
     found: dict[tuple[str, int], float] = {}
     open_ranks: dict[tuple[str, int], _Range] = {}
     for key, wanted in ranks.items():
@@ -77,23 +155,9 @@ def order_statistics(
 
 
 def _narrow(cells, open_ranks, found):
-    spark = cells.sparkSession
-    value_type = cells.schema["x"].dataType
-    integral = isinstance(value_type, T.LongType)
+    integral = isinstance(cells.value_type, T.LongType)
     ids = {r: i for i, r in enumerate(dict.fromkeys(open_ranks.values()))}
-    ranges = spark.createDataFrame(
-        [(i, r.key, r.lo, r.hi, r.n <= SMALL_RANGE) for r, i in ids.items()],
-        T.StructType(
-            [
-                T.StructField("range_id", T.IntegerType()),
-                T.StructField("col_name", T.StringType()),
-                T.StructField("lo", value_type),
-                T.StructField("hi", value_type),
-                T.StructField("small", T.BooleanType()),
-            ]
-        ),
-    )
-    targets = spark.createDataFrame(
+    targets = cells.spark.createDataFrame(
         [(ids[r], key, rank, rank - r.below) for (key, rank), r in open_ranks.items()],
         "range_id int, key string, rank bigint, offset bigint",
     )
@@ -114,8 +178,7 @@ def _narrow(cells, open_ranks, found):
     if not integral:
         bucket = bucket.cast("double")
     counts = (
-        cells.join(F.broadcast(ranges), "col_name")
-        .where(x.between(lo, hi))
+        cells.inside(ids)
         .groupBy("range_id", bucket.alias("bucket"))
         .agg(F.count("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     )
@@ -134,17 +197,17 @@ def _narrow(cells, open_ranks, found):
             found[h.key, h.rank] = h.lo
         else:
             below = open_ranks[h.key, h.rank].below + h.skipped
-            still_open[h.key, h.rank] = _Range(h.key, h.lo, h.hi, below, h.n)
+            still_open[h.key, h.rank] = _Range(h.key, h.lo, h.hi, below, h.n, narrowed=True)
     return still_open
 
 
 def quantiles(
-    cells: DataFrame,
+    cells: GroupedCells | ColumnCells,
     probabilities: Sequence[float],
     known: Mapping[str, Extent] | None = None,
 ) -> dict[str, list[float | None]]:
-    """Linearly interpolated quantiles of each key of ``(col_name, x)``."""
-    known = known or extents(cells)
+    """Linearly interpolated quantiles of each group."""
+    known = known or cells.extents()
     spots = {
         key: [p * (extent.n - 1) for p in probabilities]
         for key, extent in known.items()

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.columns import half_even
+from ..functions.columns import half_even, number_text
 
 # Decision limits.
 TREND_STEP = 1
@@ -128,7 +128,7 @@ def compare(table: DataFrame) -> DataFrame:
                 at <= CHAIN_RUNS,
                 F.struct(
                     at.alias("o"),
-                    F.when(acc.isNull(), "N/A").otherwise(F.format_string("%.2f%%", acc)).alias("text"),
+                    F.coalesce(F.concat(number_text(acc, 2), F.lit("%")), F.lit("N/A")).alias("text"),
                 ),
             )
         ).alias("chain"),
@@ -181,7 +181,7 @@ def compare(table: DataFrame) -> DataFrame:
             F.col("n_iterations") <= CHAIN_RUNS,
             F.concat(
                 F.col("n_iterations").cast("string"), F.lit(" iterations: "), chain,
-                F.lit(" (total "), F.format_string("%+.2f", total), F.lit("%p)"),
+                F.lit(" (total "), number_text(total, 2, signed=True), F.lit("%p)"),
             ),
         ).alias("summary"),
     )

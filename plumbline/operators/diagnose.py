@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import half_even, numeric_columns, plain_columns, present, quoted
+from ..functions.columns import half_even, number_text, numeric_columns, plain_columns, present, quoted
 from .correlate import correlations
 from .profile import column_facts, fixed
 
@@ -354,7 +354,7 @@ def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
 
 def _recommendations(signals: DataFrame) -> DataFrame:
     """The rules that fire, numbered in rule order."""
-    ratio = F.format_string("%.3f", "ratio")
+    ratio = number_text(F.col("ratio"), 3)
     no_columns = F.array().cast("array<string>")
 
     def rule(fires, category, action, text, columns, impact, windows=()):
@@ -423,7 +423,7 @@ def _verdict(signals: DataFrame) -> DataFrame:
         ". ",
         F.concat(F.col("n_used").cast("string"), F.lit(" of "), F.col("n_columns").cast("string"), F.lit(" columns used")),
         F.when(redundant > 0, F.concat(redundant.cast("string"), F.lit(" redundant pairs"))),
-        F.when(F.col("ratio").isNotNull(), F.concat(F.lit("class imbalance (ratio "), F.format_string("%.3f", "ratio"), F.lit(")"))),
+        F.when(F.col("ratio").isNotNull(), F.concat(F.lit("class imbalance (ratio "), number_text(F.col("ratio"), 3), F.lit(")"))),
         F.when(skewed > 0, F.concat(skewed.cast("string"), F.lit(" strongly skewed columns"))),
     )
     rules_fired = (

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import half_even, numeric_columns, wanted_columns
+from ..functions.columns import half_even, number_text, numeric_columns, wanted_columns
 from . import correlate, distribution, outliers as fences
 from .profile import column_facts, fixed, null_counts
 
@@ -105,7 +105,7 @@ def _by_position():
 
 
 def _r_text() -> Column:
-    return F.format_string("%.3f", "r")
+    return number_text(F.col("r"), 3)
 
 
 def _first_items(kind: str, limit: int) -> Column:
@@ -180,9 +180,10 @@ def insights(found: Findings) -> DataFrame:
         top = found.correlations.orderBy(*_by_strength()).limit(INSIGHT_ITEMS)
         parts.append(_items("1_pair", top, _by_strength(), text, F.lit(1)))
     if found.outliers is not None:
-        text = F.format_string(
-            "%s: %d outliers (%.1f%%) shift the mean by %.1f%%",
-            "col_name", "count", "percent", "impact_pct",
+        text = F.concat(
+            F.col("col_name"), F.lit(": "), F.col("count").cast("string"), F.lit(" outliers ("),
+            number_text(F.col("percent"), 1), F.lit("%) shift the mean by "),
+            number_text(F.col("impact_pct"), 1), F.lit("%"),
         )
         top = found.outliers.orderBy("col_pos").limit(INSIGHT_ITEMS)
         parts.append(_items("2_outlier", top, _by_position(), text, F.lit(1)))

@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.columns import INTEGRAL, as_double, clock_seconds, numeric_columns, quoted
-from ..functions.order_stats import order_statistics
+from ..functions.order_stats import GroupedCells, order_statistics
 from .diagnose import ROLLING_WINDOWS
 from .distribution import cardinality
 from .profile import column_facts
@@ -142,7 +142,7 @@ def oversample(df: DataFrame, target: str, key: str) -> DataFrame:
         F.col(quoted(target)).cast("string").alias("col_name"), F.col(quoted(key)).cast(kind).alias("x")
     )
     extra = {c: largest % n for c, n in sizes.items() if largest % n}
-    cut = order_statistics(cells, {c: [m - 1] for c, m in extra.items()}) if extra else {}
+    cut = order_statistics(GroupedCells(cells), {c: [m - 1] for c, m in extra.items()}) if extra else {}
     plan = df.sparkSession.createDataFrame(
         [(c, largest // n, cut.get((c, extra.get(c, 0) - 1))) for c, n in sizes.items()],
         T.StructType(

@@ -16,7 +16,7 @@ from ..functions.columns import (
     with_position,
 )
 from ..functions.moments import sample_kurtosis, sample_skewness, sample_std
-from ..functions.order_stats import Extent, quantiles
+from ..functions.order_stats import ColumnCells, Extent, quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 APPROX_ACCURACY = 10_000
@@ -177,7 +177,7 @@ def with_quantiles(
 ) -> DataFrame:
     """Join exact quantiles to ``fixed`` column facts, reusing their counts and extremes."""
     known = {r["col_name"]: Extent(r["n"], r["min"], r["max"]) for r in facts.collect()}
-    found = quantiles(long_form(df, list(known)), probabilities, known) if known else {}
+    found = quantiles(ColumnCells(df, list(known)), probabilities, known) if known else {}
     cuts = df.sparkSession.createDataFrame(
         [(c, *q) for c, q in found.items()],
         "col_name string, " + ", ".join(f"{quoted(n)} double" for n in names),

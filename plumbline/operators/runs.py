@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import log_patterns as P
-from ..functions.columns import clock_seconds
+from ..functions.columns import clock_seconds, number_text
 from .compare import lagged
 
 # List lengths.
@@ -100,9 +100,9 @@ def experiment_report(reports: DataFrame, tasks: DataFrame | None = None) -> Dat
     row = F.concat(
         F.lit("| "), order.cast("string"), F.lit(" | "),
         F.substring(F.array_join("actions", ", "), 1, ACTIONS_CHARS), F.lit(" | "),
-        F.when(F.col("accuracy").isNull(), "-").otherwise(F.format_string("%.2f%%", "accuracy")),
+        F.coalesce(F.concat(number_text(F.col("accuracy"), 2), F.lit("%")), F.lit("-")),
         F.lit(" | "),
-        F.when(F.col("change").isNull(), "-").otherwise(F.format_string("%+.1f%%p", "change")),
+        F.coalesce(F.concat(number_text(F.col("change"), 1, True), F.lit("%p")), F.lit("-")),
         F.lit(" |"),
     )
     rank = F.struct(F.coalesce("accuracy", F.lit(0.0)).alias("a"), (-order).alias("o"))
@@ -129,9 +129,7 @@ def experiment_report(reports: DataFrame, tasks: DataFrame | None = None) -> Dat
         F.concat(F.lit("- Total iterations: "), F.col("total_iterations").cast("string")),
         F.concat(
             F.lit("- Best accuracy: "),
-            F.when(F.col("best.accuracy").isNull(), "none").otherwise(
-                F.format_string("%.2f%%", "best.accuracy")
-            ),
+            F.coalesce(F.concat(number_text(F.col("best.accuracy"), 2), F.lit("%")), F.lit("none")),
             F.lit(" (iteration "), F.col("best.iteration").cast("string"), F.lit(")"),
         ),
         F.lit("\n## Iterations\n\n| # | Actions | Accuracy | Change |\n|---|---|---|---|"),
