@@ -147,16 +147,16 @@ def oversample(df: DataFrame, target: str, key: str) -> DataFrame:
         [(c, largest // n, cut.get((c, extra.get(c, 0) - 1))) for c, n in sizes.items()],
         T.StructType(
             [
-                T.StructField("class_text", T.StringType()),
-                T.StructField("copies", T.LongType()),
-                T.StructField("upto", T.LongType() if integral else T.DoubleType()),
+                T.StructField("_class_text", T.StringType()),
+                T.StructField("_copies", T.LongType()),
+                T.StructField("_upto", T.LongType() if integral else T.DoubleType()),
             ]
         ),
     )
-    more = F.when(F.col(quoted(key)) <= F.col("upto"), 1).otherwise(0)
-    copies = F.coalesce(F.col("copies") + more, F.lit(1))
+    more = F.when(F.col(quoted(key)) <= F.col("_upto"), 1).otherwise(0)
+    copies = F.coalesce(F.col("_copies") + more, F.lit(1))
     planned = df.join(
-        F.broadcast(plan), F.col(quoted(target)).cast("string") == F.col("class_text"), "left"
+        F.broadcast(plan), F.col(quoted(target)).cast("string") == F.col("_class_text"), "left"
     )
     return planned.select(
         *[F.col(quoted(c)) for c in df.columns],
@@ -181,19 +181,19 @@ def rolling_stats(
     order column (a number, date or time), then windowed in blocks of ``block``
     rows, each block carrying the rows just before it.
     """
-    sizes = df.groupBy(F.col(quoted(partition_by)).alias("hot_key")).agg(
-        F.count(F.lit(1)).alias("hot_n"),
-        F.min(clock_seconds(df, order_by[0])).alias("hot_lo"),
-        F.max(clock_seconds(df, order_by[0])).alias("hot_hi"),
+    sizes = df.groupBy(F.col(quoted(partition_by)).alias("_roll_key")).agg(
+        F.count(F.lit(1)).alias("_roll_n"),
+        F.min(clock_seconds(df, order_by[0])).alias("_roll_lo"),
+        F.max(clock_seconds(df, order_by[0])).alias("_roll_hi"),
     )
-    hot = sizes.where(F.col("hot_n") > hot_rows)
+    hot = sizes.where(F.col("_roll_n") > hot_rows)
     n_hot = hot.count()
     plain = W.partitionBy(quoted(partition_by)).orderBy(*order_by)
     if n_hot == 0:
         return df.withColumns(_rolling(df, columns, windows, plain))
     if n_hot <= HOT_KEYS_BROADCAST:
         hot = F.broadcast(hot)
-    same = F.col(quoted(partition_by)).eqNullSafe(F.col("hot_key"))
+    same = F.col(quoted(partition_by)).eqNullSafe(F.col("_roll_key"))
     cold = df.join(hot, same, "left_anti")
     slow = cold.withColumns(_rolling(df, columns, windows, plain))
     fast = _rolling_in_blocks(df, df.join(hot, same), columns, partition_by, order_by, windows, block)
@@ -217,31 +217,31 @@ def _rolling_in_blocks(df, rows, columns, partition_by, order_by, windows, block
     block = max(block, halo + 1)
     at = F.coalesce(
         F.try_divide(
-            clock_seconds(df, order_by[0]) - F.col("hot_lo"), F.col("hot_hi") - F.col("hot_lo")
+            clock_seconds(df, order_by[0]) - F.col("_roll_lo"), F.col("_roll_hi") - F.col("_roll_lo")
         ),
         F.lit(0.0),
     )
-    slices = F.ceil(F.col("hot_n") * 4.0 / block)
-    sliced = rows.withColumn("slice_no", F.floor(at * slices)).drop("hot_lo", "hot_hi", "hot_n")
-    key = ["hot_key", "slice_no"]
-    before = W.partitionBy("hot_key").orderBy("slice_no").rowsBetween(W.unboundedPreceding, -1)
+    slices = F.ceil(F.col("_roll_n") * 4.0 / block)
+    sliced = rows.withColumn("_roll_slice", F.floor(at * slices)).drop("_roll_lo", "_roll_hi", "_roll_n")
+    key = ["_roll_key", "_roll_slice"]
+    before = W.partitionBy("_roll_key").orderBy("_roll_slice").rowsBetween(W.unboundedPreceding, -1)
     starts = (
         sliced.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("in_slice"))
-        .select(*key, F.coalesce(F.sum("in_slice").over(before), F.lit(0)).alias("start"))
+        .agg(F.count(F.lit(1)).alias("_roll_size"))
+        .select(*key, F.coalesce(F.sum("_roll_size").over(before), F.lit(0)).alias("_roll_start"))
     )
-    starts = starts.select(F.col("hot_key").alias("k"), F.col("slice_no").alias("s"), "start")
-    same = F.col("hot_key").eqNullSafe(F.col("k")) & F.col("slice_no").eqNullSafe(F.col("s"))
+    starts = starts.select(F.col("_roll_key").alias("_start_key"), F.col("_roll_slice").alias("_start_slice"), "_roll_start")
+    same = F.col("_roll_key").eqNullSafe(F.col("_start_key")) & F.col("_roll_slice").eqNullSafe(F.col("_start_slice"))
     place = F.row_number().over(W.partitionBy(*key).orderBy(*order_by)) - 1
-    numbered = sliced.withColumn("place", place).join(starts, same).withColumn(
-        "place", F.col("place") + F.col("start")
+    numbered = sliced.withColumn("_roll_place", place).join(starts, same).withColumn(
+        "_roll_place", F.col("_roll_place") + F.col("_roll_start")
     )
-    own = F.floor(F.col("place") / block)
-    near_end = F.col("place") % block >= block - halo
+    own = F.floor(F.col("_roll_place") / block)
+    near_end = F.col("_roll_place") % block >= block - halo
     targets = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.select("*", F.explode(targets).alias("block_no"))
-    spec = W.partitionBy("hot_key", "block_no").orderBy("place")
-    return spread.withColumns(_rolling(df, columns, windows, spec)).where(F.col("block_no") == own)
+    spread = numbered.select("*", F.explode(targets).alias("_roll_block"))
+    spec = W.partitionBy("_roll_key", "_roll_block").orderBy("_roll_place")
+    return spread.withColumns(_rolling(df, columns, windows, spec)).where(F.col("_roll_block") == own)
 
 
 def fit_one_hot(df: DataFrame, column: str, max_values: int = 100) -> list:

@@ -43,8 +43,11 @@ def finished_lines(
     silent = done.join(
         written.where("has_text"), F.col("id") == F.col("job_id"), "left_anti"
     )
+    # Spark 4.1 takes a union of two inputs hashed by the same key as hashed itself,
+    # and fails when adaptive execution has merged the partitions of one of them.
+    # A computed key keeps it from assuming that; the next step shuffles by run.
     stored = silent.select(
-        F.col("id").alias("job_id"), F.posexplode(F.split("result.stdout", "\n"))
+        F.concat("id", F.lit("")).alias("job_id"), F.posexplode(F.split("result.stdout", "\n"))
     ).select("job_id", (F.col("pos") + 1).cast("bigint").alias("line_no"), F.col("col").alias("line"))
     return logs.unionByName(stored)
 

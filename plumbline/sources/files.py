@@ -1,4 +1,8 @@
-"""Listings of version folders and summaries of text files."""
+"""Listings of version folders and summaries of text files.
+
+Listings are Spark's own: files of zero bytes, and names that start with ``_`` or
+``.``, are left out by every Spark file source.
+"""
 
 from __future__ import annotations
 
@@ -31,7 +35,7 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
         F.regexp_replace("rel", "^[^/]+/", "").alias("name"),
         F.col("length").alias("size"),
         F.col("modificationTime").alias("modified"),
-    ).where(~F.element_at(F.split("name", "/"), -1).startswith("."))
+    )
 
 
 def csv_row_counts(spark: SparkSession, root: str) -> DataFrame:

@@ -54,12 +54,9 @@ class RunBoard:
 
     def start_metrics(self, lines: DataFrame) -> StreamingQuery:
         """Stream the aggregates of changed runs to the board (update mode)."""
-        schema = live_metrics(lines).schema
-
         def store(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(self._at("metrics", f"batch={batch_id}"))
 
-        self._metric_schema = schema
         return (
             live_metrics(lines)
             .writeStream.outputMode("update")
@@ -71,10 +68,10 @@ class RunBoard:
 
     def metrics(self) -> DataFrame:
         """The newest row of each run."""
-        names = [f.name for f in self._metric_schema if f.name != "job_id"]
         stored = self.spark.read.option("basePath", self._at("metrics")).parquet(
             self._at("metrics")
         )
+        names = [c for c in stored.columns if c not in ("job_id", "batch")]
         newest = stored.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("m"))
         return newest.select("job_id", "m.*")
 
@@ -90,7 +87,6 @@ class RunBoard:
             kept = runlog.recent_accuracies(new)
             kept.write.mode("overwrite").parquet(self._at("recent", f"batch={batch_id}"))
 
-        self._recent_schema = True
         return (
             lines.writeStream.option("checkpointLocation", self._at("checkpoint-recent"))
             .trigger(availableNow=True)
