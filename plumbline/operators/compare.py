@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import half_even, number_text
+from ..session import cut_lineage
 
 # Decision limits.
 TREND_STEP = 1
@@ -37,26 +38,37 @@ def experiment(spark: SparkSession, job_ids: str | Sequence[str], name: str = "e
 
 
 def lagged(rows: DataFrame, depth: int) -> DataFrame:
-    """Each iteration's accuracy with those of the ``depth`` iterations before it.
+    """The rows with the accuracies of the ``depth`` iterations before each.
 
     Every row offers its accuracy to itself and to its successors, and one
     aggregate on (experiment, iteration) collects the offers: a lag whose
     shuffle key is unique per row, so a huge experiment is spread out.
     """
-    steps = F.explode(F.sequence(F.lit(0), F.lit(depth)))
-    offers = rows.select("experiment", "iteration", "accuracy", steps.alias("step")).select(
-        "experiment", (F.col("iteration") + F.col("step")).alias("iteration"), "accuracy", "step"
+    others = [c for c in rows.columns if c not in ("experiment", "iteration", "accuracy")]
+    offers = rows.select(
+        "experiment",
+        "iteration",
+        "accuracy",
+        F.struct(F.lit(True).alias("own"), *others).alias("rest"),
+        F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("step"),
+    ).select(
+        "experiment",
+        (F.col("iteration") + F.col("step")).alias("iteration"),
+        "accuracy",
+        F.when(F.col("step") == 0, F.col("rest")).alias("rest"),
+        "step",
     )
     at = [F.max(F.when(F.col("step") == s, F.col("accuracy"))) for s in range(depth + 1)]
     return (
         offers.groupBy("experiment", "iteration")
         .agg(
-            F.min("step").alias("nearest"),
             at[0].alias("accuracy"),
             *[at[s].alias(f"accuracy_{s}") for s in range(1, depth + 1)],
+            F.any_value("rest", True).alias("rest"),
         )
-        .where(F.col("nearest") == 0)
-        .drop("nearest")
+        .where(F.col("rest").isNotNull())
+        .select("*", *[F.col("rest")[c].alias(c) for c in others])
+        .drop("rest")
     )
 
 
@@ -87,20 +99,16 @@ def iterations(
         results = listed.join(results, "job_id", "left").withColumn(
             "known", F.col("listed")
         ).drop("listed")
-    table = experiments.join(results, "job_id", "left")
-    steps = lagged(table.select("experiment", "iteration", "accuracy"), 2)
+    steps = lagged(experiments.join(results, "job_id", "left"), 2)
     delta = half_even(F.col("accuracy") - F.col("accuracy_1"), 2)
     earlier = half_even(F.col("accuracy_1") - F.col("accuracy_2"), 2)
-    changes = steps.select(
-        "experiment", "iteration", delta.alias("accuracy_delta"), earlier.alias("previous_delta")
-    )
-    return table.join(changes, ["experiment", "iteration"], "left").select(
+    return steps.select(
         "experiment",
         "iteration",
         "job_id",
         "accuracy",
-        "accuracy_delta",
-        "previous_delta",
+        delta.alias("accuracy_delta"),
+        earlier.alias("previous_delta"),
         F.when(F.col("known"), F.coalesce("convergence", F.lit("unknown"))).alias("convergence"),
         "loss_first",
         "loss_last",
@@ -115,7 +123,12 @@ def iterations(
 
 
 def compare(table: DataFrame) -> DataFrame:
-    """One row per experiment from ``iterations``: best run, trend, stop advice, summary."""
+    """One row per experiment from ``iterations``: best run, trend, stop advice, summary.
+
+    The iteration table (one row per run) is stored first: two aggregates read
+    it, and each would otherwise parse the logs again.
+    """
+    table = cut_lineage(table)
     acc, at = F.col("accuracy"), F.col("iteration")
     groups = table.groupBy("experiment").agg(
         F.max("iteration").alias("n_iterations"),

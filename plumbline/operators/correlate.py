@@ -7,9 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.columns import as_double, half_even, numeric_columns
+from ..functions.columns import as_double, half_even, long_form, numeric_columns
+from ..session import cut_lineage
 
 # Decision limits.
 STRONG_ABOVE = 0.7
@@ -82,8 +83,9 @@ def _by_moment_matrices(cells: DataFrame) -> DataFrame:
     ``sqrt(rows / CENTRE_SAMPLE)`` deviations.
     """
     width = len(cells.columns)
-    rough = cells.limit(CENTRE_SAMPLE).agg(*[F.avg(c).alias(c) for c in cells.columns]).first()
-    centre = np.array([0.0 if v is None or not np.isfinite(v) else v for v in rough])
+    first = np.array(cells.take(CENTRE_SAMPLE), dtype="float64").reshape(-1, width)
+    usable = np.isfinite(first)
+    centre = np.where(usable, first, 0.0).sum(axis=0) / np.maximum(usable.sum(axis=0), 1)
     upper = np.triu_indices(width, 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,26 +149,45 @@ def multicollinearity_warning(strong: DataFrame) -> DataFrame:
     )
 
 
+def average_ranks(cells: DataFrame) -> DataFrame:
+    """``(col_name, x, rank)``: the rank of each distinct value, ties sharing their mean rank.
+
+    Equal values are counted first, so a frequent value is one row. The distinct
+    values are range-partitioned over all columns together; a running count
+    within each part, plus the totals of the parts before it, gives the rank.
+    """
+    counts = cells.groupBy("col_name", "x").agg(F.count(F.lit(1)).alias("n"))
+    # Stored, because the parts must be the same for the totals and the values.
+    parts = cut_lineage(
+        counts.repartitionByRange("col_name", "x").withColumn("part", F.spark_partition_id())
+    )
+    before = W.partitionBy("col_name").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per part and column: bounded by the number of shuffle partitions.
+    starts = (
+        parts.groupBy("col_name", "part")
+        .agg(F.sum("n").alias("in_part"))
+        .select("col_name", "part", F.coalesce(F.sum("in_part").over(before), F.lit(0)).alias("start"))
+    )
+    within = F.sum("n").over(W.partitionBy("col_name", "part").orderBy("x"))
+    ranked = parts.withColumn("upto", within).join(F.broadcast(starts), ["col_name", "part"])
+    return ranked.select(
+        "col_name", "x", (F.col("start") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank")
+    )
+
+
 def spearman(df: DataFrame, columns: str | Sequence[str] | None = None) -> DataFrame:
     """Rank correlation of the rows where every chosen column is present.
 
-    Ranks come from a distributed sort; tied values share their mean rank.
+    Pearson correlation of average ranks, which are joined to the rows by value.
     """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-
     names = numeric_columns(df, columns)
-    complete = df.select(*[as_double(df, c).alias(c) for c in names]).dropna()
     if len(names) < 2:
-        return df.sparkSession.createDataFrame(
-            [], "i int, j int, col1 string, col2 string, r double"
-        )
-    vectors = VectorAssembler(inputCols=names, outputCol="v").transform(complete).select("v")
-    matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
-    return df.sparkSession.createDataFrame(
-        [
-            (i, j, names[i], names[j], None if np.isnan(matrix[i, j]) else float(matrix[i, j]))
-            for i, j in combinations(range(len(names)), 2)
-        ],
-        "i int, j int, col1 string, col2 string, r double",
-    )
+        return correlations(df, names or columns).drop("n")
+    complete = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(names)]).dropna()
+    ranks = cut_lineage(average_ranks(long_form(complete, complete.columns)))
+    ranked = complete
+    for v in complete.columns:
+        mine = ranks.where(F.col("col_name") == v).select(F.col("x").alias(v), F.col("rank").alias(f"r{v}"))
+        ranked = ranked.join(mine, v)
+    ranked = ranked.select(*[F.col(f"rv{i}").alias(c) for i, c in enumerate(names)])
+    return correlations(ranked).drop("n")

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import half_even, number_text, numeric_columns, plain_columns, present, quoted
+from ..functions.columns import (
+    half_even,
+    identity,
+    number_text,
+    numeric_columns,
+    plain_columns,
+    present,
+    quoted,
+)
 from .correlate import correlations
 from .profile import column_facts, fixed
 
@@ -44,6 +52,7 @@ WARNING_SKEWED = 3
 SKETCH_ERROR = 0.05
 SKETCH_PROVES_MANY = 2 * CATEGORY_VALUES
 FEW_TEXTS = 1000
+FIRST_ROWS = 2000
 
 
 def unused_columns(
@@ -109,9 +118,11 @@ def skewed_features(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def value_counts(
+    df: DataFrame, columns: Sequence[str], cell: Callable[[DataFrame, str], Column] = present
+) -> DataFrame:
     """``(col_name, value, n)`` of present values, as text. Combined in the map tasks."""
-    cells = df.select(*[present(df, c).cast("string").alias(c) for c in columns]).unpivot(
+    cells = df.select(*[cell(df, c).cast("string").alias(c) for c in columns]).unpivot(
         [], [F.col(quoted(c)) for c in columns], "col_name", "value"
     )
     return (
@@ -124,7 +135,7 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def class_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Number of distinct values and the rarest and commonest count, per column."""
     return (
-        value_counts(df, columns)
+        value_counts(df, columns, identity)
         .groupBy("col_name")
         .agg(
             F.count(F.lit(1)).alias("n_classes"),
@@ -134,14 +145,25 @@ def class_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+def _hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Present values as hashes: never more distinct ones than the values have."""
+    return df.select(
+        *[F.when(present(df, c).isNotNull(), F.xxhash64(present(df, c))).alias(c) for c in columns]
+    )
+
+
+def distinct_in_first_rows(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Distinct values among the first rows Spark finds: a lower bound for the table."""
+    rows = _hashes(df, columns).take(FIRST_ROWS)
+    return {c: len({r[i] for r in rows} - {None}) for i, c in enumerate(columns)}
+
+
 def distinct_sketch(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Estimated distinct values per column: one scan, one sketch per task and column."""
     if not columns:
         return {}
-    hashes = df.select(
-        *[F.when(present(df, c).isNotNull(), F.xxhash64(present(df, c))).alias(c) for c in columns]
-    ).unpivot([], [F.col(quoted(c)) for c in columns], "col_name", "h")
-    rows = hashes.groupBy("col_name").agg(F.approx_count_distinct("h", SKETCH_ERROR).alias("d"))
+    cells = _hashes(df, columns).unpivot([], [F.col(quoted(c)) for c in columns], "col_name", "h")
+    rows = cells.groupBy("col_name").agg(F.approx_count_distinct("h", SKETCH_ERROR).alias("d"))
     return {r.col_name: r.d for r in rows.collect()}
 
 
@@ -154,12 +176,20 @@ class Candidates:
 
 
 def category_candidates(df: DataFrame) -> Candidates:
-    """Text columns, and columns the sketch can't rule out as having few values."""
+    """Text columns, and columns that can't be ruled out as having few values.
+
+    Most columns show more than ten values in their first rows. Only the others
+    are sketched over the whole table.
+    """
     names = plain_columns(df)
-    sketch = distinct_sketch(df, names)
     text = {c for c in names if isinstance(df.schema[c].dataType, T.StringType)}
+    seen = distinct_in_first_rows(df, names)
+    unsure = [c for c in names if seen[c] <= (FEW_TEXTS if c in text else CATEGORY_VALUES)]
+    sketch = distinct_sketch(df, unsure)
     few = [
-        c for c in names if sketch.get(c, 0) <= (FEW_TEXTS if c in text else SKETCH_PROVES_MANY)
+        c
+        for c in unsure
+        if sketch.get(c, 0) <= (FEW_TEXTS if c in text else SKETCH_PROVES_MANY)
     ]
     return Candidates(few, [c for c in names if c in text and c not in few])
 

@@ -12,8 +12,8 @@ from ..functions.columns import (
     INTEGRAL,
     column_index,
     half_even,
+    identity,
     plain_columns,
-    present,
     quoted,
     with_position,
 )
@@ -117,7 +117,7 @@ def distinct_counts(
     count = F.approx_count_distinct("x", 0.01) if approx else F.count_distinct("x")
     parts = []
     for kind, members in cell_groups(df, names):
-        cells = df.select(*[present(df, c).cast(kind).alias(c) for c in members]).unpivot(
+        cells = df.select(*[identity(df, c).cast(kind).alias(c) for c in members]).unpivot(
             [], [F.col(quoted(c)) for c in members], "col_name", "x"
         )
         parts.append(

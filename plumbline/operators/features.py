@@ -88,31 +88,33 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
     ``pos_weight`` is the number of other rows per row of the class.
     """
+    return _class_weights(df, target)[0]
+
+
+def _class_weights(df: DataFrame, target: str) -> tuple[DataFrame, int]:
     classes = (
         df.where(F.col(quoted(target)).isNotNull())
         .groupBy(F.col(quoted(target)).alias("class"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    totals = classes.agg(F.sum("n"), F.count(F.lit(1))).first()
-    rows, k = (totals[0] or 0, totals[1])
-    return classes.select(
+    rows, k = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    weights = classes.select(
         "class",
         "n",
         (F.lit(float(rows)) / (F.lit(k) * F.col("n"))).alias("weight"),
         ((F.lit(rows) - F.col("n")) / F.col("n")).alias("pos_weight"),
     )
+    return weights, k
 
 
 def add_class_weight(df: DataFrame, target: str, name: str = "class_weight") -> DataFrame:
-    """The table with the weight of each row's class."""
-    weights = class_weights(df, target).select(F.col("class").alias(target), F.col("weight").alias(name))
-    return df.join(_small(weights), target, "left")
+    """The table with the weight of each row's class.
 
-
-def _small(classes: DataFrame) -> DataFrame:
-    """Broadcast a per-class table if it is small; otherwise leave the join to Spark."""
-    few = classes.limit(MAX_CLASSES + 1).count() <= MAX_CLASSES
-    return F.broadcast(classes) if few else classes
+    The weights are broadcast if the classes are few; otherwise Spark picks the join.
+    """
+    weights, k = _class_weights(df, target)
+    weights = weights.select(F.col("class").alias(target), F.col("weight").alias(name))
+    return df.join(F.broadcast(weights) if k <= MAX_CLASSES else weights, target, "left")
 
 
 def oversample(df: DataFrame, target: str, key: str) -> DataFrame:

@@ -76,17 +76,14 @@ def iteration_reports(transcripts: DataFrame) -> DataFrame:
 
 def iteration_changes(reports: DataFrame) -> DataFrame:
     """Change of accuracy to the previous iteration; a missing or zero side gives none."""
-    steps = lagged(
-        reports.select(F.col("task_id").alias("experiment"), "iteration", "accuracy"), 1
-    ).select(
+    steps = lagged(reports.withColumnRenamed("task_id", "experiment"), 1)
+    change = F.col("accuracy") - F.col("accuracy_1")
+    both = (F.col("accuracy") != 0) & (F.col("accuracy_1") != 0)
+    return steps.select(
         F.col("experiment").alias("task_id"),
-        "iteration",
-        F.when(
-            (F.col("accuracy") != 0) & (F.col("accuracy_1") != 0),
-            F.col("accuracy") - F.col("accuracy_1"),
-        ).alias("change"),
+        *[c for c in reports.columns if c != "task_id"],
+        F.when(both, change).alias("change"),
     )
-    return reports.join(steps, ["task_id", "iteration"], "left")
 
 
 def experiment_report(reports: DataFrame, tasks: DataFrame | None = None) -> DataFrame:

@@ -72,7 +72,7 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
         )
     )
     chains = cut_lineage(chains)
-    while chains.where(F.col("next").isNotNull()).limit(1).count():
+    while not chains.where(F.col("next").isNotNull()).isEmpty():
         ahead = chains.select(
             F.col("name").alias("next"), F.col("up").alias("more"), F.col("next").alias("after")
         )

@@ -16,10 +16,10 @@ from .profiling import (
 )
 from .registry import query, rounded, table, union_sql
 
-PAIRS_SQL = f"""SELECT i, j, col1, col2, round_even(abs(r), 4) AS r,
+PAIRS_SQL = f"""SELECT i, j, col1, col2, printf('%.4f', abs(r))::DOUBLE AS r,
     CASE WHEN abs(r) > 0.95 THEN 'drop_one' ELSE 'monitor' END AS action
     FROM ({pairs_sql(list(LINEITEM_TYPES), LINEITEM_SQL)}) WHERE abs(r) >= 0.7
-    ORDER BY round_even(abs(r), 4) DESC, i, j LIMIT 20"""
+    ORDER BY printf('%.4f', abs(r))::DOUBLE DESC, i, j LIMIT 20"""
 
 
 @query("multicollinear_pairs_lineitem", PAIRS_SQL)
@@ -63,7 +63,7 @@ def low_variance_events(spark, folder):
 @query(
     "skewed_features_events",
     union_sql(
-        f"""SELECT col_pos, col_name, round_even(s, 2) AS skewness,
+        f"""SELECT col_pos, col_name, printf('%.2f', s)::DOUBLE AS skewness,
               CASE WHEN s > 2 THEN 'log_transform' ELSE 'reflect_log' END AS action
             FROM (SELECT {i} AS col_pos, '{c}' AS col_name, skewness(x) AS s FROM
                   (SELECT {e}::DOUBLE AS x FROM events))
@@ -108,7 +108,7 @@ def categorical_columns_orders(spark, folder):
 
 
 def imbalance_sql(columns: dict[str, tuple[int, bool]], source: str) -> str:
-    return f"""SELECT target_column, n_classes, smallest, largest, round_even(ratio, 3) AS ratio,
+    return f"""SELECT target_column, n_classes, smallest, largest, printf('%.3f', ratio)::DOUBLE AS ratio,
           CASE WHEN ratio > 0.2 THEN 'class_weight' ELSE 'oversampling' END AS action
         FROM (SELECT col_pos, col_name AS target_column, n_classes, smallest, largest,
                 smallest::DOUBLE / largest AS ratio
@@ -168,9 +168,9 @@ def rules_table(spark, folder):
     return df.select(*[F.expr(e).alias(c) for c, e in RULES.items()])
 
 
-_RULE_PAIRS = f"""SELECT i, j, col2, round_even(abs(r), 4) AS r
+_RULE_PAIRS = f"""SELECT i, j, col2, printf('%.4f', abs(r))::DOUBLE AS r
     FROM ({pairs_sql(list(RULES), RULES_SQL)}) WHERE abs(r) >= 0.7
-    ORDER BY round_even(abs(r), 4) DESC, i, j LIMIT 20"""
+    ORDER BY printf('%.4f', abs(r))::DOUBLE DESC, i, j LIMIT 20"""
 _RULE_SKEW = union_sql(
     f"""SELECT {i} AS col_pos, '{c}' AS col_name, skewness({c}::DOUBLE) AS s,
         (max({c}) - min({c}))::DOUBLE AS reach FROM {RULES_SQL}"""

@@ -135,7 +135,7 @@ def missing_injected(spark, folder):
 
 @query(
     "missing_pattern_injected",
-    f"""WITH p AS (SELECT round_even(null_count * 100.0::DOUBLE / n_rows, 1) AS p
+    f"""WITH p AS (SELECT printf('%.1f', null_count * 100.0::DOUBLE / n_rows)::DOUBLE AS p
           FROM ({NULLS_SQL}) WHERE null_count > 0)
         SELECT round(max(p) - min(p), 6) AS spread,
           CASE WHEN max(p) - min(p) < 5 THEN 'MCAR_suspected' ELSE 'MAR_or_MNAR_possible' END AS pattern
@@ -335,7 +335,7 @@ def cardinality_sql(columns: list[str], source: str) -> str:
         f"""SELECT {i} AS col_pos, '{c}' AS col_name, n AS n_distinct, ratio AS ratio_pct,
             CASE WHEN ratio > 95 THEN 'id_like' WHEN ratio < 1 THEN 'low_cardinality' ELSE 'mixed' END AS label
         FROM (SELECT count(DISTINCT {c}) AS n,
-                round_even(count(DISTINCT {c}) * 100.0::DOUBLE / count(*), 1) AS ratio FROM {source})"""
+                printf('%.1f', count(DISTINCT {c}) * 100.0::DOUBLE / count(*))::DOUBLE AS ratio FROM {source})"""
         for i, c in enumerate(columns)
     )
 
@@ -429,9 +429,9 @@ _DIST_EVENTS = distribution_sql(_EV, EVENTS_WIDE_SQL)
 @query(
     "summary_events",
     f"""WITH outs AS ({_OUT_EVENTS}), dist AS ({_DIST_EVENTS}), strong AS ({_STRONG_EVENTS}),
-      sk AS (SELECT col_pos, col_name FROM dist WHERE abs(round_even(skewness, 3)) > 1
+      sk AS (SELECT col_pos, col_name FROM dist WHERE abs(printf('%.3f', skewness)::DOUBLE) > 1
              ORDER BY col_pos LIMIT 3),
-      top AS (SELECT * FROM strong ORDER BY -abs(round_even(r, 3)), i, j LIMIT 3),
+      top AS (SELECT * FROM strong ORDER BY -abs(printf('%.3f', r)::DOUBLE), i, j LIMIT 3),
       firsts AS (SELECT col_pos, col_name FROM outs ORDER BY col_pos LIMIT 3)
     SELECT (SELECT count(*) FROM events) AS n_rows,
       (SELECT count(*) FROM outs) AS n_outlier_columns,
@@ -439,7 +439,7 @@ _DIST_EVENTS = distribution_sql(_EV, EVENTS_WIDE_SQL)
       coalesce((SELECT string_agg(col_name, ', ' ORDER BY col_pos) FROM firsts), '') AS outlier_columns,
       coalesce((SELECT string_agg(col_name, ', ' ORDER BY col_pos) FROM sk), '') AS skewed_columns,
       coalesce((SELECT string_agg(col1 || '~' || col2 || ' (r=' || printf('%.3f', r) || ')', ', '
-         ORDER BY -abs(round_even(r, 3)), i, j) FROM top), '') AS top_correlations,
+         ORDER BY -abs(printf('%.3f', r)::DOUBLE), i, j) FROM top), '') AS top_correlations,
       (SELECT count(*) FROM outs) + (SELECT count(*) FROM strong) AS alerts""",
 )
 def summary_events(spark, folder):
@@ -459,7 +459,7 @@ def summary_events(spark, folder):
 @query(
     "insights_events",
     f"""WITH outs AS ({_OUT_EVENTS}), strong AS ({_STRONG_EVENTS}),
-      a AS (SELECT 1 AS part, row_number() OVER (ORDER BY -abs(round_even(r, 3)), i, j) AS o,
+      a AS (SELECT 1 AS part, row_number() OVER (ORDER BY -abs(printf('%.3f', r)::DOUBLE), i, j) AS o,
               col1 || ' and ' || col2 || ': '
               || CASE WHEN r > 0 THEN 'strong_positive' ELSE 'strong_negative' END
               || ' (r=' || printf('%.3f', r) || ')' AS insight FROM strong),

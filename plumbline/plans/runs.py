@@ -103,14 +103,14 @@ def results_sql(tail: int | None) -> str:
         WHEN max(accuracy) - min(accuracy) < 1.0 THEN 'plateau'
         WHEN max(accuracy) FILTER (WHERE k = 1) > max(accuracy) FILTER (WHERE k = 3) THEN 'improving'
         ELSE 'overfitting' END AS convergence FROM last3 GROUP BY job_id),
-    results AS (SELECT job_id, total_epochs, round_even(loss_first, 4) AS loss_first,
-        round_even(loss_last, 4) AS loss_last,
+    results AS (SELECT job_id, total_epochs, printf('%.4f', loss_first)::DOUBLE AS loss_first,
+        printf('%.4f', loss_last)::DOUBLE AS loss_last,
         CASE WHEN loss_last < loss_first THEN 'decreasing'
              WHEN loss_last IS NOT NULL THEN 'rising_or_flat' END AS loss_trend,
         CASE WHEN loss_last < loss_first * 0.5
-             THEN round_even((1 - loss_last / loss_first) * 100, 0)::INTEGER END AS loss_reduction_pct,
-        round_even(accuracy_first, 2) AS accuracy_first, round_even(accuracy_last, 2) AS accuracy_last,
-        round_even(accuracy_best, 2) AS accuracy_best, convergence, {confusion_sql("cm")},
+             THEN printf('%.0f', (1 - loss_last / loss_first) * 100)::DOUBLE::INTEGER END AS loss_reduction_pct,
+        printf('%.2f', accuracy_first)::DOUBLE AS accuracy_first, printf('%.2f', accuracy_last)::DOUBLE AS accuracy_last,
+        printf('%.2f', accuracy_best)::DOUBLE AS accuracy_best, convergence, {confusion_sql("cm")},
         precision, recall, f1, features_used, params
       FROM r LEFT JOIN conv USING (job_id))"""
 
@@ -203,8 +203,8 @@ ITERATIONS_SQL = f"""{results_sql(None)}, experiments AS ({EXPERIMENTS_SQL}),
   steps AS (SELECT experiment, iteration, e.job_id, accuracy_last AS accuracy, results.* EXCLUDE (job_id),
       CASE WHEN results.job_id IS NULL THEN 'not_found' END AS error
     FROM experiments e LEFT JOIN results ON e.job_id = results.job_id),
-  its AS (SELECT *, round_even(accuracy - lag(accuracy) OVER o, 2) AS accuracy_delta,
-      round_even(lag(accuracy) OVER o - lag(accuracy, 2) OVER o, 2) AS previous_delta
+  its AS (SELECT *, printf('%.2f', accuracy - lag(accuracy) OVER o)::DOUBLE AS accuracy_delta,
+      printf('%.2f', lag(accuracy) OVER o - lag(accuracy, 2) OVER o)::DOUBLE AS previous_delta
     FROM steps WINDOW o AS (PARTITION BY experiment ORDER BY iteration))"""
 
 
@@ -242,7 +242,7 @@ def compare_iterations(spark, folder):
           WHEN n_valid >= 3 THEN CASE WHEN (d1 IS NOT NULL OR d2 IS NOT NULL)
               AND coalesce(abs(d1) < 1, true) AND coalesce(abs(d2) < 1, true) THEN 'converged' END
           WHEN last < previous - 5 THEN 'degraded' END AS rule,
-          CASE WHEN n_valid >= 2 THEN round_even(last - first_accuracy, 2) ELSE 0 END AS total_delta FROM e)
+          CASE WHEN n_valid >= 2 THEN printf('%.2f', last - first_accuracy)::DOUBLE ELSE 0 END AS total_delta FROM e)
     SELECT experiment, n_iterations, n_valid, best_iteration, best_accuracy,
       CASE WHEN n_valid < 2 THEN 'unknown' WHEN last > previous + 1 THEN 'improving'
         WHEN last < previous - 1 THEN 'degrading' ELSE 'plateau' END AS trend,
