@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from ..functions.columns import project
 from ..operators import sqlpage, versions
@@ -221,44 +221,56 @@ def csv_row_counts(spark, folder):
     return named.groupBy("o_orderpriority").agg(F.sum("rows").alias("rows"))
 
 
-def one_log_per_run(spark, folder) -> str:
-    """The derived log lines as one text file per run, in line order."""
+def log_files(spark, folder) -> str:
+    """The derived log lines as text files, one folder per run.
+
+    Range partitioning keeps the line order and splits a long log into several
+    files, whose names sort in line order.
+    """
     lines = log_lines(spark, folder)
-    ordered = lines.repartition("job_id").sortWithinPartitions("job_id", "line_no")
+    order = ["job_id", "line_no"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     return exported(spark, ordered.select("line", "job_id"), "logs", "text", "job_id")
 
 
+def job_of_path():
+    return F.regexp_extract("path", "job_id=([^/]+)/", 1)
+
+
 @query(
     "numbered_log_lines",
     f"""SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS line_no, line
         FROM ({LINES_SQL})""",
 )
 def numbered_log_lines(spark, folder):
-    """Log files read back: lines numbered in file order."""
-    lines = files.numbered_lines(spark, one_log_per_run(spark, folder))
-    return lines.select(
-        F.regexp_extract("path", "job_id=([^/]+)/", 1).alias("job_id"), "line_no", "line"
+    """Log files read back: lines numbered in file order, and on over the files of a run."""
+    lines = files.numbered_lines(spark, log_files(spark, folder)).withColumn("job_id", job_of_path())
+    before = W.partitionBy("job_id").orderBy("path").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        lines.groupBy("job_id", "path")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("path", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    )
+    return lines.join(starts, "path").select(
+        "job_id", (F.col("line_no") + F.col("start")).alias("line_no"), "line"
     )
 
 
 @query(
     "text_summary_logs",
-    f"""SELECT job_id, count(*) AS lines,
-          string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE k <= 10) AS preview,
-          sum(length(line) + 1)::BIGINT AS size, false AS is_binary,
-          sum(length(line) + 1) > 1000000 AS truncated
-        FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS k FROM ({LINES_SQL}))
-        GROUP BY job_id""",
+    f"""SELECT job_id, count(*) AS lines, arg_min(line, line_no) AS first_line,
+          sum(length(line) + 1)::BIGINT AS size, false AS is_binary
+        FROM ({LINES_SQL}) GROUP BY job_id""",
 )
 def text_summary_logs(spark, folder):
-    summary = files.text_summary(spark, one_log_per_run(spark, folder))
-    return summary.where(F.col("extension") == "txt").select(
-        F.regexp_extract("path", "job_id=([^/]+)/", 1).alias("job_id"),
-        "lines",
-        "preview",
-        "size",
-        "is_binary",
-        "truncated",
+    """Size, lines and preview of every log file, summed up per run."""
+    summary = files.text_summary(spark, log_files(spark, folder))
+    logs = summary.where(F.col("extension") == "txt").withColumn("job_id", job_of_path())
+    return logs.groupBy("job_id").agg(
+        F.sum("lines").alias("lines"),
+        F.min_by(F.split("preview", "\n")[0], "path").alias("first_line"),
+        F.sum("size").alias("size"),
+        F.bool_or("is_binary").alias("is_binary"),
     )
 
 
@@ -365,14 +377,31 @@ def version_status(spark, folder):
 
 @query(
     "version_listing",
-    f"""SELECT 'job_id=' || job_id AS version, count(DISTINCT job_id) AS files,
-          sum(length(line) + 1)::BIGINT AS bytes FROM ({LINES_SQL}) GROUP BY job_id""",
+    f"""SELECT 'job_id=' || job_id AS version, sum(length(line) + 1)::BIGINT AS bytes
+        FROM ({LINES_SQL}) GROUP BY job_id""",
 )
 def version_listing(spark, folder):
     """Files on disk, their sizes read from the listing, content untouched."""
-    listing = files.list_files(spark, one_log_per_run(spark, folder), "*.txt")
-    return listing.groupBy("version").agg(
-        F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")
+    listing = files.list_files(spark, log_files(spark, folder), "*.txt")
+    return listing.groupBy("version").agg(F.sum("size").alias("bytes"))
+
+
+@query(
+    "version_fork",
+    """SELECT o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys, 'copy of orders' AS description
+       FROM orders GROUP BY o_orderstatus""",
+)
+def version_fork(spark, folder):
+    """A version stored as a table, forked, and read back with its index entry."""
+    run = uuid.uuid4().hex
+    source, target, index = f"orders_{run}", f"orders_fork_{run}", f"versions_{run}"
+    table(spark, folder, "orders").select("o_orderkey", "o_orderstatus").write.saveAsTable(source)
+    entry = versions.fork(spark, index, source, "fork", target, "copy of orders").first()
+    return (
+        spark.table(target)
+        .groupBy("o_orderstatus")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+        .withColumn("description", F.lit(entry["description"]))
     )
 
 

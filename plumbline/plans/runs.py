@@ -394,7 +394,9 @@ def live_metrics_by_day(spark, folder):
         table(spark, folder, "events").select(F.col("event_id").alias("line_no"), "ts"), "line_no"
     )
     return windowed_metrics(lines).select(
-        F.date_format("during.start", "yyyy-MM-dd").alias("day"),
+        F.date_from_unix_date((F.unix_seconds("during.start") / 86400).cast("int"))
+        .cast("string")
+        .alias("day"),
         "job_id",
         "total_epochs",
         "loss_last",

@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.columns import clock_seconds
 from ..operators import runlog
 from ..session import work_path
 
@@ -25,11 +26,11 @@ def live_metrics(lines: DataFrame) -> DataFrame:
 def windowed_metrics(lines: DataFrame, delay: str = "1 hour", width: str = "1 day") -> DataFrame:
     """As ``live_metrics`` per time window, for lines that carry a ``ts``.
 
-    A watermark needs a zoned timestamp; zone-free ones are read in the session
-    time zone, which should be UTC.
+    A watermark needs a zoned timestamp; zone-free ones are taken as UTC,
+    whatever the session's zone, so days begin at midnight of the log's clock.
     """
     if isinstance(lines.schema["ts"].dataType, T.TimestampNTZType):
-        lines = lines.withColumn("ts", F.col("ts").cast("timestamp"))
+        lines = lines.withColumn("ts", F.timestamp_seconds(clock_seconds(lines, "ts")))
     metrics = runlog.extract_metrics(lines.withWatermark("ts", delay))
     return (
         metrics.groupBy(F.window("ts", width).alias("during"), "job_id")
