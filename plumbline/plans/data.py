@@ -10,7 +10,7 @@ from ..functions.columns import project
 from ..operators import sqlpage, versions
 from ..session import work_path
 from ..sources import files, records, tables
-from .registry import query, rounded, table, views
+from .registry import query, table, views
 from .runs import LINES_SQL, log_lines
 
 # Queries whose text is the same in both engines.
@@ -287,7 +287,7 @@ def read_run_records(spark, folder):
         F.when(F.col("o_orderstatus") == "F", "completed").otherwise("running").alias("status"),
         F.lit(600).alias("timeout"),
         F.struct((F.col("o_orderkey") % 3).cast("int").alias("exit_code")).alias("result"),
-        F.lit("aggressive").alias("fan_profile"),
+        F.lit("ignored").alias("note"),
     )
     path = exported(spark, documents, "runs", "json")
     read = records.read_runs(spark, path, one_per_line=True)

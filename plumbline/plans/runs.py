@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, diagnose, runlog, runs
-from ..streaming.run_metrics import RunBoard, live_metrics, windowed_metrics
+from ..streaming.run_metrics import RunBoard, windowed_metrics
 from .diagnosis import RULES_USED, VERDICT_SQL, rules_table
 from .registry import query, rounded, table, views
 

@@ -6,7 +6,7 @@ Listings are Spark's own: files of zero bytes, and names that start with ``_`` o
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 # Extensions of binary files, preview length, size limit.
 BINARY_EXTENSIONS = (
@@ -51,28 +51,34 @@ def csv_row_counts(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, line_no, line)`` of text files, numbered from 1 in file order.
+def _lines_in_place(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their place: the split of the file, and an order within the split.
 
-    Files are read in splits. Within a split the reading order is the file
-    order, so lines are numbered there (a group is one split, never a file), and
-    the counts of the splits before it give the start.
+    Files are read in splits, and within a split the reading order is the file
+    order, which the growing row id keeps.
     """
-    from pyspark.sql import Window as W
-
-    raw = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    return spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("split_at"),
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, line_no, line)`` of text files, numbered from 1 in file order.
+
+    Lines are numbered within their split (a group is one split, never a file),
+    and the counts of the splits before it give the start.
+    """
+    raw = _lines_in_place(spark, path)
     key = ["path", "split_at"]
-    within = raw.withColumn(
-        "n_in", F.row_number().over(W.partitionBy(*key).orderBy("seq"))
-    )
+    within = raw.withColumn("n_in", F.row_number().over(W.partitionBy(*key).orderBy("seq")))
     before = W.partitionBy("path").orderBy("split_at").rowsBetween(W.unboundedPreceding, -1)
-    starts = raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).select(
-        *key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")
+    starts = (
+        raw.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
     return within.join(starts, key).select(
         "path", (F.col("start") + F.col("n_in")).alias("line_no"), "line"
@@ -80,7 +86,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def text_summary(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: size, lines, the first ten lines, and whether it is large or binary."""
+    """Per file: size, lines, the first ten lines, and whether it is large or binary.
+
+    Lines are counted in the tasks that read them, and each task passes on at
+    most ten lines of a file for the preview.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -95,14 +105,17 @@ def text_summary(spark: SparkSession, path: str) -> DataFrame:
         extension.isin(*BINARY_EXTENSIONS).alias("is_binary"),
         (F.col("size") > TRUNCATED_ABOVE).alias("truncated"),
     )
-    lines = numbered_lines(spark, path)
-    bounded = F.when(F.col("line_no") <= PREVIEW_LINES, F.struct("line_no", "line"))
-    texts = lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(bounded)), lambda s: s["line"]), "\n"
-        ).alias("preview"),
+    lines = _lines_in_place(spark, path)
+    first = W.partitionBy("path").orderBy("split_at", "seq")
+    preview = (
+        lines.withColumn("line_no", F.row_number().over(first))
+        .where(F.col("line_no") <= PREVIEW_LINES)
+        .groupBy("path")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("head"))
+        .select("path", F.array_join("head.line", "\n").alias("preview"))
     )
+    counts = lines.groupBy("path").agg(F.count(F.lit(1)).alias("lines"))
+    texts = counts.join(preview, "path")
     text_only = ~F.col("is_binary")
     return listed.join(texts, "path", "left").select(
         "path",

@@ -12,9 +12,9 @@ from plumbline.session import local_session  # noqa: E402
 def spark(tmp_path_factory):
     folder = tmp_path_factory.mktemp("spark")
     session = local_session(
-        "4",
+        "8",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.checkpoint.dir": str(folder / "checkpoints"),
             "spark.sql.warehouse.dir": str(folder / "warehouse"),
         },

@@ -110,7 +110,7 @@ def test_text_summary(spark, tmp_path):
 
 
 def test_records(spark, tmp_path):
-    run = {"id": "a", "status": "completed", "result": {"exit_code": 0, "stdout": "acc: 5", "stderr": ""}, "fan_profile": "x"}
+    run = {"id": "a", "status": "completed", "result": {"exit_code": 0, "stdout": "acc: 5", "stderr": ""}, "note": "x"}
     put(tmp_path / "jobs" / "a.json", json.dumps(run, indent=2))
     put(tmp_path / "jobs" / "a.log", "acc: 1\n")
     assert records.read_runs(spark, str(tmp_path / "jobs")).first().result.stdout == "acc: 5"
