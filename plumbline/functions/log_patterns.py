@@ -38,7 +38,8 @@ def metric(line: Column, hint: str, pattern: str, kind: str, group: int = 1) ->
     """A number from a log line; NULL if absent or malformed.
 
     ``hint`` is literal text every match contains. Most lines lack it, and
-    looking for it costs far less than running the pattern.
+    looking for it costs far less than running the pattern. No match gives an
+    empty text, which is no number either.
     """
-    text = F.replace(captured(line, pattern, group), F.lit(","), F.lit(""))
+    text = F.replace(F.regexp_extract(line, pattern, group), F.lit(","), F.lit(""))
     return F.when(line.contains(hint), text.try_cast(kind))
