@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.byte_bpe import encode_decode
 from plumbline.llm.token_counts import token_counts
 from plumbline.session import work_path
 
@@ -32,3 +33,13 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
         vocabulary=public_tokenizers.path("byte_bpe_50k.json"),
         cache=work_path(spark, "token-counts"),
     )
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_decode(
+        table(spark, folder, "documents"),
+        vocabulary=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        pattern=public_tokenizers.PATTERN,
+        with_ids=False,
+    )
