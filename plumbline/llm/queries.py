@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.packing import pack_documents
 from plumbline.llm.token_counts import token_counts
 from plumbline.session import work_path
 
@@ -26,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"), vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+
+
 @query
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(
