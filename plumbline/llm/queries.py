@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.token_counts import token_counts
 from plumbline.session import work_path
 
@@ -49,3 +50,8 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         pattern=public_tokenizers.PATTERN,
         with_ids=False,
     )
+
+
+@query
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
