@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.near_vectors import near_vectors
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.token_counts import token_counts
@@ -55,3 +56,8 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"))

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.graph import components, local_components
+from plumbline.llm.groups import whole_groups
 from plumbline.session import cut_lineage
 
 BITS = 64
@@ -159,7 +160,7 @@ def near_links(entries: DataFrame, *, budget: int = 3, group_entries: int = GROU
             break
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in whole_groups(batches):
+        for group in whole_groups(batches, KEY):
             values = group["fp"].to_numpy().astype(np.int64).view(np.uint64)
             codes = group.groupby(KEY).ngroup().to_numpy()
             order = np.lexsort((values, codes))
@@ -176,22 +177,6 @@ def near_links(entries: DataFrame, *, budget: int = 3, group_entries: int = GROU
     return ready.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(work, "a long, b long")
 
 
-def whole_groups(frames: Iterator[pd.DataFrame], rows: int = 20_000) -> Iterator[pd.DataFrame]:
-    """Frames of about ``rows`` rows that cut no key's rows apart; the input is sorted by key."""
-    held: list[pd.DataFrame] = []
-    for frame in frames:
-        held.append(frame)
-        if sum(map(len, held)) >= rows:
-            whole = pd.concat(held, ignore_index=True)
-            last = (whole[KEY] == whole[KEY].iloc[-1]).all(axis=1).to_numpy()
-            if not last.all():
-                yield whole[~last]
-                whole = whole[last]
-            held = [whole]
-    if held:
-        yield pd.concat(held, ignore_index=True)
-
-
 def near_duplicates(
     df: DataFrame,
     *,
