@@ -12,6 +12,7 @@ from plumbline.llm.near_vectors import near_vectors
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.token_counts import token_counts
+from plumbline.llm.top_k import TOP_K_SQL, top_k
 from plumbline.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +62,11 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
+
+
+@query
+def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"))
+
+
+SQL["op10_top_k"] = TOP_K_SQL
