@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.language import predict_languages
 from plumbline.llm.near_vectors import near_vectors
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.simhash import near_duplicates
@@ -70,3 +71,8 @@ def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op10_top_k"] = TOP_K_SQL
+
+
+@query
+def op4_language(spark: SparkSession, folder: str) -> DataFrame:
+    return predict_languages(table(spark, folder, "documents"))
