@@ -11,6 +11,7 @@ from plumbline.llm.byte_bpe import encode_decode
 from plumbline.llm.language import predict_languages
 from plumbline.llm.near_vectors import near_vectors
 from plumbline.llm.packing import pack_documents
+from plumbline.llm.personal_data import personal_data
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.top_k import TOP_K_SQL, top_k
@@ -76,3 +77,8 @@ SQL["op10_top_k"] = TOP_K_SQL
 @query
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     return predict_languages(table(spark, folder, "documents"))
+
+
+@query
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
