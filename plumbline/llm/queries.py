@@ -15,6 +15,7 @@ from plumbline.llm.personal_data import personal_data
 from plumbline.llm.simhash import near_duplicates
 from plumbline.llm.token_counts import token_counts
 from plumbline.llm.top_k import TOP_K_SQL, top_k
+from plumbline.llm.wrappers import extract_main_text
 from plumbline.session import work_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +83,8 @@ def op4_language(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
+
+
+@query
+def op1_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
