@@ -1,13 +1,75 @@
-"""From raw documents to packed sequences."""
+"""From raw documents to packed sequences.
+
+Each stage takes the documents its predecessor kept, written as Parquet and read again; all but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from plumbline.llm import language, personal_data, simhash
+from plumbline.llm.packing import pack_documents
+from plumbline.session import work_path
 
-STAGES: list = []
+#: A document in which no language holds this share of the positions' probability is rejected.
+LEAST_SCORE = 0.3
+
+#: No SQL can express a trained network, so the stages are tested against brute force.
 ORACLE_SQL = None
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language, with ``lang`` set to it; texts without a letter or a language go.
+
+    The network learns from the labels of documents that are not held out. With no label to learn
+    from, no language is known and every document goes.
+    """
+    tagger = language.train(*language.training_words(docs))
+    found = language.identify(docs, tagger)
+    kept = found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints: the one with the smallest id.
+
+    Rows that share an id are told apart by a hash of their text; of rows that repeat both, one stays.
+    """
+    keyed = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    found = simhash.near_duplicates(keyed, id_col="row")
+    first = found.select(F.col("component_id").alias("row")).distinct()
+    kept = keyed.join(first, "row", "left_semi")
+    return kept.dropDuplicates(["row"]).select(*docs.columns)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, each span of personal data replaced by its kind; ``n_chars`` follows the text."""
+    model = personal_data.fit(docs)
+    found = personal_data.find_personal_data(docs, model)
+    text = F.when(F.col("spans") == "", F.col("text")).otherwise(personal_data.masked())
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's pieces with their place in sequences of 4096 tokens."""
+    return pack_documents(docs, vocabulary=public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages in order, each to what its predecessor wrote."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        path = work_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.fixity import FIXITY_SQL, archived_pages, audit, replica_of
 from plumbline.llm.language import predict_languages
 from plumbline.llm.near_vectors import near_vectors
 from plumbline.llm.packing import pack_documents
@@ -88,3 +89,13 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op1_wrapper_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract_main_text(table(spark, folder, "pages"))
+
+
+@query
+def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as an archive, audited against a replica with damage at known places."""
+    records = archived_pages(table(spark, folder, "pages"))
+    return audit(records, replica_of(records))
+
+
+SQL["op3_merkle_fixity"] = FIXITY_SQL
