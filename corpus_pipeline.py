@@ -37,11 +37,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that share an id are told apart by a hash of their text; of rows that repeat both, one stays.
     """
-    keyed = docs.withColumn("row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
-    found = simhash.near_duplicates(keyed, id_col="row")
-    first = found.select(F.col("component_id").alias("row")).distinct()
-    kept = keyed.join(first, "row", "left_semi")
-    return kept.dropDuplicates(["row"]).select(*docs.columns)
+    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("hash")))
+    found = simhash.near_duplicates(keyed, id_col="_row")
+    first = found.select(F.col("component_id").alias("_row")).distinct()
+    kept = keyed.join(first, "_row", "left_semi")
+    return kept.dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,8 @@ class ByteTagger:
     def pooled(self, texts: list[str]) -> list[tuple[str, float]]:
         """Language and probability of each text."""
         # Without an argument, bytes.split() splits at ASCII white space alone.
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
         split = [text.encode().split() if LETTER.search(text) else [] for text in texts]
         fresh = [w for w in set().union(*split) if w not in self.known]
         if len(self.known) + len(fresh) > REMEMBERED_WORDS:
@@ -179,7 +181,7 @@ class ByteTagger:
             self.remember(fresh)
         out = []
         for words in split:
-            if not words or not self.languages:
+            if not words:
                 out.append((UNKNOWN, 0.0))
                 continue
             total = self.sums[list(map(self.known.__getitem__, words))].sum(axis=0)

@@ -87,6 +87,16 @@ def base_spans(text: str) -> dict[str, list[Span]]:
     return found
 
 
+def failed_spans(text: str) -> dict[str, list[Span]]:
+    """Matches of the number patterns that fail their kind's test, if they are long enough to be one."""
+    good = base_spans(text)
+    found = {}
+    for kind, pattern, least in (("ip", IP, 7), ("card", CARD, 13), ("phone", PHONE, 8)):
+        spans = (m.span() for m in pattern.finditer(text))
+        found[kind] = [(a, b) for a, b in spans if b - a >= least and (a, b) not in good[kind]]
+    return found
+
+
 # Shapes. Classes of bytes: blanks, line ends, capitals, other letters, digits, and each mark.
 BLANK, LINE, UPPER, LETTER, DIGIT = range(5)
 CLASSES = np.full(256, LETTER, np.uint8)
@@ -277,7 +287,8 @@ def labelled_windows(df: DataFrame, *, documents: int, windows: int, id_col: str
     """The labelled table: at most ``windows`` rows (text, labels) of ``WINDOW`` tokens at most.
 
     About ``documents`` texts, chosen by a hash of the id, are labelled by the patterns. Windows
-    around labels and other unusual tokens come first, then one plain window in fifty.
+    around labels and other unusual tokens come first, then one plain window in fifty. A window
+    with a match that failed its kind's test is left out: nothing is known about its tokens.
     """
     rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     share = min(1.0, documents / max(1, rows.count()))
@@ -294,12 +305,15 @@ def labelled_windows(df: DataFrame, *, documents: int, windows: int, id_col: str
                     hit = np.flatnonzero((tokens.start < b) & (tokens.stop > a))
                     labels[hit] = 2 + 2 * KINDS.index(kind)
                     labels[hit[:1]] -= 1
+                unsure = np.zeros(len(tokens.start), bool)
+                for a, b, _ in byte_bounds(text, failed_spans(text)):
+                    unsure |= (tokens.start < b) & (tokens.stop > a)
                 for at in range(0, len(labels), WINDOW):
                     stop = at + int((tokens.line[at : at + WINDOW] == tokens.line[at]).sum())
                     part = slice(at, stop)
                     rank = 0 if labels[part].any() else 1 if (tokens.digits[part] > 0).any() else 2
                     piece = raw[tokens.start[at] : tokens.stop[stop - 1]]
-                    if len(piece) <= 4096:
+                    if len(piece) <= 4096 and not unsure[part].any():
                         out.append((rank, piece.decode(errors="replace"), labels[part].tolist()))
             yield pd.DataFrame(out, columns=["rank", "text", "labels"])
 
