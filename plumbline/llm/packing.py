@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.session import cut_lineage
 
 #: Bounds of a worker's memory; neither changes a result.
-REMEMBERED_CHUNKS = 250_000
-REMEMBERED_WORDS = 700_000
+REMEMBERED_CHUNKS = 400_000
+REMEMBERED_WORDS = 900_000
 #: Pieces packed together; a shard is small enough for one task and large enough to pack well.
 SHARD_PIECES = 4096
 #: Poorly filled bins that the search tries to empty before it gives a shard up.
@@ -34,6 +34,7 @@ PAIRED = 48
 #: Words whose normal form is their lower case, with ASCII marks after them: both parts are
 #: encoded by themselves in such a chunk, so they can be remembered apart.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+PLAIN_PART = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:-;=?-@\\[-`}~]+")
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -46,6 +47,7 @@ class ChunkEncoder:
 
     def __init__(self, vocabulary: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(vocabulary)
+        self.spell = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chunks: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {"": b""}
 
@@ -65,8 +67,15 @@ class ChunkEncoder:
         if len(words) + len(fresh) > REMEMBERED_WORDS:
             words = self.words = {"": b""}
             fresh = [w for w in {w for pair in parts for w in pair} if w]
-        for word, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        whole = [w for w in fresh if not PLAIN_PART.fullmatch(w)]
+        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
             words[word] = np.array(e.ids, "<u4").tobytes()
+        for word in fresh:
+            if word not in words:
+                # Such a part is one word to the model and its own normal form: only its bytes need
+                # to be spelled in the model's alphabet, where ASCII marks and letters are themselves.
+                spelled = word if word.isascii() else self.spell.pre_tokenize_str(word)[0][0]
+                words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
         for chunk, (word, marks) in zip(chunks, parts, strict=True):
             self.chunks[chunk] = words[word] + words[marks]
 
