@@ -26,7 +26,7 @@ REMEMBERED_CHUNKS = 400_000
 REMEMBERED_WORDS = 900_000
 #: Pieces packed together; a shard is small enough for one task and large enough to pack well.
 SHARD_PIECES = 4096
-#: Poorly filled bins that the search tries to empty before it gives a shard up.
+#: Times that the search takes the emptiest bin and tries to empty it, before it gives a shard up.
 DONORS = 100
 #: A bin with more documents than this offers no pairs of them for exchange.
 PAIRED = 48
@@ -174,11 +174,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, donor
     fill = [sum(lengths[i] for i in b) for b in bins]
     fewest = -(-sum(fill) // capacity)
     left, tried = len(bins), 0
-    for d in sorted(range(len(bins)), key=lambda b: fill[b]):
-        if left <= fewest or tried >= donors:
+    stuck: set[int] = set()
+    while left > fewest and tried < donors:
+        d = min((b for b in range(len(bins)) if bins[b] and b not in stuck), key=lambda b: fill[b], default=None)
+        if d is None:
             break
         tried += 1
-        improved = True
+        changed, improved = False, True
         while improved and bins[d]:
             improved = False
             loose = [b for b in range(len(bins)) if b != d and fill[d] <= fill[b] < capacity]
@@ -192,11 +194,13 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, donor
                 bins[b] = [i for i in bins[b] if i not in back] + there
                 fill[d] -= gain
                 fill[b] += gain
-                improved = True
+                changed = improved = True
                 if not bins[d]:
                     break
         if not bins[d]:
             left -= 1
+        # A bin that gave away something may free others; one that didn't waits for such a change.
+        stuck = {d} if changed else stuck | {d}
     return [b for b in bins if b]
 
 
