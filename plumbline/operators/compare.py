@@ -1,9 +1,9 @@
 """Comparison of successive runs: progress, best run, trend, when to stop.
 
 Everything is grouped by ``experiment``, so one job compares any number of them.
-An experiment may hold a large part of all runs: neighbours are found by an
-aggregate keyed on (experiment, iteration), not by a window over the experiment,
-and the rest are aggregates that combine before the shuffle.
+An experiment may hold a large part of all runs: its rows are numbered in parts
+and neighbours are joined by number, not by a window over the experiment, and
+the rest are aggregates that combine before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ TARGET_ACCURACY = 95
 CONVERGED_STEP = 1.0
 DEGRADED_STEP = 5
 MAX_ITERATIONS = 5
-# The accuracy chain is one string; beyond this many runs only the tables are whole.
-CHAIN_RUNS = 1000
 
 
 def experiment(spark: SparkSession, job_ids: str | Sequence[str], name: str = "experiment") -> DataFrame:
@@ -37,41 +35,48 @@ def experiment(spark: SparkSession, job_ids: str | Sequence[str], name: str = "e
     )
 
 
-def lagged(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows with the accuracies of the ``depth`` iterations before each.
+def numbered(rows: DataFrame) -> DataFrame:
+    """The rows with their place ``nth`` (from 1) in their experiment, by iteration, then run id.
 
-    Every row offers its accuracy to itself and to its successors, and one
-    aggregate on (experiment, iteration) collects the offers: a lag whose
-    shuffle key is unique per row, so a huge experiment is spread out.
+    Rows are range-partitioned, so an experiment is spread over parts; a row's
+    place is its number within the part plus the rows of the parts before. The
+    parts are stored, because the counts and the rows must see the same ones.
     """
-    others = [c for c in rows.columns if c not in ("experiment", "iteration", "accuracy")]
-    offers = rows.select(
-        "experiment",
-        "iteration",
-        "accuracy",
-        F.struct(F.lit(True).alias("own"), *others).alias("rest"),
-        F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("step"),
-    ).select(
-        "experiment",
-        (F.col("iteration") + F.col("step")).alias("iteration"),
-        "accuracy",
-        F.when(F.col("step") == 0, F.col("rest")).alias("rest"),
-        "step",
+    order = ["iteration", "job_id"]
+    parts = cut_lineage(
+        rows.repartitionByRange("experiment", *order).withColumn("part", F.spark_partition_id())
+    )
+    before = W.partitionBy("experiment").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (
+        parts.groupBy("experiment", "part")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("experiment", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     )
-    at = [F.max(F.when(F.col("step") == s, F.col("accuracy"))) for s in range(depth + 1)]
+    within = F.row_number().over(W.partitionBy("experiment", "part").orderBy(*order))
     return (
-        offers.groupBy("experiment", "iteration")
-        .agg(
-            at[0].alias("accuracy"),
-            *[at[s].alias(f"accuracy_{s}") for s in range(1, depth + 1)],
-            F.any_value("rest", True).alias("rest"),
-        )
-        .where(F.col("rest").isNotNull())
-        .select("*", *[F.col("rest")[c].alias(c) for c in others])
-        .drop("rest")
+        parts.withColumn("within", within)
+        .join(starts, ["experiment", "part"])
+        .withColumn("nth", F.col("start") + F.col("within"))
+        .drop("part", "within", "start")
     )
 
 
+def lagged(rows: DataFrame, depth: int) -> DataFrame:
+    """The rows with ``nth`` and the accuracies of the ``depth`` rows before each.
+
+    Missing iterations leave no gap and repeated ones are rows of their own. The
+    join key (experiment, nth) is unique, so a huge experiment is spread out.
+    """
+    table = cut_lineage(numbered(rows))
+    out = table
+    for step in range(1, depth + 1):
+        earlier = table.select(
+            "experiment", (F.col("nth") + step).alias("nth"), F.col("accuracy").alias(f"accuracy_{step}")
+        )
+        out = out.join(earlier, ["experiment", "nth"], "left")
+    return out
+
+
 def iterations(
     experiments: DataFrame, traced: DataFrame, runs: DataFrame | None = None
 ) -> DataFrame:
@@ -105,6 +110,7 @@ def iterations(
     return steps.select(
         "experiment",
         "iteration",
+        "nth",
         "job_id",
         "accuracy",
         delta.alias("accuracy_delta"),
@@ -125,31 +131,24 @@ def iterations(
 def compare(table: DataFrame) -> DataFrame:
     """One row per experiment from ``iterations``: best run, trend, stop advice, summary.
 
+    The summary names the first and last accuracy; ``comparison_lines`` has all.
+
     The iteration table (one row per run) is stored first: two aggregates read
     it, and each would otherwise parse the logs again.
     """
     table = cut_lineage(table)
-    acc, at = F.col("accuracy"), F.col("iteration")
+    acc, at = F.col("accuracy"), F.col("nth")
     groups = table.groupBy("experiment").agg(
-        F.max("iteration").alias("n_iterations"),
+        F.count(F.lit(1)).alias("n_iterations"),
         F.count("accuracy").alias("n_valid"),
-        F.max(F.when(acc.isNotNull(), F.struct(acc.alias("a"), (-at).alias("o")))).alias("best"),
+        F.max(F.when(acc.isNotNull(), F.struct(acc.alias("a"), (-at).alias("o"), F.col("iteration").alias("i")))).alias("best"),
         F.max_by(F.struct("accuracy_delta", "previous_delta"), at).alias("recent"),
         F.min_by("accuracy", F.when(acc.isNotNull(), at)).alias("first_accuracy"),
-        F.collect_list(
-            F.when(
-                at <= CHAIN_RUNS,
-                F.struct(
-                    at.alias("o"),
-                    F.coalesce(F.concat(number_text(acc, 2), F.lit("%")), F.lit("N/A")).alias("text"),
-                ),
-            )
-        ).alias("chain"),
     )
-    newest = W.partitionBy("experiment").orderBy(F.desc("iteration"))
+    newest = W.partitionBy("experiment").orderBy(F.desc("nth"))
     ends = (
         table.where(acc.isNotNull())
-        .select("experiment", "iteration", "accuracy")
+        .select("experiment", "nth", "accuracy")
         .withColumn("from_end", F.row_number().over(newest))
         .where(F.col("from_end") <= 2)
         .groupBy("experiment")
@@ -175,12 +174,11 @@ def compare(table: DataFrame) -> DataFrame:
     total = F.when(
         F.col("n_valid") >= 2, half_even(last - F.col("first_accuracy"), 2)
     ).otherwise(0.0)
-    chain = F.array_join(F.transform(F.array_sort("chain"), lambda s: s["text"]), " -> ")
     return joined.select(
         "experiment",
         "n_iterations",
         "n_valid",
-        F.coalesce(-F.col("best.o"), F.lit(0)).alias("best_iteration"),
+        F.coalesce("best.i", F.lit(0)).alias("best_iteration"),
         best_accuracy.alias("best_accuracy"),
         F.when(F.col("n_valid") < 2, "unknown")
         .when(last > previous + TREND_STEP, "improving")
@@ -190,16 +188,23 @@ def compare(table: DataFrame) -> DataFrame:
         stop.isNotNull().alias("should_stop"),
         F.coalesce(stop, F.when(gain > 0, "improving").otherwise("keep_trying")).alias("reason"),
         total.alias("total_delta"),
-        F.when(
-            F.col("n_iterations") <= CHAIN_RUNS,
-            F.concat(
-                F.col("n_iterations").cast("string"), F.lit(" iterations: "), chain,
-                F.lit(" (total "), number_text(total, 2, signed=True), F.lit("%p)"),
-            ),
+        F.concat(
+            F.col("n_iterations").cast("string"), F.lit(" iterations: "),
+            _percent(F.col("first_accuracy")), F.lit(" -> "), _percent(last),
+            F.lit(" (total "), number_text(total, 2, signed=True), F.lit("%p)"),
         ).alias("summary"),
     )
 
 
+def _percent(accuracy):
+    return F.coalesce(F.concat(number_text(accuracy, 2), F.lit("%")), F.lit("N/A"))
+
+
+def comparison_lines(table: DataFrame) -> DataFrame:
+    """``(experiment, line_no, text)``: the chain of accuracies from ``iterations``, a line per run."""
+    return table.select("experiment", F.col("nth").alias("line_no"), _percent(F.col("accuracy")).alias("text"))
+
+
 def compact_comparison(compared: DataFrame) -> DataFrame:
     return compared.select(
         "experiment", "summary", "best_accuracy", "trend", "should_stop", "reason"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +15,6 @@ from ..session import cut_lineage
 STRONG_ABOVE = 0.7
 MANY_STRONG_PAIRS = 3
 
-# Beyond this width the pairs of one row outweigh the row itself, and a matrix
-# product per Arrow batch is cheaper than one aggregate update per pair.
-PAIRWISE_ROWS_MAX_COLUMNS = 8
-CENTRE_SAMPLE = 1000
 # A variance this far below the raw second moment is rounding noise.
 NOISE = 1e-13
 
@@ -33,7 +28,9 @@ def correlations(
     """``(i, j, col1, col2, n, r)`` for every unordered pair of numeric columns.
 
     A pair uses the rows where both values are present; r is NULL if either
-    column is constant on those rows. Only partial sums per pair are shuffled.
+    column is constant on those rows or infinite on one of them. Only partial
+    sums per pair are shuffled; they are exact sums around the columns' means,
+    which one aggregate finds first.
     """
     names = numeric_columns(df, columns, include_decimal)
     if len(names) < 2:
@@ -41,8 +38,7 @@ def correlations(
             [], "i int, j int, col1 string, col2 string, n bigint, r double"
         )
     cells = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    narrow = len(names) <= PAIRWISE_ROWS_MAX_COLUMNS
-    pairs = _by_pair_rows(cells) if narrow else _by_moment_matrices(cells)
+    pairs = _moments(cells, _means(cells))
     label = F.array(*[F.lit(c) for c in names])
     return pairs.select(
         "i",
@@ -54,54 +50,38 @@ def correlations(
     )
 
 
-def _by_pair_rows(cells: DataFrame) -> DataFrame:
-    pairs = [
-        F.struct(
-            F.lit(i).alias("i"),
-            F.lit(j).alias("j"),
-            F.when(F.col(f"c{j}").isNotNull(), F.col(f"c{i}")).alias("x"),
-            F.when(F.col(f"c{i}").isNotNull(), F.col(f"c{j}")).alias("y"),
-        )
-        for i, j in combinations(range(len(cells.columns)), 2)
-    ]
-    varies = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    # F.corr raises on a constant column under ANSI rules.
-    r = F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))
-    return (
-        cells.select(F.inline(F.array(*pairs)))
-        .groupBy("i", "j")
-        .agg(F.count("x").alias("n"), F.when(varies, r).alias("r"))
-    )
+def _means(cells: DataFrame) -> list[float]:
+    """Mean of each column's finite values, 0 where there are none."""
+    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in cells.columns]
+    return list(cells.agg(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in finite]).first())
 
 
-def _by_moment_matrices(cells: DataFrame) -> DataFrame:
-    """Sums of products per partition as matrices, then added up per pair.
+def _moments(cells: DataFrame, means: list[float]) -> DataFrame:
+    """Sums of products per task as matrices, then added up per pair.
 
-    Values are centred first on a rough mean, from a few rows of the table
-    itself, so that squares don't swamp the differences. Because those rows take
-    part in the result, the centre can't be off by more than about
-    ``sqrt(rows / CENTRE_SAMPLE)`` deviations.
+    Values are centred on ``means``, so that squares don't swamp the
+    differences. An infinite value counts as present and makes its pairs NULL.
     """
     width = len(cells.columns)
-    first = np.array(cells.take(CENTRE_SAMPLE), dtype="float64").reshape(-1, width)
-    usable = np.isfinite(first)
-    centre = np.where(usable, first, 0.0).sum(axis=0) / np.maximum(usable.sum(axis=0), 1)
+    centre = np.array(means)
     upper = np.triu_indices(width, 1)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, width, width))
+        total = np.zeros((5, width, width))
         for batch in batches:
             values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             values = values.astype("float64") - centre
-            there = ~np.isnan(values)
-            values[~there] = 0.0
+            there, finite = ~np.isnan(values), np.isfinite(values)
+            values[~finite] = 0.0
             mask = there.astype("float64")
+            endless = (there & ~finite).astype("float64")
             total[0] += mask.T @ mask
             total[1] += values.T @ mask
             total[2] += (values * values).T @ mask
             total[3] += values.T @ values
-        n, s, sq, xy = total
-        columns = [n, s, s.T, sq, sq.T, xy]
+            total[4] += endless.T @ mask + mask.T @ endless
+        n, s, sq, xy, infinite = total
+        columns = [n, s, s.T, sq, sq.T, xy, infinite]
         yield pa.RecordBatch.from_arrays(
             [pa.array(axis.astype("int32")) for axis in upper]
             + [pa.array(m[upper]) for m in columns],
@@ -115,15 +95,17 @@ def _by_moment_matrices(cells: DataFrame) -> DataFrame:
     spread_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
     together = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
     varies = (spread_x > F.col("xx") * NOISE) & (spread_y > F.col("yy") * NOISE)
+    varies &= F.col("infinite") == 0
     return total.select(
         "i",
         "j",
         n.cast("bigint").alias("n"),
-        F.when(varies, F.try_divide(together, F.sqrt(spread_x) * F.sqrt(spread_y))).alias("r"),
+        # Sums that overflow leave NaN, which no threshold must take for a strong pair.
+        F.when(varies, F.nullif(F.try_divide(together, F.sqrt(spread_x) * F.sqrt(spread_y)), F.lit(float("nan")))).alias("r"),
     )
 
 
-_SUMS = ["n", "x", "y", "xx", "yy", "xy"]
+_SUMS = ["n", "x", "y", "xx", "yy", "xy", "infinite"]
 
 
 def strong_correlations(

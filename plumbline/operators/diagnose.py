@@ -20,26 +20,18 @@ from ..functions.columns import (
 from .correlate import correlations
 from .profile import column_facts, fixed
 
-# Decision limits, list lengths and name patterns of the diagnosis.
-DEFAULT_USED = 20
-UNUSED_SHOWN = 15
+# Decision limits and name patterns of the diagnosis.
 PAIR_THRESHOLD = 0.7
-PAIRS_KEPT = 20
 REDUNDANT_ABOVE = 0.95
 LOW_VARIANCE_BELOW = 1e-6
 SKEWED_ABOVE = 2
-SKEWED_SHOWN = 10
 CATEGORY_VALUES = 10
 BALANCED_FROM = 0.5
 WEIGHTS_ABOVE = 0.2
-DROPPED_AT_ONCE = 5
 UNUSED_WORTH_ADDING = 5
-CANDIDATES_SHOWN = 10
-ROLLING_COLUMNS = 6
 ROLLING_WINDOWS = (5, 10, 50)
 VELOCITY_NAMES = ("velocity", "speed")
 ACCELERATION_NAMES = ("accel",)
-SCALE_COLUMNS = 20
 SCALE_RATIO = 100
 SCALE_GUARD = 1e-10
 CRITICAL_PAIRS = 3
@@ -51,37 +43,61 @@ WARNING_SKEWED = 3
 # larger estimate proves a column has more than CATEGORY_VALUES.
 SKETCH_ERROR = 0.05
 SKETCH_PROVES_MANY = 2 * CATEGORY_VALUES
-FEW_TEXTS = 1000
-FIRST_ROWS = 2000
+
+
+@dataclass(frozen=True)
+class Lengths:
+    """How many entries the lists of a diagnosis hold and look at; None is all."""
+
+    used: int | None = None  # numeric columns taken as used if none are named
+    unused: int | None = None
+    pairs: int | None = None
+    skewed: int | None = None
+    dropped: int | None = None
+    candidates: int | None = None
+    rolling: int | None = None
+    scaled: int | None = None
+
+
+ALL = Lengths()
+# The lengths of a short report.
+SHORT = Lengths(used=20, unused=15, pairs=20, skewed=10, dropped=5, candidates=10, rolling=6, scaled=20)
 
 
 def unused_columns(
-    df: DataFrame, used: str | Sequence[str] | None = None
+    df: DataFrame, used: str | Sequence[str] | None = None, lengths: Lengths = ALL
 ) -> DataFrame:
-    """One row: columns available, numeric, used, and the first unused numeric ones."""
+    """One row: columns available, numeric, used, and the unused numeric ones."""
     numeric = numeric_columns(df)
-    taken = _used(df, used)
-    idle = [c for c in numeric if c not in taken][:UNUSED_SHOWN]
+    taken = _used(df, used, lengths)
+    idle = [c for c in numeric if c not in taken][: lengths.unused]
     return df.sparkSession.createDataFrame(
         [(len(df.columns), len(numeric), len(taken), idle)],
         "available int, numeric_available int, used int, unused_numeric array<string>",
     )
 
 
-def _used(df: DataFrame, used: str | Sequence[str] | None) -> list[str]:
+def _used(df: DataFrame, used: str | Sequence[str] | None, lengths: Lengths) -> list[str]:
     if not used:
-        return numeric_columns(df)[:DEFAULT_USED]
+        return numeric_columns(df)[: lengths.used]
     names = used.split(",") if isinstance(used, str) else used
     return [c.strip() for c in names if c.strip()]
 
 
+def _first(report: DataFrame, n: int | None) -> DataFrame:
+    return report if n is None else report.limit(n)
+
+
 def multicollinear_pairs(
-    df: DataFrame, threshold: float = PAIR_THRESHOLD, pairs: DataFrame | None = None
+    df: DataFrame,
+    threshold: float = PAIR_THRESHOLD,
+    pairs: DataFrame | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The 20 strongest pairs with ``abs(r) >= threshold`` and what to do about each."""
+    """Pairs with ``abs(r) >= threshold``, strongest first, and what to do about each."""
     pairs = pairs if pairs is not None else correlations(df)
     size = F.abs("r")
-    return (
+    found = (
         pairs.where(size >= threshold)
         .select(
             "i",
@@ -92,8 +108,8 @@ def multicollinear_pairs(
             F.when(size > REDUNDANT_ABOVE, "drop_one").otherwise("monitor").alias("action"),
         )
         .orderBy(-F.col("r"), "i", "j")
-        .limit(PAIRS_KEPT)
     )
+    return _first(found, limit)
 
 
 def low_variance(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
@@ -101,11 +117,11 @@ def low_variance(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     return facts.where(F.col("std") < LOW_VARIANCE_BELOW).select("col_pos", "col_name", "std")
 
 
-def skewed_features(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
-    """The first ten strongly skewed columns, in column order."""
+def skewed_features(df: DataFrame, facts: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """The strongly skewed columns, in column order."""
     facts = facts if facts is not None else column_facts(df, shape=True)
     skew = F.col("skewness")
-    return (
+    found = (
         facts.where((F.col("std") > 0) & (F.abs(skew) > SKEWED_ABOVE))
         .select(
             "col_pos",
@@ -114,8 +130,8 @@ def skewed_features(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
             F.when(skew > SKEWED_ABOVE, "log_transform").otherwise("reflect_log").alias("action"),
         )
         .orderBy("col_pos")
-        .limit(SKEWED_SHOWN)
     )
+    return _first(found, limit)
 
 
 def value_counts(
@@ -152,12 +168,6 @@ def _hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def distinct_in_first_rows(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Distinct values among the first rows Spark finds: a lower bound for the table."""
-    rows = _hashes(df, columns).take(FIRST_ROWS)
-    return {c: len({r[i] for r in rows} - {None}) for i, c in enumerate(columns)}
-
-
 def distinct_sketch(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     """Estimated distinct values per column: one scan, one sketch per task and column."""
     if not columns:
@@ -167,55 +177,30 @@ def distinct_sketch(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
     return {r.col_name: r.d for r in rows.collect()}
 
 
-@dataclass(frozen=True)
-class Candidates:
-    """Columns that may hold classes, with their position in the table."""
-
-    few: list[str]
-    many_texts: list[str]
-
-
-def category_candidates(df: DataFrame) -> Candidates:
-    """Text columns, and columns that can't be ruled out as having few values.
-
-    Most columns show more than ten values in their first rows. Only the others
-    are sketched over the whole table.
-    """
+def category_candidates(df: DataFrame) -> list[str]:
+    """Text columns, and columns that a sketch of the whole table doesn't rule out."""
     names = plain_columns(df)
     text = {c for c in names if isinstance(df.schema[c].dataType, T.StringType)}
-    seen = distinct_in_first_rows(df, names)
-    unsure = [c for c in names if seen[c] <= (FEW_TEXTS if c in text else CATEGORY_VALUES)]
-    sketch = distinct_sketch(df, unsure)
-    few = [
-        c
-        for c in unsure
-        if sketch.get(c, 0) <= (FEW_TEXTS if c in text else SKETCH_PROVES_MANY)
-    ]
-    return Candidates(few, [c for c in names if c in text and c not in few])
+    sketch = distinct_sketch(df, [c for c in names if c not in text])
+    return [c for c in names if c in text or sketch.get(c, 0) <= SKETCH_PROVES_MANY]
 
 
 def categorical_columns(df: DataFrame) -> DataFrame:
-    """``(col_pos, col_name, n_classes)``: text columns, or at most ten distinct values.
-
-    Text columns of many values are listed without a count.
-    """
+    """``(col_pos, col_name, n_classes)``: text columns, or at most ten distinct values."""
     found = category_candidates(df)
     position = F.array(*[F.lit(c) for c in df.columns])
-    counted = class_sizes(df, found.few) if found.few else None
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
     listed = df.sparkSession.createDataFrame(
-        [(c, c in texts) for c in [*found.few, *found.many_texts]], "col_name string, is_text boolean"
+        [(c, c in texts) for c in found], "col_name string, is_text boolean"
     )
-    if counted is None:
-        table = listed.withColumn("n_classes", F.lit(None).cast("bigint"))
+    if found:
+        # One row per column.
+        table = listed.join(F.broadcast(class_sizes(df, found)), "col_name", "left")
     else:
-        table = listed.join(F.broadcast(counted), "col_name", "left")
-        few = F.col("col_name").isin(found.few)
-        table = table.withColumn(
-            "n_classes", F.when(few, F.coalesce("n_classes", F.lit(0)))
-        )
+        table = listed.withColumn("n_classes", F.lit(0).cast("bigint"))
     return (
-        table.where(F.col("is_text") | (F.col("n_classes") <= CATEGORY_VALUES))
+        table.withColumn("n_classes", F.coalesce("n_classes", F.lit(0)))
+        .where(F.col("is_text") | (F.col("n_classes") <= CATEGORY_VALUES))
         .select(
             (F.array_position(position, F.col("col_name")) - 1).cast("int").alias("col_pos"),
             "col_name",
@@ -232,36 +217,21 @@ _IMBALANCE = (
 
 
 def class_imbalance(df: DataFrame, target: str | None = None) -> DataFrame:
-    """One row for the last imbalanced class column (or for ``target``), or none.
-
-    Columns of few values are counted first. Text columns of many values cost a
-    shuffle of all their values, so they are counted only where they come after
-    the column found.
-    """
+    """One row for the last imbalanced class column (or for ``target``), or none."""
     order = {c: i for i, c in enumerate(df.columns)}
-    if target is not None:
-        rounds = [[target]]
-    else:
-        found = category_candidates(df)
-        rounds = [found.few, found.many_texts]
-    winner = None
-    for names in rounds:
-        names = [c for c in names if winner is None or order[c] > order[winner.col_name]]
-        if not names:
-            continue
-        text = [
-            c for c in names if c == target or isinstance(df.schema[c].dataType, T.StringType)
-        ]
-        ratio = F.col("smallest") / F.col("largest")
-        hits = (
-            class_sizes(df, names)
-            .where(F.col("col_name").isin(text) | (F.col("n_classes") <= CATEGORY_VALUES))
-            .where((F.col("n_classes") >= 2) & (ratio < BALANCED_FROM))
-            .withColumn("exact", ratio)
-            .collect()
-        )
-        last = max(hits, key=lambda h: order[h.col_name], default=None)
-        winner = last or winner
+    names = [target] if target is not None else category_candidates(df)
+    if not names:
+        return df.sparkSession.createDataFrame([], _IMBALANCE)
+    text = [c for c in names if c == target or isinstance(df.schema[c].dataType, T.StringType)]
+    ratio = F.col("smallest") / F.col("largest")
+    hits = (
+        class_sizes(df, names)
+        .where(F.col("col_name").isin(text) | (F.col("n_classes") <= CATEGORY_VALUES))
+        .where((F.col("n_classes") >= 2) & (ratio < BALANCED_FROM))
+        .withColumn("exact", ratio)
+        .collect()
+    )
+    winner = max(hits, key=lambda h: order[h.col_name], default=None)
     if winner is None:
         return df.sparkSession.createDataFrame([], _IMBALANCE)
     row = df.sparkSession.createDataFrame(
@@ -301,15 +271,19 @@ def diagnose(
     used: str | Sequence[str] | None = None,
     threshold: float = PAIR_THRESHOLD,
     target: str | None = None,
+    lengths: Lengths = ALL,
 ) -> Diagnosis:
-    """All data issues of a table and the recommendations that follow from them."""
+    """All data issues of a table and the recommendations that follow from them.
+
+    Every column is looked at and listed; ``lengths=SHORT`` gives a short report.
+    """
     facts = fixed(column_facts(df, shape=True))
-    pairs = fixed(multicollinear_pairs(df, threshold))
-    skewed = fixed(skewed_features(df, facts))
+    pairs = fixed(multicollinear_pairs(df, threshold, limit=lengths.pairs))
+    skewed = fixed(skewed_features(df, facts, lengths.skewed))
     imbalance = fixed(class_imbalance(df, target))
-    signals = _signals(df, used, facts, pairs, skewed, imbalance)
+    signals = _signals(df, used, facts, pairs, skewed, imbalance, lengths)
     return Diagnosis(
-        unused=unused_columns(df, used),
+        unused=unused_columns(df, used, lengths),
         multicollinearity=pairs,
         low_variance=low_variance(df, facts),
         skewed=skewed,
@@ -319,7 +293,7 @@ def diagnose(
     )
 
 
-def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
+def _signals(df, used, facts, pairs, skewed, imbalance, lengths: Lengths) -> DataFrame:
     """One row with everything the rules look at."""
 
     def items(kind: str, report: DataFrame, order: Column, text: Column, value: Column):
@@ -337,7 +311,9 @@ def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
     ranked = ranked.select(F.posexplode("a").alias("pos", "e")).select("pos", "e.col2")
     numeric = numeric_columns(df)
     moving = [c for names in (VELOCITY_NAMES, ACCELERATION_NAMES) for c in numeric if any(n in c.lower() for n in names)]
-    spread = facts.where((F.col("col_pos") < SCALE_COLUMNS) & (F.col("max") > F.col("min")))
+    spread = facts.where(F.col("max") > F.col("min"))
+    if lengths.scaled is not None:
+        spread = spread.where(F.col("col_pos") < lengths.scaled)
     rows = reduce(
         DataFrame.union,
         [
@@ -349,15 +325,15 @@ def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
         ],
     )
 
-    def listed(kind: str, limit: int) -> Column:
-        mine = F.collect_list(F.when(F.col("kind") == kind, F.struct("o", "text")))
-        return F.transform(F.slice(F.array_sort(mine), 1, limit), lambda s: s["text"])
+    def listed(kind: str, limit: int | None) -> Column:
+        mine = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("o", "text"))))
+        return F.transform(mine if limit is None else F.slice(mine, 1, limit), lambda s: s["text"])
 
     def one(kind: str, name: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(name)))
 
-    taken = _used(df, used)
-    idle = [c for c in numeric if c not in taken][:CANDIDATES_SHOWN]
+    taken = _used(df, used, lengths)
+    idle = [c for c in numeric if c not in taken][: lengths.candidates]
     reach = F.when(F.col("kind") == "range", F.col("value"))
 
     def texts(values: Sequence[str]) -> Column:
@@ -365,9 +341,9 @@ def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
 
     return rows.agg(
         F.count_if(F.col("kind") == "redundant").alias("n_redundant"),
-        listed("redundant", DROPPED_AT_ONCE).alias("redundant"),
+        listed("redundant", lengths.dropped).alias("redundant"),
         F.count_if(F.col("kind") == "skewed").alias("n_skewed"),
-        listed("skewed", SKEWED_SHOWN).alias("skewed"),
+        listed("skewed", None).alias("skewed"),
         one("target", "text").alias("target"),
         one("target", "value").alias("ratio"),
         one("action", "text").alias("balance_action"),
@@ -378,7 +354,7 @@ def _signals(df, used, facts, pairs, skewed, imbalance) -> DataFrame:
         F.lit(len(taken)).alias("n_used"),
         F.lit(len(numeric) - len(taken)).alias("n_unused"),
         texts(idle).alias("unused"),
-        texts(moving[:ROLLING_COLUMNS]).alias("moving"),
+        texts(moving[: lengths.rolling]).alias("moving"),
     )
 
 

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import INTEGRAL, as_double, clock_seconds, numeric_columns, quoted
+from ..functions.columns import INTEGRAL, as_double, clock_seconds, numeric_columns, present, quoted
 from ..functions.order_stats import GroupedCells, order_statistics
 from .diagnose import ROLLING_WINDOWS
 from .distribution import cardinality
@@ -93,7 +93,7 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 def _class_weights(df: DataFrame, target: str) -> tuple[DataFrame, int]:
     classes = (
-        df.where(F.col(quoted(target)).isNotNull())
+        df.where(present(df, target).isNotNull())
         .groupBy(F.col(quoted(target)).alias("class"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -114,7 +114,8 @@ def add_class_weight(df: DataFrame, target: str, name: str = "class_weight") ->
     """
     weights, k = _class_weights(df, target)
     weights = weights.select(F.col("class").alias(target), F.col("weight").alias(name))
-    return df.join(F.broadcast(weights) if k <= MAX_CLASSES else weights, target, "left")
+    joined = df.join(F.broadcast(weights) if k <= MAX_CLASSES else weights, target, "left")
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], name)
 
 
 def oversample(df: DataFrame, target: str, key: str) -> DataFrame:

@@ -28,14 +28,21 @@ def schema_table(df: DataFrame) -> DataFrame:
 
 
 def head(df: DataFrame, n: int = 5, order_by: str | Sequence[str] | None = None) -> DataFrame:
-    """The first rows, 20 at most. Spark tables have no order unless one is named."""
+    """The first ``n`` rows. Spark tables have no order unless one is named."""
     ordered = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by)) if order_by else df
-    return ordered.limit(min(n, 20))
+    return ordered.limit(n)
 
 
 def null_counts(df: DataFrame, columns: str | Sequence[str] | None = None) -> DataFrame:
-    """Rows and missing values per column: one aggregate, one row per task shuffled."""
+    """Rows and missing values per column: one aggregate, one row per task shuffled.
+
+    No rows if none of the named columns exists.
+    """
     names = wanted_columns(df, columns)
+    if not names:
+        return column_index(df, []).select(
+            "col_pos", "col_name", F.lit(0).cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("null_count")
+        )
     totals = df.agg(
         F.count(F.lit(1)).alias("n_rows"),
         *[F.count(present(df, c)).alias(f"n{i}") for i, c in enumerate(names)],

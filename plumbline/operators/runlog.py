@@ -18,15 +18,13 @@ from ..functions.columns import half_even
 # Tail length and decision limits.
 TRACE_TAIL = 100
 LOG_TAIL = 50
-LOG_TAIL_MAX = 500
 RECENT = 3
 PLATEAU_RANGE = 1.0
 FINISHED = ("completed", "failed")
 
 
-def tail(lines: DataFrame, n: int = LOG_TAIL, limit: int | None = LOG_TAIL_MAX) -> DataFrame:
-    """The last ``n`` lines of each run (``limit`` at most)."""
-    n = n if limit is None else min(n, limit)
+def tail(lines: DataFrame, n: int = LOG_TAIL) -> DataFrame:
+    """The last ``n`` lines of each run."""
     newest = W.partitionBy("job_id").orderBy(F.desc("line_no"))
     ranked = lines.withColumn("from_end", F.row_number().over(newest))
     return ranked.where(F.col("from_end") <= n).drop("from_end")
@@ -37,7 +35,7 @@ def finished_lines(
 ) -> DataFrame:
     """Log lines of finished runs; a run whose log is blank gives its stored output."""
     done = runs.where(F.col("status").isin(*FINISHED))
-    logs = tail(lines, n, None) if n else lines
+    logs = tail(lines, n) if n else lines
     logs = logs.join(done.select(F.col("id").alias("job_id")), "job_id", "left_semi")
     written = logs.groupBy("job_id").agg(F.max(F.col("line").rlike(r"\S")).alias("has_text"))
     silent = done.join(
@@ -140,7 +138,7 @@ def trace(lines: DataFrame, runs: DataFrame | None = None, tail_lines: int | Non
     if runs is not None:
         lines = finished_lines(lines, runs, tail_lines)
     elif tail_lines:
-        lines = tail(lines, tail_lines, None)
+        lines = tail(lines, tail_lines)
     metrics = extract_metrics(lines)
     results = metrics.groupBy("job_id").agg(*run_aggregates())
     results = results.join(convergence(recent_accuracies(metrics)), "job_id", "left")

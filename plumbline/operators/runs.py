@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import log_patterns as P
 from ..functions.columns import clock_seconds, number_text
+from ..session import cut_lineage
 from .compare import lagged
 
-# List lengths.
+# List and text lengths of the short task list.
 NEWEST_TASKS = 20
 DESCRIPTION_CHARS = 60
-ACTIONS_CHARS = 40
-# A Markdown report is one string; beyond this many iterations only the table is whole.
-REPORT_ITERATIONS = 1000
 
 
 def run_list(runs: DataFrame, now: str | None = None) -> DataFrame:
@@ -37,11 +35,13 @@ def run_list(runs: DataFrame, now: str | None = None) -> DataFrame:
     ).orderBy(F.desc("submitted_at"), "id")
 
 
-def task_list(tasks: DataFrame, limit: int | None = NEWEST_TASKS) -> DataFrame:
-    """Newest tasks: shortened description, iterations done, accuracy of the last one."""
+def task_list(
+    tasks: DataFrame, limit: int | None = NEWEST_TASKS, chars: int | None = DESCRIPTION_CHARS
+) -> DataFrame:
+    """Newest tasks: description (``chars`` of it), iterations done, accuracy of the last one."""
     table = tasks.select(
         "id",
-        F.substring("task", 1, DESCRIPTION_CHARS).alias("task"),
+        (F.col("task") if chars is None else F.substring("task", 1, chars)).alias("task"),
         "status",
         "submitted_at",
         F.coalesce(F.array_size("iterations"), F.lit(0)).alias("n_iterations"),
@@ -75,67 +75,74 @@ def iteration_reports(transcripts: DataFrame) -> DataFrame:
 
 
 def iteration_changes(reports: DataFrame) -> DataFrame:
-    """Change of accuracy to the previous iteration; a missing or zero side gives none."""
+    """Change of accuracy to the report before; a missing or zero side gives none."""
     steps = lagged(reports.withColumnRenamed("task_id", "experiment"), 1)
     change = F.col("accuracy") - F.col("accuracy_1")
     both = (F.col("accuracy") != 0) & (F.col("accuracy_1") != 0)
     return steps.select(
         F.col("experiment").alias("task_id"),
         *[c for c in reports.columns if c != "task_id"],
+        "nth",
         F.when(both, change).alias("change"),
     )
 
 
-def experiment_report(reports: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
-    """Per task: iterations, the best one, and a Markdown report.
-
-    The Markdown table is one string, so it is written for tasks of up to
-    ``REPORT_ITERATIONS`` iterations; ``iteration_changes`` has every row.
-    """
-    changes = iteration_changes(reports)
-    order = F.col("iteration")
-    row = F.concat(
-        F.lit("| "), order.cast("string"), F.lit(" | "),
-        F.substring(F.array_join("actions", ", "), 1, ACTIONS_CHARS), F.lit(" | "),
-        F.coalesce(F.concat(number_text(F.col("accuracy"), 2), F.lit("%")), F.lit("-")),
-        F.lit(" | "),
-        F.coalesce(F.concat(number_text(F.col("change"), 1, True), F.lit("%p")), F.lit("-")),
-        F.lit(" |"),
-    )
-    rank = F.struct(F.coalesce("accuracy", F.lit(0.0)).alias("a"), (-order).alias("o"))
+def _totals(changes: DataFrame) -> DataFrame:
+    rank = F.struct(F.coalesce("accuracy", F.lit(0.0)).alias("a"), (-F.col("nth")).alias("o"))
     best = F.max_by(F.struct("iteration", "accuracy"), rank)
-    kept = F.collect_list(F.when(order <= REPORT_ITERATIONS, F.struct(order.alias("o"), row.alias("row"))))
-    grouped = changes.groupBy("task_id").agg(
-        F.count(F.lit(1)).alias("total_iterations"),
-        best.alias("best"),
-        F.max("iteration").alias("last"),
-        kept.alias("rows"),
+    grouped = changes.groupBy("task_id").agg(F.count(F.lit(1)).alias("total_iterations"), best.alias("best"))
+    return grouped.select(
+        "task_id",
+        "total_iterations",
+        F.col("best.iteration").alias("best_iteration"),
+        F.col("best.accuracy").alias("best_accuracy"),
     )
+
+
+def experiment_report(reports: DataFrame) -> DataFrame:
+    """Per task: its iterations and the best one; ``experiment_report_lines`` has the text."""
+    return _totals(iteration_changes(reports))
+
+
+def experiment_report_lines(reports: DataFrame, tasks: DataFrame | None = None) -> DataFrame:
+    """``(task_id, line_no, text)``: each task's report, a line per row.
+
+    Line 0 sums the task up, with its data set and description if ``tasks`` has
+    them; each iteration follows. No cell grows with the number of iterations.
+    """
+    changes = cut_lineage(iteration_changes(reports))
+    totals = _totals(changes)
     if tasks is not None:
         named = tasks.select(F.col("id").alias("task_id"), "task", "dataset")
-        grouped = grouped.join(named, "task_id", "left")
+        totals = totals.join(named, "task_id", "left")
+        about = F.concat_ws(": ", F.element_at(F.split("dataset", "/"), -1), "task")
     else:
-        grouped = grouped.withColumns(
-            {"task": F.lit(None).cast("string"), "dataset": F.lit(None).cast("string")}
-        )
-    header = F.concat_ws(
-        "\n",
-        F.concat(F.lit("# Experiment report: "), F.element_at(F.split("dataset", "/"), -1)),
-        F.concat(F.lit("\n## Task\n"), "task"),
-        F.lit("\n## Summary"),
-        F.concat(F.lit("- Total iterations: "), F.col("total_iterations").cast("string")),
-        F.concat(
-            F.lit("- Best accuracy: "),
-            F.coalesce(F.concat(number_text(F.col("best.accuracy"), 2), F.lit("%")), F.lit("none")),
-            F.lit(" (iteration "), F.col("best.iteration").cast("string"), F.lit(")"),
-        ),
-        F.lit("\n## Iterations\n\n| # | Actions | Accuracy | Change |\n|---|---|---|---|"),
+        about = F.lit("")
+    first = totals.select(
+        "task_id",
+        F.lit(0).cast("bigint").alias("line_no"),
+        F.concat_ws(
+            "; ",
+            F.nullif(about, F.lit("")),
+            F.concat(F.col("total_iterations").cast("string"), F.lit(" iterations")),
+            F.concat(F.lit("best "), _accuracy("best_accuracy"), F.lit(" in iteration "), F.col("best_iteration").cast("string")),
+        ).alias("text"),
     )
-    lines = F.array_join(F.transform(F.array_sort("rows"), lambda s: s["row"]), "\n")
-    return grouped.select(
+    each = changes.select(
         "task_id",
-        "total_iterations",
-        F.col("best.iteration").alias("best_iteration"),
-        F.col("best.accuracy").alias("best_accuracy"),
-        F.when(F.col("last") <= REPORT_ITERATIONS, F.concat_ws("\n", header, lines)).alias("report"),
+        F.col("nth").cast("bigint").alias("line_no"),
+        F.concat_ws(
+            "; ",
+            F.concat(F.lit("iteration "), F.col("iteration").cast("string")),
+            F.concat(
+                _accuracy("accuracy"),
+                F.coalesce(F.concat(F.lit(" ("), number_text(F.col("change"), 1, True), F.lit("%p)")), F.lit("")),
+            ),
+            F.nullif(F.array_join("actions", ", "), F.lit("")),
+        ).alias("text"),
     )
+    return first.unionByName(each)
+
+
+def _accuracy(name: str):
+    return F.coalesce(F.concat(number_text(F.col(name), 2), F.lit("%")), F.lit("no accuracy"))

@@ -57,10 +57,9 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
 
     A chain ends at a parent that is not registered, or where a version would
     repeat. All chains grow at once by doubling: each round appends to a chain
-    the chain of its oldest member, so depth d takes about log2(d) joins.
+    the chain of its oldest member, so depth d takes about log2(d) joins. With
+    ``name``, only the version's own row is returned.
     """
-    if name is not None:
-        return _lineage_of(versions, name)
     known = versions.select("name", "source").distinct()
     parents = known.select(F.col("name").alias("source"))
     # A version, its chain upwards from itself, and the parent the chain stops before.
@@ -95,6 +94,8 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
                 F.when(~closed, F.col("after")).alias("next"),
             ).unionByName(finished)
         )
+    if name is not None:
+        chains = chains.where(F.col("name") == name)
     return chains.select(
         "name",
         F.array_join(F.reverse("up"), " -> ").alias("path"),
@@ -102,27 +103,6 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
     )
 
 
-def _lineage_of(versions: DataFrame, name: str) -> DataFrame:
-    """One chain, followed upwards by a recursive query of one row per level."""
-    spark = versions.sparkSession
-    versions.select("name", "source").createOrReplaceTempView("plumbline_versions")
-    return spark.sql(
-        """
-        WITH RECURSIVE up (version, up, next) AS (
-          SELECT name, array(name), source FROM plumbline_versions WHERE name = :name
-          UNION ALL
-          SELECT up.version, array_append(up.up, v.name), v.source
-          FROM up JOIN plumbline_versions v ON v.name = up.next
-          WHERE NOT array_contains(up.up, v.name)
-        )
-        SELECT version AS name, array_join(reverse(max_by(up, size(up))), ' -> ') AS path,
-               max(size(up)) AS depth
-        FROM up GROUP BY version
-        """,
-        args={"name": name},
-    )
-
-
 def fork(
     spark: SparkSession,
     versions_table: str,

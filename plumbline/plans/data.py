@@ -153,6 +153,35 @@ def sql_page(spark, folder):
     return sqlpage.page(ordered)
 
 
+@query("sql_page_large", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity LIMIT 20000")
+def sql_page_large(spark, folder):
+    """A page is as long as was asked."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]
+    return sqlpage.page(table(spark, folder, "lineitem").orderBy(*keys), 20_000).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("sql_total_rows", "SELECT count(*) AS total_rows FROM orders WHERE o_totalprice > 100000")
+def sql_total_rows(spark, folder):
+    """The full size beside a page."""
+    return sqlpage.total_rows(table(spark, folder, "orders").where("o_totalprice > 100000"))
+
+
+@query(
+    "sql_asof",
+    """SELECT e.event_id, s.event_id AS seen FROM events e ASOF LEFT JOIN
+         (SELECT * FROM events WHERE event_id % 5 = 0) s ON e.user_id = s.user_id AND e.event_id >= s.event_id""",
+)
+def sql_asof(spark, folder):
+    """For each event the user's newest marked event up to it, by a window instead of a join."""
+    return sqlpage.query(
+        spark,
+        """SELECT event_id, last_value(CASE WHEN event_id % 5 = 0 THEN event_id END) IGNORE NULLS OVER
+             (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen
+           FROM events""",
+        {"events": table(spark, folder, "events")},
+    )
+
+
 @query("project_columns", "SELECT o_totalprice, o_orderkey FROM orders")
 def project_columns(spark, folder):
     return project(table(spark, folder, "orders"), "o_totalprice, nowhere, o_orderkey")
@@ -202,6 +231,44 @@ def read_json(spark, folder):
     return round_trip(spark, folder, "json")
 
 
+@query("read_json_mixed", ROUND_TRIP_SQL)
+def read_json_mixed(spark, folder):
+    """A folder of files with a record per line and files that hold one array each."""
+    price = F.when(F.col("o_orderkey") % 10 != 0, F.col("o_totalprice")).alias("price")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", price)
+    path = exported(spark, orders.where("o_orderkey % 3 > 0"), "mixed", "json")
+    whole = F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n"), F.lit("\n]"))
+    for part in (0, 1):
+        rows = orders.where(f"o_orderkey % 3 = 0 AND o_orderkey % 2 = {part}")
+        rows.coalesce(1).agg(whole.alias("value")).write.mode("append").text(path)
+    back = tables.read_json(spark, path)
+    return back.groupBy("o_orderstatus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("price").alias("n_price"),
+        F.sum("o_orderkey").alias("keys"),
+        F.round(F.sum("price"), 2).alias("price"),
+    )
+
+
+@query(
+    "read_csv_ids",
+    "SELECT 1234567890120000000 + o_orderkey AS id, o_orderstatus FROM orders",
+)
+def read_csv_ids(spark, folder):
+    """Integers of 19 digits stay what they are."""
+    ids = (F.lit(1234567890120000000) + F.col("o_orderkey")).alias("id")
+    rows = table(spark, folder, "orders").select(ids, "o_orderstatus")
+    return tables.read_table(spark, exported(spark, rows, "ids", "csv", header="true"))
+
+
+@query("read_csv_multiline", "SELECT doc_id, length(text) AS n, text FROM documents")
+def read_csv_multiline(spark, folder):
+    """Quoted texts with line ends."""
+    rows = table(spark, folder, "documents").select("doc_id", F.length("text").alias("n"), "text")
+    path = exported(spark, rows, "texts", "csv", header="true", quoteAll="true", escape='"')
+    return tables.read_table(spark, path, multi_line=True)
+
+
 @query("read_parquet", ROUND_TRIP_SQL)
 def read_parquet(spark, folder):
     return round_trip(spark, folder, "parquet")
@@ -306,6 +373,29 @@ def ingest_orders(spark, folder):
     return tables.ingest(spark, path, f"plumbline_{uuid.uuid4().hex}").drop("table")
 
 
+@query(
+    "ingest_append",
+    """SELECT 2 * count(*) AS rows, 'o_orderkey,o_orderstatus,o_totalprice' AS columns, 'append' AS mode FROM orders""",
+)
+def ingest_append(spark, folder):
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    path, name = exported(spark, df, "ingest", "csv", header="true"), f"plumbline_{uuid.uuid4().hex}"
+    tables.ingest(spark, path, name)
+    return tables.ingest(spark, path, name, "append").drop("table")
+
+
+@query(
+    "ingest_replace",
+    """SELECT count(*) AS rows, 'o_orderkey,o_totalprice' AS columns, 'replace' AS mode FROM orders WHERE o_orderstatus = 'F'""",
+)
+def ingest_replace(spark, folder):
+    df = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    name = f"plumbline_{uuid.uuid4().hex}"
+    tables.ingest(spark, exported(spark, df, "ingest", "csv", header="true"), name)
+    fewer = df.where("o_orderstatus = 'F'").drop("o_orderstatus")
+    return tables.ingest(spark, exported(spark, fewer, "ingest", "csv", header="true"), name, "replace").drop("table")
+
+
 # Dataset versions: documents as files, one version per language or per crawl.
 SOURCE_FILES = "SELECT concat(lang, '/', doc_id, '.txt') AS name, n_chars AS size FROM documents WHERE doc_id % 7 <> 3"
 TARGET_FILES = """SELECT concat(lang, '/', doc_id, '.txt') AS name,

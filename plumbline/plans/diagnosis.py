@@ -24,7 +24,7 @@ PAIRS_SQL = f"""SELECT i, j, col1, col2, printf('%.4f', abs(r))::DOUBLE AS r,
 
 @query("multicollinear_pairs_lineitem", PAIRS_SQL)
 def multicollinear_pairs_lineitem(spark, folder):
-    return diagnose.multicollinear_pairs(lineitem_derived(spark, folder))
+    return diagnose.multicollinear_pairs(lineitem_derived(spark, folder), limit=diagnose.SHORT.pairs)
 
 
 USED = ["l_quantity", "l_extendedprice"]
@@ -207,7 +207,7 @@ SIGNALS_SQL = f"""pairs AS ({_RULE_PAIRS}), skew AS ({_RULE_SKEW}), target AS ({
     FROM rules WHERE fires""",
 )
 def recommendations_lineitem(spark, folder):
-    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED))
+    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED), lengths=diagnose.SHORT)
     return found.recommendations.select(
         "priority", "category", "action", F.array_join("columns", ",").alias("columns")
     )
@@ -229,7 +229,7 @@ VERDICT_SQL = f"""WITH {SIGNALS_SQL}
 
 @query("severity_lineitem", VERDICT_SQL)
 def severity_lineitem(spark, folder):
-    return diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED)).verdict
+    return diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED), lengths=diagnose.SHORT).verdict
 
 
 # Feature transforms.
@@ -422,3 +422,14 @@ def apply_recommendations_part(spark, folder):
         df, found.recommendations, target="rare", key="p_partkey"
     )
     return rounded(applied)
+
+
+@query(
+    "categorical_columns_documents",
+    """SELECT 1 AS col_pos, 'text' AS col_name, count(DISTINCT text) AS n_classes FROM documents
+       UNION ALL SELECT 2, 'lang', count(DISTINCT lang) FROM documents
+       UNION ALL SELECT 3, 'source', count(DISTINCT source) FROM documents""",
+)
+def categorical_columns_documents(spark, folder):
+    """Text columns are counted however many values they hold."""
+    return diagnose.categorical_columns(table(spark, folder, "documents"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import correlate, distribution, explain, outliers, profile
-from .registry import query, rounded, table, union_sql
+from .registry import query, rounded, table, union_sql, views
 
 LINEITEM = {
     "l_orderkey": "bigint",
@@ -227,6 +227,26 @@ def correlation_pairs_events(spark, folder):
     return rounded(correlate.correlations(events_wide(spark, folder)))
 
 
+INFINITE_SQL = """SELECT l_quantity AS a, l_extendedprice AS b,
+    CASE WHEN l_orderkey % 100 = 1 THEN CAST('Infinity' AS DOUBLE) ELSE l_discount END AS c,
+    CASE WHEN l_orderkey % 100 = 1 THEN NULL ELSE l_tax END AS d FROM lineitem"""
+
+
+@query(
+    "correlation_pairs_infinite",
+    f"""SELECT 0 AS i, 1 AS j, 'a' AS col1, 'b' AS col2, count(*) AS n, round(corr(a, b), 6) AS r FROM ({INFINITE_SQL})
+        UNION ALL SELECT 0, 2, 'a', 'c', count(*), NULL FROM ({INFINITE_SQL})
+        UNION ALL SELECT 0, 3, 'a', 'd', count(d), round(corr(a, d), 6) FROM ({INFINITE_SQL})
+        UNION ALL SELECT 1, 2, 'b', 'c', count(*), NULL FROM ({INFINITE_SQL})
+        UNION ALL SELECT 1, 3, 'b', 'd', count(d), round(corr(b, d), 6) FROM ({INFINITE_SQL})
+        UNION ALL SELECT 2, 3, 'c', 'd', count(d), round(corr(c, d), 6) FROM ({INFINITE_SQL}) WHERE d IS NOT NULL""",
+)
+def correlation_pairs_infinite(spark, folder):
+    """An infinity makes the pairs that use its row NULL, and no others."""
+    views(spark, folder, "lineitem")
+    return rounded(correlate.correlations(spark.sql(INFINITE_SQL)))
+
+
 @query(
     "multicollinearity_lineitem",
     f"SELECT count(*) AS strong_pairs, count(*) > 3 AS warning FROM ({STRONG_SQL})",

@@ -174,7 +174,7 @@ def report_for(job_id: str) -> str:
 def diagnosis_report(spark, folder):
     """The data verdict joined to the results of one run."""
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED))
+    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED), lengths=diagnose.SHORT)
     return diagnose.diagnosis_report(found, traced, "job_05")
 
 
@@ -185,10 +185,28 @@ def diagnosis_report(spark, folder):
 )
 def diagnosis_compact(spark, folder):
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED))
+    found = diagnose.diagnose(rules_table(spark, folder), ",".join(RULES_USED), lengths=diagnose.SHORT)
     return diagnose.compact_diagnosis(diagnose.diagnosis_report(found, traced, "job_11"))
 
 
+@query("log_tail_long", f"""SELECT job_id, line_no, line FROM (SELECT *, row_number() OVER
+       (PARTITION BY job_id ORDER BY line_no DESC) AS k FROM ({LINES_SQL})) WHERE k <= 2000""")
+def log_tail_long(spark, folder):
+    return runlog.tail(log_lines(spark, folder), 2000)
+
+
+@query(
+    "trace_summary",
+    f"""WITH {results_sql(None)} SELECT job_id, coalesce(nullif(concat_ws(' ',
+          'final accuracy ' || accuracy_last || '%.', 'convergence: ' || convergence || '.',
+          CASE WHEN loss_last < loss_first * 0.5
+            THEN 'loss fell by ' || round_even((1 - loss_last / loss_first) * 100, 0)::INT || '%.' END), ''),
+          'no metrics found') AS summary FROM results""",
+)
+def trace_summary(spark, folder):
+    return runlog.trace(log_lines(spark, folder), tail_lines=None).select("job_id", "summary")
+
+
 # Experiments of three runs; the third run of the last is unknown.
 EXPERIMENTS_SQL = """
 SELECT DISTINCT concat('exp_', lpad(cast((user_id % 20 - user_id % 20 % 3) / 3 AS varchar(10)), 2, '0')) AS experiment,
@@ -217,7 +235,56 @@ ITERATIONS_SQL = f"""{results_sql(None)}, experiments AS ({EXPERIMENTS_SQL}),
 def compare_iterations(spark, folder):
     views(spark, folder, "events")
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    return compare.iterations(spark.sql(EXPERIMENTS_SQL), traced)
+    return compare.iterations(spark.sql(EXPERIMENTS_SQL), traced).drop("nth")
+
+
+@query(
+    "compare_lines",
+    f"""WITH {ITERATIONS_SQL} SELECT experiment, row_number() OVER (PARTITION BY experiment ORDER BY iteration) AS line_no,
+          CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.2f', accuracy) || '%' END AS text FROM its""",
+)
+def compare_lines(spark, folder):
+    """The chain of accuracies of each experiment, a line per run."""
+    views(spark, folder, "events")
+    traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
+    return compare.comparison_lines(compare.iterations(spark.sql(EXPERIMENTS_SQL), traced))
+
+
+# Experiments of 1 to 6 runs with gaps, repeated iterations and unknown runs, one run per order.
+STEPS_SQL = """
+SELECT concat('exp_', o_custkey) AS experiment, cast(floor(o_orderkey / 3) AS bigint) AS iteration,
+  concat('run_', o_orderkey) AS job_id, CASE WHEN o_orderkey % 9 = 0 THEN NULL
+    WHEN o_custkey % 5 = 0 THEN cast(60 + o_orderkey % 3 AS double) * 1.0 ELSE cast(40 + o_orderkey % 53 AS double) END AS accuracy
+FROM orders
+"""
+
+
+@query(
+    "compare_gaps",
+    f"""WITH s AS ({STEPS_SQL}), its AS (SELECT *, row_number() OVER o AS nth, lag(accuracy) OVER o AS p1, lag(accuracy, 2) OVER o AS p2
+        FROM s WINDOW o AS (PARTITION BY experiment ORDER BY iteration, job_id)),
+      g AS (SELECT experiment, count(*) AS n_iterations, count(accuracy) AS n_valid, coalesce(max(accuracy), 0) AS best_accuracy,
+        arg_max(coalesce(accuracy - p1, -9999), nth) AS d1, arg_max(coalesce(p1 - p2, -9999), nth) AS d2,
+        list(accuracy ORDER BY nth) FILTER (accuracy IS NOT NULL) AS a FROM its GROUP BY experiment),
+      r AS (SELECT *, nullif(d1, -9999) AS e1, nullif(d2, -9999) AS e2, a[-1] AS last, a[-2] AS previous FROM g),
+      t AS (SELECT *, CASE WHEN best_accuracy >= 95 THEN 'target_reached'
+          WHEN n_valid >= 3 THEN CASE WHEN (e1 IS NOT NULL OR e2 IS NOT NULL)
+              AND coalesce(abs(e1) < 1, true) AND coalesce(abs(e2) < 1, true) THEN 'converged' END
+          WHEN last < previous - 5 THEN 'degraded' END AS rule FROM r)
+    SELECT experiment, n_iterations, n_valid, best_accuracy, rule IS NOT NULL OR n_iterations >= 5 AS should_stop,
+      coalesce(rule, CASE WHEN n_iterations >= 5 THEN 'max_iterations' WHEN coalesce(e1, 0) > 0 THEN 'improving'
+        ELSE 'keep_trying' END) AS reason,
+      CASE WHEN n_valid >= 2 THEN last - a[1] ELSE 0 END AS total_delta FROM t""",
+)
+def compare_gaps(spark, folder):
+    """Neighbours are the rows before, whatever their iteration numbers."""
+    views(spark, folder, "orders")
+    steps = spark.sql(STEPS_SQL)
+    known = steps.select("job_id", F.col("accuracy").alias("accuracy_last"))
+    empty = {c: F.lit(None).cast("double") for c in ("loss_first", "loss_last", "features_used", "tp", "fp", "fn", "tn")}
+    traced = known.withColumns(empty | {"convergence": F.lit("plateau"), "total_epochs": F.lit(1)})
+    compared = compare.compare(compare.iterations(steps.drop("accuracy"), traced))
+    return compared.select("experiment", "n_iterations", "n_valid", "best_accuracy", "should_stop", "reason", "total_delta")
 
 
 @query(
@@ -228,7 +295,7 @@ def compare_iterations(spark, folder):
       g AS (SELECT experiment, max(iteration) AS n_iterations, count(accuracy) AS n_valid,
           coalesce(max(accuracy), 0) AS best_accuracy,
           arg_max(accuracy_delta, iteration) AS d1_or, arg_min(accuracy, iteration) AS first_accuracy,
-          string_agg(CASE WHEN accuracy IS NULL THEN 'N/A' ELSE printf('%.2f', accuracy) || '%' END, ' -> ' ORDER BY iteration) AS chain
+          count(*) AS n_rows
         FROM its GROUP BY experiment),
       d AS (SELECT its.experiment, accuracy_delta AS d1, previous_delta AS d2 FROM its JOIN g
             ON its.experiment = g.experiment AND its.iteration = g.n_iterations),
@@ -250,7 +317,7 @@ def compare_iterations(spark, folder):
       coalesce(rule, CASE WHEN n_iterations >= 5 THEN 'max_iterations'
         WHEN coalesce(d1, 0) > 0 THEN 'improving' ELSE 'keep_trying' END) AS reason,
       total_delta,
-      n_iterations || ' iterations: ' || chain || ' (total ' || printf('%+.2f', total_delta) || '%p)' AS summary
+      n_iterations || ' iterations: ' || CASE WHEN first_accuracy IS NULL THEN 'N/A -> N/A' ELSE printf('%.2f', first_accuracy) || '% -> ' || printf('%.2f', last) || '%' END || ' (total ' || printf('%+.2f', total_delta) || '%p)' AS summary
     FROM s""",
 )
 def compare_runs(spark, folder):
@@ -303,22 +370,31 @@ CHANGES_SQL = f"""SELECT *, CASE WHEN accuracy <> 0 AND p <> 0 THEN accuracy - p
     "experiment_report",
     f"""WITH c AS ({CHANGES_SQL}), g AS (SELECT task_id, count(*) AS total_iterations,
         arg_max(iteration, coalesce(accuracy, 0) * 1000 - iteration) AS best_iteration,
-        arg_max(coalesce(accuracy, -1), coalesce(accuracy, 0) * 1000 - iteration) AS best,
-        string_agg('| ' || iteration || ' | ' || substr(array_to_string(actions, ', '), 1, 40) || ' | '
-          || CASE WHEN accuracy IS NULL THEN '-' ELSE printf('%.2f', accuracy) || '%' END || ' | '
-          || CASE WHEN change IS NULL THEN '-' ELSE printf('%+.1f', change) || '%p' END || ' |', chr(10) ORDER BY iteration) AS rows
+        arg_max(coalesce(accuracy, -1), coalesce(accuracy, 0) * 1000 - iteration) AS best
       FROM c GROUP BY task_id)
-    SELECT task_id, total_iterations, best_iteration, nullif(best, -1) AS best_accuracy,
-      chr(10) || '## Summary' || chr(10) || '- Total iterations: ' || total_iterations || chr(10)
-      || '- Best accuracy: ' || CASE WHEN best = -1 THEN 'none' ELSE printf('%.2f', best) || '%' END
-      || ' (iteration ' || best_iteration || ')' || chr(10) || chr(10) || '## Iterations' || chr(10) || chr(10)
-      || '| # | Actions | Accuracy | Change |' || chr(10) || '|---|---|---|---|' || chr(10) || rows AS report
+    SELECT task_id, total_iterations, best_iteration, nullif(best, -1) AS best_accuracy
     FROM g""",
 )
 def experiment_report(spark, folder):
     return runs.experiment_report(runs.iteration_reports(transcripts(spark, folder)))
 
 
+@query(
+    "experiment_report_lines",
+    f"""WITH c AS ({CHANGES_SQL}), g AS (SELECT task_id, count(*) AS total_iterations,
+        arg_max(iteration, coalesce(accuracy, 0) * 1000 - iteration) AS best_iteration,
+        arg_max(coalesce(accuracy, -1), coalesce(accuracy, 0) * 1000 - iteration) AS best FROM c GROUP BY task_id)
+    SELECT task_id, 0 AS line_no, total_iterations || ' iterations; best '
+      || CASE WHEN best = -1 THEN 'no accuracy' ELSE printf('%.2f', best) || '%' END || ' in iteration ' || best_iteration AS text FROM g
+    UNION ALL SELECT task_id, row_number() OVER (PARTITION BY task_id ORDER BY iteration), 'iteration ' || iteration || '; '
+      || CASE WHEN accuracy IS NULL THEN 'no accuracy' ELSE printf('%.2f', accuracy) || '%' END
+      || CASE WHEN change IS NULL THEN '' ELSE ' (' || printf('%+.1f', change) || '%p)' END
+      || '; ' || array_to_string(actions, ', ') FROM c""",
+)
+def experiment_report_lines(spark, folder):
+    return runs.experiment_report_lines(runs.iteration_reports(transcripts(spark, folder)))
+
+
 @query(
     "task_list",
     """SELECT 'task_' || o_orderkey AS id,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import urllib.parse
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -33,19 +34,22 @@ MISSING_TEXT = (
 )
 MODES = ("create", "replace", "append")
 
-_INTEGER = r"^\s*[+-]?\d{1,18}\s*$"
+_INTEGER = r"^\s*[+-]?\d+\s*$"
 _DECIMAL = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
 _DECIMAL = "(?i)" + _DECIMAL
 _BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
 
 
 def read_table(
-    spark: SparkSession, path: str, missing_text: Sequence[str] = MISSING_TEXT
+    spark: SparkSession,
+    path: str,
+    missing_text: Sequence[str] = MISSING_TEXT,
+    multi_line: bool = False,
 ) -> DataFrame:
-    """csv, tsv, parquet/pq or json by extension."""
+    """csv, tsv, parquet/pq or json by extension; ``multi_line`` as in ``read_delimited``."""
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext in (".csv", ".tsv"):
-        return read_delimited(spark, path, "\t" if ext == ".tsv" else ",", missing_text)
+        return read_delimited(spark, path, "\t" if ext == ".tsv" else ",", missing_text, multi_line)
     if ext in (".parquet", ".pq"):
         return spark.read.parquet(path)
     if ext == ".json":
@@ -54,15 +58,22 @@ def read_table(
 
 
 def read_delimited(
-    spark: SparkSession, path: str, sep: str = ",", missing_text: Sequence[str] = MISSING_TEXT
+    spark: SparkSession,
+    path: str,
+    sep: str = ",",
+    missing_text: Sequence[str] = MISSING_TEXT,
+    multi_line: bool = False,
 ) -> DataFrame:
     """A delimited file with a header: missing texts become NULL, then types are inferred.
 
+    Quoted fields may hold line ends with ``multi_line``; each file is then read by
+    one task, so it is not the default. Integers of 64 bits stay integers.
+
     Spark's own inference knows one missing text, so a column of numbers with an
     ``NA`` in it would stay text. Types come from one aggregate over the file;
     for repeated use ingest it to Parquet.
     """
-    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=False)
+    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line)
     tokens = list(missing_text)
     clean = raw.select(
         *[F.when(~F.col(quoted(c)).isin(tokens), F.col(quoted(c))).alias(c) for c in raw.columns]
@@ -72,7 +83,7 @@ def read_delimited(
         col = F.col(quoted(c))
         checks += [
             F.count(col).alias(f"n{i}"),
-            F.count_if(col.rlike(_INTEGER)).alias(f"i{i}"),
+            F.count_if(col.rlike(_INTEGER) & F.trim(col).try_cast("bigint").isNotNull()).alias(f"i{i}"),
             F.count_if(col.rlike(_DECIMAL)).alias(f"d{i}"),
             F.count_if(col.rlike(_BOOLEAN)).alias(f"b{i}"),
         ]
@@ -94,14 +105,30 @@ def _typed(name: str, n: int, integers: int, decimals: int, booleans: int) -> Co
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of records, or one record per line; the first character tells which."""
+    """Each file by its own layout: a record per line, or one array or record over many lines.
+
+    A file whose first line is a whole object has a record per line.
+    """
+    line = F.trim("value")
     first = (
         spark.read.text(path)
-        .where(F.trim("value") != "")
-        .select(F.substring(F.ltrim("value"), 1, 1).alias("c"))
-        .first()
+        .where(line != "")
+        .select(
+            F.col("_metadata.file_path").alias("file"),
+            F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("seq")).alias("o"),
+            (line.startswith("[") | F.get_json_object(line, "$").isNull()).alias("whole"),
+        )
+        .groupBy("file")
+        .agg(F.min_by("whole", "o").alias("whole"))
     )
-    return spark.read.json(path, multiLine=first is not None and first.c == "[")
+    # One row per file, as in any listing.
+    files: dict[bool, list[str]] = {False: [], True: []}
+    for row in first.collect():
+        files[row.whole].append(urllib.parse.unquote(row.file))
+    if not files[True] or not files[False]:
+        return spark.read.json(path, multiLine=bool(files[True]))
+    parts = [spark.read.json(paths, multiLine=whole) for whole, paths in files.items()]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True)
 
 
 def ingest(spark: SparkSession, source: str, table: str, mode: str = "create") -> DataFrame:

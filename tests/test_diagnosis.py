@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import diagnose, explain, features
-from plumbline.operators.diagnose import Candidates
+from plumbline.operators.correlate import correlations
 
 
 @pytest.fixture(scope="module")
@@ -111,7 +111,7 @@ def test_class_ratio_limits(spark, counts, action):
     assert [r.action for r in found] == ([action] if action else [])
 
 
-def test_last_imbalanced_column_wins(spark, monkeypatch):
+def test_last_imbalanced_column_wins(spark):
     df = spark.range(100).selectExpr(
         "IF(id < 10, 'a', 'b') AS first", "IF(id < 20, 1, 0) AS second", "id AS many", "true AS flat"
     )
@@ -119,10 +119,33 @@ def test_last_imbalanced_column_wins(spark, monkeypatch):
     assert diagnose.class_imbalance(df, target="first").first().target_column == "first"
     text = df.withColumn("text", F.when(F.col("many") < 3, "twice").otherwise(F.col("many").cast("string")))
     assert diagnose.class_imbalance(text).first().target_column == "text"
-    # The same when the text column counts as one of many values.
-    monkeypatch.setattr(diagnose, "FEW_TEXTS", 20)
-    assert diagnose.category_candidates(text) == Candidates(["first", "second", "flat"], ["text"])
-    assert diagnose.class_imbalance(text).first().target_column == "text"
+    many = df.withColumn("text", F.concat(F.lit("t"), F.col("many")))
+    counted = {r.col_name: r.n_classes for r in diagnose.categorical_columns(many).collect()}
+    assert counted == {"first": 2, "second": 2, "flat": 1, "text": 100}
+
+
+def test_every_column_counts_unless_asked(spark):
+    """60 columns in 30 redundant pairs, the wide range in the last one."""
+    df = spark.range(300).select(
+        *[(F.sin(F.col("id") * (k + 1)) * (10_000 if k == 29 else 1)).alias(f"c{k}_{half}") for k in range(30) for half in "ab"]
+    )
+    found = diagnose.diagnose(df, "c0_a")
+    redundant = found.recommendations.where("action = 'drop_redundant'").first()["columns"]
+    assert set(redundant) >= {f"c{k}_b" for k in range(30)}
+    assert found.recommendations.where("action = 'standardize'").count() == 1
+    assert len(found.unused.first().unused_numeric) == 59
+    short = diagnose.diagnose(df, "c0_a", lengths=diagnose.SHORT)
+    assert len(short.recommendations.where("action = 'drop_redundant'").first()["columns"]) == 5
+    assert len(short.unused.first().unused_numeric) == 15
+
+
+def test_one_infinity_is_no_strong_pair(spark):
+    df = spark.range(200).selectExpr("double(id) AS a", "IF(id = 7, double('infinity'), double(id)) AS b", "IF(id = 7, NULL, double(id % 13)) AS c")
+    wide = df.selectExpr("*", *[f"a % {k} AS d{k}" for k in range(3, 9)])
+    for table in (df, wide):
+        pairs = {(r.col1, r.col2): r.r for r in correlations(table).collect()}
+        assert pairs["a", "b"] is None and pairs["b", "c"] == pytest.approx(pairs["a", "c"], abs=1e-12)
+    assert diagnose.multicollinear_pairs(df).count() == 0
 
 
 def test_categorical_columns(spark):

@@ -118,7 +118,9 @@ def test_comparison_with_gaps_and_ties(spark):
     assert [steps[i].accuracy_delta for i in (1, 2, 3, 4)] == [None, None, None, 0]
     r = compare.compare(table).first()
     assert (r.best_iteration, r.best_accuracy, r.n_valid, r.total_delta) == (3, 80, 3, 10)
-    assert r.summary == "4 iterations: 70.00% -> N/A -> 80.00% -> 80.00% (total +10.00%p)"
+    assert r.summary == "4 iterations: 70.00% -> 80.00% (total +10.00%p)"
+    lines = compare.comparison_lines(table).orderBy("line_no").collect()
+    assert [x.text for x in lines] == ["70.00%", "N/A", "80.00%", "80.00%"]
     nothing = compare.compare(compared(spark, None, None)).first()
     assert (nothing.best_iteration, nothing.best_accuracy, nothing.total_delta) == (0, 0, 0)
 
@@ -135,11 +137,24 @@ def test_unknown_runs(spark):
         compare.experiment(spark, "a")
 
 
-def test_long_chain_keeps_its_table(spark, monkeypatch):
-    monkeypatch.setattr(compare, "CHAIN_RUNS", 2)
-    table = compared(spark, 1, 2, 3)
-    assert compare.compare(table).first().summary is None
-    assert table.count() == 3
+def test_missing_and_repeated_iterations(spark):
+    reports = spark.createDataFrame(
+        [("t", 0, 50.0, "a"), ("t", 2, 60.0, "b"), ("t", 2, 65.0, "c"), ("t", 7, 64.0, "d")],
+        "task_id string, iteration int, accuracy double, job_id string",
+    )
+    rows = runs.iteration_changes(reports).orderBy("nth").collect()
+    assert [(r.nth, r.iteration, r.job_id, r.change) for r in rows] == [
+        (1, 0, "a", None), (2, 2, "b", 10), (3, 2, "c", 5), (4, 7, "d", -1)
+    ]
+    assert runs.experiment_report(reports).first().total_iterations == 4
+
+
+def test_a_thousand_and_more_iterations(spark):
+    steps = spark.range(1500).selectExpr("'e' AS experiment", "id AS iteration", "concat('j', id) AS job_id", "double(id % 90) AS accuracy")
+    places = {r.iteration: (r.nth, r.accuracy_1) for r in compare.lagged(steps, 1).collect()}
+    assert places == {i: (i + 1, (i - 1) % 90 if i else None) for i in range(1500)}
+    reports = steps.withColumnsRenamed({"experiment": "task_id"}).selectExpr("*", "array('a') AS actions")
+    assert runs.experiment_report_lines(reports).count() == 1501
 
 
 def test_iteration_reports(spark):
@@ -163,15 +178,16 @@ def test_experiment_report(spark):
     reports = spark.createDataFrame(
         [("t", 0, 46.32, ["baseline"]), ("t", 1, 84.87, ["a", "b"]), ("t", 2, None, []), ("t", 3, 84.87, ["c"]), ("u", 0, None, [])],
         "task_id string, iteration int, accuracy double, actions array<string>",
-    )
+    ).withColumn("job_id", F.lit("j"))
     tasks = spark.createDataFrame([("t", "classify wear", "data/mill.csv")], "id string, task string, dataset string")
-    got = {r.task_id: r for r in runs.experiment_report(reports, tasks).collect()}
+    got = {r.task_id: r for r in runs.experiment_report(reports).collect()}
     assert (got["t"].best_iteration, got["t"].best_accuracy, got["t"].total_iterations) == (1, 84.87, 4)
-    report = got["t"].report
-    assert report.startswith("# Experiment report: mill.csv\n\n## Task\nclassify wear\n")
-    assert "| 1 | a, b | 84.87% | +38.5%p |" in report or "| 1 | a, b | 84.87% | +38.6%p |" in report
-    assert "| 3 | c | 84.87% | - |" in report
-    assert "Best accuracy: none (iteration 0)" in got["u"].report
+    lines = {(r.task_id, r.line_no): r.text for r in runs.experiment_report_lines(reports, tasks).collect()}
+    assert lines["t", 0] == "mill.csv: classify wear; 4 iterations; best 84.87% in iteration 1"
+    assert lines["t", 1] == "iteration 0; 46.32%; baseline"
+    assert lines["t", 2].startswith("iteration 1; 84.87% (+38.") and lines["t", 2].endswith("%p); a, b")
+    assert lines["t", 4] == "iteration 3; 84.87%; c"
+    assert lines["u", 0] == "1 iterations; best no accuracy in iteration 0"
 
 
 def test_run_and_task_lists(spark):

@@ -126,12 +126,12 @@ def test_records(spark, tmp_path):
 def test_head_projection_and_pages(spark):
     df = spark.range(30_000).selectExpr("id", "-id AS down")
     assert profile.head(df, 99, "down").collect()[0].id == 29_999
-    assert profile.head(df, 99).count() == 20 and profile.head(df).count() == 5
+    assert profile.head(df, 99).count() == 99 and profile.head(df).count() == 5
     assert project(df, " down, nope ,id").columns == ["down", "id"]
     result = sqlpage.query(spark, "SELECT * FROM numbers WHERE id >= 100", {"numbers": df})
     assert sqlpage.page(result).count() == 100
-    assert sqlpage.page(result, 10**6).count() == 10_000
-    assert sqlpage.total_rows(result) == 29_900
+    assert sqlpage.page(result, 20_000).count() == 20_000
+    assert sqlpage.total_rows(result).first().total_rows == 29_900
     assert profile.schema_table(df).collect()[1].col_name == "down"
 
 
