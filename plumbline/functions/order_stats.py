@@ -162,9 +162,11 @@ def _narrow(cells, open_ranks, found):
         "range_id int, key string, rank bigint, offset bigint",
     )
     x, lo, hi = F.col("x"), F.col("lo"), F.col("hi")
-    # Halving keeps a span of extreme doubles finite; integers subtract exactly.
+    # Halving keeps a span of extreme doubles finite; integers subtract exactly, as
+    # decimals, since two of 64 bits can lie further apart than a third can hold.
+    wide = [c.cast("decimal(20,0)") for c in (x, lo, hi)]
     share = (
-        F.try_divide(x - lo, hi - lo)
+        F.try_divide((wide[0] - wide[1]).cast("double"), (wide[2] - wide[1]).cast("double"))
         if integral
         else F.try_divide(x / 2 - lo / 2, hi / 2 - lo / 2)
     )

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.columns import half_even, number_text
+from ..functions.numbering import numbered
 from ..session import cut_lineage
 
 # Decision limits.
@@ -35,39 +36,13 @@ def experiment(spark: SparkSession, job_ids: str | Sequence[str], name: str = "e
     )
 
 
-def numbered(rows: DataFrame) -> DataFrame:
-    """The rows with their place ``nth`` (from 1) in their experiment, by iteration, then run id.
-
-    Rows are range-partitioned, so an experiment is spread over parts; a row's
-    place is its number within the part plus the rows of the parts before. The
-    parts are stored, because the counts and the rows must see the same ones.
-    """
-    order = ["iteration", "job_id"]
-    parts = cut_lineage(
-        rows.repartitionByRange("experiment", *order).withColumn("part", F.spark_partition_id())
-    )
-    before = W.partitionBy("experiment").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        parts.groupBy("experiment", "part")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("experiment", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
-    within = F.row_number().over(W.partitionBy("experiment", "part").orderBy(*order))
-    return (
-        parts.withColumn("within", within)
-        .join(starts, ["experiment", "part"])
-        .withColumn("nth", F.col("start") + F.col("within"))
-        .drop("part", "within", "start")
-    )
-
-
 def lagged(rows: DataFrame, depth: int) -> DataFrame:
     """The rows with ``nth`` and the accuracies of the ``depth`` rows before each.
 
     Missing iterations leave no gap and repeated ones are rows of their own. The
     join key (experiment, nth) is unique, so a huge experiment is spread out.
     """
-    table = cut_lineage(numbered(rows))
+    table = cut_lineage(numbered(rows, "experiment", ["iteration", "job_id"]))
     out = table
     for step in range(1, depth + 1):
         earlier = table.select(

@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from ..functions.columns import INTEGRAL, as_double, clock_seconds, numeric_columns, present, quoted
-from ..functions.order_stats import GroupedCells, order_statistics
+from ..functions.columns import as_double, numeric_columns, present, quoted
+from ..functions.numbering import numbered
+from ..session import cut_lineage
 from .diagnose import ROLLING_WINDOWS
 from .distribution import cardinality
 from .profile import column_facts
@@ -122,45 +123,23 @@ def oversample(df: DataFrame, target: str, key: str) -> DataFrame:
     """Repeat rows until every class is as large as the largest one.
 
     Each row of a class of n gets ``max div n`` copies; the ``max mod n`` rows
-    with the smallest ``key`` (numeric, unique) get one more. Which rows those
-    are is found as one exact order statistic per class, so no class is ranked
-    or gathered anywhere.
+    with the smallest ``key`` (unique) get one more. Rows are numbered in ranges
+    of (class, key), so no class is ranked in one task, and the plan of the
+    classes is joined, broadcast only if they are few. Rows without a class stay.
     """
-    sizes = {
-        r["class"]: r["n"]
-        for r in df.where(F.col(quoted(target)).isNotNull())
-        .groupBy(F.col(quoted(target)).cast("string").alias("class"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .limit(MAX_CLASSES + 1)
-        .collect()
-    }
-    if len(sizes) > MAX_CLASSES:
-        raise ValueError(f"{target} has over {MAX_CLASSES} values; not a class column")
-    if not sizes:
-        return df
-    largest = max(sizes.values())
-    integral = isinstance(df.schema[key].dataType, INTEGRAL)
-    kind = "bigint" if integral else "double"
-    cells = df.select(
-        F.col(quoted(target)).cast("string").alias("col_name"), F.col(quoted(key)).cast(kind).alias("x")
-    )
-    extra = {c: largest % n for c, n in sizes.items() if largest % n}
-    cut = order_statistics(GroupedCells(cells), {c: [m - 1] for c, m in extra.items()}) if extra else {}
-    plan = df.sparkSession.createDataFrame(
-        [(c, largest // n, cut.get((c, extra.get(c, 0) - 1))) for c, n in sizes.items()],
-        T.StructType(
-            [
-                T.StructField("_class_text", T.StringType()),
-                T.StructField("_copies", T.LongType()),
-                T.StructField("_upto", T.LongType() if integral else T.DoubleType()),
-            ]
-        ),
+    label = present(df, target)
+    classes = df.where(label.isNotNull()).select(F.col(quoted(target)).alias("_class"), F.col(quoted(key)).alias("_key"))
+    sizes = cut_lineage(classes.groupBy("_class").agg(F.count(F.lit(1)).alias("_n")))
+    k, largest = sizes.agg(F.count(F.lit(1)), F.max("_n")).first()
+    last = F.lit(largest) % F.col("_n")
+    places = numbered(classes, "_class", ["_key"], "_nth")
+    cut = places.join(sizes, "_class").where(F.col("_nth") == last).select("_class", F.col("_key").alias("_upto"))
+    plan = cut_lineage(
+        sizes.join(cut, "_class", "left").select("_class", F.floor(F.lit(largest) / F.col("_n")).alias("_copies"), "_upto")
     )
+    planned = df.join(F.broadcast(plan) if k <= MAX_CLASSES else plan, F.col(quoted(target)) == F.col("_class"), "left")
     more = F.when(F.col(quoted(key)) <= F.col("_upto"), 1).otherwise(0)
     copies = F.coalesce(F.col("_copies") + more, F.lit(1))
-    planned = df.join(
-        F.broadcast(plan), F.col(quoted(target)).cast("string") == F.col("_class_text"), "left"
-    )
     return planned.select(
         *[F.col(quoted(c)) for c in df.columns],
         F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy_no"),
@@ -180,16 +159,12 @@ def rolling_stats(
 
     Adds ``<column>_mean_<w>`` and ``<column>_std_<w>``. ``order_by`` must order
     the rows of a key without ties. A key of more than ``hot_rows`` rows would be
-    sorted in one task, so its rows are numbered exactly in slices of the first
-    order column (a number, date or time), then windowed in blocks of ``block``
-    rows, each block carrying the rows just before it.
+    sorted in one task, so its rows are numbered in ranges of the order columns,
+    then windowed in blocks of ``block`` rows, each block carrying the rows just
+    before it.
     """
-    sizes = df.groupBy(F.col(quoted(partition_by)).alias("_roll_key")).agg(
-        F.count(F.lit(1)).alias("_roll_n"),
-        F.min(clock_seconds(df, order_by[0])).alias("_roll_lo"),
-        F.max(clock_seconds(df, order_by[0])).alias("_roll_hi"),
-    )
-    hot = sizes.where(F.col("_roll_n") > hot_rows)
+    sizes = df.groupBy(F.col(quoted(partition_by)).alias("_roll_key")).agg(F.count(F.lit(1)).alias("_roll_n"))
+    hot = cut_lineage(sizes.where(F.col("_roll_n") > hot_rows).select("_roll_key"))
     n_hot = hot.count()
     plain = W.partitionBy(quoted(partition_by)).orderBy(*order_by)
     if n_hot == 0:
@@ -199,7 +174,7 @@ def rolling_stats(
     same = F.col(quoted(partition_by)).eqNullSafe(F.col("_roll_key"))
     cold = df.join(hot, same, "left_anti")
     slow = cold.withColumns(_rolling(df, columns, windows, plain))
-    fast = _rolling_in_blocks(df, df.join(hot, same), columns, partition_by, order_by, windows, block)
+    fast = _rolling_in_blocks(df, df.join(hot, same), columns, order_by, windows, block)
     return slow.unionByName(fast.select(*slow.columns))
 
 
@@ -215,34 +190,15 @@ def _rolling(df: DataFrame, columns, windows, spec) -> dict[str, Column]:
     return added
 
 
-def _rolling_in_blocks(df, rows, columns, partition_by, order_by, windows, block):
+def _rolling_in_blocks(df, rows, columns, order_by, windows, block):
     halo = max(windows) - 1
     block = max(block, halo + 1)
-    at = F.coalesce(
-        F.try_divide(
-            clock_seconds(df, order_by[0]) - F.col("_roll_lo"), F.col("_roll_hi") - F.col("_roll_lo")
-        ),
-        F.lit(0.0),
-    )
-    slices = F.ceil(F.col("_roll_n") * 4.0 / block)
-    sliced = rows.withColumn("_roll_slice", F.floor(at * slices)).drop("_roll_lo", "_roll_hi", "_roll_n")
-    key = ["_roll_key", "_roll_slice"]
-    before = W.partitionBy("_roll_key").orderBy("_roll_slice").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        sliced.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_roll_size"))
-        .select(*key, F.coalesce(F.sum("_roll_size").over(before), F.lit(0)).alias("_roll_start"))
-    )
-    starts = starts.select(F.col("_roll_key").alias("_start_key"), F.col("_roll_slice").alias("_start_slice"), "_roll_start")
-    same = F.col("_roll_key").eqNullSafe(F.col("_start_key")) & F.col("_roll_slice").eqNullSafe(F.col("_start_slice"))
-    place = F.row_number().over(W.partitionBy(*key).orderBy(*order_by)) - 1
-    numbered = sliced.withColumn("_roll_place", place).join(starts, same).withColumn(
-        "_roll_place", F.col("_roll_place") + F.col("_roll_start")
-    )
+    placed = numbered(rows, "_roll_key", order_by, "_roll_place")
+    placed = placed.withColumn("_roll_place", F.col("_roll_place") - 1)
     own = F.floor(F.col("_roll_place") / block)
     near_end = F.col("_roll_place") % block >= block - halo
     targets = F.when(near_end, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.select("*", F.explode(targets).alias("_roll_block"))
+    spread = placed.select("*", F.explode(targets).alias("_roll_block"))
     spec = W.partitionBy("_roll_key", "_roll_block").orderBy("_roll_place")
     return spread.withColumns(_rolling(df, columns, windows, spec)).where(F.col("_roll_block") == own)
 
@@ -257,10 +213,22 @@ def fit_one_hot(df: DataFrame, column: str, max_values: int = 100) -> list:
         .collect()
     )
     if len(values) > max_values:
-        raise ValueError(f"{column} has over {max_values} values")
+        raise ValueError(f"{column} has over {max_values} values; one_hot_index numbers any number of them")
     return sorted(r.v for r in values)
 
 
+def one_hot_index(df: DataFrame, column: str) -> DataFrame:
+    """The sparse form for any number of values: ``<column>_index`` is the place of the row's 1, from 0.
+
+    Values are numbered in order; a missing value has no place.
+    """
+    values = df.where(present(df, column).isNotNull()).select(F.col(quoted(column)).alias("_value")).distinct()
+    places = numbered(values.withColumn("_all", F.lit(0)), "_all", ["_value"], "_place")
+    places = places.select("_value", (F.col("_place") - 1).alias(f"{column}_index"))
+    joined = df.join(places, F.col(quoted(column)) == F.col("_value"), "left")
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], quoted(f"{column}_index"))
+
+
 def one_hot(df: DataFrame, column: str, values: Sequence | None = None, max_values: int = 100) -> DataFrame:
     """Replace ``column`` by one 0/1 column per value, ``<column>_<value>``."""
     values = values if values is not None else fit_one_hot(df, column, max_values)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window as W, functions as F
 
 from ..functions.columns import project
-from ..operators import sqlpage, versions
+from ..operators import features, sqlpage, versions
 from ..session import work_path
 from ..sources import files, records, tables
 from .registry import query, table, views
@@ -516,3 +516,47 @@ VERSIONS_SQL = """SELECT concat('v', c_custkey) AS name,
 def lineage(spark, folder):
     views(spark, folder, "customer")
     return versions.lineage(spark.sql(VERSIONS_SQL))
+
+
+LISTING_SQL = "SELECT concat(source, '.txt') AS name, sum(length(text) - length(replace(text, 'e', '')))::BIGINT AS size FROM documents WHERE {0} GROUP BY source"
+
+
+def written_version(spark, root: str, version: str, rows) -> None:
+    """A file per source, of as many bytes as its texts have letters e."""
+    letters = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
+    sizes = rows.groupBy("source").agg(F.sum(letters).alias("n"))
+    body = sizes.select("source", F.repeat(F.lit("e"), F.greatest(F.col("n") - 1, F.lit(0)).cast("int")).alias("value"))
+    body.repartition("source").write.partitionBy("source").text(f"{root}/{version}")
+
+
+@query(
+    "version_diff_listing",
+    f"""SELECT name, CASE WHEN t.size IS NULL THEN 'only_in_source' WHEN s.size IS NULL THEN 'only_in_target'
+          WHEN s.size <> t.size THEN 'changed' ELSE 'unchanged' END AS state, s.size AS source_size, t.size AS target_size
+        FROM ({LISTING_SQL.format("source <> 'src1'")}) s FULL JOIN ({LISTING_SQL.format("source <> 'src2' AND (source <> 'src3' OR doc_id % 2 = 0)")}) t USING (name)""",
+)
+def version_diff_listing(spark, folder):
+    """Two versions written as folders, compared by their listings."""
+    root, documents = work_path(spark, "versions"), table(spark, folder, "documents")
+    written_version(spark, root, "raw", documents.where("source <> 'src1'"))
+    written_version(spark, root, "clean", documents.where("source <> 'src2' AND (source <> 'src3' OR doc_id % 2 = 0)"))
+    listed = files.list_files(spark, root, "*.txt").withColumn(
+        "name", F.concat(F.regexp_extract("name", "source=([^/]+)/", 1), F.lit(".txt"))
+    )
+    raw, clean = (listed.where(F.col("version") == v).select("name", "size") for v in ("raw", "clean"))
+    return versions.diff_files(raw, clean)
+
+
+@query(
+    "oversample_hashed_keys",
+    """WITH n AS (SELECT o_orderpriority AS c, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT max(n) AS most FROM n),
+         r AS (SELECT o_orderkey, o_orderpriority,
+             row_number() OVER (PARTITION BY o_orderpriority ORDER BY (o_orderkey % 2 * 2 - 1) * (9000000000000000000 + o_orderkey)) AS k FROM orders)
+       SELECT o_orderkey, most // n + CASE WHEN k <= most % n THEN 1 ELSE 0 END AS copies
+       FROM r JOIN n ON c = o_orderpriority, m""",
+)
+def oversample_hashed_keys(spark, folder):
+    """Keys spread over the whole range of 64 bits."""
+    key = ((F.col("o_orderkey") % 2 * 2 - 1) * (F.lit(9000000000000000000) + F.col("o_orderkey"))).alias("key")
+    rows = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", key)
+    return features.oversample(rows, "o_orderpriority", "key").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))

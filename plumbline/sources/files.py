@@ -1,12 +1,14 @@
 """Listings of version folders and summaries of text files.
 
-Listings are Spark's own: files of zero bytes, and names that start with ``_`` or
-``.``, are left out by every Spark file source.
+Spark's file sources leave out files of zero bytes and names that start with
+``_``, so listings ask the file system; only names that start with ``.`` are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import fnmatch
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 # Extensions of binary files, preview length, size limit.
 BINARY_EXTENSIONS = (
@@ -21,43 +23,63 @@ TRUNCATED_ABOVE = 1_000_000
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """``(version, name, size, modified)`` of the files in the folders below ``root``.
 
-    The first folder below ``root`` is the version; contents are not read.
+    The first folder below ``root`` is the version; ``pattern`` is for the file's
+    own name (``*.csv``). Contents are not read. The driver lists, as for any read.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    below = F.element_at(
-        F.split("path", F.concat(F.lit(r"\Q"), F.lit(root.rstrip("/")), F.lit(r"\E/"))), -1
-    )
-    files = reader.load(root).select(below.alias("rel"), "length", "modificationTime")
-    return files.select(
-        F.split("rel", "/")[0].alias("version"),
-        F.regexp_replace("rel", "^[^/]+/", "").alias("name"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"),
+    below = [(path.split("/", 1)[0], path.split("/", 1)[-1], size, at) for _, path, size, at in _walk(spark, root, pattern)]
+    listed = spark.createDataFrame(below, "version string, name string, size bigint, at bigint")
+    return listed.select("version", "name", "size", F.timestamp_millis("at").alias("modified"))
+
+
+def _walk(spark: SparkSession, root: str, pattern: str | None) -> list[tuple[str, str, int, int]]:
+    """(path, path below root, size, time in ms) of each file below ``root``."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = system.makeQualified(folder).toString().rstrip("/") + "/"
+    found, files = [], system.listFiles(folder, True)
+    while files.hasNext():
+        status = files.next()
+        path = status.getPath().toString()
+        below = path.removeprefix(start)
+        name = below.rsplit("/", 1)[-1]
+        hidden = any(part.startswith(".") for part in below.split("/"))
+        if not hidden and (pattern is None or fnmatch.fnmatchcase(name, pattern)):
+            found.append((path, below, status.getLen(), status.getModificationTime()))
+    return found
+
+
+def csv_row_counts(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
+    """``(path, rows)`` per CSV file below ``root``: records, the header line excluded.
+
+    A file with a header alone, or empty, has 0 rows. Spark doesn't read files whose name starts
+    with ``_``; theirs are NULL unless they are empty. Fields with line ends need ``multi_line``.
+    """
+    listed = spark.createDataFrame(
+        [(f[0], f[2] > 0 and f[1].rsplit("/", 1)[-1].startswith("_")) for f in _walk(spark, root, "*.csv")],
+        "path string, unread boolean",
     )
-
-
-def csv_row_counts(spark: SparkSession, root: str) -> DataFrame:
-    """``(path, rows)`` per CSV file below ``root``: records, the header line excluded."""
     rows = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")
         .schema("first_field string")
-        .csv(root, header=True, enforceSchema=True)
+        .csv(root, header=True, enforceSchema=True, multiLine=multi_line)
     )
-    return rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.count(F.lit(1)).alias("rows")
+    counted = rows.groupBy(F.url_decode(F.col("_metadata.file_path")).alias("read")).agg(F.count(F.lit(1)).alias("rows"))
+    plain = [F.regexp_replace(F.url_decode(c), "^([A-Za-z][A-Za-z0-9+.-]*):/+", "$1:/") for c in ("path", "read")]
+    return listed.join(counted, plain[0] == plain[1], "left").select(
+        "path", F.when(~F.col("unread"), F.coalesce("rows", F.lit(0))).alias("rows")
     )
 
 
-def _lines_in_place(spark: SparkSession, path: str) -> DataFrame:
+def _lines_in_place(spark: SparkSession, path: str, wanted: Column | None = None) -> DataFrame:
     """Lines with their place: the split of the file, and an order within the split.
 
     Files are read in splits, and within a split the reading order is the file
     order, which the growing row id keeps.
     """
-    return spark.read.option("recursiveFileLookup", "true").text(path).select(
+    files = spark.read.option("recursiveFileLookup", "true").text(path)
+    # A condition on the file's name keeps the scan from opening the others.
+    return (files if wanted is None else files.where(wanted)).select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("split_at"),
         F.monotonically_increasing_id().alias("seq"),
@@ -105,7 +127,8 @@ def text_summary(spark: SparkSession, path: str) -> DataFrame:
         extension.isin(*BINARY_EXTENSIONS).alias("is_binary"),
         (F.col("size") > TRUNCATED_ABOVE).alias("truncated"),
     )
-    lines = _lines_in_place(spark, path)
+    binary = F.lower(F.regexp_extract(F.col("_metadata.file_path"), r"\.([^./]+)$", 1)).isin(*BINARY_EXTENSIONS)
+    lines = _lines_in_place(spark, path, ~binary)
     first = W.partitionBy("path").orderBy("split_at", "seq")
     preview = (
         lines.withColumn("line_no", F.row_number().over(first))

@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import clock_seconds
 from ..operators import runlog
-from ..session import work_path
+from ..session import remove, work_path
 
 
 def live_metrics(lines: DataFrame) -> DataFrame:
@@ -53,8 +53,12 @@ class RunBoard:
     def _at(self, *parts: str) -> str:
         return os.path.join(self.folder, *parts)
 
-    def start_metrics(self, lines: DataFrame) -> StreamingQuery:
-        """Stream the aggregates of changed runs to the board (update mode)."""
+    def start_metrics(self, lines: DataFrame, **trigger) -> StreamingQuery:
+        """Stream the aggregates of changed runs to the board (update mode).
+
+        ``trigger`` is as for ``DataStreamWriter.trigger``: ``processingTime="10 seconds"``
+        keeps the stream running; the default takes what is there and ends.
+        """
         def store(batch: DataFrame, batch_id: int) -> None:
             batch.write.mode("overwrite").parquet(self._at("metrics", f"batch={batch_id}"))
 
@@ -62,7 +66,7 @@ class RunBoard:
             live_metrics(lines)
             .writeStream.outputMode("update")
             .option("checkpointLocation", self._at("checkpoint-metrics"))
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .foreachBatch(store)
             .start()
         )
@@ -76,8 +80,11 @@ class RunBoard:
         newest = stored.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("m"))
         return newest.select("job_id", "m.*")
 
-    def start_recent(self, lines: DataFrame) -> StreamingQuery:
-        """Keep the last three accuracy lines of each run, from which convergence follows."""
+    def start_recent(self, lines: DataFrame, **trigger) -> StreamingQuery:
+        """Keep the last three accuracy lines of each run, from which convergence follows.
+
+        A batch can only be replayed from the state before it, so older states are deleted.
+        """
 
         def merge(batch: DataFrame, batch_id: int) -> None:
             new = runlog.recent_accuracies(runlog.extract_metrics(batch))
@@ -87,10 +94,12 @@ class RunBoard:
                 new = new.unionByName(old.select("job_id", "line_no", "accuracy"))
             kept = runlog.recent_accuracies(new)
             kept.write.mode("overwrite").parquet(self._at("recent", f"batch={batch_id}"))
+            if batch_id > 1:
+                remove(self.spark, self._at("recent", f"batch={batch_id - 2}"))
 
         return (
             lines.writeStream.option("checkpointLocation", self._at("checkpoint-recent"))
-            .trigger(availableNow=True)
+            .trigger(**(trigger or {"availableNow": True}))
             .foreachBatch(merge)
             .start()
         )

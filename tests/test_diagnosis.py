@@ -229,3 +229,28 @@ def test_apply_all_recommendations(sensors):
 def test_drop_id_columns(sensors):
     assert "step" not in features.drop_id_columns(sensors).columns
     assert features.drop_id_columns(sensors, ["experiment_id"]).columns[0] == "step"
+
+
+def test_a_bursty_key_is_cut_into_even_blocks(spark):
+    """All rows but one lie close together, the last one far off; text orders work as well."""
+    rows = spark.range(1001).selectExpr("1 AS k", "IF(id = 1000, 1000000000L, id) AS t", "lpad(id, 5, '0') AS s", "double(id % 7) AS x")
+    for order in (["t"], ["s"]):
+        plain = {r.s: r.x_mean_5 for r in features.rolling_stats(rows, ["x"], "k", order, [5]).collect()}
+        cut = features.rolling_stats(rows, ["x"], "k", order, [5], hot_rows=100, block=20)
+        assert {r.s: r.x_mean_5 for r in cut.collect()} == pytest.approx(plain)
+
+
+def test_missing_classes_and_column_order(spark):
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, 2.0, "b"), (3, float("nan"), "c"), (4, None, "d"), (5, 1.0, "e")], "k int, y double, z string")
+    assert features.class_weights(df, "y").count() == 2
+    assert features.add_class_weight(df, "y").columns == ["k", "y", "z", "class_weight"]
+    copies = {r.k: r["count"] for r in features.oversample(df, "y", "k").groupBy("k").count().collect()}
+    assert copies == {1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
+    index = {r.z: r.z_index for r in features.one_hot_index(df, "z").collect()}
+    assert index == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4}
+
+
+def test_oversampling_of_keys_from_end_to_end(spark):
+    df = spark.range(300).selectExpr("IF(id < 100, 'a', 'b') AS y", "IF(id % 2 = 0, 9223372036854775807L - id, -9223372036854775808L + id) AS k")
+    found = features.oversample(df, "y", "k")
+    assert {r.y: r["count"] for r in found.groupBy("y").count().collect()} == {"a": 200, "b": 200}

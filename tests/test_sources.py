@@ -74,7 +74,12 @@ def test_listing_and_row_counts(spark, tmp_path):
     put(tmp_path / "v1" / ".hidden", "x")
     put(tmp_path / "v2" / "empty.csv", "h\n")
     listed = {(r.version, r.name): r.size for r in files.list_files(spark, str(tmp_path)).collect()}
-    assert listed == {("v1", "a.csv"): 22, ("v1", "sub/b.txt"): 5, ("v2", "empty.csv"): 2}
+    put(tmp_path / "v2" / "_marked.csv", "")
+    put(tmp_path / "v3" / "nothing.bin", "")
+    listed = {(r.version, r.name): r.size for r in files.list_files(spark, str(tmp_path)).collect()}
+    assert listed == {
+        ("v1", "a.csv"): 22, ("v1", "sub/b.txt"): 5, ("v2", "empty.csv"): 2, ("v2", "_marked.csv"): 0, ("v3", "nothing.bin"): 0
+    }
     assert files.list_files(spark, str(tmp_path), "*.txt").first().name == "sub/b.txt"
 
 
@@ -200,3 +205,34 @@ def test_fork(spark):
 
 def test_shared_folder_is_the_configured_one(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_row_counts_of_every_csv(spark, tmp_path):
+    put(tmp_path / "v 1" / "two rows.csv", "h\n1\n2\n")
+    put(tmp_path / "v 1" / "header.csv", "h\n")
+    put(tmp_path / "v 1" / "empty.csv", "")
+    put(tmp_path / "v 1" / "_left.csv", "h\n1\n")
+    got = {os.path.basename(r.path): r.rows for r in files.csv_row_counts(spark, str(tmp_path)).collect()}
+    assert got == {"two rows.csv": 2, "header.csv": 0, "empty.csv": 0, "_left.csv": None}
+
+
+def test_json_layout_is_each_files_own(spark, tmp_path):
+    put(tmp_path / "m" / "array.json", "[" + ",\n".join('{"a": %d}' % i for i in range(50)) + "]")
+    put(tmp_path / "m" / "lines.json", '{"a": 1}\n{"a": 2, "b": "x"}\n{"a": 3}\n')
+    put(tmp_path / "m" / "pretty.json", '{\n  "a": 9\n}\n')
+    assert tables.read_json(spark, str(tmp_path / "m")).count() == 54
+    assert tables.read_json(spark, str(tmp_path / "m" / "pretty.json")).first().a == 9
+
+
+def test_ids_of_nineteen_digits_and_quoted_line_ends(spark, tmp_path):
+    text = 'id,t\n1234567890123456789,"a\nb"\n1234567890123456788,c\n'
+    df = tables.read_delimited(spark, put(tmp_path / "i.csv", text), multi_line=True)
+    assert [(r.id, r.t) for r in df.collect()] == [(1234567890123456789, "a\nb"), (1234567890123456788, "c")]
+    big = tables.read_delimited(spark, put(tmp_path / "j.csv", "id\n12345678901234567890\n"))
+    assert big.dtypes == [("id", "double")]
+
+
+def test_lineage_by_name_past_a_hundred_levels(spark):
+    index = spark.createDataFrame([(f"v{i}", f"v{i - 1}") for i in range(1, 151)] + [("v0", None)], "name string, source string")
+    row = versions.lineage(index, "v150").first()
+    assert row.depth == 151 and row.path.startswith("v0 -> v1 -> ")
