@@ -14,20 +14,36 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import log_patterns as P
 from ..functions.columns import half_even
+from ..functions.numbering import numbered
 
 # Tail length and decision limits.
 TRACE_TAIL = 100
 LOG_TAIL = 50
 RECENT = 3
+# Spark limits a rank before the shuffle up to this length (its default).
+GROUP_LIMIT = 1000
 PLATEAU_RANGE = 1.0
 FINISHED = ("completed", "failed")
 
 
 def tail(lines: DataFrame, n: int = LOG_TAIL) -> DataFrame:
-    """The last ``n`` lines of each run."""
-    newest = W.partitionBy("job_id").orderBy(F.desc("line_no"))
-    ranked = lines.withColumn("from_end", F.row_number().over(newest))
-    return ranked.where(F.col("from_end") <= n).drop("from_end")
+    """The last ``n`` lines of each run.
+
+    A short tail is cut in each task before the shuffle. Spark does so up to a
+    fixed length; for a longer one, line numbers alone are numbered in ranges and
+    each run's lines are kept from the number where its tail begins.
+    """
+    if n < GROUP_LIMIT:
+        newest = W.partitionBy("job_id").orderBy(F.desc("line_no"))
+        ranked = lines.withColumn("from_end", F.row_number().over(newest))
+        return ranked.where(F.col("from_end") <= n).drop("from_end")
+    places = numbered(lines.select("job_id", "line_no"), "job_id", ["line_no"])
+    sizes = places.groupBy("job_id").agg(F.max("nth").alias("n_lines"))
+    begin = F.greatest(F.col("n_lines") - n + 1, F.lit(1))
+    cuts = places.join(sizes, "job_id").where(F.col("nth") == begin)
+    cuts = cuts.select("job_id", F.col("line_no").alias("from_line"))
+    kept = lines.join(cuts, "job_id").where(F.col("line_no") >= F.col("from_line"))
+    return kept.select(*lines.columns)
 
 
 def finished_lines(

@@ -560,3 +560,37 @@ def oversample_hashed_keys(spark, folder):
     key = ((F.col("o_orderkey") % 2 * 2 - 1) * (F.lit(9000000000000000000) + F.col("o_orderkey"))).alias("key")
     rows = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", key)
     return features.oversample(rows, "o_orderpriority", "key").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(
+    "read_task_records",
+    """SELECT 'task_' || l_orderkey AS id, count(*)::INTEGER AS n_iterations, max(l_quantity) AS best
+       FROM lineitem GROUP BY l_orderkey""",
+)
+def read_task_records(spark, folder):
+    """Task documents with their nested iterations, read with the fixed schema."""
+    lines = table(spark, folder, "lineitem")
+    step = F.struct(F.col("l_linenumber").alias("iteration"), F.col("l_quantity").alias("accuracy"), F.lit(1).alias("extra"))
+    documents = lines.groupBy(F.concat(F.lit("task_"), "l_orderkey").alias("id")).agg(F.collect_list(step).alias("iterations"))
+    read = records.read_tasks(spark, exported(spark, documents, "tasks", "json"), one_per_line=True)
+    steps = F.transform("iterations", lambda s: s["accuracy"])
+    return read.select("id", F.size("iterations").alias("n_iterations"), F.array_max(steps).alias("best"))
+
+
+@query(
+    "read_version_index",
+    """SELECT source AS name, 'crawl ' || count(*) AS description, CASE WHEN source = 'src1' THEN NULL ELSE 'src1' END AS source,
+         source = 'src2' AS protected FROM documents GROUP BY source""",
+)
+def read_version_index(spark, folder):
+    """An index document keyed by version name, and the status joined to it."""
+    documents = table(spark, folder, "documents").groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.struct(
+        F.when(F.col("name") != "src1", "src1").alias("source"),
+        F.concat(F.lit("crawl "), "n").alias("description"),
+        F.when(F.col("name") == "src2", True).alias("protected"),
+    )
+    # The index is one document by definition: a row per version.
+    index = documents.agg(F.map_from_entries(F.collect_list(F.struct("name", entry))).alias("versions"))
+    path = exported(spark, index, "index", "json")
+    return records.read_versions(spark, path).drop("created")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare, diagnose, runlog, runs
+from ..session import work_path
 from ..streaming.run_metrics import RunBoard, windowed_metrics
 from .diagnosis import RULES_USED, VERDICT_SQL, rules_table
 from .registry import query, rounded, table, views
@@ -478,3 +479,22 @@ def live_metrics_by_day(spark, folder):
         "loss_last",
         "accuracy_last",
     )
+
+
+@query(
+    "stream_windows",
+    f"""WITH lines AS (SELECT l.*, e.ts FROM ({LINES_SQL}) l JOIN events e ON e.event_id = l.line_no),
+        m AS (SELECT x.*, lines.ts FROM ({METRICS_SQL}) x JOIN lines USING (line_no))
+      SELECT strftime(ts, '%Y-%m-%d') AS day, m.job_id, max(epoch) AS total_epochs,
+        {_pick("max", "loss")} AS loss_last, {_pick("max", "accuracy")} AS accuracy_last
+      FROM m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL""",
+)
+def stream_windows(spark, folder):
+    """The stream's closed windows, each written once its day can't change any more."""
+    path = work_path(spark, "stream-windows")
+    stream = windowed_metrics(event_stream(spark, folder)).writeStream.outputMode("append").format("parquet")
+    stream = stream.option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start(path)
+    stream.awaitTermination()
+    closed = spark.read.parquet(path)
+    day = F.date_from_unix_date((F.unix_seconds("during.start") / 86400).cast("int")).cast("string")
+    return closed.select(day.alias("day"), "job_id", "total_epochs", "loss_last", "accuracy_last")

@@ -10,6 +10,8 @@ import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from ..session import cut_lineage
+
 # Extensions of binary files, preview length, size limit.
 BINARY_EXTENSIONS = (
     "bin", "pt", "pth", "onnx", "pb", "h5", "pkl",
@@ -18,6 +20,8 @@ BINARY_EXTENSIONS = (
 )
 PREVIEW_LINES = 10
 TRUNCATED_ABOVE = 1_000_000
+# Splits whose first lines are broadcast, a few MB; more are joined by key.
+SPLITS_BROADCAST = 50_000
 
 
 def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
@@ -90,21 +94,18 @@ def _lines_in_place(spark: SparkSession, path: str, wanted: Column | None = None
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(path, line_no, line)`` of text files, numbered from 1 in file order.
 
-    Lines are numbered within their split (a group is one split, never a file),
-    and the counts of the splits before it give the start.
+    The reading id is dense inside a split, so a line's number follows from the
+    first id of its split and the lines of the splits before: one row per split,
+    stored and joined. Lines stay where they are read while those rows are few.
     """
     raw = _lines_in_place(spark, path)
     key = ["path", "split_at"]
-    within = raw.withColumn("n_in", F.row_number().over(W.partitionBy(*key).orderBy("seq")))
     before = W.partitionBy("path").orderBy("split_at").rowsBetween(W.unboundedPreceding, -1)
-    starts = (
-        raw.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(*key, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    )
-    return within.join(starts, key).select(
-        "path", (F.col("start") + F.col("n_in")).alias("line_no"), "line"
-    )
+    splits = cut_lineage(raw.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")))
+    starts = splits.select(*key, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    if splits.count() <= SPLITS_BROADCAST:
+        starts = F.broadcast(starts)
+    return raw.join(starts, key).select("path", (F.col("seq") + F.col("shift") + 1).alias("line_no"), "line")
 
 
 def text_summary(spark: SparkSession, path: str) -> DataFrame:

@@ -81,6 +81,9 @@ def test_tail_and_stored_output(spark):
     assert runlog.trace(lines, records, None).where("job_id = 'a'").first().accuracy_first == 0
     assert runlog.tail(lines, 1000).where("job_id = 'a'").count() == 150
     assert runlog.tail(lines, 5).where("job_id = 'a'").count() == 5
+    long = spark.range(5000).selectExpr("concat('j', id % 2) AS job_id", "id * 3 AS line_no", "'x' AS line")
+    kept = runlog.tail(long, 2000).groupBy("job_id").agg(F.count("*").alias("n"), F.min("line_no").alias("m")).collect()
+    assert {r.job_id: (r.n, r.m) for r in kept} == {"j0": (2000, 3000), "j1": (2000, 3003)}
     assert runlog.compact_trace(runlog.trace(lines)).where("job_id = 'running'").first().convergence == "unknown"
 
 
