@@ -47,9 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each span of personal data replaced by its kind; ``n_chars`` follows the text."""
     model = personal_data.fit(docs)
-    found = personal_data.find_personal_data(docs, model)
-    text = F.when(F.col("spans") == "", F.col("text")).otherwise(personal_data.masked())
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    found = personal_data.find_personal_data(docs, model, mask=True)
+    return found.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from plumbline.llm.memory import release
 from pyspark.sql import DataFrame, Window, functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
@@ -22,7 +23,7 @@ UNKNOWN = "und"
 #: Longer words are read in pieces of this many bytes.
 PIECE = 24
 #: Words a worker remembers; beyond that it starts anew. It bounds memory and changes no result.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 250_000
 #: Bounds of the training sample: documents looked into and words taken, per language.
 TRAINING_DOCUMENTS = 400
 TRAINING_WORDS = 6000
@@ -155,7 +156,7 @@ class ByteTagger:
         outs = [x.reshape(-1, x.shape[2]).T @ flat for x in (ahead, back)]
         return loss, [*d_ahead, *d_back, *outs, flat.sum(0)]
 
-    def remember(self, words: list[bytes], block: int = 8192) -> None:
+    def remember(self, words: list[bytes], block: int = 2048) -> None:
         """Add each word's probabilities, summed over its positions, and their number."""
         added = np.zeros((len(words), len(self.languages) + 1))
         table, lengths, owner = pieces_of(words)
@@ -247,10 +248,12 @@ def identify(df: DataFrame, tagger: ByteTagger, *, text_col: str = "text") -> Da
         for batch in batches:
             found = []
             texts = ["" if t is None else t for t in batch.column(text_col).to_pylist()]
-            for at in range(0, len(texts), 1000):
-                found += tagger.pooled(texts[at : at + 1000])
+            for at in range(0, len(texts), 500):
+                found += tagger.pooled(texts[at : at + 500])
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
+        tagger.known, tagger.sums = {}, None
+        release()
 
     rows = df.drop("lang_pred", "score")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)

@@ -19,11 +19,12 @@ import pyarrow as pa
 import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.memory import release
 from plumbline.session import cut_lineage
 
 #: Bounds of a worker's memory; neither changes a result.
-REMEMBERED_CHUNKS = 400_000
-REMEMBERED_WORDS = 900_000
+REMEMBERED_CHUNKS = 150_000
+REMEMBERED_WORDS = 300_000
 #: Pieces packed together; a shard is small enough for one task and large enough to pack well.
 SHARD_PIECES = 4096
 #: Times that the search takes the emptiest bin and tries to empty it, before it gives a shard up.
@@ -115,6 +116,7 @@ def token_pieces(
                 + [pa.array(x, pa.int64()) for x in rows[2:]],
                 ["id", "piece", "start", "length", "ids_crc32"],
             )
+        release()
 
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.mapInArrow(work, f"id {id_type}, piece int, start long, length long, ids_crc32 long")

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from plumbline.llm.memory import release
 from pyspark.sql import DataFrame, functions as F
 
 KINDS = ("email", "ip", "card", "phone")
@@ -34,7 +35,7 @@ TRAINING_DOCUMENTS = 4000
 TRAINING_WINDOWS = 4000
 WINDOW = 24
 #: Bytes of text that a worker's arrays cover at once; a longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 Span = tuple[int, int]
 
@@ -447,37 +448,37 @@ def fit(
     return train([(r["text"], r["labels"]) for r in table])
 
 
-def find_personal_data(df: DataFrame, model: Field, *, text_col: str = "text") -> DataFrame:
+def find_personal_data(df: DataFrame, model: Field, *, text_col: str = "text", mask: bool = False) -> DataFrame:
     """Adds base_spans and spans to every row: "kind:start:end" in code points, joined by commas.
 
     Spans stand by kind (email, ip, card, phone), then start; ends are exclusive. ``spans`` holds
     the pattern spans and what the field adds. A null or empty text has no spans; repeated rows
     get equal spans; an empty table gives no rows. The row's other columns are kept, but columns
-    of the two names are replaced.
+    of the two names are replaced. With ``mask``, each span of the text is replaced by its kind in
+    angle brackets, overlapping spans by one; the spans are those of the text before.
     """
     rows = df.drop("base_spans", "spans")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(text_col).to_pylist()]
-            found = [x for block in blocks(texts) for x in all_spans(model, block)]
-            columns = [pa.array([written(x[i]) for x in found], pa.string()) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "base_spans", "spans"])
+            at, start = batch.schema.get_field_index(text_col), 0
+            texts = batch.column(at).to_pylist()
+            for block in blocks(["" if t is None else t for t in texts]):
+                found = all_spans(model, block)
+                columns = list(batch.slice(start, len(block)).columns)
+                added = [[written(x[i]) for x in found] for i in (0, 1)]
+                if mask:
+                    pairs = zip(texts[start : start + len(block)], added[1], strict=True)
+                    columns[at] = pa.array([replaced(t, s) for t, s in pairs], pa.string())
+                columns += [pa.array(x, pa.string()) for x in added]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "base_spans", "spans"])
+                start += len(block)
+        release()
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInArrow(work, f"{fields}, base_spans string, spans string")
 
 
-def masked(text_col: str = "text", spans_col: str = "spans"):
-    """The text with each span replaced by its kind in angle brackets; overlapping spans become one."""
-
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        return pd.Series([replaced(t, s) for t, s in zip(texts, spans, strict=True)], dtype="object")
-
-    return mask(text_col, spans_col)
-
-
 def replaced(text: str | None, spans: str) -> str | None:
     if not spans or text is None:
         return text
