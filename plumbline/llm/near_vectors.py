@@ -181,3 +181,22 @@ def near_vectors(
     return linked_rows.unionByName(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
     )
+
+
+#: What all links would give; a pair that the tables miss shows as a difference.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS n, vec_id AS r FROM embeddings
+  UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a
+)
+SELECT n AS vec_id, (SELECT count(*) FROM links WHERE a = n) AS n_links, min(r) AS component_id, n = min(r) AS kept
+FROM reach GROUP BY n
+"""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.byte_bpe import encode_decode
 from plumbline.llm.fixity import FIXITY_SQL, archived_pages, audit, replica_of
 from plumbline.llm.language import predict_languages
-from plumbline.llm.near_vectors import near_vectors
+from plumbline.llm.near_vectors import NEAR_VECTORS_SQL, near_vectors
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.personal_data import personal_data
 from plumbline.llm.simhash import near_duplicates
@@ -68,6 +68,9 @@ def op6_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"))
 
 
+SQL["op6_near_vectors"] = NEAR_VECTORS_SQL
+
+
 @query
 def op10_top_k(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"))
