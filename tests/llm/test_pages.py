@@ -7,7 +7,7 @@ import re
 
 import pytest
 from plumbline.llm.fixity import audit, read_leaves, record_spans
-from plumbline.llm.wrappers import expression, extract_main_text, infer, read_page, rules
+from plumbline.llm.wrappers import expression, extract_main_text, infer, infer_wrappers, packed, read_page, rules, unpacked
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -89,6 +89,39 @@ def test_odd_pages(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+def test_every_different_page_of_a_host_is_aligned(spark):
+    """Copies that would fill a sample, two templates, and a text that only some pages share."""
+    words = "word " * 40
+    rows = [page_of(0)] * 300
+    rows += [page_of(i).replace("Imprint", "Imprint" if i % 50 else "Legal") for i in range(1, 200)]
+    rows += [f"<body><div id=top>Our site</div><div class=story><div>By us</div><p>{words}{i}<p>More {i}</div><div>Imprint</div></body>" for i in range(150)]
+    pages = spark.createDataFrame([(i, f"http://a.example/{i}", h) for i, h in enumerate(rows)], "page_id long, url string, html string")
+    for group_pages in (5, 64):
+        wrappers = infer_wrappers(pages.repartition(7), group_pages=group_pages).collect()
+        assert [(r.host, r.pages) for r in wrappers] == [("a.example", 350)]
+        found = {r.page_id: r.text for r in extract_main_text(pages, group_pages=group_pages).collect()}
+        assert found[7] == found[8] == f"Title 0\n{words}0\nMore 0"
+        assert found[350] == f"Title 51\n{words}51\nMore 51"
+        assert found[510] == f"{words}11\nMore 11"
+
+
+def test_copies_of_one_page_are_read_like_the_page(spark):
+    pages = spark.createDataFrame([(i, "http://a.example/", page_of(1)) for i in range(9)], "page_id long, url string, html string")
+    assert {r.text for r in extract_main_text(pages).collect()} == {f"Title 1\n{'word ' * 40}1\nMore 1"}
+
+
+def test_pages_beside_the_landmark_keep_the_template(spark):
+    pages = [page_of(i) for i in range(20)] + ["<body><div id=top>Our site</div><article>Teaser</article></body>"]
+    found = rules(infer(pages))
+    assert read_page(pages[-1], found) == "Teaser"
+    assert read_page(pages[3], found) == f"Title 3\n{'word ' * 40}3\nMore 3"
+
+
+def test_wrappers_keep_their_form_when_packed():
+    wrapper = infer([page_of(i) for i in range(4)])
+    assert unpacked(packed(wrapper)) == wrapper
+
+
 LEAVES = "file string, offset long, length long, digest string, node int, bucket string"
 
 
