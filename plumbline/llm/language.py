@@ -225,7 +225,10 @@ def training_words(
     df: DataFrame, *, documents: int = TRAINING_DOCUMENTS, words: int = TRAINING_WORDS,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> tuple[list[bytes], list[str]]:
-    """At most ``words`` labelled words per language, from about ``documents`` texts that are not held out."""
+    """At most ``words`` labelled words per language, from about ``documents`` texts that are not held out.
+
+    Runs without a blank that are longer than two pieces count as several words.
+    """
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL").where(~is_held_out("id"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -234,12 +237,17 @@ def training_words(
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, documents / n))])
     place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     texts = rows.where(place < share[F.col("lang")])
-    taken = texts.select("lang", "id", F.posexplode(F.split("text", "[ \\t-\\r]+")).alias("at", "word"))
-    taken = taken.where(F.octet_length("word").between(1, 2 * PIECE))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id", "at"), "word")
-    taken = taken.withColumn("n", F.row_number().over(order)).where(F.col("n") <= words)
+    runs = texts.select("lang", "id", F.posexplode(F.split("text", "[ \\t-\\r]+")).alias("at", "run"))
+    runs = runs.withColumn("run", F.col("run").cast("binary")).where(F.octet_length("run") > 0)
+    # Cut where pieces_of() cuts: scripts without blanks are learned from such parts.
+    parts = F.sequence(F.lit(0), F.floor((F.octet_length("run") - 1) / (2 * PIECE)).cast("int"))
+    taken = runs.select("lang", "id", "at", "run", F.explode(parts).alias("part"))
+    word = F.substring("run", F.col("part") * (2 * PIECE) + 1, F.lit(2 * PIECE)).alias("word")
+    place = F.when(F.col("part") == 0, F.xxhash64("id", "at")).otherwise(F.xxhash64("id", "at", "part")).alias("place")
+    order = Window.partitionBy("lang").orderBy("place", "word")
+    taken = taken.select("lang", place, word).withColumn("n", F.row_number().over(order)).where(F.col("n") <= words)
     found = taken.select("lang", "word").orderBy("lang", "word").collect()
-    return [r["word"].encode() for r in found], [r["lang"] for r in found]
+    return [bytes(r["word"]) for r in found], [r["lang"] for r in found]
 
 
 def identify(df: DataFrame, tagger: ByteTagger, *, text_col: str = "text") -> DataFrame:

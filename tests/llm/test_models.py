@@ -52,6 +52,21 @@ def test_languages_of_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_languages_without_blanks_are_learned(spark):
+    letters = {"th": "กขคงจฉชซญฎฏฐฑ", "ja": "あいうえおかきくけこさし", "en": "etaoinshrdlu"}
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(240):
+        lang = list(letters)[i % 3]
+        text = "".join(rng.choice(list(letters[lang]), 200))
+        rows.append((i, " ".join(text[j : j + 6] for j in range(0, 200, 6)) if lang == "en" else text, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    words, labels = language.training_words(docs)
+    assert set(labels) == set(letters) and max(map(len, words)) <= 2 * language.PIECE
+    wrong = [r for r in predict_languages(docs).collect() if r.lang_pred != rows[r.doc_id][2]]
+    assert not wrong
+
+
 def test_languages_of_odd_rows(spark):
     rows = [(i, text, lang) for i, (text, lang) in enumerate([("the of and to", "en"), ("der die und das", "de")] * 20)]
     odd = [(100, None, "en"), (101, "", None), (102, "12 +- 3", "de"), (None, "the and", None), (103, "und der " * 20_000, None)]
