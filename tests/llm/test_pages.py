@@ -117,6 +117,22 @@ def test_pages_beside_the_landmark_keep_the_template(spark):
     assert read_page(pages[3], found) == f"Title 3\n{'word ' * 40}3\nMore 3"
 
 
+@pytest.mark.parametrize("depth", [70, 2000])
+def test_deep_pages_keep_blocks_and_landmarks(depth):
+    inner = "<p>one</p><p>two</p>"
+    assert read_page("<div>" * depth + inner, None) == "one\ntwo"
+    pages = ["<div>" * depth + f"<div>Site</div><article>{inner}{i}</article>" for i in range(4)]
+    found = rules(infer(pages))
+    assert found["main"] == [["#root", *["div"] * depth, "article"]]
+    assert read_page(pages[2], found) == read_page(pages[2], None) == "one\ntwo\n2"
+    wrapper = infer(pages)
+    assert expression(unpacked(packed(wrapper))) == expression(wrapper)
+
+
+def test_unclosed_divs_lose_no_more_than_a_share():
+    assert read_page("".join(f"<div>text {i:03}" for i in range(300)), None).count("text") >= 0.6 * 300
+
+
 def test_wrappers_keep_their_form_when_packed():
     wrapper = infer([page_of(i) for i in range(4)])
     assert unpacked(packed(wrapper)) == wrapper
