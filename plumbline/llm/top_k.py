@@ -4,10 +4,14 @@ A shard of candidates is indexed by component: for each one the candidates are s
 cut into segments of equal quantised impact. A query takes segments in the order of what they can
 add at most, over all components, and keeps bounds of every candidate's score. It stops when the
 bounds prove that all but few candidates are out of the best k; the rest are scored exactly.
+Vectors with components too large for 64-bit sums are scored one by one in integers of any size.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -20,7 +24,7 @@ LEVELS = 64
 #: Looks at the bounds on the way, and the share of a shard that is few enough to be scored exactly.
 LOOKS = 32
 RESCORED = 1 / 16
-#: Scaled components beyond this could overflow a 64-bit score.
+#: Scaled components beyond this could overflow a 64-bit score; their vectors stay out of the index.
 LARGEST = 1 << 28
 
 
@@ -89,6 +93,20 @@ class ImpactIndex:
         return self.ids[possible[best]], scores[best]
 
 
+def scaled(vectors: pd.Series, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """floor(scale * x) as integers of 64 bits, and which vectors are too large for them."""
+    values = np.array(vectors.tolist(), np.float64)
+    with np.errstate(over="ignore"):
+        values = np.floor(values * scale)
+    large = (np.abs(values) > LARGEST).any(axis=1)
+    return np.where(large[:, None], 0, values).astype(np.int64), large
+
+
+def whole(vector, scale: int) -> np.ndarray:
+    """floor(scale * x) as integers of any size."""
+    return np.array([math.floor(scale * Fraction(float(x))) for x in vector], object)
+
+
 def top_k(
     df: DataFrame,
     *,
@@ -105,17 +123,15 @@ def top_k(
     Queries are the rows whose id is divisible by ``query_every``, candidates all rows but a query's
     own; ties go to the smaller id. Shards and blocks grow in number, not in size.
 
-    Rows with a null id and vectors that are null, empty, or hold null or non-finite components, or
-    components whose scaled size passes 2**28, take no part. Rows of one id count as one, with the
-    smallest of its vectors. Vectors meet those of their own length. With fewer than k candidates a
+    Rows with a null id and vectors that are null, empty, or hold null or non-finite components take
+    no part. Rows that are the same in id and vector count as one. A score among a shard's best that
+    doesn't fit 64 bits is an error. Vectors meet those of their own length. With fewer than k candidates a
     query gets all of them, with none no row; an empty table gives no rows; other columns are
     ignored.
     """
-    bound = LARGEST / scale
-    usable = f"id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) <= {bound}D)"
+    usable = "id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('inf'))"
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(usable)
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).distinct()
     n = rows.count()
     asked = rows.where(F.col("id") % query_every == 0)
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked.count() // block_queries))
@@ -136,10 +152,24 @@ def top_k(
         out = []
         if len(shard) and len(block):
             ids = shard["id"].to_numpy(np.int64)
-            index = ImpactIndex(np.array(shard["v"].tolist(), np.int64), ids)
-            for query, v in zip(block["id"].tolist(), block["v"], strict=True):
-                found, scores = index.top(np.array(v, np.int64), query, k)
-                out.append(pd.DataFrame({"query_id": query, "id": found, "score": scores}))
+            values, large = scaled(shard["v"], scale)
+            asked_for, large_query = scaled(block["v"], scale)
+            index = ImpactIndex(values[~large], ids[~large]) if not large.all() else None
+            exact = {i: whole(shard["v"].iloc[i], scale) for i in np.flatnonzero(large)}
+            for n, query in enumerate(block["id"].tolist()):
+                scores: list[tuple[int, int]] = []  # less the score, and the id
+                if index and not large_query[n]:
+                    best, found = index.top(asked_for[n], query, k)
+                    scores = list(zip((-found).tolist(), best.tolist(), strict=True))
+                if exact or large_query[n]:
+                    v = whole(block["v"].iloc[n], scale)
+                    for i in range(len(ids)) if large_query[n] else exact:
+                        if ids[i] != query:
+                            other = exact[i] if large[i] else values[i].astype(object)
+                            scores.append((-int(v @ other), int(ids[i])))
+                    scores = sorted(scores)[:k]
+                best = [i for _, i in scores]
+                out.append(pd.DataFrame({"query_id": query, "id": best, "score": [-x for x, _ in scores]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")
 
     cell = ["n", "shard", "block"]

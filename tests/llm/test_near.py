@@ -162,3 +162,17 @@ def test_top_k_against_all_rows(vectors, shard_rows, block_queries):
             want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:10], 1)]
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert top_k(vectors.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 3])
+def test_top_k_scores_large_vectors_and_every_row(spark, shard_rows):
+    rows = [(i, [float(i % 7), 0.25, float(-i)]) for i in range(1, 20)]
+    rows += [(100, [300000.0, 0.001, 2.0]), (101, [-0.5, 3e5, 1.0]), (200, [0.5, 1.0, -1.0]), (5, [9.0, 9.0, -9.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q, a in whole:
+        if q % 100 == 0:
+            scored = sorted((-sum(map(int.__mul__, a, b)), i) for i, b in whole if i != q)
+            want += [(q, rank, i, -x) for rank, (x, i) in enumerate(scored[:10], 1)]
+    assert sorted(map(tuple, top_k(vectors, shard_rows=shard_rows).collect())) == sorted(want)
