@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from plumbline.llm.byte_bpe import encode_decode
 from plumbline.llm.fixity import FIXITY_SQL, archived_pages, audit, replica_of
 from plumbline.llm.language import predict_languages
+from plumbline.llm.line_dedup import LINE_DEDUP_SQL, drop_repeated_lines
 from plumbline.llm.near_vectors import NEAR_VECTORS_SQL, near_vectors
 from plumbline.llm.packing import pack_documents
 from plumbline.llm.personal_data import personal_data
@@ -102,3 +103,11 @@ def op3_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op3_merkle_fixity"] = FIXITY_SQL
+
+
+@query
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, folder, "documents"))
+
+
+SQL["op13_line_dedup"] = LINE_DEDUP_SQL
