@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.divergence import DIVERGENCE_SQL, divergence
 from plumbline.llm.fixity import FIXITY_SQL, archived_pages, audit, replica_of
 from plumbline.llm.language import predict_languages
 from plumbline.llm.line_dedup import LINE_DEDUP_SQL, drop_repeated_lines
@@ -111,3 +112,11 @@ def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op13_line_dedup"] = LINE_DEDUP_SQL
+
+
+@query
+def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(table(spark, folder, "documents"))
+
+
+SQL["op12_divergence"] = DIVERGENCE_SQL
