@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm.byte_bpe import encode_decode
+from plumbline.llm.collocations import COLLOCATIONS_SQL, collocations
 from plumbline.llm.divergence import DIVERGENCE_SQL, divergence
 from plumbline.llm.fixity import FIXITY_SQL, archived_pages, audit, replica_of
 from plumbline.llm.language import predict_languages
@@ -120,3 +121,11 @@ def op12_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 SQL["op12_divergence"] = DIVERGENCE_SQL
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(table(spark, folder, "documents"))
+
+
+SQL["op11_collocations"] = COLLOCATIONS_SQL
