@@ -25,9 +25,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from plumbline.llm.memory import release
 from plumbline.session import cut_lineage
 
-#: Words of one language that a task counts at once, and distinct words it remembers.
-CHUNK_WORDS = 3_000_000
-REMEMBERED_WORDS = 1_500_000
+#: Words that a task counts at once, distinct words it remembers, and phrases it adds up at once. They
+#: bound memory and change no count.
+CHUNK_WORDS = 1_500_000
+REMEMBERED_WORDS = 300_000
+HELD_PHRASES = 1_000_000
 #: Bits of the table of proposed phrases (a power of two), and bits set for each phrase.
 TABLE_BITS = 1 << 27
 PROBES = 2
@@ -50,7 +52,7 @@ def words_and_cuts(text: str) -> list[bytes]:
 
 
 class Words(dict):
-    """Numbers words as they come; number 0 is the cut."""
+    """Numbers words as they come, the cut first."""
 
     def __init__(self):
         super().__init__()
@@ -76,6 +78,18 @@ class Words(dict):
         return self.hashes[:n]
 
 
+def at_cuts(ids: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """A long text's word numbers in parts of about ``most``; no piece is taken apart."""
+    start = 0
+    while len(ids) - start > most:
+        cuts = np.flatnonzero(ids[start : start + most] == 0)
+        stop = start + 1 + int(cuts[-1] if len(cuts) else np.flatnonzero(ids[start:] == 0)[0])
+        yield ids[start:stop]
+        start = stop
+    if start < len(ids):
+        yield ids[start:]
+
+
 def language_seed(lang: str) -> np.uint64:
     return np.uint64(xxhash.xxh64_intdigest(lang.encode(), 1))
 
@@ -107,37 +121,39 @@ def count_chunk(
     longest: int,
     known: np.ndarray | None,
     before: np.ndarray | None,
-) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each length, the distinct phrases (as rows of word numbers) and their occurrences.
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length, the distinct phrases (as rows of word numbers), their hashes and occurrences.
 
-    A phrase is counted if the table ``known`` has both its ends (without a table, every phrase is),
+    The last number is the cut. A phrase is counted if the table ``known`` has both its ends (without a table, every phrase is),
     unless the table ``before`` had them and it was counted then.
     """
-    counts = np.bincount(ids, minlength=len(hashes))
-    present = np.flatnonzero(counts)
-    present = present[present > 0]
-    yield (present[:, None], counts[present]) if before is None else (present[:0, None], counts[:0])
+    cut = len(hashes) - 1
     # Of each distinct phrase of the current length: its words, hash, and whether it can be extended.
     phrases = np.arange(len(hashes))[:, None]
     value = extended(np.full(len(hashes), seed), hashes)
+    if before is None:
+        counts = np.bincount(ids, minlength=len(hashes))[:cut]
+        there = np.flatnonzero(counts)
+        yield phrases[there], value[there], counts[there]
     good = np.ones(len(hashes), bool) if known is None else holds(known, value)
     old = None if before is None else holds(before, value)
-    good[0] = False
+    good[cut] = False
     # The phrase that starts at each of the places that still count.
-    at, number = np.arange(len(ids)), ids.astype(np.int64)
+    at, number = np.arange(len(ids), dtype=np.int32), ids
     for _ in range(1, longest):
         usable = good[number]
         at, number = at[usable], number[usable]
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
-        at, first, second = at[follows], number[follows], number[follows + 1]
-        n = len(phrases)
-        keys, number, counts = np.unique(first * n + second, return_inverse=True, return_counts=True)
-        left, right = keys // max(n, 1), keys % max(n, 1)
+        keys = number[follows].astype(np.int64) * max(len(phrases), 1) + number[follows + 1]
+        at = at[follows]
+        keys, number, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        number = number.astype(np.int32)
+        left, right = np.divmod(keys, max(len(phrases), 1))
         last = phrases[right, -1]
         seen = None if old is None else old[left] & old[right]
         phrases, value = np.column_stack([phrases[left], last]), extended(value[left], hashes[last])
         fresh = slice(None) if seen is None else ~seen
-        yield phrases[fresh], counts[fresh]
+        yield phrases[fresh], value[fresh], counts[fresh]
         good = np.ones(len(phrases), bool) if known is None else holds(known, value)
         # A phrase that the earlier pass never reached wasn't extended, whatever its bits say.
         old = None if before is None else seen & holds(before, value)
@@ -149,62 +165,119 @@ def spelled(phrases: np.ndarray, words: pa.Array) -> pa.Array:
     return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
 
 
+def block_of(keys: pa.Array, counts: np.ndarray) -> bytes:
+    """Sorted keys and their counts, compressed: what many phrases share takes little room."""
+    offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
+    text = memoryview(keys.buffers()[2] or b"")[offsets[0] : offsets[-1]]
+    whole = np.diff(offsets).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + bytes(text)
+    head = np.array([len(keys), len(whole)], "<i8").tobytes()
+    return head + pa.compress(whole, codec="zstd", asbytes=True)
+
+
+def table_of(block: bytes) -> pa.Table:
+    """The keys and counts of a block."""
+    n, size = np.frombuffer(block, "<i8", 2).tolist()
+    whole = pa.decompress(block[16:], decompressed_size=size, codec="zstd", asbytes=True)
+    offsets = np.append(np.int32(0), np.cumsum(np.frombuffer(whole, "<i4", n), dtype=np.int32))
+    keys = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(whole[12 * n :])])
+    return pa.table({"key": keys, "f": np.frombuffer(whole, "<i8", n, 4 * n)})
+
+
 def counted(
-    texts: DataFrame,
-    *,
-    longest: int,
-    known=None,
-    before=None,
-    chunk_words: int = CHUNK_WORDS,
+    texts: DataFrame, *, longest: int, least: int, known=None, before=None, chunk_words: int = CHUNK_WORDS
 ) -> DataFrame:
-    """(lang, phrase, size, f): occurrences in the chunks a task has read, see ``count_chunk``.
+    """(lang, phrase, size, f): the phrases of ``count_chunk`` with at least ``least`` occurrences.
 
-    ``known`` and ``before`` are broadcast bit tables. In a first pass the phrase '' has the number of
-    all words.
+    ``known`` and ``before`` are broadcast bit tables. In a first full pass the phrase '' has the number
+    of all words. A task counts chunk by chunk and deals the phrases out by their hashes, each share as
+    one compressed block; what rows of the shuffle would hold of a phrase is several times as much.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [None if t is None else np.frombuffer(t.value, np.uint8) for t in (known, before)]
-        words = Words()
-        held: dict[str, list[np.ndarray]] = {}
-        size: dict[str, int] = {}
-
-        def flush(lang: str) -> Iterator[pa.RecordBatch]:
-            ids = np.concatenate(held.pop(lang))
-            del size[lang]
-            listed = pa.array(words.listed[1:], pa.binary())
-            listed = pa.concat_arrays([pa.array([""], pa.string()), listed.cast(pa.string())])
-            if before is None and known is not None:
-                yield batch_of(lang, pa.array([""]), 0, np.array([np.count_nonzero(ids)]))
-            for phrases, counts in count_chunk(ids, words.hashed(), language_seed(lang), longest, *tables):
-                for i in range(0, len(phrases), 100_000):
-                    some = phrases[i : i + 100_000]
-                    yield batch_of(lang, spelled(some, listed), some.shape[1], counts[i : i + 100_000])
-
+    buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def chunk(held: dict[str, list[np.ndarray]], words: Words) -> Iterator[pa.RecordBatch]:
+        # Words are numbered anew in their order, so that phrases come out sorted; the cut is the last one.
+        listed = pa.array(words.listed, pa.binary())
+        order = pc.sort_indices(listed).to_numpy()
+        renumbered = np.empty(len(order), np.int32)
+        renumbered[order] = np.arange(len(order), dtype=np.int32)
+        hashes, spelling = words.hashed()[order], listed.take(pa.array(order[:-1])).cast(pa.string())
+        keys, counts, shares = [], [], []
+        for lang in sorted(held):
+            ids = renumbered[np.concatenate(held[lang])]
+            if known is not None and before is None:
+                keys.append(pa.array([f"{lang}\n"]))
+                counts.append(np.array([np.count_nonzero(ids != len(order) - 1)]))
+                shares.append(np.zeros(1, np.int64))
+            tables = [None if t is None else np.frombuffer(t.value, np.uint8) for t in (known, before)]
+            for phrases, values, n in count_chunk(ids, hashes, language_seed(lang), longest, *tables):
+                keys.append(pc.binary_join_element_wise(pa.scalar(lang), spelled(phrases, spelling), "\n"))
+                counts.append(n)
+                shares.append(((values ^ values >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64))
+        share = np.concatenate(shares)
+        by_share = np.argsort(share, kind="stable")
+        ends = np.searchsorted(share[by_share], np.arange(buckets + 1))
+        every, n = pa.concat_arrays(keys).take(pa.array(by_share)), np.concatenate(counts)[by_share]
+        some = np.flatnonzero(np.diff(ends))
+        for at in range(0, len(some), 256):
+            part = some[at : at + 256].tolist()
+            blocks = [block_of(every.slice(ends[b], ends[b + 1] - ends[b]), n[ends[b] : ends[b + 1]]) for b in part]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(blocks, pa.binary())], ["bucket", "block"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, held, size = Words(), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
                 found = words_and_cuts(text.as_py())
-                held.setdefault(lang, []).append(np.fromiter(map(words.__getitem__, found), np.int32, len(found)))
-                size[lang] = size.get(lang, 0) + len(found)
-                if size[lang] >= chunk_words:
-                    yield from flush(lang)
-            if len(words) > REMEMBERED_WORDS:
-                for lang in list(held):
-                    yield from flush(lang)
-                words = Words()
-        for lang in list(held):
-            yield from flush(lang)
+                ids = np.fromiter(map(words.__getitem__, found), np.int32, len(found))
+                for part in at_cuts(ids, chunk_words):
+                    held.setdefault(lang, []).append(part)
+                    size += len(part)
+                    if size >= chunk_words:
+                        yield from chunk(held, words)
+                        held, size = {}, 0
+                if len(words) > REMEMBERED_WORDS:
+                    if held:
+                        yield from chunk(held, words)
+                    words, held, size = Words(), {}, 0
+        if held:
+            yield from chunk(held, words)
         release()
 
-    def batch_of(lang: str, phrases: pa.Array, n: int, counts: np.ndarray) -> pa.RecordBatch:
-        rows = len(phrases)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([lang] * rows, pa.string()), phrases, pa.array(np.full(rows, n, np.int32))]
-            + [pa.array(counts.astype(np.int64))],
-            ["lang", "phrase", "size", "f"],
-        )
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        bucket = None
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(held).group_by("key").aggregate([("f", "sum")]).rename_columns(["key", "f"])
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            whole = summed()
+            total = pc.ends_with(whole.column("key"), "\n")
+            whole = whole.filter(pc.or_(pc.greater_equal(whole.column("f"), least), total)).combine_chunks()
+            for batch in whole.to_batches(max_chunksize=100_000):
+                halves = pc.split_pattern(batch.column("key"), "\n", max_splits=1, reverse=True)
+                lang, phrase = pc.list_element(halves, 0), pc.list_element(halves, 1)
+                n = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1))
+                yield pa.RecordBatch.from_arrays(
+                    [lang, phrase, n.cast(pa.int32()), batch.column("f")], ["lang", "phrase", "size", "f"]
+                )
 
-    return texts.select("lang", "text").mapInArrow(work, "lang string, phrase string, size int, f long")
+        for batch in batches:
+            for b, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+                if b != bucket and held:
+                    yield from finished()
+                    held.clear()
+                bucket = b
+                held.append(table_of(block.as_py()))
+                if sum(map(len, held)) > 2 * len(held[0]) + HELD_PHRASES:
+                    held[:] = [summed()]
+        if held:
+            yield from finished()
+        release()
+
+    blocks = texts.select("lang", "text").mapInArrow(count, "bucket int, block binary")
+    dealt = blocks.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add_up, "lang string, phrase string, size int, f long")
 
 
 def phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
@@ -246,12 +319,6 @@ def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def added_up(counts: DataFrame, least: int) -> DataFrame:
-    """Phrases with at least ``least`` occurrences, and the words' totals."""
-    summed = counts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"))
-    return summed.where((F.col("f") >= least) | (F.col("size") == 0))
-
-
 def outside(phrases: DataFrame, table) -> DataFrame:
     """Those of (lang, phrase, size, f) that the broadcast table doesn't hold."""
 
@@ -293,13 +360,12 @@ def frequent_phrases(
     )
     sample = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(sample_of)) == 0)
     support = max(2, int(lowered * least / sample_of))
-    proposed = added_up(counted(sample, longest=longest - 1, chunk_words=chunk_words), support)
-    table = bit_table(proposed, table_bits)
+    table = bit_table(counted(sample, longest=longest - 1, least=support, chunk_words=chunk_words), table_bits)
     found, before = None, None
     while True:
         known = spark.sparkContext.broadcast(table.tobytes())
-        counts = counted(texts, longest=longest, known=known, before=before, chunk_words=chunk_words)
-        fresh = cut_lineage(added_up(counts, least))
+        counts = counted(texts, longest=longest, least=least, known=known, before=before, chunk_words=chunk_words)
+        fresh = cut_lineage(counts)
         found = fresh if found is None else found.unionByName(fresh)
         failures = outside(fresh.where(F.col("size").between(1, longest - 1)), known)
         more = bit_table(failures, table_bits)

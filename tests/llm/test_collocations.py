@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from plumbline.llm.collocations import collocations, frequent_phrases, words_and_cuts
+from plumbline.llm.collocations import at_cuts, collocations, frequent_phrases, words_and_cuts
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 COLUMNS = "doc_id long, text string, lang string"
@@ -94,6 +94,16 @@ def test_clashing_names_and_an_empty_table(spark, rows):
     assert found(df.limit(0), **SMALL) == []
 
 
+def test_long_texts_are_parted_at_cuts():
+    ids = np.array([5, 6, 0, 7, 8, 9, 1, 2, 0, 0, 3, 0], np.int32)
+    for most in (1, 2, 4, 7, 100):
+        parts = list(at_cuts(ids, most))
+        assert np.concatenate(parts).tolist() == ids.tolist()
+        assert all(p[-1] == 0 for p in parts)
+    assert [len(p) for p in at_cuts(ids, 4)] == [3, 6, 3]
+    assert list(at_cuts(ids[:0], 4)) == []
+
+
 def test_words_and_cuts():
     assert words_and_cuts("A  b\tC.d\x0c\x1ce") == [b"a", b"b", b"c", b"\xff", b"d", b"\xff", b"\x1ce", b"\xff"]
     assert words_and_cuts("") == [b"\xff"]
