@@ -1,14 +1,15 @@
 """Collocations by sampling and a negative border (Toivonen's mining of frequent phrases).
 
-A sample of the documents proposes phrases at a lowered support. A full pass then counts, exactly, every
-word and every phrase whose two shorter ends (all but its last word, all but its first) were proposed:
-these are the proposed phrases and their negative border. A phrase of the border that turns out frequent
-is a failure of the sample: it joins the proposed ones, and another pass counts what now comes into
-reach. When a pass finds no failure, every frequent phrase has been counted.
-
-What was proposed travels as a bit table of fixed size. A phrase that hits set bits by chance is
-counted in vain, and one that was proposed is never missed, so the table's size bounds memory and
-changes no count.
+A sample of the documents proposes phrases at a lowered support, level by level. A full pass then counts,
+exactly, every word and every phrase whose two shorter ends (all but its last word, all but its first)
+were proposed: these are the proposed phrases and their negative border. A phrase of the border that
+turns out frequent is a failure of the sample. If there are any, an expansion pass counts every phrase
+that is still open, that is one whose ends are each frequent or themselves open; after it no frequent
+phrase can be left uncounted.
+
+What was proposed and what is frequent travels as bit tables of fixed size. A phrase that hits set bits
+by chance is counted in vain, and one that was entered is never missed, so the tables' size bounds memory
+and changes no count.
 """
 
 from __future__ import annotations
@@ -119,28 +120,31 @@ def count_chunk(
     hashes: np.ndarray,
     seed: np.uint64,
     longest: int,
-    known: np.ndarray | None,
-    before: np.ndarray | None,
+    proposed: np.ndarray,
+    frequent: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each length, the distinct phrases (as rows of word numbers), their hashes and occurrences.
 
-    The last number is the cut. A phrase is counted if the table ``known`` has both its ends (without a table, every phrase is),
-    unless the table ``before`` had them and it was counted then.
+    The last number is the cut. In a first pass these are the words and what has both ends in the table
+    ``proposed``. In an expansion pass, ``frequent`` has what the first pass found frequent, and these
+    are the phrases that the first pass didn't reach and whose ends are frequent or weren't reached.
     """
     cut = len(hashes) - 1
-    # Of each distinct phrase of the current length: its words, hash, and whether it can be extended.
+    # Of each distinct phrase of the current length: its words, hash, whether the first pass reaches it.
     phrases = np.arange(len(hashes))[:, None]
     value = extended(np.full(len(hashes), seed), hashes)
-    if before is None:
+    reached = np.ones(len(hashes), bool)
+    if frequent is None:
         counts = np.bincount(ids, minlength=len(hashes))[:cut]
         there = np.flatnonzero(counts)
         yield phrases[there], value[there], counts[there]
-    good = np.ones(len(hashes), bool) if known is None else holds(known, value)
-    old = None if before is None else holds(before, value)
-    good[cut] = False
     # The phrase that starts at each of the places that still count.
     at, number = np.arange(len(ids), dtype=np.int32), ids
-    for _ in range(1, longest):
+    for length in range(1, longest):
+        extends = reached & holds(proposed, value)
+        good = extends if frequent is None else ~reached | holds(frequent, value)
+        if length == 1:
+            good[cut] = False
         usable = good[number]
         at, number = at[usable], number[usable]
         follows = np.flatnonzero(at[1:] == at[:-1] + 1)
@@ -150,13 +154,10 @@ def count_chunk(
         number = number.astype(np.int32)
         left, right = np.divmod(keys, max(len(phrases), 1))
         last = phrases[right, -1]
-        seen = None if old is None else old[left] & old[right]
+        reached = extends[left] & extends[right]
         phrases, value = np.column_stack([phrases[left], last]), extended(value[left], hashes[last])
-        fresh = slice(None) if seen is None else ~seen
+        fresh = slice(None) if frequent is None else ~reached
         yield phrases[fresh], value[fresh], counts[fresh]
-        good = np.ones(len(phrases), bool) if known is None else holds(known, value)
-        # A phrase that the earlier pass never reached wasn't extended, whatever its bits say.
-        old = None if before is None else seen & holds(before, value)
 
 
 def spelled(phrases: np.ndarray, words: pa.Array) -> pa.Array:
@@ -184,11 +185,11 @@ def table_of(block: bytes) -> pa.Table:
 
 
 def counted(
-    texts: DataFrame, *, longest: int, least: int, known=None, before=None, chunk_words: int = CHUNK_WORDS
+    texts: DataFrame, *, longest: int, least: int, proposed, frequent=None, chunk_words: int = CHUNK_WORDS
 ) -> DataFrame:
     """(lang, phrase, size, f): the phrases of ``count_chunk`` with at least ``least`` occurrences.
 
-    ``known`` and ``before`` are broadcast bit tables. In a first full pass the phrase '' has the number
+    ``proposed`` and ``frequent`` are broadcast bit tables. In a first pass the phrase '' has the number
     of all words. A task counts chunk by chunk and deals the phrases out by their hashes, each share as
     one compressed block; what rows of the shuffle would hold of a phrase is several times as much.
     """
@@ -202,13 +203,13 @@ def counted(
         renumbered[order] = np.arange(len(order), dtype=np.int32)
         hashes, spelling = words.hashed()[order], listed.take(pa.array(order[:-1])).cast(pa.string())
         keys, counts, shares = [], [], []
+        tables = [None if t is None else np.frombuffer(t.value, np.uint8) for t in (proposed, frequent)]
         for lang in sorted(held):
             ids = renumbered[np.concatenate(held[lang])]
-            if known is not None and before is None:
+            if frequent is None:
                 keys.append(pa.array([f"{lang}\n"]))
                 counts.append(np.array([np.count_nonzero(ids != len(order) - 1)]))
                 shares.append(np.zeros(1, np.int64))
-            tables = [None if t is None else np.frombuffer(t.value, np.uint8) for t in (known, before)]
             for phrases, values, n in count_chunk(ids, hashes, language_seed(lang), longest, *tables):
                 keys.append(pc.binary_join_element_wise(pa.scalar(lang), spelled(phrases, spelling), "\n"))
                 counts.append(n)
@@ -305,17 +306,23 @@ def bit_table(phrases: DataFrame, bits: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], ["at", "word"])
 
     found = phrases.select("lang", "phrase").mapInArrow(work, "at long, word long")
+    # Words of the table, each once: at most the table itself, and less when it is compressed.
     merged = found.groupBy("at").agg(F.bit_or("word").alias("word"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = np.column_stack([batch.column("at").to_numpy(), batch.column("word").to_numpy()])
-            yield pa.RecordBatch.from_arrays([pa.array([both.astype("<i8").tobytes()], pa.binary())], ["rows"])
+            at, word = batch.column("at").to_numpy(), batch.column("word").to_numpy()
+            order = np.argsort(at)
+            both = np.diff(at[order], prepend=0).astype("<i4").tobytes() + word[order].astype("<i8").tobytes()
+            block = pa.compress(both, codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(order)], pa.int64()), pa.array([block], pa.binary())], ["n", "block"]
+            )
 
     table = np.zeros(bits // 64, np.int64)
-    for row in merged.mapInArrow(packed, "rows binary").collect():
-        both = np.frombuffer(bytes(row.rows), "<i8").reshape(-1, 2)
-        table[both[:, 0]] = both[:, 1]
+    for row in merged.mapInArrow(packed, "n long, block binary").collect():
+        both = pa.decompress(bytes(row.block), decompressed_size=12 * row.n, codec="zstd", asbytes=True)
+        table[np.cumsum(np.frombuffer(both, "<i4", row.n))] = np.frombuffer(both, "<i8", row.n, 4 * row.n)
     return table.view(np.uint8)
 
 
@@ -340,7 +347,7 @@ def frequent_phrases(
     least: int = 30,
     longest: int = 4,
     sample_of: int = 8,
-    lowered: float = 0.5,
+    lowered: float = 0.8,
     table_bits: int = TABLE_BITS,
     chunk_words: int = CHUNK_WORDS,
 ) -> DataFrame:
@@ -348,11 +355,11 @@ def frequent_phrases(
     the phrase '' of size 0, the number of all words of each language.
 
     One in ``sample_of`` rows, chosen by a hash of id and text, is the sample; a phrase is proposed from
-    ``lowered`` times the occurrences that ``least`` lets expect there, twice at least. Both change the
-    number of passes and what they count in vain, never the result. Runs eagerly: each pass's frequent
-    phrases are checkpointed.
+    ``lowered`` times the occurrences that ``least`` lets expect there, twice at least. Both change what
+    is counted in vain and whether an expansion pass is needed, never the result. Runs eagerly: each full
+    pass's frequent phrases are checkpointed.
     """
-    spark = df.sparkSession
+    share = df.sparkSession.sparkContext.broadcast
     texts = df.select(
         F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
@@ -360,18 +367,24 @@ def frequent_phrases(
     )
     sample = texts.where(F.pmod(F.xxhash64("id", "text"), F.lit(sample_of)) == 0)
     support = max(2, int(lowered * least / sample_of))
-    table = bit_table(counted(sample, longest=longest - 1, least=support, chunk_words=chunk_words), table_bits)
-    found, before = None, None
-    while True:
-        known = spark.sparkContext.broadcast(table.tobytes())
-        counts = counted(texts, longest=longest, least=least, known=known, before=before, chunk_words=chunk_words)
-        fresh = cut_lineage(counts)
-        found = fresh if found is None else found.unionByName(fresh)
-        failures = outside(fresh.where(F.col("size").between(1, longest - 1)), known)
-        more = bit_table(failures, table_bits)
-        if not more.any():
-            return found
-        table, before = table | more, known
+    table = np.zeros(table_bits // 8, np.uint8)
+    for size in range(1, longest):
+        found = counted(
+            sample, longest=size, least=support, proposed=share(table.tobytes()), chunk_words=chunk_words
+        )
+        table = table | bit_table(found.where(F.col("size") == size), table_bits)
+    proposed = share(table.tobytes())
+    first = cut_lineage(
+        counted(texts, longest=longest, least=least, proposed=proposed, chunk_words=chunk_words)
+    )
+    extending = first.where(F.col("size").between(1, longest - 1))
+    if outside(extending, proposed).isEmpty():
+        return first
+    frequent = share(bit_table(extending, table_bits).tobytes())
+    more = counted(
+        texts, longest=longest, least=least, proposed=proposed, frequent=frequent, chunk_words=chunk_words
+    )
+    return first.unionByName(cut_lineage(more))
 
 
 def collocations(
