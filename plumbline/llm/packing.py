@@ -9,48 +9,49 @@ until bins run empty. What lies in bins that stay loose is packed once more acro
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.memory import release
 from plumbline.session import cut_lineage
 
-#: Bounds of a worker's memory; neither changes a result.
-REMEMBERED_CHUNKS = 150_000
+#: Words whose ids a worker remembers, and bytes of text it encodes at once. They bound memory and
+#: change no result.
 REMEMBERED_WORDS = 300_000
+BLOCK_BYTES = 8 << 20
 #: Pieces packed together; a shard is small enough for one task and large enough to pack well.
 SHARD_PIECES = 4096
-#: Times that the search takes the emptiest bin and tries to empty it, before it gives a shard up.
-DONORS = 100
-#: A bin with more documents than this offers no pairs of them for exchange.
-PAIRED = 48
 
 #: Words whose normal form is their lower case, with ASCII marks after them: both parts are
 #: encoded by themselves in such a chunk, so they can be remembered apart.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
+PLAIN = "^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
 PLAIN_PART = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:-;=?-@\\[-`}~]+")
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Encodes with the tokenizers library, one call for what a worker hasn't met yet.
+    """Encodes blocks of texts with the tokenizers library, each distinct word of a block once.
 
     For vocabularies that drop white space and give a word the same ids wherever it stands.
     """
 
     def __init__(self, vocabulary: str):
         self.tokenizer = tokenizers.Tokenizer.from_file(vocabulary)
+        self.model = self.tokenizer.model
         self.spell = tokenizers.pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.chunks: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}
 
     @classmethod
     def of(cls, vocabulary: str) -> ChunkEncoder:
@@ -58,40 +59,63 @@ class ChunkEncoder:
             _ENCODERS[vocabulary] = cls(vocabulary)
         return _ENCODERS[vocabulary]
 
-    def learn(self, chunks: list[bytes]) -> None:
-        words, parts = self.words, []
-        for chunk in chunks:
-            text = chunk.decode()
-            plain = PLAIN.fullmatch(text)
-            parts.append((plain[1].lower(), plain[2]) if plain else (text, ""))
-        fresh = [w for w in {w for pair in parts for w in pair} if w not in words]
-        if len(words) + len(fresh) > REMEMBERED_WORDS:
-            words = self.words = {"": b""}
-            fresh = [w for w in {w for pair in parts for w in pair} if w]
-        whole = [w for w in fresh if not PLAIN_PART.fullmatch(w)]
-        for word, e in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            words[word] = np.array(e.ids, "<u4").tobytes()
+    def learned(self, words: list[str]) -> list[bytes]:
+        """Each word's ids as little-endian unsigned 32-bit integers."""
+        known = self.known
+        fresh = [w for w in words if w not in known]
+        if len(known) + len(fresh) > REMEMBERED_WORDS:
+            known.clear()
+            fresh = words
+        tokenize = self.model.tokenize
         for word in fresh:
-            if word not in words:
-                # Such a part is one word to the model and its own normal form: only its bytes need
-                # to be spelled in the model's alphabet, where ASCII marks and letters are themselves.
+            if not word:
+                ids = []
+            elif not PLAIN_PART.fullmatch(word):
+                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            else:
+                # Such a part is one word to the model and its own normal form: only its bytes need to be
+                # spelled in the model's alphabet, where ASCII marks and letters are themselves.
                 spelled = word if word.isascii() else self.spell.pre_tokenize_str(word)[0][0]
-                words[word] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], "<u4").tobytes()
-        for chunk, (word, marks) in zip(chunks, parts, strict=True):
-            self.chunks[chunk] = words[word] + words[marks]
+                ids = [t.id for t in tokenize(spelled)]
+            known[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return [known[w] for w in words]
+
+    def encode_block(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids start, and the last one's end."""
+        # The kernel splits at ASCII white space alone; what it leaves empty has no ids.
+        split = pc.ascii_split_whitespace(texts)
+        chunks = split.flatten().dictionary_encode()
+        distinct = chunks.dictionary
+        plain = pc.extract_regex(distinct, PLAIN)
+        odd = pc.is_null(plain)
+        first = pc.if_else(odd, distinct, pc.utf8_lower(plain.field("word"))).dictionary_encode()
+        second = pc.if_else(odd, "", plain.field("marks")).dictionary_encode()
+        parts = self.learned(first.dictionary.to_pylist()) + self.learned(second.dictionary.to_pylist())
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        starts = np.cumsum(sizes) - sizes
+        pair = np.column_stack([first.indices.to_numpy(), second.indices.to_numpy() + len(first.dictionary)])
+        taken = pair[chunks.indices.to_numpy()].ravel()
+        n = sizes[taken]
+        ends = np.cumsum(n)
+        found = ids[np.repeat(starts[taken] - (ends - n), n) + np.arange(n.sum())]
+        ends = np.append(0, ends[1::2])
+        return found, ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
 
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        # Without an argument, bytes.split() splits at ASCII white space alone.
-        chunks = text.encode().split()
-        known = self.chunks
-        fresh = [c for c in set(chunks) if c not in known]
-        if fresh:
-            if len(known) + len(fresh) > REMEMBERED_CHUNKS:
-                known.clear()
-                fresh = list(set(chunks))
-            self.learn(fresh)
-        return b"".join(map(known.__getitem__, chunks))
+        """One text's ids as little-endian unsigned 32-bit integers."""
+        return self.encode_block(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+def blocks(batch: pa.RecordBatch, most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with texts of about ``most`` bytes; a longer text is a run of its own."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
 
 
 def token_pieces(
@@ -99,23 +123,25 @@ def token_pieces(
 ) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each text's ids and the end id, cut at ``capacity``."""
     id_type = df.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.of(vocabulary)
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for i, text in enumerate(batch.column("text")):
-                ids = encoder.encode(text.as_py()) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for column, x in zip(rows, (i, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32())]
-                + [pa.array(x, pa.int64()) for x in rows[2:]],
-                ["id", "piece", "start", "length", "ids_crc32"],
-            )
+            for block in blocks(batch):
+                rows: tuple[list, ...] = ([], [], [], [], [])
+                found, starts = encoder.encode_block(block.column("text"))
+                for i, (start, stop) in enumerate(pairwise(starts.tolist())):
+                    ids = np.append(found[start:stop], end)
+                    for piece, at in enumerate(range(0, len(ids), capacity)):
+                        part = ids[at : at + capacity]
+                        for column, x in zip(rows, (i, piece, at, len(part), zlib.crc32(part)), strict=True):
+                            column.append(x)
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("id").take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32())]
+                    + [pa.array(x, pa.int64()) for x in rows[2:]],
+                    ["id", "piece", "start", "length", "ids_crc32"],
+                )
         release()
 
     texts = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -144,72 +170,105 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def exchange(donor: list[int], other: list[int], lengths: list[int], room: int) -> tuple[list[int], list[int]] | None:
-    """What goes from the donor to the other bin and what comes back, to fill at most ``room`` more.
+def choices(items: list[int], lengths: list[int]) -> list[tuple[int, tuple[int, ...]]]:
+    """The items and pairs of items of a bin by total length, one for each length or pair of lengths."""
+    by_length: dict[int, list[int]] = {}
+    for i in items:
+        by_length.setdefault(lengths[i], []).append(i)
+    singles = list(by_length.items())
+    found = [(n, (same[0],)) for n, same in singles]
+    found += [(n + m, (same[0], other[0])) for k, (n, same) in enumerate(singles) for m, other in singles[:k]]
+    found += [(2 * n, (same[0], same[1])) for n, same in singles if len(same) > 1]
+    found.sort()
+    return found
+
+
+def exchange(offers: list, sizes: list[int], back: list, room: int) -> tuple[tuple[int, ...], tuple[int, ...]] | None:
+    """What goes to another bin and what comes back, to fill at most ``room`` more of it.
 
-    The candidates are a move, one for one, two for one and one for two; the best one fills most.
+    ``offers`` and ``back`` are the choices of the two bins, ``sizes`` the lengths of the offers. A
+    step is a move, one for one, two for one or one for two; the best one fills most.
     """
-    offers = [(lengths[i], (i,)) for i in donor]
-    if len(donor) <= PAIRED:
-        offers += [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(donor) for j in donor[:k]]
-    offers.sort()
-    sizes = [n for n, _ in offers]
-    back: list[tuple[int, tuple[int, ...]]] = [(0, ())]
-    back += [(lengths[i], (i,)) for i in other]
-    pairs = len(other) <= PAIRED
-    if pairs:
-        back += [(lengths[i] + lengths[j], (i, j)) for k, i in enumerate(other) for j in other[:k]]
     best, found = 0, None
-    for n, items in back:
+    for n, items in (NOTHING, *back):
         at = bisect_right(sizes, n + room) - 1
         while at >= 0 and sizes[at] - n > best and len(items) == 2 and len(offers[at][1]) == 2:
             at -= 1  # two for two is no step of this search
-        if at >= 0 and sizes[at] - n > best:
-            best, found = sizes[at] - n, (list(offers[at][1]), list(items))
+        if at >= 0 and sizes[at] - n > best and (items or len(offers[at][1]) == 1):
+            best, found = sizes[at] - n, (offers[at][1], items)
             if best == room:
                 break
     return found
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, donors: int = DONORS) -> list[list[int]]:
-    """Empty bins by exchanges that increase the sum of squared fills; stops at the lower bound."""
+#: What comes back when a document moves.
+NOTHING: tuple[int, tuple[int, ...]] = (0, ())
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
+    """Empty bins by exchanges that increase the sum of squared fills.
+
+    Takes the emptiest bin that may still improve and exchanges with fuller ones. Ends at the lower
+    bound, or when no exchange between any two bins improves: a bin is compared again only with
+    bins that have changed since it was compared last.
+    """
     fill = [sum(lengths[i] for i in b) for b in bins]
     fewest = -(-sum(fill) // capacity)
-    left, tried = len(bins), 0
-    stuck: set[int] = set()
-    while left > fewest and tried < donors:
-        d = min((b for b in range(len(bins)) if bins[b] and b not in stuck), key=lambda b: fill[b], default=None)
-        if d is None:
-            break
-        tried += 1
-        changed, improved = False, True
+    left = len(bins)
+    known: list[tuple[list, list[int]] | None] = [None] * len(bins)
+    changed, compared, now = [0] * len(bins), [-1] * len(bins), 0
+
+    def of(b: int) -> tuple[list, list[int]]:
+        if known[b] is None:
+            found = choices(bins[b], lengths)
+            known[b] = found, [n for n, _ in found]
+        return known[b]
+
+    waiting = [(f, b) for b, f in enumerate(fill)]
+    heapify(waiting)
+    latest = 0  # when any bin changed last
+    while left > fewest and waiting:
+        f, d = heappop(waiting)
+        if f != fill[d] or not bins[d] or compared[d] >= latest:
+            continue
+        improved = True
         while improved and bins[d]:
             improved = False
-            loose = [b for b in range(len(bins)) if b != d and fill[d] <= fill[b] < capacity]
-            for b in sorted(loose, key=lambda b: -fill[b]):
-                found = exchange(bins[d], bins[b], lengths, capacity - fill[b])
+            since = -1 if changed[d] > compared[d] else compared[d]
+            compared[d] = now
+            partners = [b for b in range(len(bins)) if b != d and fill[d] <= fill[b] < capacity and changed[b] > since]
+            for b in sorted(partners, key=lambda b: -fill[b]):
+                found = exchange(*of(d), of(b)[0], capacity - fill[b])
                 if found is None:
                     continue
                 there, back = found
                 gain = sum(lengths[i] for i in there) - sum(lengths[i] for i in back)
-                bins[d] = [i for i in bins[d] if i not in there] + back
-                bins[b] = [i for i in bins[b] if i not in back] + there
+                bins[d] = [i for i in bins[d] if i not in there] + list(back)
+                bins[b] = [i for i in bins[b] if i not in back] + list(there)
                 fill[d] -= gain
                 fill[b] += gain
-                changed = improved = True
+                known[d] = known[b] = None
+                now += 1
+                changed[d] = changed[b] = latest = now
+                improved = True
+                heappush(waiting, (fill[b], b))
                 if not bins[d]:
                     break
         if not bins[d]:
             left -= 1
-        # A bin that gave away something may free others; one that didn't waits for such a change.
-        stuck = {d} if changed else stuck | {d}
+        else:
+            heappush(waiting, (fill[d], d))
+        if not waiting or compared[waiting[0][1]] >= latest:
+            # Whatever else changed meanwhile may let others improve.
+            waiting = [(fill[b], b) for b in range(len(bins)) if bins[b] and compared[b] < latest]
+            heapify(waiting)
     return [b for b in bins if b]
 
 
-def pack_shard(frame: pd.DataFrame, capacity: int, donors: int = DONORS) -> pd.DataFrame:
+def pack_shard(frame: pd.DataFrame, capacity: int) -> pd.DataFrame:
     """Adds bin, offset and the bin's fill to a shard's pieces."""
     lengths = frame["length"].tolist()
-    bins = local_search(best_fit(lengths, capacity), lengths, capacity, donors)
+    bins = local_search(best_fit(lengths, capacity), lengths, capacity)
     where, offset, filled = (np.zeros(len(lengths), np.int64) for _ in range(3))
     for b, items in enumerate(bins):
         sizes = np.array([lengths[i] for i in items], np.int64)
@@ -218,22 +277,23 @@ def pack_shard(frame: pd.DataFrame, capacity: int, donors: int = DONORS) -> pd.D
 
 
 def pack(
-    pieces: DataFrame, *, capacity: int, shard_pieces: int = SHARD_PIECES, loose: float = 0.99, donors: int = DONORS
+    pieces: DataFrame, *, capacity: int, shard_pieces: int = SHARD_PIECES, loose: float = 0.99
 ) -> DataFrame:
     """Add sequence_id and offset to rows with a column ``length`` between 1 and ``capacity``.
 
-    Runs eagerly: rows are checkpointed so that they keep their shard if a task runs again. Columns
+    Runs eagerly: rows are checkpointed with the random number that deals them out, so that they keep
+    their shard if a task runs again and shards are even however the rows lie. Columns
     other than ``length`` are carried along; shard, bin, fill, sequence_id and offset are replaced.
     """
     pieces = pieces.drop("shard", "bin", "fill", "sequence_id", "offset")
 
     def packed(rows: DataFrame, turn: int) -> DataFrame:
-        rows = cut_lineage(rows)
+        rows = cut_lineage(rows.withColumn("shard", F.rand(turn)))
         shards = max(1, -(-rows.count() // shard_pieces))
-        dealt = rows.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
-        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
-        done = dealt.groupBy("shard").applyInPandas(
-            lambda frame: pack_shard(frame, capacity, donors), f"{fields}, bin long, offset long, fill long"
+        rows = rows.withColumn("shard", F.floor(F.col("shard") * shards))
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        done = rows.groupBy("shard").applyInPandas(
+            lambda frame: pack_shard(frame, capacity), f"{fields}, bin long, offset long, fill long"
         )
         number = F.shiftleft(F.col("shard") * 2 + turn, 32) + F.col("bin")
         return done.withColumn("sequence_id", number).drop("shard", "bin")

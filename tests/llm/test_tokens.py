@@ -4,13 +4,14 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
 from plumbline.llm.byte_bpe import Codec, encode_decode
-from plumbline.llm.packing import ChunkEncoder, best_fit, local_search, pack, pack_documents
+from plumbline.llm.packing import ChunkEncoder, best_fit, choices, exchange, local_search, pack, pack_documents
 from plumbline.llm.token_counts import ChunkCounter, token_counts
 from tokenizers import Tokenizer
 
@@ -136,3 +137,33 @@ def test_shards_are_packed_again_across(spark):
     assert len(rows) == 3000
     total = sum(r.length for r in rows)
     assert check_sequences(rows) <= -(-total // 4096) + 1
+
+
+def test_search_goes_on_until_nothing_improves():
+    rng = random.Random(4)
+    lengths = [rng.randint(1025, 2047) for _ in range(400)]
+    bins = local_search(best_fit(lengths, 4096), lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(400))
+    every = [choices(b, lengths) for b in bins]
+    fill = [sum(lengths[i] for i in b) for b in bins]
+    for d, offers in enumerate(every):
+        sizes = [n for n, _ in offers]
+        for b, back in enumerate(every):
+            if b != d and fill[d] <= fill[b]:
+                assert exchange(offers, sizes, back, 4096 - fill[b]) is None
+
+
+def test_pairs_of_a_bin_of_many_small_pieces_are_offered():
+    lengths = [1] * 60 + [2, 3]
+    assert [n for n, _ in choices(list(range(62)), lengths)] == [1, 2, 2, 3, 3, 4, 5]
+
+
+def test_shards_are_even_however_rows_lie(spark):
+    pieces = spark.range(2048).repartition(512).selectExpr("id", "CAST(100 + id % 900 AS long) AS length")
+    rows = pack(pieces, capacity=4096, shard_pieces=64, loose=0).collect()
+    sizes = Counter(r.sequence_id >> 33 for r in rows)
+    assert len(sizes) == 32 and max(sizes.values()) <= 2 * 64
+    fill = Counter()
+    for r in rows:
+        fill[r.sequence_id] += r.length
+    assert len(rows) == 2048 and max(fill.values()) <= 4096
