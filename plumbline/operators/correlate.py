@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.columns import as_double, half_even, long_form, numeric_columns
+from ..functions.shared_pass import pair_table, scan_states
 from ..session import cut_lineage
 
 # Decision limits.
 STRONG_ABOVE = 0.7
 MANY_STRONG_PAIRS = 3
 
-# A variance this far below the raw second moment is rounding noise.
-NOISE = 1e-13
-
 
 def correlations(
     df: DataFrame,
@@ -28,17 +24,20 @@ def correlations(
     """``(i, j, col1, col2, n, r)`` for every unordered pair of numeric columns.
 
     A pair uses the rows where both values are present; r is NULL if either
-    column is constant on those rows or infinite on one of them. Only partial
-    sums per pair are shuffled; they are exact sums around the columns' means,
-    which one aggregate finds first.
+    column is constant on those rows or infinite on one of them. One scan: each
+    task keeps the pairs' moments around their means, in tiles of columns, and
+    tiles of many tasks are merged level by level.
     """
     names = numeric_columns(df, columns, include_decimal)
     if len(names) < 2:
         return df.sparkSession.createDataFrame(
             [], "i int, j int, col1 string, col2 string, n bigint, r double"
         )
-    cells = df.select(*[as_double(df, c).alias(f"c{i}") for i, c in enumerate(names)])
-    pairs = _moments(cells, _means(cells))
+    return named_pairs(pair_table(scan_states(df, names, pairs=True)), names)
+
+
+def named_pairs(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Pairs of column numbers with the columns' names."""
     label = F.array(*[F.lit(c) for c in names])
     return pairs.select(
         "i",
@@ -50,64 +49,6 @@ def correlations(
     )
 
 
-def _means(cells: DataFrame) -> list[float]:
-    """Mean of each column's finite values, 0 where there are none."""
-    finite = [F.when(F.abs(c) < float("inf"), F.col(c)) for c in cells.columns]
-    return list(cells.agg(*[F.coalesce(F.avg(x), F.lit(0.0)) for x in finite]).first())
-
-
-def _moments(cells: DataFrame, means: list[float]) -> DataFrame:
-    """Sums of products per task as matrices, then added up per pair.
-
-    Values are centred on ``means``, so that squares don't swamp the
-    differences. An infinite value counts as present and makes its pairs NULL.
-    """
-    width = len(cells.columns)
-    centre = np.array(means)
-    upper = np.triu_indices(width, 1)
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((5, width, width))
-        for batch in batches:
-            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            values = values.astype("float64") - centre
-            there, finite = ~np.isnan(values), np.isfinite(values)
-            values[~finite] = 0.0
-            mask = there.astype("float64")
-            endless = (there & ~finite).astype("float64")
-            total[0] += mask.T @ mask
-            total[1] += values.T @ mask
-            total[2] += (values * values).T @ mask
-            total[3] += values.T @ values
-            total[4] += endless.T @ mask + mask.T @ endless
-        n, s, sq, xy, infinite = total
-        columns = [n, s, s.T, sq, sq.T, xy, infinite]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(axis.astype("int32")) for axis in upper]
-            + [pa.array(m[upper]) for m in columns],
-            names=["i", "j", *_SUMS],
-        )
-
-    partial = cells.mapInArrow(sums, "i int, j int, " + ", ".join(f"{c} double" for c in _SUMS))
-    total = partial.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in _SUMS])
-    n = F.col("n")
-    spread_x = F.col("xx") - F.try_divide(F.col("x") * F.col("x"), n)
-    spread_y = F.col("yy") - F.try_divide(F.col("y") * F.col("y"), n)
-    together = F.col("xy") - F.try_divide(F.col("x") * F.col("y"), n)
-    varies = (spread_x > F.col("xx") * NOISE) & (spread_y > F.col("yy") * NOISE)
-    varies &= F.col("infinite") == 0
-    return total.select(
-        "i",
-        "j",
-        n.cast("bigint").alias("n"),
-        # Sums that overflow leave NaN, which no threshold must take for a strong pair.
-        F.when(varies, F.nullif(F.try_divide(together, F.sqrt(spread_x) * F.sqrt(spread_y)), F.lit(float("nan")))).alias("r"),
-    )
-
-
-_SUMS = ["n", "x", "y", "xx", "yy", "xy", "infinite"]
-
-
 def strong_correlations(
     df: DataFrame,
     columns: str | Sequence[str] | None = None,

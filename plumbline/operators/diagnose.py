@@ -17,8 +17,9 @@ from ..functions.columns import (
     present,
     quoted,
 )
-from .correlate import correlations
-from .profile import column_facts, fixed
+from ..functions.shared_pass import SharedPass
+from .correlate import correlations, named_pairs
+from .profile import column_facts, facts_table, fixed
 
 # Decision limits and name patterns of the diagnosis.
 PAIR_THRESHOLD = 0.7
@@ -38,12 +39,6 @@ CRITICAL_PAIRS = 3
 CRITICAL_RATIO = 0.3
 WARNING_SKEWED = 3
 
-# A 512-register sketch can't report more than 11 for ten distinct values (each
-# touches one register, and few touched registers are counted exactly), so a
-# larger estimate proves a column has more than CATEGORY_VALUES.
-SKETCH_ERROR = 0.05
-SKETCH_PROVES_MANY = 2 * CATEGORY_VALUES
-
 
 @dataclass(frozen=True)
 class Lengths:
@@ -161,28 +156,20 @@ def class_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def _hashes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Present values as hashes: never more distinct ones than the values have."""
-    return df.select(
-        *[F.when(present(df, c).isNotNull(), F.xxhash64(present(df, c))).alias(c) for c in columns]
-    )
-
+def hashed_columns(df: DataFrame) -> list[str]:
+    """Columns whose few distinct values a pass can tell from many: all plain ones but text."""
+    return [c for c in plain_columns(df) if not isinstance(df.schema[c].dataType, T.StringType)]
 
-def distinct_sketch(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Estimated distinct values per column: one scan, one sketch per task and column."""
-    if not columns:
-        return {}
-    cells = _hashes(df, columns).unpivot([], [F.col(quoted(c)) for c in columns], "col_name", "h")
-    rows = cells.groupBy("col_name").agg(F.approx_count_distinct("h", SKETCH_ERROR).alias("d"))
-    return {r.col_name: r.d for r in rows.collect()}
 
+def category_candidates(df: DataFrame, state: SharedPass | None = None) -> list[str]:
+    """Text columns, and columns that a pass over the whole table doesn't rule out.
 
-def category_candidates(df: DataFrame) -> list[str]:
-    """Text columns, and columns that a sketch of the whole table doesn't rule out."""
-    names = plain_columns(df)
-    text = {c for c in names if isinstance(df.schema[c].dataType, T.StringType)}
-    sketch = distinct_sketch(df, [c for c in names if c not in text])
-    return [c for c in names if c in text or sketch.get(c, 0) <= SKETCH_PROVES_MANY]
+    ``state`` is a pass with the distinct values of ``hashed_columns``.
+    """
+    others = hashed_columns(df)
+    state = state or SharedPass(df, [], distinct=others)
+    few = state.few_values(CATEGORY_VALUES)
+    return [c for c in plain_columns(df) if c in few or c not in others]
 
 
 def categorical_columns(df: DataFrame) -> DataFrame:
@@ -216,10 +203,10 @@ _IMBALANCE = (
 )
 
 
-def class_imbalance(df: DataFrame, target: str | None = None) -> DataFrame:
+def class_imbalance(df: DataFrame, target: str | None = None, state: SharedPass | None = None) -> DataFrame:
     """One row for the last imbalanced class column (or for ``target``), or none."""
     order = {c: i for i, c in enumerate(df.columns)}
-    names = [target] if target is not None else category_candidates(df)
+    names = [target] if target is not None else category_candidates(df, state)
     if not names:
         return df.sparkSession.createDataFrame([], _IMBALANCE)
     text = [c for c in names if c == target or isinstance(df.schema[c].dataType, T.StringType)]
@@ -277,10 +264,13 @@ def diagnose(
 
     Every column is looked at and listed; ``lengths=SHORT`` gives a short report.
     """
-    facts = fixed(column_facts(df, shape=True))
-    pairs = fixed(multicollinear_pairs(df, threshold, limit=lengths.pairs))
+    numeric = numeric_columns(df)
+    state = SharedPass(df, numeric, pairs=True, distinct=hashed_columns(df) if target is None else [])
+    facts = facts_table(state)
+    strong = multicollinear_pairs(df, threshold, named_pairs(state.pairs(), numeric), lengths.pairs)
+    pairs = fixed(strong)
     skewed = fixed(skewed_features(df, facts, lengths.skewed))
-    imbalance = fixed(class_imbalance(df, target))
+    imbalance = class_imbalance(df, target, state)
     signals = _signals(df, used, facts, pairs, skewed, imbalance, lengths)
     return Diagnosis(
         unused=unused_columns(df, used, lengths),

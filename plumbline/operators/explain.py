@@ -9,8 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import half_even, number_text, numeric_columns, wanted_columns
+from ..functions.shared_pass import SharedPass
 from . import correlate, distribution, outliers as fences
-from .profile import column_facts, fixed, null_counts
+from .profile import facts_table, fixed, null_table
 
 ACTIONS = ("explain", "correlate", "outliers", "profile")
 # How much of each list the summary shows.
@@ -57,28 +58,31 @@ def explain(
     """
     if action not in ACTIONS:
         raise ValueError(f"action must be one of {', '.join(ACTIONS)}")
-    numeric = numeric_columns(df, columns)
-    facts = fixed(column_facts(df, columns, shape=action in ("explain", "profile")))
-    counts = None
-    if action in ("explain", "profile"):
-        counts = fixed(null_counts(df, columns))
-        n_rows = counts.agg(F.max("n_rows")).first()[0] or 0
-    else:
-        n_rows = df.count()
+    numeric, named = numeric_columns(df, columns), wanted_columns(df, columns)
+    paired = action in ("explain", "correlate") and len(numeric) >= 2
+    fenced, shaped = action in ("explain", "outliers"), action in ("explain", "profile")
+    state = SharedPass(
+        df,
+        numeric,
+        pairs=paired,
+        quantiles=fenced and method != "zscore",
+        counted=[c for c in named if c not in numeric] if shaped else [],
+    )
     shape = df.sparkSession.createDataFrame(
-        [(n_rows, len(df.columns), len(numeric))], "n_rows bigint, n_cols int, n_numeric int"
+        [(state.n_rows, len(df.columns), len(numeric))], "n_rows bigint, n_cols int, n_numeric int"
     )
     found: dict[str, DataFrame] = {}
-    if action in ("explain", "correlate") and len(numeric) >= 2:
-        found["correlations"] = correlate.strong_correlations(df, columns, threshold)
-    if action in ("explain", "outliers"):
-        limits = fences.outlier_bounds(df, columns, method, facts)
+    if paired:
+        pairs = correlate.named_pairs(state.pairs(), numeric)
+        found["correlations"] = correlate.strong_correlations(df, columns, threshold, pairs)
+    if fenced:
+        limits = fences.outlier_bounds(df, columns, method, state)
         found["outliers"] = fences.outliers(df, columns, method, limits)
-    if action in ("explain", "profile"):
-        found["distributions"] = distribution.distributions(df, facts=facts)
-        found["missing"] = distribution.missing(df, counts=counts)
+    if shaped:
+        found["distributions"] = distribution.distributions(df, facts=facts_table(state))
+        found["missing"] = distribution.missing(df, counts=null_table(state, named))
     if action == "profile":
-        found["cardinality"] = distribution.cardinality(df, wanted_columns(df, columns))
+        found["cardinality"] = distribution.cardinality(df, named)
     return Findings(shape, **{name: fixed(report) for name, report in found.items()})
 
 

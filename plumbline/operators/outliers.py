@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import as_double, long_form, numeric_columns
-from .profile import column_facts, fixed, with_quantiles
+from ..functions.shared_pass import SharedPass
+from .profile import fixed
 
 # Decision limits.
 MIN_VALUES = 10
@@ -20,26 +21,29 @@ def outlier_bounds(
     df: DataFrame,
     columns: str | Sequence[str] | None = None,
     method: str = "auto",
-    facts: DataFrame | None = None,
+    state: SharedPass | None = None,
 ) -> DataFrame:
     """``(col_pos, col_name, n, mean, std, lower, upper)`` per column that can be tested.
 
     Columns with fewer than ten values or a zero quartile range are left out.
     The bounds are computed here, so that applying them is one further scan.
+    ``state`` is a pass over the same columns, with quantile summaries unless
+    the method is ``zscore``.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
-    facts = facts if facts is not None else fixed(column_facts(df, columns))
-    enough = facts.where(F.col("n") >= MIN_VALUES)
+    state = state or SharedPass(df, numeric_columns(df, columns), quantiles=method != "zscore")
+    enough = {f["col_name"]: f for f in state.facts() if f["n"] >= MIN_VALUES}
     if method == "zscore":
-        low, high = (F.col("mean") + side * Z_LIMIT * F.col("std") for side in (-1, 1))
+        limits = {c: [f["mean"] + side * Z_LIMIT * f["std"] for side in (-1, 1)] for c, f in enough.items()}
     else:
-        quartiles = with_quantiles(df, fixed(enough), (0.25, 0.75), ("q1", "q3"))
-        enough = quartiles.where(F.col("q3") != F.col("q1"))
-        reach = (F.col("q3") - F.col("q1")) * FENCE
-        low, high = F.col("q1") - reach, F.col("q3") + reach
-    return enough.select(
-        "col_pos", "col_name", "n", "mean", "std", low.alias("lower"), high.alias("upper")
+        quartiles = state.quantiles((0.25, 0.75), list(enough))
+        # NaN, from infinite quartiles, equals itself here.
+        varied = {c: (q1, q3) for c, (q1, q3) in quartiles.items() if q1 != q3 and not (q1 != q1 and q3 != q3)}
+        limits = {c: [q1 - (q3 - q1) * FENCE, q3 + (q3 - q1) * FENCE] for c, (q1, q3) in varied.items()}
+    return df.sparkSession.createDataFrame(
+        [tuple(enough[c][k] for k in ("col_pos", "col_name", "n", "mean", "std")) + tuple(lim) for c, lim in limits.items()],
+        "col_pos int, col_name string, n bigint, mean double, std double, lower double, upper double",
     )
 
 

@@ -16,7 +16,7 @@ from ..functions.columns import (
     with_position,
 )
 from ..functions.moments import sample_kurtosis, sample_skewness, sample_std
-from ..functions.order_stats import ColumnCells, Extent, quantiles
+from ..functions.shared_pass import SharedPass
 
 QUARTILES = (0.25, 0.5, 0.75)
 APPROX_ACCURACY = 10_000
@@ -150,14 +150,13 @@ def describe(
 ) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles per numeric column.
 
-    Quartiles are exact (two or more scans, see ``functions.order_stats``), which
-    runs when this is called; ``approx`` takes Spark's sketch in the same lazy pass.
+    Quartiles are exact. One scan keeps moments and a quantile summary of each column, a second one
+    settles the quartiles (``functions.shared_pass``); both run when this is called. ``approx`` takes
+    Spark's sketch in one lazy pass.
     """
     names = numeric_columns(df, columns, include_decimal)
-    facts = column_facts(df, columns, include_decimal=include_decimal)
-    if not names:
-        return facts.select("*", *[F.lit(None).cast("double").alias(q) for q in ("p25", "p50", "p75")])
-    if approx:
+    if approx and names:
+        facts = column_facts(df, columns, include_decimal=include_decimal)
         cuts = (
             long_form(df, names)
             .groupBy("col_name")
@@ -169,8 +168,9 @@ def describe(
             facts["*"], *[F.col("q")[i].alias(n) for i, n in enumerate(("p25", "p50", "p75"))]
         )
         return _describe_order(table)
-    facts = fixed(facts)
-    return _describe_order(with_quantiles(df, facts, QUARTILES, ("p25", "p50", "p75")))
+    state = SharedPass(df, names, quantiles=True)
+    cuts = state.quantiles(QUARTILES)
+    return _describe_order(facts_table(state, {n: {c: q[i] for c, q in cuts.items()} for i, n in enumerate(("p25", "p50", "p75"))}))
 
 
 def _describe_order(table: DataFrame) -> DataFrame:
@@ -179,14 +179,23 @@ def _describe_order(table: DataFrame) -> DataFrame:
     )
 
 
-def with_quantiles(
-    df: DataFrame, facts: DataFrame, probabilities: Sequence[float], names: Sequence[str]
-) -> DataFrame:
-    """Join exact quantiles to ``fixed`` column facts, reusing their counts and extremes."""
-    known = {r["col_name"]: Extent(r["n"], r["min"], r["max"]) for r in facts.collect()}
-    found = quantiles(ColumnCells(df, list(known)), probabilities, known) if known else {}
-    cuts = df.sparkSession.createDataFrame(
-        [(c, *q) for c, q in found.items()],
-        "col_name string, " + ", ".join(f"{quoted(n)} double" for n in names),
+def facts_table(state: SharedPass, extra: dict[str, dict[str, float | None]] | None = None) -> DataFrame:
+    """The facts of a pass, as ``column_facts`` with shape gives them, and more columns of doubles by name."""
+    extra = extra or {}
+    lines = [
+        (f["col_pos"], f["col_name"], f["dtype"], *[f[c] for c, _ in _FACT_TYPES], *[v[f["col_name"]] for v in extra.values()])
+        for f in state.facts()
+    ]
+    types = [*_FACT_TYPES, *[(n, "double") for n in extra]]
+    return state.df.sparkSession.createDataFrame(
+        lines, "col_pos int, col_name string, dtype string, " + ", ".join(f"{quoted(c)} {t}" for c, t in types)
+    )
+
+
+def null_table(state: SharedPass, columns: Sequence[str]) -> DataFrame:
+    """``null_counts`` of columns that a pass has looked at."""
+    found = state.present_counts()
+    return state.df.sparkSession.createDataFrame(
+        [(i, c, state.n_rows, state.n_rows - found[c]) for i, c in enumerate(columns)],
+        "col_pos int, col_name string, n_rows bigint, null_count bigint",
     )
-    return facts.join(F.broadcast(cuts), "col_name", "left")

@@ -90,7 +90,7 @@ def overview_orders(spark, folder):
 
 @query(
     "head_orders",
-    "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20",
+    "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 50",
 )
 def head_orders(spark, folder):
     df = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")

@@ -7,9 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import order_stats
-from plumbline.functions.order_stats import ColumnCells, GroupedCells, order_statistics, quantiles
-from plumbline.operators import correlate, distribution, outliers, profile
+from plumbline.functions.shared_pass import SharedPass, Summary, exact_ranks
+from plumbline.operators import correlate, diagnose, distribution, explain, outliers, profile
 
 
 def rows(df, *keys):
@@ -21,14 +20,11 @@ def lineitem(spark):
     return spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
 
 
-@pytest.fixture()
-def narrow_ranges(monkeypatch):
-    """Force several narrowing passes on small data."""
-    monkeypatch.setattr(order_stats, "SMALL_RANGE", 3)
-    monkeypatch.setattr(order_stats, "BUCKETS", 4)
+PROBABILITIES = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
 
 
-PROBABILITIES = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
+def quantiles(df, column="v", probabilities=PROBABILITIES):
+    return SharedPass(df, [column], quantiles=True).quantiles(probabilities)[column]
 
 
 @pytest.mark.parametrize(
@@ -43,40 +39,114 @@ PROBABILITIES = [0, 0.1, 0.25, 0.5, 0.75, 0.99, 1]
         [1.0, 2.0],
     ],
 )
-def test_quantiles_are_exact(spark, narrow_ranges, values):
+def test_quantiles_are_exact(spark, values):
     df = spark.createDataFrame([(float(v),) for v in values], "v double")
-    found = quantiles(ColumnCells(df, ["v"]), PROBABILITIES)["v"]
     with np.errstate(over="ignore"):
         # Order statistics must be values of the column; interpolation is linear.
         expected = [float(pd.Series(values, dtype="float64").quantile(p)) for p in PROBABILITIES]
-    finite = [(a, b) for a, b in zip(found, expected) if math.isfinite(b)]
+    finite = [(a, b) for a, b in zip(quantiles(df), expected) if math.isfinite(b)]
     assert np.allclose(*zip(*finite), rtol=1e-12)
 
 
-def test_quantiles_with_infinities_and_missing(spark, narrow_ranges):
+@pytest.mark.parametrize(
+    "value",
+    [
+        "pmod(hash(id), 1000003) * 1.5",
+        "exp(pmod(hash(id), 1000) / 20.0) + id",
+        "CASE WHEN id % 10 < 9 THEN 7 ELSE id END",  # one value in 90 % of the rows
+        "CASE WHEN id % 3 = 0 THEN double('-infinity') WHEN id % 3 = 1 THEN id ELSE NULL END",
+        "CASE WHEN id % 5 = 0 THEN double('nan') WHEN id % 50 = 1 THEN double('infinity') ELSE -id END",
+        "id * id",
+    ],
+)
+def test_brackets_settle_every_rank(spark, value):
+    # Blocks are full and summaries reduced, so the second scan decides.
+    df = spark.range(0, 300_000, numPartitions=3).selectExpr(f"CAST({value} AS double) AS v")
+    values = np.sort(df.where("v IS NOT NULL AND NOT isnan(v)").toPandas()["v"].to_numpy())
+    ranks = [0, 1, len(values) // 3, len(values) // 2, len(values) - 2, len(values) - 1]
+    state = SharedPass(df, ["v"], quantiles=True)
+    found = exact_ranks(df, {"v": ranks}, {"v": state._columns[0].quantiles[0]})
+    assert [found["v", r] for r in ranks] == values[ranks].tolist()
+
+
+def test_summaries_keep_their_bound():
+    rng = np.random.default_rng(8)
+    for draw in (lambda n: rng.normal(size=n), lambda n: rng.integers(0, 50, n) ** 3.0, lambda n: np.exp(rng.normal(0, 9, n))):
+        blocks = [draw(int(rng.integers(1, 4000))) for _ in range(40)]
+        summary = Summary.merged([Summary.of(b).reduced(64) for b in blocks], 64)
+        values = np.sort(np.concatenate(blocks))
+        assert summary.weights.sum() == len(values) and len(summary.points) <= 65
+        upto = np.searchsorted(summary.points, values, "right")
+        estimate = np.append(0, np.cumsum(summary.weights))[upto]
+        assert np.abs(estimate - np.searchsorted(values, values, "right")).max() <= summary.error
+        for rank in range(0, len(values), 997):
+            lo, hi = summary.bracket(rank)
+            assert (lo is None or lo < values[rank]) and values[rank] <= hi or lo == hi == values[rank]
+
+
+def test_quantiles_with_infinities_and_missing(spark):
     values = [float("-inf"), 1.0, 2.0, 3.0, 4.0, 5.0, float("inf"), float("nan"), None]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    found = quantiles(ColumnCells(df, ["v"]), [0, 0.5, 1])["v"]
-    assert found == [float("-inf"), 3.0, float("inf")]
+    assert quantiles(df, "v", [0, 0.5, 1]) == [float("-inf"), 3.0, float("inf")]
+
+
+def test_pass_equals_aggregates(spark):
+    df = spark.range(0, 20_000, numPartitions=7).selectExpr(
+        "1e9D + id % 3 AS far", "CASE WHEN id % 4 = 0 THEN NULL ELSE sqrt(id) END AS gaps", "pow(id, 5) AS steep",
+        "2.5D AS same", "CASE WHEN id = 9 THEN double('infinity') ELSE id END AS endless",
+        "CASE WHEN id > 19000 THEN 0.1D * id END AS late", "CAST(NULL AS double) AS none",
+    )
+    state = SharedPass(df, df.columns, pairs=True)
+    want = rows(profile.column_facts(df, shape=True), "col_name")
+    for fact in state.facts():
+        for key in ("n_rows", "n", "mean", "std", "min", "max", "skewness", "kurtosis"):
+            expected = want[fact["col_name"]][key]
+            close = expected if expected is None else pytest.approx(expected, rel=1e-9, abs=1e-6, nan_ok=True)
+            assert fact[key] == close, (fact["col_name"], key)
+    table = df.toPandas().replace([np.inf, -np.inf], np.nan)
+    r = (table - table.mean()).corr()
+    for p in state.pairs().collect():
+        a, b = df.columns[p.i], df.columns[p.j]
+        assert p.n == (df.toPandas()[[a, b]].notna().all(axis=1)).sum()
+        if "endless" in (a, b) or "same" in (a, b) or "none" in (a, b):
+            assert p.r is None
+        else:
+            assert p.r == pytest.approx(r.loc[a, b], abs=1e-7), (a, b)
+
+
+def test_wide_tables_are_paired_in_tiles(spark):
+    wide = spark.range(0, 300, numPartitions=3).select(
+        *[((F.hash("id", F.lit(i)) % 100) + (F.col("id") if i % 7 == 0 else 0)).cast("double").alias(f"c{i}") for i in range(200)]
+    )
+    found = {(p.i, p.j): p.r for p in correlate.correlations(wide).collect()}
+    r = wide.toPandas().corr().to_numpy()
+    assert len(found) == 200 * 199 // 2
+    assert all(abs(found[i, j] - r[i, j]) < 1e-9 for i, j in found)
 
 
-def test_order_statistics_of_groups_of_long_integers(spark, narrow_ranges):
-    big = 2**60
-    cells = spark.createDataFrame(
-        [("a", big + i * 3) for i in range(50)] + [("b", -i) for i in range(7)],
-        "col_name string, x bigint",
-    )
-    found = order_statistics(GroupedCells(cells), {"a": [0, 17, 49], "b": [2]})
-    assert found == {("a", 0): big, ("a", 17): big + 51, ("a", 49): big + 147, ("b", 2): -4}
+def scans(spark, df, action):
+    """How often an action reads the table's rows."""
+    read = spark.sparkContext.accumulator(0)
 
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
 
-def test_rank_outside_group_is_an_error(spark):
-    cells = spark.createDataFrame([("a", 1.0)], "col_name string, x double")
-    with pytest.raises(ValueError):
-        order_statistics(GroupedCells(cells), {"a": [1]})
+    action(df.mapInArrow(passed, df.schema))
+    return read.value / df.count()
+
+
+def test_few_scans(spark, lineitem):
+    table = lineitem.select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linenumber")
+    assert scans(spark, table, lambda df: profile.describe(df).collect()) <= 2
+    assert scans(spark, table, lambda df: correlate.correlations(df).collect()) == 1
+    assert scans(spark, table, lambda df: explain.explain(df).table().collect()) <= 3
+    assert scans(spark, table, lambda df: diagnose.diagnose(df).recommendations.collect()) <= 3
+    assert scans(spark, table, lambda df: outliers.outliers(df).collect()) <= 3
 
 
-def test_describe_equals_pandas(spark, lineitem, narrow_ranges):
+def test_describe_equals_pandas(spark, lineitem):
     found = profile.describe(lineitem).toPandas().set_index("col_name")
     table = lineitem.toPandas()
     expected = table[list(found.index)].describe().T
