@@ -2,19 +2,18 @@
 
 Everything is grouped by ``experiment``, so one job compares any number of them.
 An experiment may hold a large part of all runs: its rows are numbered in parts
-and neighbours are joined by number, not by a window over the experiment, and
-the rest are aggregates that combine before the shuffle.
+that know how the part before them ended, not by a window over the experiment,
+and the rest is one aggregate that combines before the shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import half_even, number_text
-from ..functions.numbering import numbered
-from ..session import cut_lineage
+from ..functions.numbering import numbered_with_lags
 
 # Decision limits.
 TREND_STEP = 1
@@ -37,19 +36,12 @@ def experiment(spark: SparkSession, job_ids: str | Sequence[str], name: str = "e
 
 
 def lagged(rows: DataFrame, depth: int) -> DataFrame:
-    """The rows with ``nth`` and the accuracies of the ``depth`` rows before each.
+    """The rows with ``nth``, the accuracies of the ``depth`` rows before each, and the last one that is there.
 
-    Missing iterations leave no gap and repeated ones are rows of their own. The
-    join key (experiment, nth) is unique, so a huge experiment is spread out.
+    Missing iterations leave no gap and repeated ones are rows of their own. A
+    huge experiment is spread over parts, see ``numbered_with_lags``.
     """
-    table = cut_lineage(numbered(rows, "experiment", ["iteration", "job_id"]))
-    out = table
-    for step in range(1, depth + 1):
-        earlier = table.select(
-            "experiment", (F.col("nth") + step).alias("nth"), F.col("accuracy").alias(f"accuracy_{step}")
-        )
-        out = out.join(earlier, ["experiment", "nth"], "left")
-    return out
+    return numbered_with_lags(rows, "experiment", ["iteration", "job_id"], "accuracy", depth)
 
 
 def iterations(
@@ -90,6 +82,7 @@ def iterations(
         "accuracy",
         delta.alias("accuracy_delta"),
         earlier.alias("previous_delta"),
+        "accuracy_before",
         F.when(F.col("known"), F.coalesce("convergence", F.lit("unknown"))).alias("convergence"),
         "loss_first",
         "loss_last",
@@ -107,32 +100,18 @@ def compare(table: DataFrame) -> DataFrame:
     """One row per experiment from ``iterations``: best run, trend, stop advice, summary.
 
     The summary names the first and last accuracy; ``comparison_lines`` has all.
-
-    The iteration table (one row per run) is stored first: two aggregates read
-    it, and each would otherwise parse the logs again.
     """
-    table = cut_lineage(table)
     acc, at = F.col("accuracy"), F.col("nth")
-    groups = table.groupBy("experiment").agg(
+    valid_at = F.when(acc.isNotNull(), at)
+    joined = table.groupBy("experiment").agg(
         F.count(F.lit(1)).alias("n_iterations"),
         F.count("accuracy").alias("n_valid"),
         F.max(F.when(acc.isNotNull(), F.struct(acc.alias("a"), (-at).alias("o"), F.col("iteration").alias("i")))).alias("best"),
         F.max_by(F.struct("accuracy_delta", "previous_delta"), at).alias("recent"),
-        F.min_by("accuracy", F.when(acc.isNotNull(), at)).alias("first_accuracy"),
-    )
-    newest = W.partitionBy("experiment").orderBy(F.desc("nth"))
-    ends = (
-        table.where(acc.isNotNull())
-        .select("experiment", "nth", "accuracy")
-        .withColumn("from_end", F.row_number().over(newest))
-        .where(F.col("from_end") <= 2)
-        .groupBy("experiment")
-        .agg(
-            F.max(F.when(F.col("from_end") == 1, acc)).alias("last"),
-            F.max(F.when(F.col("from_end") == 2, acc)).alias("previous"),
-        )
+        F.min_by("accuracy", valid_at).alias("first_accuracy"),
+        F.max_by("accuracy", valid_at).alias("last"),
+        F.max_by("accuracy_before", valid_at).alias("previous"),
     )
-    joined = groups.join(ends, "experiment", "left")
     last, previous = F.col("last"), F.col("previous")
     best_accuracy = F.coalesce(F.col("best.a"), F.lit(0.0))
     deltas = F.filter(

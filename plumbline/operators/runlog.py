@@ -10,11 +10,16 @@ Accuracies are percentages; values on a 0-1 scale are taken as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import log_patterns as P
 from ..functions.columns import half_even
 from ..functions.numbering import numbered
+from ..session import cut_lineage
 
 # Tail length and decision limits.
 TRACE_TAIL = 100
@@ -49,10 +54,14 @@ def tail(lines: DataFrame, n: int = LOG_TAIL) -> DataFrame:
 def finished_lines(
     lines: DataFrame, runs: DataFrame, n: int | None = TRACE_TAIL
 ) -> DataFrame:
-    """Log lines of finished runs; a run whose log is blank gives its stored output."""
+    """Log lines of finished runs; a run whose log is blank gives its stored output.
+
+    Tails are kept, ``n`` lines a run at most, because they are looked at twice.
+    """
     done = runs.where(F.col("status").isin(*FINISHED))
-    logs = tail(lines, n) if n else lines
-    logs = logs.join(done.select(F.col("id").alias("job_id")), "job_id", "left_semi")
+    ended = done.select(F.col("id").alias("job_id"))
+    logs = cut_lineage(tail(lines, n)) if n else lines
+    logs = logs.join(ended, "job_id", "left_semi")
     written = logs.groupBy("job_id").agg(F.max(F.col("line").rlike(r"\S")).alias("has_text"))
     silent = done.join(
         written.where("has_text"), F.col("id") == F.col("job_id"), "left_anti"
@@ -88,6 +97,10 @@ def extract_metrics(lines: DataFrame) -> DataFrame:
     )
 
 
+# What ``extract_metrics`` finds on a line.
+METRICS = ("epoch", "loss", "accuracy", "confusion", "precision", "recall", "f1", "features_used", "params")
+
+
 def first_seen(name: str) -> Column:
     return F.min_by(name, F.when(F.col(name).isNotNull(), F.col("line_no")))
 
@@ -133,31 +146,93 @@ def recent_accuracies(metrics: DataFrame, n: int = RECENT) -> DataFrame:
 
 def convergence(recent: DataFrame) -> DataFrame:
     """``(job_id, convergence)`` from the last three accuracies; NULL with fewer."""
-    value, at = F.col("accuracy"), F.col("from_end")
-    last = F.max(F.when(at == 1, value))
-    first = F.max(F.when(at == RECENT, value))
-    verdict = (
-        F.when(F.count(value) < RECENT, None)
-        .when(F.max(value) - F.min(value) < PLATEAU_RANGE, "plateau")
-        .when(last > first, "improving")
+    last = recent.groupBy("job_id").agg(latest_accuracies().alias("latest"))
+    return last.select("job_id", convergence_of(F.col("latest")).alias("convergence"))
+
+
+def latest_accuracies(n: int = RECENT) -> Column:
+    """The last ``n`` accuracies of a group of few rows, newest first."""
+    found = F.collect_list(F.when(F.col("accuracy").isNotNull(), F.struct("line_no", "accuracy")))
+    return F.slice(F.sort_array(found, asc=False), 1, n)["accuracy"]
+
+
+def convergence_of(latest: Column) -> Column:
+    """What the last three accuracies, newest first, say."""
+    spread = F.array_max(latest) - F.array_min(latest)
+    return (
+        F.when(F.size(latest) < RECENT, None)
+        .when(spread < PLATEAU_RANGE, "plateau")
+        .when(F.get(latest, F.lit(0)) > F.get(latest, F.lit(RECENT - 1)), "improving")
         .otherwise("overfitting")
     )
-    return recent.groupBy("job_id").agg(verdict.alias("convergence"))
+
+
+def decisive(metrics: DataFrame, n: int = RECENT) -> DataFrame:
+    """The few metric lines of each run that its results depend on, found in the tasks that read them.
+
+    These are, per task and run, the first and last line of each metric, those of
+    the largest epoch and the best accuracy, and the last ``n`` with an accuracy.
+    Aggregates over what is left give the same results as over all lines.
+    """
+    names = [c for c in metrics.columns if c not in ("job_id", "line_no")]
+
+    def needed(table: pa.Table) -> pa.Table:
+        job = table.column("job_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        line = table.column("line_no").to_numpy()
+        order = np.lexsort((line, job))
+        kept = np.zeros(len(table), bool)
+
+        def ends(rows: np.ndarray, most: int) -> None:
+            """The first row and the last few of each run among ordered rows."""
+            fresh = np.append(True, job[rows][1:] != job[rows][:-1])
+            kept[rows[fresh]] = True
+            last = np.flatnonzero(np.append(fresh[1:], True))
+            for k in range(most):
+                kept[rows[np.maximum(last - k, 0)]] = True
+
+        ends(order, 1)  # a run without any metric has a row, too
+        for name in names:
+            there = table.column(name).is_valid().to_numpy()
+            rows = order[there[order]]
+            if not len(rows):
+                continue
+            ends(rows, n if name == "accuracy" else 1)
+            if name in ("epoch", "accuracy"):
+                value = table.column(name).to_numpy()
+                ends(rows[np.lexsort((value[rows], job[rows]))], 1)
+        return table.filter(pa.array(kept))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, limit = None, 0
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            # What is held is looked through again when it has doubled.
+            if len(held) > limit:
+                held = needed(held)
+                limit = 2 * len(held) + 50_000
+        if held is not None and len(held):
+            yield from needed(held).combine_chunks().to_batches()
+
+    return metrics.mapInArrow(work, metrics.schema)
 
 
 def trace(lines: DataFrame, runs: DataFrame | None = None, tail_lines: int | None = TRACE_TAIL) -> DataFrame:
     """One row per run: losses, accuracies, convergence, the last of every other metric.
 
     With ``runs``, finished runs only, their status beside; ``tail_lines=None``
-    reads whole logs.
+    reads whole logs. A log is read and parsed once: tails are short, and of
+    whole logs each task passes on the lines that decide alone.
     """
     if runs is not None:
         lines = finished_lines(lines, runs, tail_lines)
     elif tail_lines:
         lines = tail(lines, tail_lines)
     metrics = extract_metrics(lines)
-    results = metrics.groupBy("job_id").agg(*run_aggregates())
-    results = results.join(convergence(recent_accuracies(metrics)), "job_id", "left")
+    if not tail_lines:
+        metrics = decisive(metrics.select("job_id", "line_no", *METRICS))
+    results = metrics.groupBy("job_id").agg(*run_aggregates(), latest_accuracies().alias("latest"))
+    results = results.withColumn("convergence", convergence_of(F.col("latest"))).drop("latest")
     if runs is not None:
         done = runs.where(F.col("status").isin(*FINISHED))
         results = done.select(F.col("id").alias("job_id"), "status").join(results, "job_id", "left")

@@ -236,7 +236,7 @@ ITERATIONS_SQL = f"""{results_sql(None)}, experiments AS ({EXPERIMENTS_SQL}),
 def compare_iterations(spark, folder):
     views(spark, folder, "events")
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    return compare.iterations(spark.sql(EXPERIMENTS_SQL), traced).drop("nth")
+    return compare.iterations(spark.sql(EXPERIMENTS_SQL), traced).drop("nth", "accuracy_before")
 
 
 @query(

@@ -1,8 +1,11 @@
 """Run logs, comparison rules, task reports, streaming."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions.numbering import numbered_with_lags
 from plumbline.operators import compare, diagnose, runlog, runs
 from plumbline.streaming.run_metrics import RunBoard, live_metrics, windowed_metrics
 
@@ -274,3 +277,68 @@ def test_closed_windows_equal_batch(spark, tmp_path):
     batch = {(r.job_id, r.during.start): r.asDict(True) for r in windowed_metrics(frame).collect()}
     assert 0 < len(closed) < len(batch)
     assert all(batch[k] == v for k, v in closed.items())
+
+
+@pytest.mark.parametrize("parts", [1, 4, 60])
+def test_lags_go_on_across_parts(spark, parts):
+    rng = random.Random(parts)
+    rows = []
+    for key, n in (("a", 1), ("b", 90), ("c", 3), (None, 25), ("d", 1), ("e", 40)):
+        rows += [(key, i, f"j{i}", rng.choice([None, float(i), rng.random()])) for i in range(n)]
+    rows += [("b", 7, "j7", 1.0), ("b", 7, "k", None)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1], r[2], r[3] is not None, r[3] or 0))
+        values = [r[3] for r in mine]
+        for n in range(len(mine)):
+            before = [v for v in values[:n] if v is not None]
+            lags = [values[n - k] if n >= k else None for k in (1, 2, 3)]
+            want[key, n + 1] = (mine[n][1], mine[n][2], *lags, before[-1] if before else None)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, o int, j string, v double")
+        found = numbered_with_lags(df, "k", ["o", "j", "v"], "v", 3).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r.k, r.nth): (r.o, r.j, r.v_1, r.v_2, r.v_3, r.v_before) for r in found} == want
+    assert len(found) == len(rows)
+
+
+def test_decisive_lines_decide(spark):
+    rng = random.Random(1)
+    lines = []
+    for job in ("a", "b", "c", "hot"):
+        for n in range(4000 if job == "hot" else rng.choice([1, 2, 40])):
+            text = rng.choice(
+                [f"Epoch {rng.randrange(90)} loss: {rng.random():.3f}", f"acc: {rng.random() * 100:.2f}%", "saved",
+                 f"TP: {n} FP: 1 FN: 2 TN: 3", f"F1: 0.{n % 10} Params: {n}", f"Precision: 0.5 Features: {n}"]
+            )
+            lines.append((job, n, text))
+    rng.shuffle(lines)
+    df = spark.createDataFrame(lines, "job_id string, line_no long, line string").repartition(5)
+    metrics = runlog.extract_metrics(df).select("job_id", "line_no", *runlog.METRICS)
+    few = runlog.decisive(metrics)
+    assert few.count() < 4 * 5 * 30
+
+    def results(rows):
+        return rows.groupBy("job_id").agg(*runlog.run_aggregates(), runlog.latest_accuracies().alias("latest")).collect()
+
+    assert sorted(map(repr, results(few))) == sorted(map(repr, results(metrics)))
+    assert runlog.decisive(metrics.limit(0)).count() == 0
+
+
+def test_a_whole_log_is_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    lines = spark.range(3000).selectExpr("concat('j', id % 3) AS job_id", "id AS line_no", "concat('acc: ', id % 100) AS line")
+    traced = runlog.trace(lines.mapInArrow(passed, lines.schema), tail_lines=None)
+    assert traced.count() == 3 and read.value == 3000
+    assert {r.convergence for r in traced.collect()} <= {"improving", "overfitting", "plateau"}

@@ -108,7 +108,7 @@ def test_pass_equals_aggregates(spark):
     for p in state.pairs().collect():
         a, b = df.columns[p.i], df.columns[p.j]
         assert p.n == (df.toPandas()[[a, b]].notna().all(axis=1)).sum()
-        if "endless" in (a, b) or "same" in (a, b) or "none" in (a, b):
+        if {a, b} != {"endless", "late"} and "endless" in (a, b) or "same" in (a, b) or "none" in (a, b):
             assert p.r is None
         else:
             assert p.r == pytest.approx(r.loc[a, b], abs=1e-7), (a, b)
