@@ -131,33 +131,48 @@ def clock_seconds(df: DataFrame, name: str) -> Column:
 
 
 SPLIT = float(2**27 + 1)
-EXACT_BELOW = float(2**26)
+WHOLE_FROM = float(2**53)
+
+
+def _halves(size):
+    """Two numbers of few bits each that add up to ``size``."""
+    high = size * SPLIT - (size * SPLIT - size)
+    return high, size - high
 
 
 def _steps(size: Column, digits: int) -> Column:
     """``size`` in whole steps of ``10**-digits``, rounded from its exact binary value.
 
-    The number is split into two halves of few bits, whose products with the
-    scale are exact. So the distance to the midpoint between two steps is known
-    exactly, and only true midpoints go to the even step. (2.675 is stored a
-    little below the midpoint and goes down; rounding its decimal text would not.)
+    The product with the scale is rounded, and what that rounding lost is found
+    exactly from the halves of both factors. So the distance to the midpoint
+    between two steps is known exactly, and only true midpoints go to the even
+    step. (2.675 is stored a little below the midpoint and goes down; rounding
+    its decimal text would not.)
     """
     scale = float(10**digits)
-    high = size * SPLIT - (size * SPLIT - size)
-    low = size - high
-    whole = F.floor(high * scale)
-    over, needed = high * scale - whole - 0.5, -(low * scale)
-    up = (over > needed) | ((over == needed) & (whole % 2 == 1))
-    return whole + F.when(up, 1).otherwise(0)
+    (high, low), (scale_high, scale_low) = _halves(size), _halves(scale)
+    product = size * scale
+    lost = ((high * scale_high - product) + high * scale_low + low * scale_high) + low * scale_low
+    over = product % 1.0
+    whole = product - over
+    odd = whole % 2.0 == 1.0
+    up = (over - 0.5 > -lost) | ((over - 0.5 == -lost) & odd)
+    # From 2**52 on a product is whole, and what was lost may be half a step.
+    down = (over == 0.0) & (lost == -0.5) & odd
+    return whole + F.when(up, 1.0).when(down, -1.0).otherwise(0.0)
 
 
 def half_even(value: Column, digits: int) -> Column:
-    """Rounding as Python's ``round`` does it, used wherever a rounded number decides something."""
+    """Rounding as Python's ``round`` does it, used wherever a rounded number decides something.
+
+    Numbers of 2**53 steps and more lie further apart than a step: the nearest one
+    to the rounded number is the number itself.
+    """
     value = value.cast("double")
     size = F.abs(value)
     rounded = _steps(size, digits) / float(10**digits)
     exact = F.when(value < 0, -rounded).otherwise(rounded)
-    return F.when(size * float(10**digits) < EXACT_BELOW, exact).otherwise(F.bround(value, digits))
+    return F.when(size * float(10**digits) < WHOLE_FROM, exact).otherwise(value)
 
 
 def number_text(value: Column, digits: int, signed: bool = False) -> Column:

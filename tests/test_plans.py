@@ -1,7 +1,10 @@
 """Plan shapes that decide whether a job survives large data, and exact rounding."""
 
+import math
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +93,43 @@ def test_rounding_is_exact(spark):
             assert row.t == f"{row.v:.{digits}f}"
     null = spark.sql("SELECT CAST(NULL AS double) AS v").select(number_text(F.col("v"), 1), half_even(F.col("v"), 1))
     assert tuple(null.first()) == (None, None)
+
+
+def test_rounding_at_any_size(spark):
+    rng = random.Random(12)
+    values = [700000.005, 1e15 + 0.125, 2.0**52 + 0.5, 4503599627370497.5, 1e300, 2.0**53 / 100, 45035996273704.965]
+    values += [rng.choice([-1, 1]) * rng.random() * 10 ** rng.uniform(-3, 15.9) for _ in range(150_000)]
+    # Ties and their neighbours: halves of a step at every size.
+    for _ in range(100_000):
+        tie = (2 * rng.randrange(int(10 ** rng.uniform(1, 15))) + 1) / (2 * 10 ** rng.choice([1, 2, 3]))
+        values += [tie, math.nextafter(tie, 0), math.nextafter(tie, math.inf)]
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    for digits in (0, 1, 2, 4):
+        got = df.select("v", half_even(F.col("v"), digits).alias("r")).toPandas()
+        want = np.array([round(v, digits) for v in got["v"]])
+        assert (got["r"].to_numpy() == want).all()
+    odd = spark.createDataFrame([(float("inf"),), (float("-inf"),), (float("nan"),)], "v double")
+    assert [str(r.r) for r in odd.select(half_even(F.col("v"), 2).alias("r")).collect()] == ["inf", "-inf", "nan"]
+
+
+def test_ranks_of_a_value_that_fills_a_column(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", 20)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = spark.range(0, 20_000, numPartitions=4).selectExpr(
+            "CASE WHEN id % 10 > 0 THEN 5 ELSE id END AS hot", "pmod(hash(id), 97) AS ties", "double(id * id) AS all",
+            "CASE WHEN id % 500 = 0 THEN double('infinity') ELSE -id END AS ends", "CAST(1 AS double) AS same",
+        )
+        found = {(r.col1, r.col2): r.r for r in correlate.spearman(table).collect()}
+        cells = table.selectExpr("0 AS col", "monotonically_increasing_id() AS row", "double(hot) AS x")
+        sizes = [
+            n for (n,) in correlate.average_ranks(cells).groupBy(F.spark_partition_id()).count().select("count").collect()
+        ]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = table.toPandas().rank().corr()
+    for (a, b), r in found.items():
+        assert r is None if "same" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
+    assert len(sizes) == 20 and max(sizes) <= 2 * sorted(sizes)[10]
