@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import quoted
+from .quoted import read_quoted
 
 # Texts that mean "missing" in a delimited file.
 MISSING_TEXT = (
@@ -66,14 +67,17 @@ def read_delimited(
 ) -> DataFrame:
     """A delimited file with a header: missing texts become NULL, then types are inferred.
 
-    Quoted fields may hold line ends with ``multi_line``; each file is then read by
-    one task, so it is not the default. Integers of 64 bits stay integers.
+    Quoted fields may hold line ends with ``multi_line``, which takes two more
+    looks at the lines (``sources.quoted``). Integers of 64 bits stay integers.
 
     Spark's own inference knows one missing text, so a column of numbers with an
     ``NA`` in it would stay text. Types come from one aggregate over the file;
     for repeated use ingest it to Parquet.
     """
-    raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"', multiLine=multi_line)
+    if multi_line:
+        raw = read_quoted(spark, path, sep)
+    else:
+        raw = spark.read.csv(path, sep=sep, header=True, quote='"', escape='"')
     tokens = list(missing_text)
     clean = raw.select(
         *[F.when(~F.col(quoted(c)).isin(tokens), F.col(quoted(c))).alias(c) for c in raw.columns]

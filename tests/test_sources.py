@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import project
 from plumbline.operators import profile, sqlpage, versions
 from plumbline.session import shared_folder
-from plumbline.sources import files, records, tables
+from plumbline.sources import files, records, tables, quoted
 
 
 def put(path, text):
@@ -236,3 +236,48 @@ def test_lineage_by_name_past_a_hundred_levels(spark):
     index = spark.createDataFrame([(f"v{i}", f"v{i - 1}") for i in range(1, 151)] + [("v0", None)], "name string, source string")
     row = versions.lineage(index, "v150").first()
     assert row.depth == 151 and row.path.startswith("v0 -> v1 -> ")
+
+
+QUOTED = [
+    ["1", "plain", "x"], ["2", "two\nlines", "y"], ["3", 'she said ""no""\n\n,\n', "z"], ["4", "", "a,b"],
+    ["5", 'five" pipe', "q"], ["6", "ünï\n" * 40, "long"], ["7", '""""', "w"], ["8", "\n", "\n\n"],
+]
+
+
+def quoted_text(rows, end="\n"):
+    lines = ["id,text,more"]
+    for i, a, b in rows:
+        cells = [x if not any(c in x for c in ',\n') and not x.startswith('"') else f'"{x}"' for x in (a, b)]
+        lines.append(",".join([i, *cells]))
+    return end.join(lines) + end
+
+
+@pytest.mark.parametrize("size", [16, 33, 97, 100_000])
+def test_quoted_line_ends_wherever_a_file_is_cut(spark, tmp_path, size):
+    for n, rows in enumerate((QUOTED, QUOTED[::-1], QUOTED[:1])):
+        put(tmp_path / "t" / f"{n}.csv", quoted_text(rows * (3 - n), "\r\n" if n == 1 else "\n"))
+    put(tmp_path / "t" / "empty.csv", "id,text,more\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        df = quoted.read_quoted(spark, str(tmp_path / "t"))
+        tasks = quoted.split_lines(spark, str(tmp_path / "t")).rdd.getNumPartitions()
+        found = sorted(tuple(r) for r in df.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    plain = [tuple((x.replace('""', '"') if "," in x or "\n" in x or x.startswith('"') else x) or None for x in r) for r in QUOTED]
+    assert found == sorted(plain * 3 + plain[::-1] * 2 + plain[:1])
+    assert tasks > 20 or size > 16
+
+
+def test_one_quoted_field_over_many_splits(spark, tmp_path):
+    field = "\n".join(f"line {i}" for i in range(500))
+    path = put(tmp_path / "o.csv", f'a,b\n1,"{field}"\n2,x\n3,"{field}"\n')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 200)
+    try:
+        assert sorted(tuple(r) for r in quoted.read_quoted(spark, path).collect()) == [("1", field), ("2", "x"), ("3", field)]
+        assert tables.read_delimited(spark, path, multi_line=True).dtypes == [("a", "bigint"), ("b", "string")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
