@@ -58,9 +58,16 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
     A chain ends at a parent that is not registered, or where a version would
     repeat. All chains grow at once by doubling: each round appends to a chain
     the chain of its oldest member, so depth d takes about log2(d) joins. With
-    ``name``, only the version's own row is returned.
+    ``name``, only that version's chain is built, see ``ancestors``.
     """
     known = versions.select("name", "source").distinct()
+    if name is not None and known.groupBy("name").count().where("count > 1").isEmpty():
+        chain = ancestors(known, name)
+        return chain.groupBy().agg(
+            F.lit(name).alias("name"),
+            F.array_join(F.array_sort(F.collect_list(F.struct(-F.col("depth"), "name")))["name"], " -> ").alias("path"),
+            F.count(F.lit(1)).cast("int").alias("depth"),
+        ).where("depth > 0")
     parents = known.select(F.col("name").alias("source"))
     # A version, its chain upwards from itself, and the parent the chain stops before.
     chains = known.join(parents, "source", "left_semi").select(
@@ -103,6 +110,30 @@ def lineage(versions: DataFrame, name: str | None = None) -> DataFrame:
     )
 
 
+def ancestors(known: DataFrame, name: str) -> DataFrame:
+    """``(name, depth)``: a version (depth 0), its source and so on, each once, for unique names.
+
+    Every version has a pointer, to its source at first, and each round lets it
+    skip twice as far; the wanted chain doubles by following the pointers of what
+    it has. Rows keep their size, and a chain of depth d takes log2(d) rounds. A
+    cycle ends where it would repeat: the smaller depth stays.
+    """
+    parents = known.select(F.col("name").alias("source"))
+    skips = cut_lineage(known.join(parents, "source", "left_semi").select("name", F.col("source").alias("ahead")))
+    chain = cut_lineage(known.where(F.col("name") == name).select("name", F.lit(0).cast("long").alias("depth")))
+    size, span = chain.count(), 1
+    while size:
+        further = chain.join(skips, "name").select(F.col("ahead").alias("name"), (F.col("depth") + span).alias("depth"))
+        chain = cut_lineage(chain.unionByName(further).groupBy("name").agg(F.min("depth").alias("depth")))
+        before, size = size, chain.count()
+        if size == before:
+            break
+        onward = skips.select(F.col("name").alias("ahead"), F.col("ahead").alias("beyond"))
+        skips = cut_lineage(skips.join(onward, "ahead").select("name", F.col("beyond").alias("ahead")))
+        span *= 2
+    return chain
+
+
 def fork(
     spark: SparkSession,
     versions_table: str,

@@ -10,7 +10,7 @@ from ..functions.columns import project
 from ..operators import features, sqlpage, versions
 from ..session import work_path
 from ..sources import files, records, tables
-from .registry import query, table, views
+from .registry import query, selected, table
 from .runs import LINES_SQL, log_lines
 
 # Queries whose text is the same in both engines.
@@ -107,14 +107,16 @@ for _name, _sql in SAME_SQL.items():
        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)""",
 )
 def sql_semi_anti(spark, folder):
-    views(spark, folder, "customer", "orders")
     big = "(SELECT * FROM orders WHERE o_totalprice > 300000)"
-    return sqlpage.query(
+    return selected(
         spark,
+        folder,
         f"""SELECT 'semi' AS kind, count(*) AS n, round(sum(c_acctbal), 2) AS balance
             FROM customer LEFT SEMI JOIN {big} o ON c_custkey = o_custkey
             UNION ALL SELECT 'anti', count(*), round(sum(c_acctbal), 2)
             FROM customer LEFT ANTI JOIN {big} o ON c_custkey = o_custkey""",
+        "customer",
+        "orders",
     )
 
 
@@ -124,11 +126,12 @@ def sql_semi_anti(spark, folder):
          sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag""",
 )
 def sql_pivot(spark, folder):
-    views(spark, folder, "lineitem")
-    return sqlpage.query(
+    return selected(
         spark,
+        folder,
         """SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem)
            PIVOT (sum(l_quantity) FOR l_linestatus IN ('F' AS F, 'O' AS O))""",
+        "lineitem",
     )
 
 
@@ -231,6 +234,9 @@ def read_json(spark, folder):
     return round_trip(spark, folder, "json")
 
 
+ARRAY_KEYS = 6000
+
+
 @query("read_json_mixed", ROUND_TRIP_SQL)
 def read_json_mixed(spark, folder):
     """A folder of files with a record per line and files that hold one array each."""
@@ -238,9 +244,9 @@ def read_json_mixed(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", price)
     path = exported(spark, orders.where("o_orderkey % 3 > 0"), "mixed", "json")
     whole = F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("*"))), ",\n"), F.lit("\n]"))
-    for part in (0, 1):
-        rows = orders.where(f"o_orderkey % 3 = 0 AND o_orderkey % 2 = {part}")
-        rows.coalesce(1).agg(whole.alias("value")).write.mode("append").text(path)
+    # Arrays of a bounded number of orders, each in a file of its own.
+    arrays = orders.where("o_orderkey % 3 = 0").groupBy(F.floor(F.col("o_orderkey") / ARRAY_KEYS)).agg(whole.alias("value"))
+    arrays.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(path)
     back = tables.read_json(spark, path)
     return back.groupBy("o_orderstatus").agg(
         F.count(F.lit(1)).alias("n"),
@@ -406,8 +412,7 @@ DIFF_SQL = f"""SELECT name, CASE WHEN t.size IS NULL THEN 'only_in_source' WHEN
 
 
 def file_diff(spark, folder):
-    views(spark, folder, "documents")
-    return versions.diff_files(spark.sql(SOURCE_FILES), spark.sql(TARGET_FILES))
+    return versions.diff_files(selected(spark, folder, SOURCE_FILES, "documents"), selected(spark, folder, TARGET_FILES, "documents"))
 
 
 @query("version_diff", DIFF_SQL)
@@ -439,8 +444,7 @@ ROWS_NEW = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE qualit
 )
 def version_diff_rows(spark, folder):
     """Edits that keep the file size show up when rows are compared."""
-    views(spark, folder, "labels")
-    return versions.diff_rows(spark.sql(ROWS_OLD), spark.sql(ROWS_NEW))
+    return versions.diff_rows(selected(spark, folder, ROWS_OLD, "labels"), selected(spark, folder, ROWS_NEW, "labels"))
 
 
 @query(
@@ -514,19 +518,23 @@ VERSIONS_SQL = """SELECT concat('v', c_custkey) AS name,
           max(len(chain))::INTEGER AS depth FROM up GROUP BY name""",
 )
 def lineage(spark, folder):
-    views(spark, folder, "customer")
-    return versions.lineage(spark.sql(VERSIONS_SQL))
+    return versions.lineage(selected(spark, folder, VERSIONS_SQL, "customer"))
 
 
 LISTING_SQL = "SELECT concat(source, '.txt') AS name, sum(length(text) - length(replace(text, 'e', '')))::BIGINT AS size FROM documents WHERE {0} GROUP BY source"
 
 
 def written_version(spark, root: str, version: str, rows) -> None:
-    """A file per source, of as many bytes as its texts have letters e."""
+    """Files per source, together of as many bytes as its texts have letters e: a line per text."""
     letters = F.length("text") - F.length(F.replace("text", F.lit("e"), F.lit("")))
-    sizes = rows.groupBy("source").agg(F.sum(letters).alias("n"))
-    body = sizes.select("source", F.repeat(F.lit("e"), F.greatest(F.col("n") - 1, F.lit(0)).cast("int")).alias("value"))
-    body.repartition("source").write.partitionBy("source").text(f"{root}/{version}")
+    lines = rows.select("source", F.repeat(F.lit("e"), letters - 1).alias("value"), letters.alias("n")).where("n > 0")
+    lines.drop("n").write.partitionBy("source").text(f"{root}/{version}")
+
+
+def source_sizes(listed):
+    """A listing of such files, added up per source."""
+    name = F.concat(F.regexp_extract("name", "source=([^/]+)/", 1), F.lit(".txt")).alias("name")
+    return listed.groupBy("version", name).agg(F.sum("size").alias("size"))
 
 
 @query(
@@ -540,9 +548,7 @@ def version_diff_listing(spark, folder):
     root, documents = work_path(spark, "versions"), table(spark, folder, "documents")
     written_version(spark, root, "raw", documents.where("source <> 'src1'"))
     written_version(spark, root, "clean", documents.where("source <> 'src2' AND (source <> 'src3' OR doc_id % 2 = 0)"))
-    listed = files.list_files(spark, root, "*.txt").withColumn(
-        "name", F.concat(F.regexp_extract("name", "source=([^/]+)/", 1), F.lit(".txt"))
-    )
+    listed = source_sizes(files.list_files(spark, root, "*.txt"))
     raw, clean = (listed.where(F.col("version") == v).select("name", "size") for v in ("raw", "clean"))
     return versions.diff_files(raw, clean)
 

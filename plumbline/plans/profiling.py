@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import correlate, distribution, explain, outliers, profile
-from .registry import query, rounded, table, union_sql, views
+from .registry import query, rounded, selected, table, union_sql
 
 LINEITEM = {
     "l_orderkey": "bigint",
@@ -243,8 +243,7 @@ INFINITE_SQL = """SELECT l_quantity AS a, l_extendedprice AS b,
 )
 def correlation_pairs_infinite(spark, folder):
     """An infinity makes the pairs that use its row NULL, and no others."""
-    views(spark, folder, "lineitem")
-    return rounded(correlate.correlations(spark.sql(INFINITE_SQL)))
+    return rounded(correlate.correlations(selected(spark, folder, INFINITE_SQL, "lineitem")))
 
 
 @query(

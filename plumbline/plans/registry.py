@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators import sqlpage
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -26,9 +28,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def views(spark: SparkSession, folder: str, *names: str) -> None:
-    for name in names:
-        table(spark, folder, name).createOrReplaceTempView(name)
+def selected(spark: SparkSession, folder: str, sql: str, *names: str) -> DataFrame:
+    """SQL over the named tables."""
+    return sqlpage.query(spark, sql, {name: table(spark, folder, name) for name in names})
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators import compare, diagnose, runlog, runs
 from ..session import work_path
 from ..streaming.run_metrics import RunBoard, windowed_metrics
 from .diagnosis import RULES_USED, VERDICT_SQL, rules_table
-from .registry import query, rounded, table, views
+from .registry import query, rounded, selected, table
 
 # One text for both engines.
 LINES_SQL = """
@@ -41,14 +41,12 @@ FROM events GROUP BY user_id % 20
 
 
 def log_lines(spark, folder):
-    views(spark, folder, "events")
-    return spark.sql(LINES_SQL)
+    return selected(spark, folder, LINES_SQL, "events")
 
 
 def run_records(spark, folder):
-    views(spark, folder, "events")
     stored = F.struct(F.lit(0).alias("exit_code"), F.lit("").alias("stdout"), F.lit("").alias("stderr"))
-    return spark.sql(RUNS_SQL).withColumn("result", stored)
+    return selected(spark, folder, RUNS_SQL, "events").withColumn("result", stored)
 
 
 METRICS_SQL = r"""
@@ -234,9 +232,8 @@ ITERATIONS_SQL = f"""{results_sql(None)}, experiments AS ({EXPERIMENTS_SQL}),
           loss_first, loss_last, features_used, tp, fp, fn, tn, total_epochs, error FROM its""",
 )
 def compare_iterations(spark, folder):
-    views(spark, folder, "events")
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    return compare.iterations(spark.sql(EXPERIMENTS_SQL), traced).drop("nth", "accuracy_before")
+    return compare.iterations(selected(spark, folder, EXPERIMENTS_SQL, "events"), traced).drop("nth", "accuracy_before")
 
 
 @query(
@@ -246,9 +243,8 @@ def compare_iterations(spark, folder):
 )
 def compare_lines(spark, folder):
     """The chain of accuracies of each experiment, a line per run."""
-    views(spark, folder, "events")
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    return compare.comparison_lines(compare.iterations(spark.sql(EXPERIMENTS_SQL), traced))
+    return compare.comparison_lines(compare.iterations(selected(spark, folder, EXPERIMENTS_SQL, "events"), traced))
 
 
 # Experiments of 1 to 6 runs with gaps, repeated iterations and unknown runs, one run per order.
@@ -279,8 +275,7 @@ FROM orders
 )
 def compare_gaps(spark, folder):
     """Neighbours are the rows before, whatever their iteration numbers."""
-    views(spark, folder, "orders")
-    steps = spark.sql(STEPS_SQL)
+    steps = selected(spark, folder, STEPS_SQL, "orders")
     known = steps.select("job_id", F.col("accuracy").alias("accuracy_last"))
     empty = {c: F.lit(None).cast("double") for c in ("loss_first", "loss_last", "features_used", "tp", "fp", "fn", "tn")}
     traced = known.withColumns(empty | {"convergence": F.lit("plateau"), "total_epochs": F.lit(1)})
@@ -322,9 +317,8 @@ def compare_gaps(spark, folder):
     FROM s""",
 )
 def compare_runs(spark, folder):
-    views(spark, folder, "events")
     traced = runlog.trace(log_lines(spark, folder), tail_lines=None)
-    return compare.compare(compare.iterations(spark.sql(EXPERIMENTS_SQL), traced))
+    return compare.compare(compare.iterations(selected(spark, folder, EXPERIMENTS_SQL, "events"), traced))
 
 
 TRANSCRIPTS_SQL = r"""
@@ -350,8 +344,7 @@ FROM (""" + TRANSCRIPTS_SQL + ")"
 
 
 def transcripts(spark, folder):
-    views(spark, folder, "orders")
-    return spark.sql(TRANSCRIPTS_SQL)
+    return selected(spark, folder, TRANSCRIPTS_SQL, "orders")
 
 
 @query(

@@ -61,6 +61,12 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in the file system it is on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ours, through the file system it is on."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

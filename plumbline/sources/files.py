@@ -7,10 +7,12 @@ Spark's file sources leave out files of zero bytes and names that start with
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Iterator
+from itertools import batched, chain
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, work_path
 
 # Extensions of binary files, preview length, size limit.
 BINARY_EXTENSIONS = (
@@ -20,6 +22,8 @@ BINARY_EXTENSIONS = (
 )
 PREVIEW_LINES = 10
 TRUNCATED_ABOVE = 1_000_000
+# Files of a listing that the driver holds at once.
+LISTED_AT_ONCE = 50_000
 # Splits whose first lines are broadcast, a few MB; more are joined by key.
 SPLITS_BROADCAST = 50_000
 
@@ -28,19 +32,24 @@ def list_files(spark: SparkSession, root: str, pattern: str | None = None) -> Da
     """``(version, name, size, modified)`` of the files in the folders below ``root``.
 
     The first folder below ``root`` is the version; ``pattern`` is for the file's
-    own name (``*.csv``). Contents are not read. The driver lists, as for any read.
+    own name (``*.csv``). Contents are not read. The driver asks the file system
+    file by file and holds no more than ``LISTED_AT_ONCE`` of them.
     """
-    below = [(path.split("/", 1)[0], path.split("/", 1)[-1], size, at) for _, path, size, at in _walk(spark, root, pattern)]
-    listed = spark.createDataFrame(below, "version string, name string, size bigint, at bigint")
-    return listed.select("version", "name", "size", F.timestamp_millis("at").alias("modified"))
+    listed = _listed(spark, root, pattern).withColumn("parts", F.split("below", "/", 2))
+    return listed.select(
+        F.col("parts")[0].alias("version"),
+        F.element_at("parts", -1).alias("name"),
+        "size",
+        F.timestamp_millis("at").alias("modified"),
+    )
 
 
-def _walk(spark: SparkSession, root: str, pattern: str | None) -> list[tuple[str, str, int, int]]:
-    """(path, path below root, size, time in ms) of each file below ``root``."""
+def _walk(spark: SparkSession, root: str, pattern: str | None) -> Iterator[tuple[str, str, int, int]]:
+    """(path, path below root, size, time in ms) of each file below ``root``, one after the other."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
     system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     start = system.makeQualified(folder).toString().rstrip("/") + "/"
-    found, files = [], system.listFiles(folder, True)
+    files = system.listFiles(folder, True)
     while files.hasNext():
         status = files.next()
         path = status.getPath().toString()
@@ -48,8 +57,20 @@ def _walk(spark: SparkSession, root: str, pattern: str | None) -> list[tuple[str
         name = below.rsplit("/", 1)[-1]
         hidden = any(part.startswith(".") for part in below.split("/"))
         if not hidden and (pattern is None or fnmatch.fnmatchcase(name, pattern)):
-            found.append((path, below, status.getLen(), status.getModificationTime()))
-    return found
+            yield path, below, status.getLen(), status.getModificationTime()
+
+
+def _listed(spark: SparkSession, root: str, pattern: str | None) -> DataFrame:
+    """``(path, below, size, at)`` of the files below ``root``; a long listing is written in parts."""
+    schema = "path string, below string, size bigint, at bigint"
+    parts = batched(_walk(spark, root, pattern), LISTED_AT_ONCE)
+    first = list(next(parts, ()))
+    if len(first) < LISTED_AT_ONCE:
+        return spark.createDataFrame(first, schema)
+    stored = work_path(spark, "listing")
+    for part in chain([first], parts):
+        spark.createDataFrame(list(part), schema).write.mode("append").parquet(stored)
+    return spark.read.parquet(stored)
 
 
 def csv_row_counts(spark: SparkSession, root: str, multi_line: bool = False) -> DataFrame:
@@ -58,10 +79,8 @@ def csv_row_counts(spark: SparkSession, root: str, multi_line: bool = False) ->
     A file with a header alone, or empty, has 0 rows. Spark doesn't read files whose name starts
     with ``_``; theirs are NULL unless they are empty. Fields with line ends need ``multi_line``.
     """
-    listed = spark.createDataFrame(
-        [(f[0], f[2] > 0 and f[1].rsplit("/", 1)[-1].startswith("_")) for f in _walk(spark, root, "*.csv")],
-        "path string, unread boolean",
-    )
+    own = F.element_at(F.split("below", "/"), -1)
+    listed = _listed(spark, root, "*.csv").select("path", ((F.col("size") > 0) & own.startswith("_")).alias("unread"))
     rows = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.csv")

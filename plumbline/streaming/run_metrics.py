@@ -14,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import clock_seconds
 from ..operators import runlog
-from ..session import remove, work_path
+from ..session import exists, remove, work_path
+from ..sources.files import list_files
 
 
 def live_metrics(lines: DataFrame) -> DataFrame:
@@ -39,11 +40,20 @@ def windowed_metrics(lines: DataFrame, delay: str = "1 hour", width: str = "1 da
     )
 
 
+# Folders of one size that become one of the next.
+MERGED = 3
+MANIFEST = "first long, last long, tier int"
+
+
 class RunBoard:
     """Latest metrics and convergence per run, stored as Parquet below ``folder``.
 
-    Each micro-batch writes its own folder in overwrite mode, so a batch that is
-    replayed after a failure replaces what it wrote before.
+    Each micro-batch writes its own folder. Neighbouring folders of one size are
+    merged into the next size, the newest row of each run alone, so n batches
+    leave about log n folders and a row is rewritten log n times. What a batch
+    leaves is named in a manifest that is written last. A batch that is replayed
+    after a failure starts from the manifest before it and replaces what it wrote; folders
+    go only when no batch that may still be replayed can name them.
     """
 
     def __init__(self, spark, folder: str | None = None):
@@ -53,32 +63,72 @@ class RunBoard:
     def _at(self, *parts: str) -> str:
         return os.path.join(self.folder, *parts)
 
+    def _manifest(self, batch_id: int) -> list[dict]:
+        """The live folders after a batch, in order: their first and last batch and size class."""
+        if batch_id < 0:
+            return []
+        rows = self.spark.read.schema(MANIFEST).json(self._at("manifest", f"batch={batch_id}")).collect()
+        return sorted(({"first": r["first"], "last": r["last"], "tier": r["tier"]} for r in rows), key=lambda f: f["first"])
+
+    def _path(self, part: dict) -> str:
+        return self._at("metrics", f"tier={part['tier']}", f"{part['first']}-{part['last']}")
+
+    def store(self, batch: DataFrame, batch_id: int) -> None:
+        """Add a micro-batch, merge what is due, and write the manifest."""
+        before = self._manifest(batch_id - 1)
+        live = [*before, {"first": batch_id, "last": batch_id, "tier": 0}]
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(self._path(live[-1]))
+        while len(live) >= MERGED and len({part["tier"] for part in live[-MERGED:]}) == 1:
+            due = live[-MERGED:]
+            whole = {"first": due[0]["first"], "last": due[-1]["last"], "tier": due[0]["tier"] + 1}
+            self._newest(due).write.mode("overwrite").parquet(self._path(whole))
+            live[-MERGED:] = [whole]
+        manifest = self.spark.createDataFrame([(p["first"], p["last"], p["tier"]) for p in live], MANIFEST)
+        manifest.coalesce(1).write.mode("overwrite").json(self._at("manifest", f"batch={batch_id}"))
+        # This batch may be replayed, from the manifest before it; earlier ones may not.
+        older = self._at("manifest", f"batch={batch_id - 2}")
+        for part in self._manifest(batch_id - 2) if exists(self.spark, older) else []:
+            if part not in before and part not in live:
+                remove(self.spark, self._path(part))
+        remove(self.spark, older)
+        # What this batch wrote and merged at once is named by no manifest.
+        for part in self._passing(before, live, batch_id):
+            remove(self.spark, self._path(part))
+
+    def _passing(self, before: list[dict], live: list[dict], batch_id: int) -> list[dict]:
+        made, tier = [{"first": batch_id, "last": batch_id, "tier": 0}], 0
+        while made[-1] not in live:
+            ends = [p for p in before if p["tier"] == tier]
+            made.append({"first": ends[-MERGED + 1]["first"], "last": batch_id, "tier": tier + 1})
+            tier += 1
+        return made[:-1]
+
+    def _newest(self, parts: list[dict]) -> DataFrame:
+        stored = self.spark.read.parquet(*map(self._path, parts))
+        names = [c for c in stored.columns if c != "job_id"]
+        newest = stored.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("m"))
+        return newest.select("job_id", "m.*")
+
     def start_metrics(self, lines: DataFrame, **trigger) -> StreamingQuery:
         """Stream the aggregates of changed runs to the board (update mode).
 
         ``trigger`` is as for ``DataStreamWriter.trigger``: ``processingTime="10 seconds"``
         keeps the stream running; the default takes what is there and ends.
         """
-        def store(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(self._at("metrics", f"batch={batch_id}"))
-
         return (
             live_metrics(lines)
             .writeStream.outputMode("update")
             .option("checkpointLocation", self._at("checkpoint-metrics"))
             .trigger(**(trigger or {"availableNow": True}))
-            .foreachBatch(store)
+            .foreachBatch(self.store)
             .start()
         )
 
     def metrics(self) -> DataFrame:
-        """The newest row of each run."""
-        stored = self.spark.read.option("basePath", self._at("metrics")).parquet(
-            self._at("metrics")
-        )
-        names = [c for c in stored.columns if c not in ("job_id", "batch")]
-        newest = stored.groupBy("job_id").agg(F.max_by(F.struct(*names), "batch").alias("m"))
-        return newest.select("job_id", "m.*")
+        """The newest row of each run, by the newest whole manifest."""
+        done = F.max(F.regexp_extract("path", r"batch=(\d+)/_SUCCESS$", 1).cast("long"))
+        marks = list_files(self.spark, self._at("manifest"), "_SUCCESS").select(F.concat("version", F.lit("/"), "name").alias("path"))
+        return self._newest(self._manifest(marks.agg(done).first()[0])).drop("batch")
 
     def start_recent(self, lines: DataFrame, **trigger) -> StreamingQuery:
         """Keep the last three accuracy lines of each run, from which convergence follows.

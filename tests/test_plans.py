@@ -1,7 +1,10 @@
 """Plan shapes that decide whether a job survives large data, and exact rounding."""
 
 import math
+import os
 import random
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.functions.columns import half_even, number_text
-from plumbline.operators import correlate, distribution, features, outliers, profile, runlog
+from plumbline.operators import correlate, distribution, features, outliers, profile, runlog, sqlpage
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -133,3 +136,21 @@ def test_ranks_of_a_value_that_fills_a_column(spark):
     for (a, b), r in found.items():
         assert r is None if "same" in (a, b) else r == pytest.approx(want.loc[a, b], abs=1e-9)
     assert len(sizes) == 20 and max(sizes) <= 2 * sorted(sizes)[10]
+
+
+def test_entry_without_a_library_of_the_training_data_package():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=60)
+    assert done.returncode == 0 and done.stdout.split()[1] == "False" and int(done.stdout.split()[0]) > 100
+
+
+def test_views_of_the_caller_stay(spark):
+    spark.range(3).createOrReplaceTempView("orders")
+    found = sqlpage.query(spark, "SELECT count(*) AS n FROM orders JOIN more", {"orders": spark.range(7), "more": spark.range(2)})
+    assert found.first().n == 14
+    assert spark.table("orders").count() == 3
+    assert not [t for t in spark.catalog.listTables() if t.name == "more"]
+    entry.queries()["sql_join"](spark, FOLDER).count()
+    assert spark.table("orders").count() == 3
+    spark.catalog.dropTempView("orders")

@@ -281,3 +281,24 @@ def test_one_quoted_field_over_many_splits(spark, tmp_path):
         assert tables.read_delimited(spark, path, multi_line=True).dtypes == [("a", "bigint"), ("b", "string")]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_one_name_of_a_long_chain(spark):
+    n = 3000
+    table = spark.range(n).selectExpr("concat('v', id) AS name", "CASE WHEN id = 0 THEN 'outside' ELSE concat('v', id - 1) END AS source")
+    row = versions.lineage(table, f"v{n - 1}").first()
+    assert row.depth == n and row.path == " -> ".join(f"v{i}" for i in range(n))
+    assert versions.lineage(table, "v0").first().path == "v0"
+    ring = spark.range(50).selectExpr("concat('r', id) AS name", "concat('r', (id + 1) % 50) AS source")
+    every = {r.name: (r.path, r.depth) for r in versions.lineage(ring).collect()}
+    one = versions.lineage(ring, "r7").first()
+    assert (one.path, one.depth) == every["r7"] and one.depth == 50
+
+
+def test_a_long_listing_is_written_in_parts(spark, tmp_path, monkeypatch):
+    for i in range(25):
+        put(tmp_path / f"v{i % 3}" / f"{i}.txt", "x" * i)
+    want = {(f"v{i % 3}", f"{i}.txt", i) for i in range(25)}
+    for size in (4, 5, 25, 26):
+        monkeypatch.setattr(files, "LISTED_AT_ONCE", size)
+        assert {(r.version, r.name, r.size) for r in files.list_files(spark, str(tmp_path)).collect()} == want
