@@ -19,6 +19,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +33,12 @@ GROUP_PAGES = 64
 BROADCAST_BYTES = 16 << 20
 #: The share of a container's text that a child must hold to be looked into instead.
 SHARE = 0.6
+#: With less of a page's text than this outside marked elements, the one that holds most is kept.
+LEFT_OVER = 0.2
+#: Pages that must have a line of an article, and the share of the article's text that all such lines may
+#: have, for the line to belong to the template.
+TEMPLATE_PAGES = 8
+TEMPLATE_SHARE = 0.2
 
 #: Element names, roles and class words (fixed values, by their meaning in HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -78,21 +85,76 @@ class Element:
     label: str
     dropped: bool = False
     children: list = field(default_factory=list)  # elements and texts, in page order
+    marked: bool = False  # dropped for a word of its class or id alone, or as a form
 
 
 def element(name: str, attributes: str, in_article: bool) -> Element:
     """An element and whether its name, role, class or id says that it isn't the article's text."""
-    label, dropped = name, name in DROPPED or (name == "header" and not in_article)
+    label, dropped = name, (name in DROPPED and name != "form") or (name == "header" and not in_article)
+    marked = name == "form"
     if attributes and not attributes.isspace():
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
         role, marks = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
         words = {w.lower() for w in WORDS.findall(marks)}
         if name not in ("html", "body", "main"):
             hidden = "hidden" in found or found.get("aria-hidden") == "true"
-            dropped = dropped or hidden or role in DROPPED_ROLES or bool(words & DROPPED_WORDS)
+            dropped = dropped or hidden or role in DROPPED_ROLES
+            marked = marked or bool(words & DROPPED_WORDS)
         classes = [c for c in found.get("class", "").split() if not any(x.isdigit() for x in c)]
-        label = ".".join([name, *sorted(classes)[:3]]) + (f"@{role}" if role else "")
-    return Element(name, label, dropped)
+        label = ".".join([name, *sorted(classes)]) + (f"@{role}" if role else "")
+    return Element(name, label, dropped or marked, marked=marked and not dropped)
+
+
+def settle(root: Element) -> Element:
+    """Take back marks that a page contradicts.
+
+    A marked element is kept if it is or holds the article (or main element) with half of the page's
+    text; and, while hardly any text is left outside marked elements, the largest marked article
+    is, or else the outermost marked element that holds most of the text.
+    """
+    parent: dict[int, Element] = {}
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        for child in node.children:
+            if not isinstance(child, str) and (child.marked or not child.dropped):
+                parent[id(child)] = node
+                todo.append(child)
+    if not any(node.marked for node in order):
+        return root
+    whole: dict[int, int] = {}  # characters of each element outside links
+
+    def outside_marks() -> int:
+        """Of the page's characters, those outside marked elements; fills ``whole`` as well."""
+        plain: dict[int, int] = {}
+        for node in reversed(order):
+            own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+            inner = [c for c in node.children if id(c) in plain]
+            whole[id(node)] = 0 if node.name == "a" else own + sum(whole[id(c)] for c in inner)
+            plain[id(node)] = 0 if node.marked or node.name == "a" else own + sum(plain[id(c)] for c in inner)
+        return plain[id(root)]
+
+    def keep(node: Element | None) -> None:
+        while node is not None:
+            if node.marked:
+                node.dropped = node.marked = False
+            node = parent.get(id(node))
+
+    outside_marks()
+    total = whole[id(root)]
+    articles = [n for n in order if n.name in ("article", "main")]
+    largest = max(articles, key=lambda n: whole[id(n)], default=None)
+    if largest is not None and 2 * whole[id(largest)] >= total:
+        keep(largest)
+    while total and outside_marks() < LEFT_OVER * total:
+        marked = [n for n in articles if n.marked and whole[id(n)] >= LEFT_OVER * total]
+        held = max(marked, key=lambda n: whole[id(n)], default=None)
+        held = held or next((n for n in order if n.marked and whole[id(n)] >= SHARE * total), None)
+        if held is None:
+            break
+        keep(held)
+    return root
 
 
 def parse(page: str) -> Element:
@@ -164,7 +226,7 @@ def parse(page: str) -> Element:
             parent.children.append(node)
             stack.append((name, node))
             opened[name] += 1
-    return root
+    return settle(root)
 
 
 @dataclass
@@ -176,6 +238,7 @@ class Item:
     dropped: bool = False
     parts: list[Item] = field(default_factory=list)
     constant: str | None = None  # of a text; None is a slot
+    common: frozenset[str] = frozenset()  # of a text: what stands here on all its pages
     size: int = 0  # of a text: characters on all its pages
     pages: int = 1
     optional: bool = False
@@ -196,7 +259,7 @@ def wrapper_of(root: Element) -> Item:
         node, inner_done = todo.pop()
         if isinstance(node, str):
             if text := tidy(node):
-                done[-1].append(Item("#text", constant=text, size=len(text)))
+                done[-1].append(Item("#text", constant=text, common=frozenset([text]), size=len(text)))
         elif inner_done:
             parts = fold(done.pop())
             done[-1].append(Item(node.label, node.name, node.dropped, parts))
@@ -235,9 +298,10 @@ def merge(a: Item, b: Item, same_page: bool = False) -> Item:
     return Item(
         a.label,
         a.name,
-        a.dropped,
+        a.dropped and b.dropped,
         align(a.parts, b.parts, same_page),
         a.constant if a.constant == b.constant else None,
+        a.common | b.common if same_page else a.common & b.common,
         a.size + b.size,
         pages,
         a.optional or b.optional,
@@ -283,18 +347,9 @@ def fold_optional(parts: list[Item]) -> list[Item]:
 
 
 def common(a: list[str], b: list[str], cells: int = 1_000_000) -> list[tuple[int, int]]:
-    """Positions of a common subsequence: a longest one, or for very long inputs a greedy one."""
+    """Positions of a longest common subsequence; ``cells`` only decides how it is found."""
     if len(a) * len(b) > cells:
-        out, places, j = [], {}, 0
-        for y, label in enumerate(b):
-            places.setdefault(label, []).append(y)
-        for x, label in enumerate(a):
-            at = next((y for y in places.get(label, ())[:8] if y >= j), None)
-            if at is not None:
-                out.append((x, at))
-                j = at + 1
-                places[label] = [y for y in places[label] if y >= j] if len(places[label]) <= 8 else places[label][1:]
-        return out
+        return common_of_long(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for x in range(len(a) - 1, -1, -1):
         row, below = best[x], best[x + 1]
@@ -312,6 +367,49 @@ def common(a: list[str], b: list[str], cells: int = 1_000_000) -> list[tuple[int
     return out
 
 
+def matched_rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each label of ``a``, a number whose zero bits are where a longest match with b's start grows."""
+    places: dict[str, int] = {}
+    for y, label in enumerate(b):
+        places[label] = places.get(label, 0) | 1 << y
+    every = (1 << len(b)) - 1
+    row = every
+    for label in a:
+        hit = row & places.get(label, 0)
+        row = (row + hit | row - hit) & every
+        yield row
+
+
+def common_of_long(a: list[str], b: list[str], bits: int = 1 << 28) -> list[tuple[int, int]]:
+    """A longest common subsequence by rows of bits; inputs whose rows pass ``bits`` are halved first."""
+    if not a or not b:
+        return []
+    if len(a) * len(b) > bits and len(a) > 1:
+        half = len(a) // 2
+
+        def lengths(x: list[str], y: list[str]) -> list[int]:
+            last = 0
+            for last in matched_rows(x, y):
+                pass
+            return list(accumulate((1 - (last >> i & 1) for i in range(len(y))), initial=0))
+
+        ahead, behind = lengths(a[:half], b), lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda y: ahead[y] + behind[y])
+        later = common_of_long(a[half:], b[cut:], bits)
+        return common_of_long(a[:half], b[:cut], bits) + [(x + half, y + cut) for x, y in later]
+    rows = list(matched_rows(a, b))
+    out, x, y = [], len(a), len(b)
+    while x and y:
+        if rows[x - 1] >> (y - 1) & 1:
+            y -= 1
+        else:
+            x -= 1
+            if not x or rows[x - 1] >> (y - 1) & 1:
+                y -= 1
+                out.append((x, y))
+    return out[::-1]
+
+
 def infer(pages: list[str]) -> Item:
     """The wrapper of several pages, aligned one after the other."""
     wrapper = wrapper_of(parse(pages[0]))
@@ -347,17 +445,17 @@ def packed(wrapper: Item) -> bytes:
     rows, todo = [], [wrapper]
     while todo:
         p = todo.pop()
-        rows.append((p.label, p.name, p.dropped, p.constant, p.size, p.pages, p.optional, p.repeated, len(p.parts)))
+        rows.append((p.label, p.name, p.dropped, p.constant, p.common, p.size, p.pages, p.optional, p.repeated, len(p.parts)))
         todo += reversed(p.parts)
     return zlib.compress(pickle.dumps(rows), 1)
 
 
 def unpacked(data: bytes) -> Item:
     done: list[Item] = []  # the last one stands first on the page
-    for label, name, dropped, constant, size, pages, optional, repeated, n in reversed(pickle.loads(zlib.decompress(data))):
+    for label, name, dropped, constant, common, size, pages, optional, repeated, n in reversed(pickle.loads(zlib.decompress(data))):
         parts = done[len(done) - n :][::-1]
         del done[len(done) - n :]
-        done.append(Item(label, name, dropped, parts, constant, size, pages, optional, repeated))
+        done.append(Item(label, name, dropped, parts, constant, common, size, pages, optional, repeated))
     return done[0]
 
 
@@ -431,6 +529,9 @@ def rules(wrapper: Item) -> dict:
     if not paths:
         return containers(wrapper, set())
     found = {"main": paths, "constants": []}
+    for path, item in zip(paths, items, strict=True):
+        if has_template(item):
+            add_constants(found["constants"], path, item, repeated=True)
     if sum(item.pages for item in items) < wrapper.pages:
         found["otherwise"] = containers(wrapper, set(map(id, items)))
     return found
@@ -472,19 +573,39 @@ def containers(wrapper: Item, left_out: set[int]) -> dict:
             main.append(found)
         if item.pages < 3 or not whole:
             continue
-        around = -1
-        for label in found[:-1]:
-            constants.append((around, label, []))
-            around = len(constants) - 1
-        todo = [(item, around)]
-        while todo:
-            part, around = todo.pop()
-            texts = [p.constant for p in part.parts if p.constant is not None and p.pages == item.pages]
-            constants.append((around, part.label, texts))
-            todo += [(p, len(constants) - 1) for p in part.parts if p.label != "#text"]
+        add_constants(constants, found, item, repeated=has_template(item))
     return {"main": main, "constants": constants}
 
 
+def add_constants(constants: list[tuple[int, str, list[str]]], path: list[str], item: Item, repeated: bool) -> None:
+    """Add a place's elements with the texts that stand on all of its pages; ``repeated``: also beside others."""
+    around = -1
+    for label in path[:-1]:
+        constants.append((around, label, []))
+        around = len(constants) - 1
+    todo = [(item, around)]
+    while todo:
+        part, around = todo.pop()
+        here = [p for p in part.parts if p.label == "#text" and p.pages == item.pages]
+        texts = {t for p in here for t in (p.common if repeated or p.constant is not None else ())}
+        constants.append((around, part.label, sorted(texts)))
+        todo += [(p, len(constants) - 1) for p in part.parts if p.label != "#text"]
+
+
+def has_template(item: Item) -> bool:
+    """Whether what many pages of a place have in common is little enough to be a template's."""
+    constant = text = 0
+    todo = [item]
+    while todo:
+        part = todo.pop()
+        if part.label == "#text":
+            text += part.size
+            constant += sum(map(len, part.common)) * part.pages if part.pages == item.pages else 0
+        elif not part.dropped:
+            todo += part.parts
+    return item.pages >= TEMPLATE_PAGES and 0 < constant <= TEMPLATE_SHARE * text
+
+
 def tidy(text: str) -> str:
     """Character references decoded, white space runs as one blank, none at the ends."""
     return " ".join((html.unescape(text) if "&" in text else text).split())
@@ -518,7 +639,7 @@ def main_text(root: Element, found: dict) -> str | None:
 
     def finish() -> None:
         if pieces:
-            if text := tidy("".join(pieces)):
+            if text := " ".join("".join(pieces).split()):
                 blocks.append(text)
             pieces.clear()
 
@@ -530,7 +651,8 @@ def main_text(root: Element, found: dict) -> str | None:
             finish()
         elif isinstance(node, str):
             if inside and not (step and step.constants and tidy(node) in step.constants):
-                pieces.append(node)
+                # A reference ends with its text: what stands in the next element isn't part of it.
+                pieces.append(html.unescape(node) if "&" in node else node)
         elif node.dropped:
             if node.name in BLOCKS:
                 finish()

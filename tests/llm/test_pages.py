@@ -3,11 +3,23 @@
 import gzip
 import hashlib
 import html
+import random
 import re
 
 import pytest
 from plumbline.llm.fixity import audit, read_leaves, record_spans
-from plumbline.llm.wrappers import expression, extract_main_text, infer, infer_wrappers, packed, read_page, rules, unpacked
+from plumbline.llm.wrappers import (
+    common,
+    common_of_long,
+    expression,
+    extract_main_text,
+    infer,
+    infer_wrappers,
+    packed,
+    read_page,
+    rules,
+    unpacked,
+)
 
 TABLES = "/root/testdata/sf0.01"
 
@@ -190,3 +202,66 @@ def test_archives_are_read_by_record(spark, tmp_path):
     found = audit(*leaves).collect()
     assert ("plain.warc", sum(map(len, records[:12])), "changed") in {(r.file, r.offset, r.status) for r in found}
     assert {r.file for r in found} == {"plain.warc", "sub/zipped.warc.gz"}
+
+
+ARTICLE = "<h1>Title of it</h1><p>First words of the article, a whole line of them.</p><p>And then the second line.</p>"
+COMMENTS = "<div class='comments'><p>I liked it.</p></div>"
+WANTED = "Title of it\nFirst words of the article, a whole line of them.\nAnd then the second line."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article>{ARTICLE}</article><aside>More</aside></div>{COMMENTS}',
+        f'<article class="post no-comments">{ARTICLE}</article>{COMMENTS}',
+        f'<nav>Home</nav><div id="search-engine-history">{ARTICLE}{COMMENTS}</div>',
+        f'<form action="/x"><div>{ARTICLE}</div><input name="q">{COMMENTS}</form>',
+        f'<div class="subscribe-layout"><div class="has-sidebar"><main>{ARTICLE}</main></div>{COMMENTS}</div>',
+        f'<article>{ARTICLE}</article><div id="comments"><article class="comment">Nice one.</article></div>',
+        f'<div id="body-text">{ARTICLE}</div><form>Search here</form>{COMMENTS}<div class="share">Share it</div>',
+    ],
+)
+def test_class_words_cost_no_article(page):
+    assert read_page(f"<html><body>{page}</body></html>", None) == WANTED
+
+
+def test_references_end_with_their_text():
+    assert read_page("<article><p>a&<b>amp;</b> b &amp;<i>lt;</i> &eacute;</p></article>", None) == "a&amp; b &lt; é"
+
+
+def test_lines_of_the_template_leave_articles_by_the_wrapper(spark):
+    def page(n):
+        body = "".join(f"<p>Line {k} of text {n * 31 + k}, with more words of its own.</p>" for k in range(4))
+        return f"<html><body><article><h2>Page {n}</h2>{body}<p>Like this on our site</p></article></body></html>"
+
+    rows = [(n, f"http://one.example/{n}", page(n)) for n in range(20)]
+    found = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(20):
+        lines = read_page(page(n), None).split("\n")
+        assert lines[-1] == "Like this on our site"
+        assert found[n].split("\n") == lines[:-1]
+    # Pages that are nearly copies have no template to speak of: nothing is lost.
+    near = [(n, f"http://two.example/{n}", page(3).replace("Page 3", f"Page {n}")) for n in range(20)]
+    kept = extract_main_text(spark.createDataFrame(near, "page_id long, url string, html string")).collect()
+    assert all(r.text.count("\n") == 5 for r in kept)
+
+
+def test_alignment_is_longest_at_any_size():
+    rng = random.Random(6)
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    for n, m in ((0, 5), (1, 1), (7, 90), (60, 60), (150, 140)):
+        a, b = ([rng.choice("pdsla") for _ in range(k)] for k in (n, m))
+        for bits in (1 << 28, 500, 1):
+            found = common_of_long(a, b, bits)
+            assert all(a[x] == b[y] for x, y in found) and found == sorted(set(found))
+            assert len({x for x, _ in found}) == len({y for _, y in found}) == len(found) == length(a, b) == len(common(a, b))
+    a, b = ([rng.choice("pdsla") for _ in range(1001)] for _ in range(2))
+    assert len(common(a, b)) == length(a, b)
