@@ -20,6 +20,8 @@ from plumbline.session import cut_lineage
 #: Bytes of a file that a lowest node covers, and children of every other node.
 RANGE_BYTES = 1 << 16
 FAN_OUT = 16
+#: Bytes given to the decompressor at once, so that little is copied behind a record's end.
+SLICE_BYTES = 1 << 14
 LEAF = ["file", "offset", "length", "digest"]
 
 
@@ -28,19 +30,21 @@ def record_spans(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
     What can't be read as a record, up to the end of the file, is one last record of its own.
     """
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
         if data[at : at + 2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
+            member, parts, stop = zlib.decompressobj(31), [], at
             try:
-                record = member.decompress(data[at:])
+                while not member.eof and stop < len(data):
+                    parts.append(member.decompress(view[stop : stop + SLICE_BYTES]))
+                    stop = min(stop + SLICE_BYTES, len(data))
             except zlib.error:
-                record = b""
+                pass
             if not member.eof:
                 yield at, len(data) - at, data[at:]
                 return
-            stop = len(data) - len(member.unused_data)
-            yield at, stop - at, record
+            stop -= len(member.unused_data)
+            yield at, stop - at, b"".join(parts)
             at = stop
             continue
         head = data.find(b"\r\n\r\n", at)
@@ -125,7 +129,8 @@ def audit(left: DataFrame, right: DataFrame, *, range_bytes: int = RANGE_BYTES)
     "missing" or "extra" if only the left or only the right replica holds a record there, else
     "changed". Rows with a null file or offset can't be located and are left out; a null length or
     digest is a value that differs from all others. Records repeated at one place are compared as
-    a set, each with its number of copies. Two empty replicas are equal. Runs eagerly.
+    a set, each with its number of copies; each that differs has a row, paired in order of length and
+    digest. Two empty replicas are equal. Runs eagerly.
     """
     sides = []
     for side in (left, right):
@@ -176,10 +181,13 @@ def audit(left: DataFrame, right: DataFrame, *, range_bytes: int = RANGE_BYTES)
     only_left = held[0].join(held[1], [*LEAF, "count"], "left_anti")
     only_right = held[1].join(held[0], [*LEAF, "count"], "left_anti")
 
+    # Differing records of a place meet in their order; what one side has more of stands alone.
+    order = Window.partitionBy("file", "offset").orderBy("length", "digest", "count")
+
     def at_places(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("file", "offset").agg(F.min(F.struct("length", "digest", "count")).alias(name))
+        return rows.select("file", "offset", F.row_number().over(order).alias("nth"), F.struct("length", "digest").alias(name))
 
-    merged = at_places(only_left, "l").join(at_places(only_right, "r"), ["file", "offset"], "full_outer")
+    merged = at_places(only_left, "l").join(at_places(only_right, "r"), ["file", "offset", "nth"], "full_outer")
     status = F.when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").otherwise("changed")
     return merged.select(
         "file", "offset", status.alias("status"),

@@ -9,16 +9,17 @@ bounded sample of labelled words.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import regex
 from plumbline.llm.memory import release
 from pyspark.sql import DataFrame, Window, functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Unicode's letters; numbers such as ½ or Ⅷ are none.
+LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Longer words are read in pieces of this many bytes.
 PIECE = 24
@@ -235,15 +236,16 @@ def training_words(
     if not counts:
         return [], []
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, documents / n))])
-    place = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
+    # Rows that share an id are drawn by their texts.
+    place = F.pmod(F.xxhash64("id", "text", F.lit("sample")), F.lit(1_000_000)) / 1_000_000
     texts = rows.where(place < share[F.col("lang")])
-    runs = texts.select("lang", "id", F.posexplode(F.split("text", "[ \\t-\\r]+")).alias("at", "run"))
+    runs = texts.select("lang", F.xxhash64("id", "text").alias("row"), F.posexplode(F.split("text", "[ \\t-\\r]+")).alias("at", "run"))
     runs = runs.withColumn("run", F.col("run").cast("binary")).where(F.octet_length("run") > 0)
     # Cut where pieces_of() cuts: scripts without blanks are learned from such parts.
     parts = F.sequence(F.lit(0), F.floor((F.octet_length("run") - 1) / (2 * PIECE)).cast("int"))
-    taken = runs.select("lang", "id", "at", "run", F.explode(parts).alias("part"))
+    taken = runs.select("lang", "row", "at", "run", F.explode(parts).alias("part"))
     word = F.substring("run", F.col("part") * (2 * PIECE) + 1, F.lit(2 * PIECE)).alias("word")
-    place = F.when(F.col("part") == 0, F.xxhash64("id", "at")).otherwise(F.xxhash64("id", "at", "part")).alias("place")
+    place = F.xxhash64("row", "at", "part").alias("place")
     order = Window.partitionBy("lang").orderBy("place", "word")
     taken = taken.select("lang", place, word).withColumn("n", F.row_number().over(order)).where(F.col("n") <= words)
     found = taken.select("lang", "word").orderBy("lang", "word").collect()

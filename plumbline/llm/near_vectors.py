@@ -100,12 +100,12 @@ def near_vectors(
 
     Every vector is in the index; no pair below the threshold links. Vectors that are null, empty,
     zero or hold null or non-finite components have no links and are components of their own, and
-    so are rows with a null id. Vectors of different lengths never link. Rows that repeat both id
-    and vector are one row; an id with several vectors has a row for each, which share no link by
-    that. An empty table gives no rows; other columns are ignored.
+    so are rows with a null id. Vectors of different lengths never link. Every row is a vector: one that
+    repeats another's id and vector links with it like any other, and an id with several vectors has a
+    row for each, which share no link by that. An empty table gives no rows; other columns are ignored.
     """
     finite = "forall(v, x -> x IS NOT NULL AND abs(x) < double('infinity')) AND exists(v, x -> x <> 0)"
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).distinct()
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("usable", F.coalesce(F.expr(f"id IS NOT NULL AND v IS NOT NULL AND {finite}"), F.lit(False)))
     usable = rows.where("usable").select("id", "v")
     entries = usable.groupBy("v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
@@ -185,18 +185,23 @@ def near_vectors(
 
 #: What all links would give; a pair that the tables miss shows as a difference.
 NEAR_VECTORS_SQL = """
-WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+WITH RECURSIVE every AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+), v AS (
+  SELECT n, vec_id, e FROM every
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+    AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
-  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
-  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+  SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON a.n <> b.n AND list_cosine_similarity(a.e, b.e) >= 0.95
 ), reach AS (
-  SELECT vec_id AS n, vec_id AS r FROM embeddings
+  SELECT n, n AS r FROM every
   UNION SELECT reach.n, links.b FROM reach JOIN links ON reach.r = links.a
+), joined AS (
+  SELECT reach.n, min(every.vec_id) AS component_id FROM reach JOIN every ON every.n = reach.r GROUP BY reach.n
+), counted AS (
+  SELECT a AS n, count(*) AS n_links FROM links GROUP BY a
 )
-SELECT n AS vec_id, (SELECT count(*) FROM links WHERE a = n) AS n_links, min(r) AS component_id, n = min(r) AS kept
-FROM reach GROUP BY n
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM every JOIN joined USING (n) LEFT JOIN counted USING (n)
 """

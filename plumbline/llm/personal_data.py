@@ -10,6 +10,7 @@ unlabelled path is its best one.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -284,6 +285,10 @@ def byte_bounds(text: str, spans: dict[str, list[Span]]) -> list[tuple[int, int,
     return [(int(at[a]), int(at[b]), kind) for kind, found in spans.items() for a, b in found]
 
 
+#: A row of the labelled table has no more bytes; longer windows hold runs that no kind can be.
+WINDOW_BYTES = 4096
+
+
 def labelled_windows(df: DataFrame, *, documents: int, windows: int, id_col: str, text_col: str) -> list:
     """The labelled table: at most ``windows`` rows (text, labels) of ``WINDOW`` tokens at most.
 
@@ -314,7 +319,7 @@ def labelled_windows(df: DataFrame, *, documents: int, windows: int, id_col: str
                     part = slice(at, stop)
                     rank = 0 if labels[part].any() else 1 if (tokens.digits[part] > 0).any() else 2
                     piece = raw[tokens.start[at] : tokens.stop[stop - 1]]
-                    if len(piece) <= 4096 and not unsure[part].any():
+                    if len(piece) <= WINDOW_BYTES and not unsure[part].any():
                         out.append((rank, piece.decode(errors="replace"), labels[part].tolist()))
             yield pd.DataFrame(out, columns=["rank", "text", "labels"])
 
@@ -406,6 +411,19 @@ def plausible(kind: str, piece: str) -> bool:
     return 7 <= len(digits) <= 15
 
 
+def merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def all_spans(model: Field, texts: list[str]) -> list[tuple[dict[str, list[Span]], dict[str, list[Span]]]]:
     """Per text the pattern spans, and with them the field's plausible spans that overlap none of them."""
     raw = [t.encode() for t in texts]
@@ -413,11 +431,16 @@ def all_spans(model: Field, texts: list[str]) -> list[tuple[dict[str, list[Span]
     for text, data, extra in zip(texts, raw, field_spans(model, raw), strict=True):
         base = base_spans(text)
         both = {kind: list(found) for kind, found in base.items()}
-        taken = [span for found in base.values() for span in found]
+        starts, ends = merged([span for found in base.values() for span in found])
+        # Code points that begin before each byte; in ASCII text they are the bytes.
+        before = None
+        if extra and len(data) != len(text):
+            heads = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
+            before = np.append(0, np.cumsum(heads))
         for a, b, kind in extra:
-            start = len(data[:a].decode())
-            stop = start + len(data[a:b].decode(errors="ignore"))
-            if plausible(kind, text[start:stop]) and not any(start < y and x < stop for x, y in taken):
+            start, stop = (a, b) if before is None else (int(before[a]), int(before[b]))
+            at = bisect_left(starts, stop) - 1
+            if plausible(kind, text[start:stop]) and (at < 0 or ends[at] <= start):
                 both[kind].append((start, stop))
         out.append((base, {kind: sorted(found) for kind, found in both.items()}))
     return out

@@ -10,15 +10,19 @@ Vectors with components too large for 64-bit sums are scored one by one in integ
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Candidates of a shard and queries of a block; a task holds one of each.
-SHARD_ROWS = 8192
-BLOCK_QUERIES = 1024
+from plumbline.session import cut_lineage
+
+#: Candidates of a shard, which a task holds, and the fewest worth an index while cores are idle.
+SHARD_ROWS = 65_536
+LEAST_ROWS = 2048
 #: Impact levels of a component.
 LEVELS = 64
 #: Looks at the bounds on the way, and the share of a shard that is few enough to be scored exactly.
@@ -31,8 +35,9 @@ LARGEST = 1 << 28
 class ImpactIndex:
     """Postings of one shard: per component, segments of candidates with their value range."""
 
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray, levels: int = LEVELS):
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, rows: np.ndarray | None = None, levels: int = LEVELS):
         self.vectors, self.ids = vectors, ids
+        self.rows = ids if rows is None else rows
         self.members: list[np.ndarray] = []
         component, low, high = [], [], []
         for d in range(vectors.shape[1]):
@@ -52,7 +57,7 @@ class ImpactIndex:
         self.low, self.high = np.array(low, np.int64), np.array(high, np.int64)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best candidates but ``own``, and of no more than k."""
+        """Ids and scores of the k best candidates but the row ``own``, and of no more than k."""
         weight = query[self.component]
         # What a segment adds at most and at least, above the least that its component can add.
         most = np.maximum(weight * self.low, weight * self.high)
@@ -77,7 +82,7 @@ class ImpactIndex:
         n = len(self.ids)
         lower = np.zeros(n)
         allowed = max(4 * k, int(n * RESCORED))
-        mine = self.ids == own
+        mine = self.rows == own
         possible = np.flatnonzero(~mine)
         if len(possible) > allowed:
             for part in np.array_split(np.arange(len(order)), min(LOOKS, len(order))):
@@ -93,11 +98,10 @@ class ImpactIndex:
         return self.ids[possible[best]], scores[best]
 
 
-def scaled(vectors: pd.Series, scale: int) -> tuple[np.ndarray, np.ndarray]:
+def scaled(vectors: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
     """floor(scale * x) as integers of 64 bits, and which vectors are too large for them."""
-    values = np.array(vectors.tolist(), np.float64)
     with np.errstate(over="ignore"):
-        values = np.floor(values * scale)
+        values = np.floor(vectors * scale)
     large = (np.abs(values) > LARGEST).any(axis=1)
     return np.where(large[:, None], 0, values).astype(np.int64), large
 
@@ -114,86 +118,120 @@ def top_k(
     scale: int = 1024,
     query_every: int = 100,
     shard_rows: int = SHARD_ROWS,
-    block_queries: int = BLOCK_QUERIES,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, id, score): the k highest inner products of floor(scale * x) per query.
 
     Queries are the rows whose id is divisible by ``query_every``, candidates all rows but a query's
-    own; ties go to the smaller id. Shards and blocks grow in number, not in size.
+    own; ties go to the smaller id. A candidate goes to one shard, whose index is built once; every
+    query goes past each of them. Shards are as large as a task can hold and at least as many as
+    cores.
 
     Rows with a null id and vectors that are null, empty, or hold null or non-finite components take
-    no part. Rows that are the same in id and vector count as one. A score among a shard's best that
-    doesn't fit 64 bits is an error. Vectors meet those of their own length. With fewer than k candidates a
-    query gets all of them, with none no row; an empty table gives no rows; other columns are
-    ignored.
+    no part. Every row counts by itself, whatever it repeats; queries that share an id have their
+    ranks each. A score among a shard's best that doesn't fit 64 bits is an error. Vectors meet those
+    of their own length. With fewer than k candidates a query gets all of them, with none no row; an
+    empty table gives no rows; other columns are ignored. Runs eagerly: rows are checkpointed, so
+    that each keeps its number.
     """
     usable = "id IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('inf'))"
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(usable)
-    rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v")).distinct()
-    n = rows.count()
-    asked = rows.where(F.col("id") % query_every == 0)
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked.count() // block_queries))
-
-    def numbers(count: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-
-    candidates = rows.select(
-        "id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard"),
-        numbers(blocks).alias("block"),
-    )
-    queries = asked.select(
-        "id", "v", F.size("v").alias("n"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"),
-        numbers(shards).alias("shard"),
-    )
-
-    def search(shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(shard) and len(block):
-            ids = shard["id"].to_numpy(np.int64)
-            values, large = scaled(shard["v"], scale)
-            asked_for, large_query = scaled(block["v"], scale)
-            index = ImpactIndex(values[~large], ids[~large]) if not large.all() else None
-            exact = {i: whole(shard["v"].iloc[i], scale) for i in np.flatnonzero(large)}
-            for n, query in enumerate(block["id"].tolist()):
-                scores: list[tuple[int, int]] = []  # less the score, and the id
-                if index and not large_query[n]:
-                    best, found = index.top(asked_for[n], query, k)
-                    scores = list(zip((-found).tolist(), best.tolist(), strict=True))
-                if exact or large_query[n]:
-                    v = whole(block["v"].iloc[n], scale)
-                    for i in range(len(ids)) if large_query[n] else exact:
-                        if ids[i] != query:
-                            other = exact[i] if large[i] else values[i].astype(object)
-                            scores.append((-int(v @ other), int(ids[i])))
-                    scores = sorted(scores)[:k]
-                best = [i for _, i in scores]
-                out.append(pd.DataFrame({"query_id": query, "id": best, "score": [-x for x, _ in scores]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")
-
-    cell = ["n", "shard", "block"]
-    found = (
-        candidates.groupBy(*cell)
-        .cogroup(queries.groupBy(*cell))
-        .applyInPandas(search, "query_id long, id long, score long")
-    )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    rows = rows.select(F.col("id").cast("long").alias("id"), "v", F.size("v").alias("n"))
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()))
+    n, cores = rows.count(), df.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // shard_rows), min(cores, -(-n // LEAST_ROWS)))
+    shard = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")
+    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    candidates = rows.select("n", shard, F.lit(False).alias("asked"), "row", "id", "v")
+    queries = rows.where(F.col("id") % query_every == 0).select("n", every, F.lit(True).alias("asked"), "row", "id", "v")
+    key = ["n", "shard"]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A shard's candidates come first, then the queries that go past its index."""
+        at, held, index = None, [], None
+        for batch in batches:
+            n_of, shard_of, asked = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "shard", "asked"))
+            stretch = np.stack([n_of, shard_of, asked])
+            cuts = [0, *(np.flatnonzero((stretch[:, 1:] != stretch[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for start, stop in pairwise(cuts):
+                if start == stop:
+                    continue
+                here = int(n_of[start]), int(shard_of[start])
+                if here != at:
+                    at, held, index = here, [], None
+                part = batch.slice(start, stop - start)
+                if not asked[start]:
+                    held.append(part)
+                elif held or index:
+                    index = index or Shard(pa.Table.from_batches(held), scale)
+                    held = []
+                    yield index.answers(part, k)
+
+    dealt = candidates.unionByName(queries).repartition(*key).sortWithinPartitions(*key, "asked")
+    found = dealt.mapInArrow(search, "query_row long, query_id long, id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+class Shard:
+    """The index of a shard's candidates, and those too large for it."""
+
+    def __init__(self, table: pa.Table, scale: int):
+        table = table.combine_chunks()
+        self.scale = scale
+        self.rows, self.ids = (table.column(c).to_numpy() for c in ("row", "id"))
+        vectors = vectors_of(table.column("v").combine_chunks())
+        self.values, self.large = scaled(vectors, scale)
+        small = ~self.large
+        self.index = ImpactIndex(self.values[small], self.ids[small], self.rows[small]) if small.any() else None
+        self.exact = {i: whole(vectors[i], scale) for i in np.flatnonzero(self.large).tolist()}
+
+    def best(self, vector: np.ndarray, value: np.ndarray, large: bool, own: int, k: int) -> list[tuple[int, int]]:
+        """(less the score, id) of the k best."""
+        scores: list[tuple[int, int]] = []
+        if self.index and not large:
+            ids, found = self.index.top(value, own, k)
+            scores = list(zip((-found).tolist(), ids.tolist(), strict=True))
+        if self.exact or large:
+            v = whole(vector, self.scale)
+            for i in range(len(self.ids)) if large else self.exact:
+                if self.rows[i] != own:
+                    other = self.exact[i] if self.large[i] else self.values[i].astype(object)
+                    scores.append((-int(v @ other), int(self.ids[i])))
+            scores = sorted(scores)[:k]
+        return scores
+
+    def answers(self, queries: pa.RecordBatch, k: int) -> pa.RecordBatch:
+        vectors = vectors_of(queries.column("v"))
+        values, large = scaled(vectors, self.scale)
+        out: tuple[list, ...] = ([], [], [], [])
+        for n, (row, query) in enumerate(zip(queries.column("row").to_pylist(), queries.column("id").to_pylist(), strict=True)):
+            for score, other in self.best(vectors[n], values[n], bool(large[n]), row, k):
+                for column, x in zip(out, (row, query, other, -score), strict=True):
+                    column.append(x)
+        names = ["query_row", "query_id", "id", "score"]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names)
+
+
 TOP_K_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.n <> c.n
 ), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+  SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM scored
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """

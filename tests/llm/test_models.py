@@ -1,8 +1,11 @@
 """Trained models: gradients, decoding, held-out accuracy, and the exact patterns."""
 
+import hashlib
 import itertools
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import pytest
@@ -211,3 +214,53 @@ def test_training_sample_is_bounded(spark):
     words, labels = language.training_words(docs, documents=20, words=50)
     assert len(words) == 50 * len(set(labels))
     assert len(pd_.labelled_windows(docs, documents=50, windows=7, id_col="doc_id", text_col="text")) <= 7
+
+
+def test_letters_are_unicode_letters(spark):
+    rows = [(1, "½ ²"), (2, "Ⅷ"), (3, "① 12 _"), (4, "ª"), (5, "ß"), (6, "日"), (7, None)]
+    labelled = [(100 + i, "the words of a text", "en") for i in range(8)]
+    df = spark.createDataFrame([(*r, None) for r in rows] + labelled, "doc_id long, text string, lang string")
+    found = {r.doc_id: r.lang_pred for r in predict_languages(df).collect()}
+    assert [found[i] for i in range(1, 8)] == ["und"] * 3 + ["en"] * 3 + ["und"]
+
+
+def test_rows_that_share_an_id_are_drawn_by_their_texts(spark):
+    rows = [(4 if i % 2 else 5, f"wort nummer {i} und noch eins", "de") for i in range(900)]
+    rows += [(4, f"word number {i} and one more", "en") for i in range(900)]
+    words, labels = language.training_words(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {"de", "en"} == set(labels)
+    assert len([x for x in labels if x == "de"]) > 1000 and len(words) == len(labels)
+
+
+def test_held_out_rows_by_definition(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r.doc_id: r.held_out for r in predict_languages(df).collect()}
+    assert found == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in df.collect()}
+
+
+def test_base_spans_of_documents_by_definition(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r.doc_id: r for r in pd_.personal_data(df).collect()}
+    some = 0
+    for r in df.collect():
+        spans = plain_spans(r.text)
+        text = ",".join(f"{kind}:{a}:{b}" for kind in ("email", "ip", "card", "phone") for a, b in spans[kind])
+        some += bool(text)
+        got = found[r.doc_id]
+        assert got.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert [got.n_email, got.n_ip, got.n_card, got.n_phone] == [len(spans[k]) for k in ("email", "ip", "card", "phone")]
+    assert some > 3
+
+
+def test_long_texts_with_many_spans_take_linear_time(monkeypatch):
+    text = "Ümit a@b.com, call +49 30 1234567 or 555-1234 now. " * 20_000
+    extra = [(m.start() + 1, m.end() + 1, "phone") for m in re.finditer("555-1234|1234567", text)]
+    data = text.encode()
+    shift = np.cumsum([len(c.encode()) - 1 for c in text])
+    extra = [(a - 1 + int(shift[a - 1]), b - 1 + int(shift[b - 2]), k) for a, b, k in extra]
+    monkeypatch.setattr(pd_, "field_spans", lambda model, texts: [extra])
+    started = time.monotonic()
+    ((base, both),) = pd_.all_spans(None, [text])
+    assert time.monotonic() - started < 10
+    added = sorted(set(both["phone"]) - set(base["phone"]))
+    assert len(added) == 20_000 and {text[a:b] for a, b in added} == {"555-1234"} and len(data) > len(text)

@@ -1,5 +1,7 @@
 """Near duplicates and search against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 import xxhash
@@ -107,14 +109,17 @@ def vectors(spark):
 @pytest.mark.parametrize("cell_entries", [1000, 5])
 def test_near_vectors_against_all_pairs(vectors, cell_entries):
     found = near_vectors(vectors, cell_entries=cell_entries).collect()
-    assert len(found) == 403 + 7 + 1
+    # Every row has one: vector 7 is there twice.
+    assert len(found) == 403 + 7 + 2
     by_id = {r.vec_id: r for r in found}
     rows = {r.vec_id: np.array(r.embedding) for r in vectors.collect() if r.vec_id is not None and r.vec_id < 1000}
     x = np.array([rows[i] / np.linalg.norm(rows[i]) for i in range(403)])
     near = x @ x.T >= 0.95
+    ends = near.sum(1) - 1 + near[:, 7]
     np.fill_diagonal(near, False)
     links = np.array([by_id[i].n_links for i in range(403)])
-    assert (links <= near.sum(1)).all() and links.sum() >= 0.9 * near.sum() and near.sum() > 1000
+    assert (links <= ends).all() and links.sum() >= 0.9 * ends.sum() and near.sum() > 1000
+    assert len({(r.n_links, r.component_id) for r in found if r.vec_id == 7}) == 1 and links[7] >= 1
     want = local_components(403, *np.nonzero(near))
     assert np.mean(want == [by_id[i].component_id for i in range(403)]) > 0.97
     assert all(by_id[i].n_links == 0 and by_id[i].component_id == i and by_id[i].kept for i in range(1000, 1007))
@@ -146,20 +151,24 @@ def test_impact_index_is_exact():
         assert found.tolist() == ids[order].tolist() and scores.tolist() == want[order].tolist()
 
 
-@pytest.mark.parametrize("shard_rows, block_queries", [(8192, 1024), (60, 2)])
-def test_top_k_against_all_rows(vectors, shard_rows, block_queries):
-    found = top_k(vectors, shard_rows=shard_rows, block_queries=block_queries, query_every=50)
-    assert found.columns == ["query_id", "rank", "vec_id", "score"]
-    rows = {}
-    for r in vectors.collect():
-        v = r.embedding
-        if r.vec_id is not None and v and all(x is not None and np.isfinite(x) for x in v):
-            rows[r.vec_id] = [int(np.floor(1024 * x)) for x in v]
+def best_of_all(rows, every, k=10):
+    """Brute force over rows (id, vector): each query's best of all other rows."""
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
     want = []
-    for q in rows:
-        if q % 50 == 0:
-            scored = [(-sum(map(int.__mul__, rows[q], v)), i) for i, v in rows.items() if i != q and len(v) == len(rows[q])]
-            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:10], 1)]
+    for n, (q, a) in enumerate(whole):
+        if q % every == 0:
+            others = [(i, b) for m, (i, b) in enumerate(whole) if m != n and len(a) == len(b)]
+            scored = sorted((-sum(map(int.__mul__, a, b)), i) for i, b in others)
+            want += [(q, rank, i, -x) for rank, (x, i) in enumerate(scored[:k], 1)]
+    return sorted(want)
+
+
+@pytest.mark.parametrize("shard_rows", [8192, 60])
+def test_top_k_against_all_rows(vectors, shard_rows):
+    found = top_k(vectors, shard_rows=shard_rows, query_every=50)
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
+    usable = [(r.vec_id, r.embedding) for r in vectors.collect() if r.vec_id is not None and r.embedding]
+    want = best_of_all([(i, v) for i, v in usable if all(x is not None and np.isfinite(x) for x in v)], 50)
     assert sorted(map(tuple, found.collect())) == sorted(want)
     assert top_k(vectors.limit(0)).count() == 0
 
@@ -169,10 +178,24 @@ def test_top_k_scores_large_vectors_and_every_row(spark, shard_rows):
     rows = [(i, [float(i % 7), 0.25, float(-i)]) for i in range(1, 20)]
     rows += [(100, [300000.0, 0.001, 2.0]), (101, [-0.5, 3e5, 1.0]), (200, [0.5, 1.0, -1.0]), (5, [9.0, 9.0, -9.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
-    want = []
-    for q, a in whole:
-        if q % 100 == 0:
-            scored = sorted((-sum(map(int.__mul__, a, b)), i) for i, b in whole if i != q)
-            want += [(q, rank, i, -x) for rank, (x, i) in enumerate(scored[:10], 1)]
-    assert sorted(map(tuple, top_k(vectors, shard_rows=shard_rows).collect())) == sorted(want)
+    assert sorted(map(tuple, top_k(vectors, shard_rows=shard_rows).collect())) == best_of_all(rows, 100)
+
+
+def test_top_k_counts_every_row(spark):
+    a, b = [1.0, 0.5, 2.0], [0.25, 3.0, 1.0]
+    rows = [(100, a), (100, b), (5, a), (5, a), (100, a), (7, b)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, top_k(vectors).collect())) == best_of_all(rows, 100)
+
+
+def test_fingerprints_of_documents_by_definition(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = {r.doc_id: r.fingerprint for r in near_duplicates(df).collect()}
+    for r in df.collect():
+        words = re.findall("[^\x20\x09-\x0d]+", r.text.translate({i: i + 32 for i in range(65, 91)}))
+        shingles = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, min(len(words), 1)))]
+        ones = np.zeros(64, np.int64)
+        for s in shingles:
+            ones += (np.uint64(xxhash.xxh64_intdigest(s.encode(), 42)) >> np.arange(64, dtype=np.uint64)) & np.uint64(1) > 0
+        want = sum(1 << b for b in range(64) if 2 * int(ones[b]) > len(shingles))
+        assert found[r.doc_id] == f"{want:016x}"

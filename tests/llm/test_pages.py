@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 from plumbline.llm.fixity import audit, read_leaves, record_spans
@@ -265,3 +266,24 @@ def test_alignment_is_longest_at_any_size():
             assert len({x for x, _ in found}) == len({y for _, y in found}) == len(found) == length(a, b) == len(common(a, b))
     a, b = ([rng.choice("pdsla") for _ in range(1001)] for _ in range(2))
     assert len(common(a, b)) == length(a, b)
+
+
+def test_every_differing_record_of_a_place_has_a_row(spark):
+    schema = "file string, offset long, length long, digest string"
+    left = spark.createDataFrame([("f", 0, 5, "a"), ("f", 0, 5, "b"), ("f", 0, 6, "c"), ("f", 9, 1, "x")], schema)
+    right = spark.createDataFrame([("f", 0, 5, "b"), ("f", 0, 7, "d"), ("f", 9, 1, "x"), ("f", 9, 1, "x")], schema)
+    found = sorted((r.offset, r.status, r.left_digest or "", r.right_digest or "") for r in audit(left, right).collect())
+    assert found == [(0, "changed", "a", "d"), (0, "missing", "c", ""), (9, "changed", "x", "x")]
+    lost = audit(left, right.where("digest = 'x'").limit(1)).collect()
+    assert [(r.status, r.left_digest) for r in sorted(lost, key=lambda r: r.left_digest)] == [("missing", d) for d in "abc"]
+
+
+def test_a_large_archive_is_read_in_linear_time():
+    member = gzip.compress(b"WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" + random.Random(1).randbytes(40_000))
+    data = member * 1500  # 60 MB
+    started = time.monotonic()
+    spans = [(at, n) for at, n, _ in record_spans(data)]
+    assert spans == [(i * len(member), len(member)) for i in range(1500)]
+    assert time.monotonic() - started < 10
+    cut = list(record_spans(member + member[:-4]))
+    assert [(at, n) for at, n, _ in cut] == [(0, len(member)), (len(member), len(member) - 4)]

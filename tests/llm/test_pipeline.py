@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from plumbline.llm.graph import local_components
 from plumbline.llm.simhash import fingerprint
+from pyspark.sql import functions as F
 from test_models import plain_spans
 from test_tokens import check_sequences
 
@@ -83,3 +84,16 @@ def test_run_is_its_stages(spark):
     assert 100 < len(pieces) < 201
     assert all(sorted(p) == list(range(len(p))) for p in pieces.values())
     assert check_sequences(rows) <= -(-sum(r.length for r in rows) // 4096) + 1
+
+
+def test_columns_of_the_caller_keep_their_values(spark, documents):
+    names = ["score", "lang_pred", "spans", "base_spans", "_row", "rest", "hash", "key", "fp", "row"]
+    docs = documents.select("*", *[F.concat(F.lit(f"{n} of "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, TABLES)
+        assert kept.columns == docs.columns
+        rows = kept.collect()
+        assert len(rows) > 150
+        for r in rows:
+            owner = "" if r.doc_id is None else r.doc_id
+            assert all(r[n] == f"{n} of {owner}" for n in names)
