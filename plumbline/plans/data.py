@@ -600,3 +600,21 @@ def read_version_index(spark, folder):
     index = documents.agg(F.map_from_entries(F.collect_list(F.struct("name", entry))).alias("versions"))
     path = exported(spark, index, "index", "json")
     return records.read_versions(spark, path).drop("created")
+
+
+@query(
+    "version_status",
+    f"""SELECT name, count(*) AS files, sum(size)::BIGINT AS bytes, CASE WHEN name = 'raw' THEN 'sensors' END AS source,
+          CASE WHEN name = 'raw' THEN true END AS protected, name = 'raw' AS registered
+        FROM (SELECT 'raw' AS name, size FROM ({LISTING_SQL.format("source <> 'src1'")})
+              UNION ALL SELECT 'clean', size FROM ({LISTING_SQL.format("source <> 'src2'")})) GROUP BY name""",
+)
+def version_status(spark, folder):
+    """Two versions written as folders, one of them registered, and a version without a folder."""
+    root, documents = work_path(spark, "versions"), table(spark, folder, "documents")
+    written_version(spark, root, "raw", documents.where("source <> 'src1'"))
+    written_version(spark, root, "clean", documents.where("source <> 'src2'"))
+    known = spark.createDataFrame(
+        [("raw", None, "sensors", "first", True), ("lost", None, "raw", "", False)], versions.VERSION_COLUMNS
+    )
+    return versions.status(source_sizes(files.list_files(spark, root, "*.txt")), known).drop("description")

@@ -433,3 +433,44 @@ def apply_recommendations_part(spark, folder):
 def categorical_columns_documents(spark, folder):
     """Text columns are counted however many values they hold."""
     return diagnose.categorical_columns(table(spark, folder, "documents"))
+
+
+def _rolled(windows: list[int]) -> str:
+    return ", ".join(
+        f"""CASE WHEN count(*) OVER w{w} >= {w} THEN round(avg(velocity) OVER w{w}, 6) END AS velocity_mean_{w},
+            CASE WHEN count(*) OVER w{w} >= {w} THEN round(stddev_samp(velocity) OVER w{w}, 6) END AS velocity_std_{w}"""
+        for w in windows
+    )
+
+
+def _frames(windows: list[int]) -> str:
+    return ", ".join(
+        f"w{w} AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+        for w in windows
+    )
+
+
+@query(
+    "apply_recommendations_events",
+    f"""WITH t AS (SELECT event_id, user_id, ts, (event_id % 97) / 10.0::DOUBLE AS velocity,
+           CASE WHEN event_id % 20 = 3 THEN 1 ELSE 0 END AS rare FROM events),
+         n AS (SELECT *, row_number() OVER (PARTITION BY rare ORDER BY event_id) AS rk, count(*) OVER (PARTITION BY rare) AS n FROM t),
+         m AS (SELECT max(n) AS most FROM n),
+         grown AS (SELECT event_id, user_id, ts, velocity, rare,
+           unnest(range(most // n + CASE WHEN rk <= most % n THEN 1 ELSE 0 END)) AS copy_no FROM n, m)
+       SELECT event_id, rare, round(velocity, 6) AS velocity, {_rolled([5, 10, 50])} FROM grown WINDOW {_frames([5, 10, 50])}""",
+)
+def apply_recommendations_events(spark, folder):
+    """Diagnose, then apply what is recommended: oversampling and rolling statistics."""
+    df = table(spark, folder, "events").select(
+        "event_id",
+        "user_id",
+        "ts",
+        ((F.col("event_id") % 97) / 10.0).alias("velocity"),
+        F.when(F.col("event_id") % 20 == 3, 1).otherwise(0).alias("rare"),
+    )
+    found = diagnose.diagnose(df.select("velocity", "rare"), target="rare")
+    applied = features.apply_recommendations(
+        df, found.recommendations, target="rare", key="event_id", partition_by="user_id", order_by=["ts", "event_id"]
+    )
+    return rounded(applied.drop("user_id", "ts"))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from ..operators import correlate, distribution, explain, outliers, profile
-from .registry import query, rounded, selected, table, union_sql
+from .registry import SQL, query, rounded, selected, table, union_sql
 
 LINEITEM = {
     "l_orderkey": "bigint",
@@ -490,3 +490,47 @@ def summary_events(spark, folder):
 )
 def insights_events(spark, folder):
     return explain.explain(events_wide(spark, folder)).insights()
+
+
+# The profile of a table with missing cells: shape, distributions, missing cells and cardinality.
+_INJECTED_NUMBERS = INJECTED[:3]
+PROFILE_SQL = union_sql(
+    [
+        _melt_sql(
+            "shape",
+            f"SELECT count(*) AS n_rows, {len(INJECTED)} AS n_cols, {len(_INJECTED_NUMBERS)} AS n_numeric FROM lineitem",
+            "'table'",
+            ["n_rows", "n_cols", "n_numeric"],
+            "NULL",
+        ),
+        _melt_sql(
+            "distributions",
+            distribution_sql(_INJECTED_NUMBERS, INJECTED_SQL),
+            "col_name",
+            ["mean", "std", "skewness", "kurtosis", "min", "max"],
+            "shape",
+        ),
+        _melt_sql("missing", SQL["missing_injected"], "col_name", ["null_count", "percent"], "NULL"),
+        _melt_sql("missing_pattern", SQL["missing_pattern_injected"], "'table'", ["spread"], "pattern"),
+        _melt_sql("cardinality", cardinality_sql(INJECTED, INJECTED_SQL), "col_name", ["n_distinct", "ratio_pct"], "label"),
+    ]
+)
+
+
+@query(
+    "profile_injected",
+    f"SELECT section, subject, metric, round(value, 5) AS value, label FROM ({PROFILE_SQL})",
+)
+def profile_injected(spark, folder):
+    return rounded(explain.explain(lineitem_injected(spark, folder), action="profile").table(), 5)
+
+
+@query(
+    "explain_missing",
+    f"""SELECT section, subject, metric, round(value, 5) AS value, label FROM ({PROFILE_SQL})
+        WHERE section LIKE 'missing%' OR section = 'shape'""",
+)
+def explain_missing(spark, folder):
+    """The sections on missing cells of the whole report."""
+    found = explain.explain(lineitem_injected(spark, folder)).table()
+    return rounded(found.where("section LIKE 'missing%' OR section = 'shape'"), 5)

@@ -11,7 +11,7 @@ from ..operators import compare, diagnose, runlog, runs
 from ..session import work_path
 from ..streaming.run_metrics import RunBoard, windowed_metrics
 from .diagnosis import RULES_USED, VERDICT_SQL, rules_table
-from .registry import query, rounded, selected, table
+from .registry import SQL, query, rounded, selected, table
 
 # One text for both engines.
 LINES_SQL = """
@@ -389,6 +389,26 @@ def experiment_report_lines(spark, folder):
     return runs.experiment_report_lines(runs.iteration_reports(transcripts(spark, folder)))
 
 
+@query(
+    "experiment_report_header",
+    f"""SELECT l.task_id, l.line_no,
+          CASE WHEN line_no = 0 AND status IS NOT NULL THEN 'part' || k % 5 || '.csv: study ' || status || '; ' ELSE '' END || text AS text
+        FROM ({SQL["experiment_report_lines"]}) l LEFT JOIN
+          (SELECT 'task_' || (o_orderkey // 4) AS task_id, o_orderkey // 4 AS k, min(o_orderstatus) AS status
+           FROM orders WHERE o_orderkey // 4 % 3 > 0 GROUP BY ALL) t ON t.task_id = l.task_id""",
+)
+def experiment_report_header(spark, folder):
+    """Reports that begin with the data set and the description of tasks that have them."""
+    number = F.floor(F.col("o_orderkey") / 4)
+    tasks = table(spark, folder, "orders").groupBy(number.alias("k")).agg(F.min("o_orderstatus").alias("status"))
+    tasks = tasks.where("k % 3 > 0").select(
+        F.concat(F.lit("task_"), "k").alias("id"),
+        F.concat(F.lit("study "), "status").alias("task"),
+        F.concat(F.lit("/data/sets/part"), F.col("k") % 5, F.lit(".csv")).alias("dataset"),
+    )
+    return runs.experiment_report_lines(runs.iteration_reports(transcripts(spark, folder)), tasks)
+
+
 @query(
     "task_list",
     """SELECT 'task_' || o_orderkey AS id,
