@@ -168,11 +168,14 @@ def half_even(value: Column, digits: int) -> Column:
     Numbers of 2**53 steps and more lie further apart than a step: the nearest one
     to the rounded number is the number itself.
     """
-    value = value.cast("double")
-    size = F.abs(value)
-    rounded = _steps(size, digits) / float(10**digits)
-    exact = F.when(value < 0, -rounded).otherwise(rounded)
-    return F.when(size * float(10**digits) < WHOLE_FROM, exact).otherwise(value)
+
+    def rounded(v: Column) -> Column:
+        size = F.abs(v)
+        steps = _steps(size, digits) / float(10**digits)
+        return F.when(size * float(10**digits) < WHOLE_FROM, F.when(v < 0, -steps).otherwise(steps)).otherwise(v)
+
+    # Bound to a name, because the formula looks at the value many times and roundings nest.
+    return F.get(F.transform(F.array(value.cast("double")), rounded), F.lit(0))
 
 
 def number_text(value: Column, digits: int, signed: bool = False) -> Column:
