@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from plumbline.llm.groups import join_by_key
 from plumbline.session import cut_lineage
 
 
@@ -31,20 +32,26 @@ def components(links: DataFrame) -> DataFrame:
     ``links`` has columns a and b of one ordered type; null ends and self links are ignored. Each
     round hangs larger neighbours on a node's smallest one and then shortens chains, until every
     link leads from a node straight to its component; a node's neighbours are never gathered, only
-    their minimum. Links are checkpointed after each round. No links give no rows.
+    their minimum, and links of a node that has very many stay where they are. Links are
+    checkpointed after each round. No links give no rows.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = cut_lineage(edges.where("a IS NOT NULL AND b IS NOT NULL AND u <> v").distinct())
-    while True:
+    total = edges.count()
+    smallest = [F.min("v").alias("m"), F.count("*").alias("copies")]
+    while total:
         # Large star: each node's larger neighbours link to its smallest neighbour or itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        lowest = both.groupBy("u").agg(*smallest).withColumn("m", F.least("u", "m"))
+        large = join_by_key(both.where("v > u"), lowest, "u", 2 * total)
+        large = cut_lineage(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: each node's smaller neighbours and itself link to the smallest of them.
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = cut_lineage(hung.unionByName(lowest.withColumnRenamed("m", "v")).distinct())
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+        lowest = large.groupBy("u").agg(*smallest)
+        hung = join_by_key(large, lowest, "u", large.count()).where("v <> m")
+        hung = hung.select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut_lineage(hung.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
+        before, total = total, after.count()
+        if total == before and after.exceptAll(edges).isEmpty():
             break
         edges = after
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

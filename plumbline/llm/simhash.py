@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.graph import components, local_components
-from plumbline.llm.groups import whole_groups
+from plumbline.llm.groups import join_by_key, whole_groups
 from plumbline.session import cut_lineage
 
 BITS = 64
@@ -192,12 +192,12 @@ def near_duplicates(
     of the component's ids are null. An empty table gives no rows; other columns are ignored.
     """
     rows = cut_lineage(fingerprints(df, id_col=id_col, text_col=text_col))
-    entries = rows.groupBy("fp").agg(F.min("id").alias("first_id"))
+    entries = rows.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     linked = components(near_links(entries.select("fp"), budget=budget, group_entries=group_entries))
     members = entries.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
     members = members.withColumn("component", F.coalesce("component", "fp"))
     smallest = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = members.join(smallest, "component").select("fp", "component_id")
-    return rows.join(by_fp, "fp").select(
+    by_fp = members.join(smallest, "component").select("fp", "copies", "component_id")
+    return join_by_key(rows, by_fp, "fp", rows.count()).select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
