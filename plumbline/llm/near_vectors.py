@@ -1,14 +1,18 @@
 """Near duplicates among vectors by Euclidean p-stable hashing.
 
 Normalised vectors are projected on Gaussian directions; each projection is shifted and cut into
-intervals, and several of them together name a vector's bucket in one table. Vectors meet where
-they share a bucket, and an exact cosine decides. Equal vectors are one entry. A pair counts in the
-first table in which it meets, so neither pairs nor candidates are ever written: tasks add up links
-and connect entries. Large buckets are cut into cells that compare each pair once.
+intervals, and several of them together name a vector's bucket in one table. Equal vectors are one
+entry. Entries go to their buckets by number, with a short sketch alone: their place along a few
+orthonormal directions, from which follows a distance that two vectors have at least. It rules out
+nearly all chance meetings. What stays connected in a bucket is a block; tables that agree on a
+block share it, vectors travel once to each different block, and an exact cosine decides there. A
+pair counts in the first table in which it meets, so neither pairs nor candidates are ever written:
+tasks add up links and connect entries. Large buckets are cut into cells that compare each pair once.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -17,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.llm.graph import components, local_components
-from plumbline.llm.groups import whole_groups
+from plumbline.llm.groups import join_by_key, whole_groups
 from plumbline.session import cut_lineage
 
 #: Width of an interval of a projection; a wider one needs more projections for fewer tables.
@@ -26,7 +30,13 @@ WIDTH = 2.0
 RECALL = 0.95
 #: Entries of a bucket compared at once; larger buckets are cut into cells.
 CELL_ENTRIES = 1000
-KEY = ["slot", "bucket", "low", "high"]
+#: A sketch has one coordinate for so many components, but not fewer than the least; a byte holds
+#: each, and one unit of a byte is this part of a unit vector's length.
+SKETCHED = 4
+LEAST_SKETCH = 16
+UNIT = 1 / 127
+#: Large buckets are broadcast, at 16 bytes each, if there are no more of them.
+BROADCAST_BUCKETS = 200_000
 
 
 def same_interval(distance: float, width: float) -> float:
@@ -67,7 +77,24 @@ def buckets(x: np.ndarray, projections: int, tables: int, width: float, seed: in
     return out
 
 
-def candidate_pairs(codes: np.ndarray, small: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sketches(x: np.ndarray, seed: int) -> np.ndarray:
+    """Rounded coordinates of unit vectors along orthonormal directions, as bytes."""
+    length = x.shape[1]
+    wanted = min(length, max(LEAST_SKETCH, -(-length // SKETCHED)))
+    directions = np.linalg.qr(np.random.default_rng([seed, length, 1]).standard_normal((length, wanted)))[0]
+    return np.rint((x @ directions).clip(-1, 1) / UNIT).astype(np.int8)
+
+
+def sketch_limit(threshold: float, size: int) -> float:
+    """The largest distance of sketches, in their units, that vectors of this cosine can have.
+
+    Directions never lengthen a difference, and rounding moves each of its ``size`` coordinates by
+    at most one unit.
+    """
+    return (math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6) / UNIT + math.sqrt(size)
+
+
+def candidate_pairs(codes: np.ndarray, small: int = 64, pairs: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (left, right) of the pairs within each run of equal codes, in bounded slices."""
     starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
     sizes = np.diff(np.append(starts, len(codes)))
@@ -79,7 +106,7 @@ def candidate_pairs(codes: np.ndarray, small: int = 64) -> Iterator[tuple[np.nda
             break
         yield left, left + shift
     for start, m in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        step = max(1, (1 << 18) // m)
+        step = max(1, pairs // m)
         for at in range(0, m, step):
             left, right = np.nonzero(np.arange(at, min(m, at + step))[:, None] < np.arange(m)[None, :])
             yield start + at + left, start + right
@@ -110,73 +137,109 @@ def near_vectors(
     usable = rows.where("usable").select("id", "v")
     entries = usable.groupBy("v").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"))
     entries = cut_lineage(entries.withColumn("entry", F.monotonically_increasing_id()))
-    projections, tables = plan(entries.count(), threshold, recall, width)
+    size, total = entries.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    projections, tables = plan(size, threshold, recall, width)
     vector = entries.schema["v"].dataType.simpleString()
 
     def keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for _, part in frame.groupby(frame["v"].str.len()):
-                found = buckets(normalised(part["v"]), projections, tables, width, seed)
-                yield part.assign(buckets=list(found))
+                x = normalised(part["v"])
+                found = buckets(x, projections, tables, width, seed)
+                yield part.assign(buckets=list(found), sketch=[row.tobytes() for row in sketches(x, seed)])
 
-    hashed = entries.mapInPandas(
-        keys, f"v {vector}, first_id {entries.schema['first_id'].dataType.simpleString()}, copies long, entry long, buckets array<int>"
+    hashed = entries.select("v", "copies", "entry").mapInPandas(
+        keys, f"v {vector}, copies long, entry long, buckets array<int>, sketch binary"
     )
-    slots = hashed.select(
-        "v", "copies", "entry", "buckets", F.size("v").alias("n"), F.posexplode("buckets").alias("slot", "bucket")
-    ).withColumn("bucket", F.xxhash64("n", "bucket"))
-    large = slots.groupBy("slot", "bucket").count().where(F.col("count") > cell_entries)
-    large = cut_lineage(large.select("slot", "bucket", F.ceil(F.col("count") / cell_entries).alias("parts")))
-    cells = (
-        slots.join(large, ["slot", "bucket"], "left")
-        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+    hashed = cut_lineage(hashed)
+    places = hashed.select("entry", "sketch", F.size("v").alias("n"), F.posexplode("buckets").alias("slot", "bucket"))
+    places = places.select("entry", "sketch", "slot", F.xxhash64("slot", "n", "bucket").alias("cell"))
+    large = places.groupBy("cell").count().where(F.col("count") > cell_entries)
+    large = cut_lineage(large.select("cell", F.ceil(F.col("count") / cell_entries).alias("parts")))
+    several = large.count()
+    # Parts of a large bucket meet two by two; side says which of the two an entry is in, 0 if they are one.
+    parted = (
+        places.join(F.broadcast(large) if several <= BROADCAST_BUCKETS else large, "cell")
         .withColumn("own", F.pmod(F.xxhash64("entry"), "parts"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        .select(
-            "slot", "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own",
-            "entry", "copies", "buckets", "v",
-        )
-    )
+        .withColumn("cell", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")))
+        .withColumn("side", F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END"))
+    )
+    cells = places.withColumn("side", F.lit(0))
+    if several:
+        whole = cells.join(F.broadcast(large) if several <= BROADCAST_BUCKETS else large, "cell", "left_anti")
+        cells = whole.unionByName(parted.select(*cells.columns))
+    cells = cells.select("cell", "entry", "sketch", F.expr("CAST(4 * slot + side AS int)").alias("place"))
+
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_groups(frames, ["cell"]):
+            for size, part in frame.groupby(frame["sketch"].str.len()):
+                yield met_blocks(part, size)
+
+    def met_blocks(frame: pd.DataFrame, size: int) -> pd.DataFrame:
+        """What stays connected in a cell by the sketches, named by a digest of its members."""
+        sketch = np.frombuffer(b"".join(frame["sketch"]), np.int8).reshape(-1, size).astype(np.int32)
+        entry, side, slot = frame["entry"].to_numpy(), frame["place"].to_numpy() & 3, frame["place"].to_numpy() >> 2
+        limit = sketch_limit(threshold, size) ** 2
+        label = np.arange(len(frame))
+        for left, right in candidate_pairs(frame["cell"].to_numpy(), pairs=max(1 << 12, (1 << 22) // size)):
+            fit = (side[left] == 0) | (side[left] != side[right])
+            left, right = left[fit], right[fit]
+            far = sketch[left] - sketch[right]
+            near = np.einsum("ij,ij->i", far, far) <= limit
+            if near.any():
+                left, right = np.append(left[near], np.arange(len(label))), np.append(right[near], label)
+                label = local_components(len(label), left, right)
+        members = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        members = members[np.lexsort((entry[members], label[members]))]
+        starts = np.flatnonzero(np.diff(label[members], prepend=-1))
+        named = np.stack([entry[members], side[members]], axis=1)
+        parts = np.split(named, starts[1:]) if len(starts) else []
+        digests = np.array([hashlib.blake2b(part.tobytes(), digest_size=16).digest() for part in parts], object)
+        block = np.repeat(digests, np.diff(np.append(starts, len(members))))
+        return pd.DataFrame({"block": block, "entry": entry[members], "side": side[members], "slot": slot[members]})
+
+    blocks = cells.repartition("cell").sortWithinPartitions("cell")
+    blocks = blocks.mapInPandas(meet, "block binary, entry long, side int, slot int")
+    # The tables of a block meet all of its pairs, so its first table stands for them.
+    blocks = blocks.groupBy("block", "entry", "side").agg(F.min("slot").alias("slot"))
+    members = blocks.join(hashed.select("entry", "copies", "buckets", "v"), "entry")
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(frames, KEY):
-            shared = frame.groupby(KEY)["own"].transform("size") > 1
-            frame = frame[shared.to_numpy()].reset_index(drop=True)
-            sizes = frame["v"].str.len()
-            for _, part in frame.groupby(sizes) if len(frame) else ():
+        for frame in whole_groups(frames, ["block"], rows=5000):
+            for _, part in frame.groupby(frame["v"].str.len()):
                 yield linked(part.reset_index(drop=True))
 
     def linked(frame: pd.DataFrame) -> pd.DataFrame:
         x, met = normalised(frame["v"]), np.array(frame["buckets"].tolist(), np.int32)
-        codes = frame.groupby(KEY, sort=False).ngroup().to_numpy()
-        slot, own, copies = (frame[c].to_numpy() for c in ("slot", "own", "copies"))
-        # Two parts of a bucket meet across; a part by itself meets within.
-        across = (frame["low"] != frame["high"]).to_numpy()
+        codes = frame.groupby("block", sort=False).ngroup().to_numpy()
+        slot, side, copies = (frame[c].to_numpy() for c in ("slot", "side", "copies"))
         links, label = np.zeros(len(frame), np.int64), np.arange(len(frame))
-        for left, right in candidate_pairs(codes):
-            fit = ~across[left] | (own[left] != own[right])
+        for left, right in candidate_pairs(codes, pairs=max(1 << 12, (1 << 23) // x.shape[1])):
+            fit = (side[left] == 0) | (side[left] != side[right])
             left, right = left[fit], right[fit]
             near = np.einsum("ij,ij->i", x[left], x[right]) >= threshold
             left, right = left[near], right[near]
-            earlier = (met[left] == met[right]) & (np.arange(met.shape[1]) < slot[left][:, None])
-            first = ~earlier.any(axis=1)
+            same = met[left] == met[right]
+            first = same.any(axis=1) & (same.argmax(axis=1) == slot[left])
             np.add.at(links, left[first], copies[right[first]])
             np.add.at(links, right[first], copies[left[first]])
-            ends = np.arange(len(frame))
-            label = local_components(len(frame), np.append(left[first], ends), np.append(right[first], label))
+            if first.any():
+                ends = np.arange(len(frame))
+                label = local_components(len(frame), np.append(left[first], ends), np.append(right[first], label))
         some = np.flatnonzero((links > 0) | (label != np.arange(len(frame))))
         entry = frame["entry"].to_numpy()
         return pd.DataFrame({"a": entry[some], "b": entry[label[some]], "links": links[some]})
 
-    found = cells.repartition(*KEY).sortWithinPartitions(*KEY).mapInPandas(compare, "a long, b long, links long")
+    found = members.repartition("block").sortWithinPartitions("block").mapInPandas(compare, "a long, b long, links long")
     found = cut_lineage(found)
     counted = found.groupBy(F.col("a").alias("entry")).agg(F.sum("links").alias("links"))
     joined = components(found.select("a", "b")).withColumnRenamed("node", "entry")
     placed = entries.join(joined, "entry", "left").withColumn("component", F.coalesce("component", "entry"))
     smallest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     done = placed.join(smallest, "component").join(counted, "entry", "left")
-    done = done.select("v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked_rows = usable.join(done, "v").select("id", "n_links", "component_id")
+    done = done.select("v", "copies", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked_rows = join_by_key(usable, done, "v", total).select("id", "n_links", "component_id")
     alone = rows.where("NOT usable").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked_rows.unionByName(alone).select(
         F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")

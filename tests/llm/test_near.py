@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 import xxhash
 from plumbline.llm.graph import components, local_components
-from plumbline.llm.near_vectors import near_vectors, plan
+from plumbline.llm.groups import join_by_key
+from plumbline.llm.near_vectors import WIDTH, buckets, near_vectors, plan, sketch_limit, sketches
 from plumbline.llm.simhash import fingerprint, near_duplicates, near_links, trie_pairs
 from plumbline.llm.top_k import ImpactIndex, top_k
+from pyspark.sql import functions as F
 
 
 def classes(pairs):
@@ -126,6 +128,49 @@ def test_near_vectors_against_all_pairs(vectors, cell_entries):
     assert by_id[None].n_links == 0 and by_id[None].component_id is None
 
 
+@pytest.mark.parametrize("cell_entries", [1000, 7])
+def test_near_vectors_count_each_pair_that_meets_once(spark, cell_entries):
+    rng = np.random.default_rng(11)
+    # Loose groups, a tight one that meets in every table, and vectors by themselves.
+    x = [c + rng.standard_normal(24) * 0.06 for c in rng.standard_normal((12, 24)) for _ in range(20)]
+    x += [x[0] + rng.standard_normal(24) * 0.001 for _ in range(60)] + list(rng.standard_normal((100, 24)))
+    x = np.array(x)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {r.vec_id: r for r in near_vectors(rows, cell_entries=cell_entries).collect()}
+    met = buckets(x, *plan(len(x), 0.95), WIDTH, 7)
+    linked = (met[:, None] == met[None]).any(axis=2) & (x @ x.T >= 0.95)
+    np.fill_diagonal(linked, False)
+    assert [found[i].n_links for i in range(len(x))] == linked.sum(1).tolist() and linked.sum() > 5000
+    want = local_components(len(x), *np.nonzero(linked))
+    assert [found[i].component_id for i in range(len(x))] == want.tolist()
+
+
+@pytest.mark.parametrize("length", [3, 16, 200])
+def test_sketches_keep_every_near_pair(length):
+    rng = np.random.default_rng(length)
+    x = rng.standard_normal((400, length))
+    y = x + rng.standard_normal((400, length)) * rng.uniform(0, 0.5, (400, 1))
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    first, second = (sketches(v, 7).astype(int) for v in (x, y))
+    limit = sketch_limit(0.95, first.shape[1]) ** 2
+    near = (x * y).sum(1) >= 0.95
+    assert (((first - second) ** 2).sum(1) <= limit)[near].all() and near.sum() > 50
+    # Others hardly ever come as close.
+    assert length < 16 or (((first - second[::-1]) ** 2).sum(1) > limit).mean() > 0.97
+
+
+def test_keys_of_many_rows_are_joined_in_place(spark):
+    rows = [("a", i) for i in range(3000)] + [(f"k{i}", i) for i in range(2000)] + [(None, 1), ("alone", 1)]
+    rows = spark.createDataFrame(rows, "k string, n int")
+    found = rows.groupBy("k").count().where("k <> 'alone'").select("k", F.col("count").alias("copies"))
+    joined = join_by_key(rows, found, "k", 5002)
+    assert joined.columns == ["k", "n", "copies"]
+    want = rows.join(found, "k")
+    assert joined.exceptAll(want).isEmpty() and want.exceptAll(joined).isEmpty() and want.count() == 5000
+    assert found.where("copies * 1000 > 5002").count() == 1
+
+
 def test_near_vectors_of_nothing(vectors):
     assert near_vectors(vectors.limit(0)).count() == 0
     assert near_vectors(vectors.where("vec_id = 1000")).count() == 1
