@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and spans that a linear-chain conditional random field adds.
 
 The field labels white-space separated tokens of a line by their shapes and those of their
-neighbours. It is trained on a small table of token windows labelled by the patterns, and finds
-what the patterns leave out. Shapes, scores and Viterbi paths are computed in numpy for all lines
+neighbours. It is trained on a small table: token windows labelled by the patterns, and labelled
+examples of what the patterns leave out beside look-alikes; it finds such spans. Shapes, scores and Viterbi paths are computed in numpy for all lines
 of a batch. A line in which no token can gain by any label is left alone; a bound proves that the
 unlabelled path is its best one.
 """
@@ -17,6 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from plumbline.llm.labelled import examples
 from plumbline.llm.memory import release
 from pyspark.sql import DataFrame, functions as F
 
@@ -37,6 +38,13 @@ TRAINING_WINDOWS = 4000
 WINDOW = 24
 #: Bytes of text that a worker's arrays cover at once; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Rows of the labelled examples for each form; their seed.
+EXAMPLES = 20
+EXAMPLES_SEED = 1
+
+#: Mail addresses with their marks spelled out in brackets; no address is longer (fixed value).
+MAIL_CHARS = 320
+SPELLED_MAIL = re.compile(r"\S+? ?[\[({]at[\])}] ?\S+?(?: ?[\[({]dot[\])}] ?|\.)\S+")
 
 Span = tuple[int, int]
 
@@ -329,6 +337,20 @@ def labelled_windows(df: DataFrame, *, documents: int, windows: int, id_col: str
     return found.orderBy("rank", place, "text").limit(windows).collect()
 
 
+def labelled_rows(table: list[tuple[str, list[tuple[int, int, str]]]]) -> list[tuple[str, list[int]]]:
+    """Rows (text, spans) of one line each as rows (text, labels of its tokens)."""
+    out = []
+    for text, spans in table:
+        tokens = tokens_of(text.encode())
+        labels = np.zeros(len(tokens.start), np.int64)
+        for a, b, kind in byte_bounds(text, {k: [(a, b) for a, b, other in spans if other == k] for k in KINDS}):
+            hit = np.flatnonzero((tokens.start < b) & (tokens.stop > a))
+            labels[hit] = 2 + 2 * KINDS.index(kind)
+            labels[hit[:1]] -= 1
+        out.append((text, labels.tolist()))
+    return out
+
+
 def train(table: list[tuple[str, list[int]]], *, epochs: int = 40, batch: int = 256, decay: float = 1e-4, seed: int = 5) -> Field:
     """Fit the field to (text, labels) rows by Adam on the likelihood."""
     parsed = [(tokens_of(text.encode()), labels) for text, labels in table]
@@ -402,9 +424,9 @@ def plausible(kind: str, piece: str) -> bool:
     """The test of a kind, for what the field labels; it doesn't ask for the pattern's form."""
     digits = "".join(c for c in piece if c in "0123456789")
     if kind == "email":
-        return "@" in piece[1:-1] and "." in piece
+        return "@" in piece[1:-1] and "." in piece or (len(piece) <= MAIL_CHARS and SPELLED_MAIL.fullmatch(piece) is not None)
     if kind == "ip":
-        parts = piece.split(".")
+        parts = piece.replace("[.]", ".").split(".")
         return len(parts) == 4 and all(p.isdecimal() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "card":
         return 13 <= len(digits) <= 19 and passes_luhn(digits)
@@ -466,9 +488,9 @@ def fit(
     df: DataFrame, *, documents: int = TRAINING_DOCUMENTS, windows: int = TRAINING_WINDOWS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> Field:
-    """Train the field on a bounded labelled table drawn from ``df``; runs eagerly, on the driver."""
+    """Train the field on the labelled examples and bounded windows of ``df``; runs eagerly, on the driver."""
     table = labelled_windows(df, documents=documents, windows=windows, id_col=id_col, text_col=text_col)
-    return train([(r["text"], r["labels"]) for r in table])
+    return train([(r["text"], r["labels"]) for r in table] + labelled_rows(examples(EXAMPLES_SEED, each=EXAMPLES)))
 
 
 def find_personal_data(df: DataFrame, model: Field, *, text_col: str = "text", mask: bool = False) -> DataFrame:

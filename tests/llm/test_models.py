@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from plumbline.llm import language, personal_data as pd_
+from plumbline.llm.labelled import CARRIERS, examples
 from plumbline.llm.language import ByteTagger, pieces_of, predict_languages
 from pyspark.sql import functions as F
 
@@ -264,3 +265,30 @@ def test_long_texts_with_many_spans_take_linear_time(monkeypatch):
     assert time.monotonic() - started < 10
     added = sorted(set(both["phone"]) - set(base["phone"]))
     assert len(added) == 20_000 and {text[a:b] for a, b in added} == {"555-1234"} and len(data) > len(text)
+
+
+def test_labelled_examples_are_what_the_patterns_leave_out():
+    table = examples(3)
+    assert table == examples(3) != examples(4)
+    assert {kind for _, spans in table for _, _, kind in spans} == {"email", "ip", "phone"}
+    for text, spans in table:
+        assert not any(pd_.base_spans(text).values())
+        assert all(pd_.plausible(kind, text[a:b]) for a, b, kind in spans)
+    rows = pd_.labelled_rows([("Ü call (555) 123-4567.", [(7, 21, "phone")])])
+    assert rows == [("Ü call (555) 123-4567.", [0, 0, pd_.LABELS.index("B-phone"), pd_.LABELS.index("I-phone")])]
+    assert not pd_.plausible("email", "a[at]" * 100_000)
+
+
+def test_field_finds_spans_in_sentences_it_has_not_seen(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    windows = pd_.labelled_windows(docs, documents=4000, windows=4000, id_col="doc_id", text_col="text")
+    learned = pd_.labelled_rows(examples(1, CARRIERS[::2], 20))
+    field = pd_.train([(r.text, r.labels) for r in windows] + learned)
+    held = examples(2, CARRIERS[1::2], 20)
+    right = found = wanted = 0
+    for (_, spans), (_, both) in zip(held, pd_.all_spans(field, [text for text, _ in held]), strict=True):
+        got = {(a, b, kind) for kind, some in both.items() for a, b in some}
+        right += len(got & set(spans))
+        found += len(got)
+        wanted += len(spans)
+    assert right >= 0.98 * found and right >= 0.9 * wanted and wanted == 300
