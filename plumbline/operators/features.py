@@ -29,12 +29,18 @@ def drop_redundant(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.drop(*dict.fromkeys(columns))
 
 
-def drop_id_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Drop the named columns, by default those whose values look like row ids."""
+def drop_id_columns(
+    df: DataFrame, columns: Sequence[str] | None = None, leaky: Sequence[str] = ()
+) -> DataFrame:
+    """Drop the named columns, by default those whose values look like row ids, and the ``leaky`` ones.
+
+    Whether a measure looks like ids depends on the number of rows: its values are all different in
+    a small table and repeat in a large one. Name it to have it dropped from both.
+    """
     if columns is None:
         table = cardinality(df).where(F.col("label") == "id_like")
         columns = [r.col_name for r in table.collect()]
-    return df.drop(*columns)
+    return df.drop(*columns, *leaky)
 
 
 def fit_numeric(df: DataFrame, columns: str | Sequence[str] | None = None) -> dict[str, dict]:

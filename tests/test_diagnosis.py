@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import diagnose, explain, features
 from plumbline.operators.correlate import correlations
+from plumbline.plans.diagnosis import drop_id_orders
 
 
 @pytest.fixture(scope="module")
@@ -254,3 +255,18 @@ def test_oversampling_of_keys_from_end_to_end(spark):
     df = spark.range(300).selectExpr("IF(id < 100, 'a', 'b') AS y", "IF(id % 2 = 0, 9223372036854775807L - id, -9223372036854775808L + id) AS k")
     found = features.oversample(df, "y", "k")
     assert {r.y: r["count"] for r in found.groupBy("y").count().collect()} == {"a": 200, "b": 200}
+
+
+def test_a_price_is_dropped_from_many_orders_as_from_few(spark, tmp_path):
+    """More copies of the orders have new keys and the same prices, which then look less like ids."""
+    few = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    shifted = {k: F.expr(f"{k} + copy * 1000000") for k in ("o_orderkey", "o_custkey")}
+    few.crossJoin(spark.range(20).withColumnRenamed("id", "copy")).withColumns(shifted).drop("copy").write.parquet(
+        f"{tmp_path}/orders.parquet"
+    )
+    many = spark.read.parquet(f"{tmp_path}/orders.parquet")
+    for folder, df in (("/root/testdata/sf0.001", few), (str(tmp_path), many)):
+        found, expected = drop_id_orders(spark, folder), df.select("o_custkey", "o_orderstatus")
+        assert found.columns == expected.columns
+        assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    assert features.drop_id_columns(few, [], ["o_totalprice"]).columns == few.drop("o_totalprice").columns
