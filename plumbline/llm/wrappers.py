@@ -16,9 +16,10 @@ import pickle
 import re
 import sys
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
@@ -40,6 +41,10 @@ LEFT_OVER = 0.2
 TEMPLATE_PAGES = 8
 TEMPLATE_SHARE = 0.2
 
+#: What attributes of up to this many characters say of their element is remembered per worker, for so many.
+KNOWN_LENGTH = 256
+KNOWN_ELEMENTS = 1 << 12
+
 #: Element names, roles and class words (fixed values, by their meaning in HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -71,13 +76,18 @@ DROPPED_WORDS = frozenset(
     "widget toolbar pagination pager login search disclaimer".split()
 )
 
-MARKUP = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
-TAG = re.compile(r"""<(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(?:>|["'][^>]*+>?|\Z)""")
+#: A comment's start, that of a declaration or instruction, or a whole tag: its slash, name and attributes.
+MARKUP = re.compile(
+    r"""<(?:(!--)|[!?]|(/?)([A-Za-z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)(?:>|["'][^>]*+>?|\Z))"""
+)
+RAW_END = {name: re.compile(f"</{name}(?![\\w-])", re.IGNORECASE) for name in RAW}
 ATTRIBUTE = re.compile(r"""([A-Za-z][\w:.-]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Attributes without any of these ("hidden" has "id" in it) say nothing of their element.
+TELLING = re.compile("class|id|role", re.IGNORECASE)
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     """An element; ``label`` tells elements apart in the alignment."""
 
@@ -88,11 +98,11 @@ class Element:
     marked: bool = False  # dropped for a word of its class or id alone, or as a form
 
 
-def element(name: str, attributes: str, in_article: bool) -> Element:
-    """An element and whether its name, role, class or id says that it isn't the article's text."""
+def described(name: str, attributes: str, in_article: bool) -> tuple[str, bool, bool]:
+    """An element's label, and whether its name, role, class or id says that it isn't the article's text."""
     label, dropped = name, (name in DROPPED and name != "form") or (name == "header" and not in_article)
     marked = name == "form"
-    if attributes and not attributes.isspace():
+    if attributes:
         found = {m[1].lower(): (m[2] or "").strip("\"'") for m in ATTRIBUTE.finditer(attributes)}
         role, marks = found.get("role", "").lower(), f"{found.get('class', '')} {found.get('id', '')}"
         words = {w.lower() for w in WORDS.findall(marks)}
@@ -102,7 +112,18 @@ def element(name: str, attributes: str, in_article: bool) -> Element:
             marked = marked or bool(words & DROPPED_WORDS)
         classes = [c for c in found.get("class", "").split() if not any(x.isdigit() for x in c)]
         label = ".".join([name, *sorted(classes)]) + (f"@{role}" if role else "")
-    return Element(name, label, dropped or marked, marked=marked and not dropped)
+    return label, dropped or marked, marked and not dropped
+
+
+known = lru_cache(KNOWN_ELEMENTS)(described)
+
+
+def element(name: str, attributes: str, in_article: bool) -> Element:
+    if attributes and not TELLING.search(attributes):
+        attributes = ""
+    look = known if len(attributes) <= KNOWN_LENGTH else described
+    label, dropped, marked = look(name, attributes, in_article)
+    return Element(name, label, dropped, [], marked)
 
 
 def settle(root: Element) -> Element:
@@ -112,45 +133,51 @@ def settle(root: Element) -> Element:
     text; and, while hardly any text is left outside marked elements, the largest marked article
     is, or else the outermost marked element that holds most of the text.
     """
-    parent: dict[int, Element] = {}
-    order, todo = [], [root]
+    order: list[Element] = []
+    above: list[int] = []  # where each one's parent stands
+    todo = [(root, -1)]
     while todo:
-        node = todo.pop()
+        node, up = todo.pop()
+        place = len(order)
         order.append(node)
+        above.append(up)
         for child in node.children:
-            if not isinstance(child, str) and (child.marked or not child.dropped):
-                parent[id(child)] = node
-                todo.append(child)
+            if child.__class__ is Element and (child.marked or not child.dropped):
+                todo.append((child, place))
     if not any(node.marked for node in order):
         return root
-    whole: dict[int, int] = {}  # characters of each element outside links
+    # Characters of each element's own texts, and of all its texts outside links.
+    own = [0 if n.name == "a" else sum([len(" ".join(c.split())) for c in n.children if c.__class__ is str]) for n in order]
+    whole = own[:]
+    for place in range(len(order) - 1, 0, -1):
+        if order[above[place]].name != "a":
+            whole[above[place]] += whole[place]
 
     def outside_marks() -> int:
-        """Of the page's characters, those outside marked elements; fills ``whole`` as well."""
-        plain: dict[int, int] = {}
-        for node in reversed(order):
-            own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
-            inner = [c for c in node.children if id(c) in plain]
-            whole[id(node)] = 0 if node.name == "a" else own + sum(whole[id(c)] for c in inner)
-            plain[id(node)] = 0 if node.marked or node.name == "a" else own + sum(plain[id(c)] for c in inner)
-        return plain[id(root)]
-
-    def keep(node: Element | None) -> None:
-        while node is not None:
+        """Of the page's characters, those outside marked elements."""
+        plain = own[:]
+        for place in range(len(order) - 1, 0, -1):
+            if not order[place].marked and order[above[place]].name != "a":
+                plain[above[place]] += plain[place]
+        return plain[0]
+
+    def keep(place: int) -> None:
+        while place >= 0:
+            node = order[place]
             if node.marked:
                 node.dropped = node.marked = False
-            node = parent.get(id(node))
+            place = above[place]
 
-    outside_marks()
-    total = whole[id(root)]
-    articles = [n for n in order if n.name in ("article", "main")]
-    largest = max(articles, key=lambda n: whole[id(n)], default=None)
-    if largest is not None and 2 * whole[id(largest)] >= total:
+    total = whole[0]
+    articles = [i for i, n in enumerate(order) if n.name in ("article", "main")]
+    largest = max(articles, key=whole.__getitem__, default=None)
+    if largest is not None and 2 * whole[largest] >= total:
         keep(largest)
     while total and outside_marks() < LEFT_OVER * total:
-        marked = [n for n in articles if n.marked and whole[id(n)] >= LEFT_OVER * total]
-        held = max(marked, key=lambda n: whole[id(n)], default=None)
-        held = held or next((n for n in order if n.marked and whole[id(n)] >= SHARE * total), None)
+        marked = [i for i in articles if order[i].marked and whole[i] >= LEFT_OVER * total]
+        held = max(marked, key=whole.__getitem__, default=None)
+        if held is None:
+            held = next((i for i, n in enumerate(order) if n.marked and whole[i] >= SHARE * total), None)
         if held is None:
             break
         keep(held)
@@ -161,11 +188,13 @@ def parse(page: str) -> Element:
     """The page's tokens, nested; end tags that HTML allows to leave out are added."""
     root = Element("#root", "#root")
     stack: list[tuple[str, Element]] = [("#root", root)]
-    opened: Counter[str] = Counter()  # open elements by name, to look only for those that exist
+    opened: defaultdict[str, int] = defaultdict(int)  # open elements by name, to look only for those that exist
     at, end = 0, len(page)
+    search = MARKUP.search
 
     def close(depth: int) -> None:
-        opened.subtract(name for name, _ in stack[depth:])
+        for name, _ in stack[depth:]:
+            opened[name] -= 1
         del stack[depth:]
 
     def close_inside(names: set[str], limits: set[str]) -> None:
@@ -178,23 +207,27 @@ def parse(page: str) -> Element:
                 return
 
     while at < end:
-        found = MARKUP.search(page, at)
+        found = search(page, at)
         start = found.start() if found else end
         if start > at:
             stack[-1][1].children.append(page[at:start])
         if not found:
             break
-        if found[0] == "<!--":
+        comment, slash, name, attributes = found.groups()
+        if comment:
             stop = page.find("-->", start + 4)
             at = stop + 3 if stop >= 0 else end
             continue
-        tag = TAG.match(page, start)
-        if not tag:  # a declaration or an instruction
+        if not name:  # a declaration or an instruction
             stop = page.find(">", start)
             at = stop + 1 if stop >= 0 else end
             continue
-        at, name = tag.end(), tag[2].lower()
-        if tag[1]:
+        at, name = found.end(), name.lower()
+        if slash:
+            if stack[-1][0] == name:
+                opened[name] -= 1
+                del stack[-1]
+                continue
             for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i][0] == name:
                     close(i)
@@ -204,32 +237,29 @@ def parse(page: str) -> Element:
             continue
         if name in CLOSED_BY_SAME:
             close_inside(*CLOSED_BY_SAME[name])
-        if name in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1) if opened["p"] else ():
+        if opened["p"] and name in CLOSES_P:
+            for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == "p":
                     close(i)
                     break
                 if stack[i][0] in BLOCKS:
                     break
-        node = element(name, tag[3], opened["article"] > 0)
-        parent = stack[-1][1]
+        node = element(name, attributes, opened["article"] > 0)
         if name in RAW:
-            stop = re.compile(f"</{name}(?![\\w-])", re.IGNORECASE).search(page, at)
+            stop = RAW_END[name].search(page, at)
             after = page.find(">", stop.end()) if stop else -1
             at = after + 1 if after >= 0 else end
-            if name == "title":
-                continue
-            parent.children.append(node)
-        elif name in VOID:
-            parent.children.append(node)
-        else:
-            parent.children.append(node)
+            if name != "title":
+                stack[-1][1].children.append(node)
+            continue
+        stack[-1][1].children.append(node)
+        if name not in VOID:
             stack.append((name, node))
             opened[name] += 1
     return settle(root)
 
 
-@dataclass
+@dataclass(slots=True)
 class Item:
     """A part of a wrapper: an element with its own parts, or a text that is a constant or a slot."""
 
@@ -275,23 +305,26 @@ def fold(parts: list[Item]) -> list[Item]:
     out: list[Item] = []
     for part in parts:
         out.append(part)
-        folded = True
-        while folded:
-            folded = False
-            for period in (1, 2, 3):
-                former, latter = out[-2 * period : -period], out[-period:]
-                if len(former) == period and [p.label for p in former] == [p.label for p in latter]:
-                    if period == 1 and part.label == "#text":
-                        continue
-                    merged = [merge(a, b, same_page=True) for a, b in zip(former, latter, strict=True)]
-                    for item in merged:
-                        item.repeated = True
-                    out[-2 * period :] = merged
-                    folded = True
-                    break
+        while period := repeated_at_end(out):
+            merged = [merge(a, b, True) for a, b in zip(out[-2 * period : -period], out[-period:], strict=True)]
+            for item in merged:
+                item.repeated = True
+            out[-2 * period :] = merged
     return out
 
 
+def repeated_at_end(parts: list[Item]) -> int:
+    """How many of the last parts, one to three, have the labels of as many before; none: 0."""
+    n, label = len(parts), parts[-1].label
+    if n >= 2 and parts[-2].label == label != "#text":
+        return 1
+    if n >= 4 and parts[-3].label == label and parts[-4].label == parts[-2].label:
+        return 2
+    if n >= 6 and parts[-4].label == label and parts[-5].label == parts[-2].label and parts[-6].label == parts[-3].label:
+        return 3
+    return 0
+
+
 def merge(a: Item, b: Item, same_page: bool = False) -> Item:
     """The wrapper that fits both."""
     pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
@@ -299,7 +332,7 @@ def merge(a: Item, b: Item, same_page: bool = False) -> Item:
         a.label,
         a.name,
         a.dropped and b.dropped,
-        align(a.parts, b.parts, same_page),
+        align(a.parts, b.parts, same_page) if a.parts or b.parts else [],
         a.constant if a.constant == b.constant else None,
         a.common | b.common if same_page else a.common & b.common,
         a.size + b.size,
@@ -311,11 +344,14 @@ def merge(a: Item, b: Item, same_page: bool = False) -> Item:
 
 def align(a: list[Item], b: list[Item], same_page: bool) -> list[Item]:
     """Match two sequences on their labels; what only one has becomes optional."""
+    shorter = min(len(a), len(b))
     head = 0
-    while head < min(len(a), len(b)) and a[head].label == b[head].label:
+    while head < shorter and a[head].label == b[head].label:
         head += 1
+    if head == len(a) == len(b):
+        return fold_optional([merge(x, y, same_page) for x, y in zip(a, b, strict=True)])
     tail = 0
-    while tail < min(len(a), len(b)) - head and a[-1 - tail].label == b[-1 - tail].label:
+    while tail < shorter - head and a[-1 - tail].label == b[-1 - tail].label:
         tail += 1
     out = [merge(x, y, same_page) for x, y in zip(a[:head], b[:head], strict=True)]
     rest_a, rest_b = a[head : len(a) - tail], b[head : len(b) - tail]
@@ -348,6 +384,8 @@ def fold_optional(parts: list[Item]) -> list[Item]:
 
 def common(a: list[str], b: list[str], cells: int = 1_000_000) -> list[tuple[int, int]]:
     """Positions of a longest common subsequence; ``cells`` only decides how it is found."""
+    if set(a).isdisjoint(b):
+        return []
     if len(a) * len(b) > cells:
         return common_of_long(a, b)
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -611,7 +649,7 @@ def tidy(text: str) -> str:
     return " ".join((html.unescape(text) if "&" in text else text).split())
 
 
-@dataclass
+@dataclass(slots=True)
 class Step:
     """Where a path of labels leads."""
 
@@ -620,9 +658,8 @@ class Step:
     constants: set[str] = field(default_factory=set)
 
 
-def main_text(root: Element, found: dict) -> str | None:
-    """The blocks of a page's articles, joined by line ends; None if the page has no such place."""
-    # Paths as nested steps by label: whether a place stands there, and its texts of the template.
+def steps_of(found: dict) -> Step:
+    """Paths as nested steps by label: whether a place stands there, and its texts of the template."""
     top = Step()
     for path in found["main"]:
         step = top
@@ -633,6 +670,20 @@ def main_text(root: Element, found: dict) -> str | None:
     for around, label, texts in found["constants"]:
         steps.append((steps[around] if around >= 0 else top).inner.setdefault(label, Step()))
         steps[-1].constants.update(texts)
+    return top
+
+
+def readings(found: dict | None) -> list[Step]:
+    """The steps of a host's rules and of those for pages that have none of their places."""
+    out = []
+    while found:
+        out.append(steps_of(found))
+        found = found.get("otherwise")
+    return out
+
+
+def main_text(root: Element, top: Step) -> str | None:
+    """The blocks of a page's articles, joined by line ends; None if the page has no such place."""
     blocks: list[str] = []
     pieces: list[str] = []
     fits = False
@@ -649,13 +700,15 @@ def main_text(root: Element, found: dict) -> str | None:
         node, step, inside = todo.pop()
         if node is None:
             finish()
-        elif isinstance(node, str):
+        elif node.__class__ is str:
             if inside and not (step and step.constants and tidy(node) in step.constants):
                 # A reference ends with its text: what stands in the next element isn't part of it.
                 pieces.append(html.unescape(node) if "&" in node else node)
         elif node.dropped:
-            if node.name in BLOCKS:
+            if pieces and node.name in BLOCKS:
                 finish()
+        elif not (inside or step or pieces):
+            pass  # no place is in here, and there is no block to end
         elif node.name == "br":
             if inside:
                 pieces.append(" ")
@@ -666,10 +719,11 @@ def main_text(root: Element, found: dict) -> str | None:
                 finish()
                 todo.append((None, None, False))
             for child in reversed(node.children):
-                if not isinstance(child, str):
-                    todo.append((child, step and step.inner.get(child.label), inside))
+                if child.__class__ is str:
+                    if inside:
+                        todo.append((child, step, True))
                 else:
-                    todo.append((child, step, inside))
+                    todo.append((child, step and step.inner.get(child.label), inside))
     finish()
     return "\n".join(blocks) if fits else None
 
@@ -756,16 +810,19 @@ def infer_wrappers(
 
 
 def read_page(page: str | None, host_rules: dict | None) -> str:
+    return read_by(page, readings(host_rules))
+
+
+def read_by(page: str | None, host_steps: list[Step]) -> str:
+    """A page's text by the first steps that fit it, or else by its own wrapper."""
     if not page:
         return ""
     root = parse(page)
-    text = None
-    while host_rules and text is None:
-        text = main_text(root, host_rules)
-        host_rules = host_rules.get("otherwise")
-    if text is None:
-        text = main_text(root, rules(wrapper_of(root)))
-    return text or ""
+    for top in host_steps:
+        text = main_text(root, top)
+        if text is not None:
+            return text
+    return main_text(root, steps_of(rules(wrapper_of(root)))) or ""
 
 
 def extract_main_text(
@@ -792,8 +849,8 @@ def extract_main_text(
 
     @F.pandas_udf("string")
     def read(pages: pd.Series, found: pd.Series) -> pd.Series:
-        parsed = {r: json.loads(r) for r in found.dropna().unique()}
-        return pd.Series([read_page(p, parsed.get(r)) for p, r in zip(pages, found, strict=True)], dtype="object")
+        steps = {r: readings(json.loads(r)) for r in found.dropna().unique()}
+        return pd.Series([read_by(p, steps.get(r, [])) for p, r in zip(pages, found, strict=True)], dtype="object")
 
     texts = paired.select("id", "url", read("html", "rules").alias("text"))
     return texts.select(

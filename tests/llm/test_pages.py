@@ -5,6 +5,7 @@ import hashlib
 import html
 import random
 import re
+import sys
 import time
 
 import pytest
@@ -287,3 +288,27 @@ def test_a_large_archive_is_read_in_linear_time():
     assert time.monotonic() - started < 10
     cut = list(record_spans(member + member[:-4]))
     assert [(at, n) for at, n, _ in cut] == [(0, len(member)), (len(member), len(member) - 4)]
+
+
+def test_a_page_costs_few_calls(spark):
+    """A tag is matched, described and aligned by few calls, however many pages its host has."""
+    pages = [r.html for r in spark.read.parquet(f"{TABLES}/pages.parquet").orderBy("page_id").limit(64).collect()]
+    tags = sum(page.count("<") for page in pages)
+    found: dict = {}
+
+    def calls(work) -> float:
+        seen = 0
+
+        def count(frame, event, arg):
+            nonlocal seen
+            seen += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            work()
+        finally:
+            sys.setprofile(None)
+        return seen / tags
+
+    assert calls(lambda: found.update(rules(infer(pages)))) < 40
+    assert calls(lambda: [read_page(page, found) for page in pages]) < 20
