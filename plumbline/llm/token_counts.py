@@ -8,8 +8,10 @@ content that the table lacks, appends those counts and joins again.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 import tokenizers
@@ -48,18 +50,16 @@ class ChunkCounter:
     @classmethod
     def of(cls, vocabulary: str) -> ChunkCounter:
         """The worker's own counter, kept between tasks."""
+        # Spark gives a task one core; the library's threads would contend for it and double the time.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         if vocabulary not in _COUNTERS:
             _COUNTERS[vocabulary] = cls(vocabulary)
         return _COUNTERS[vocabulary]
 
     def count(self, text: str) -> int:
-        known, total, missing = self.known, 0, []
-        for chunk in CHUNK.findall(text):
-            n = known.get(chunk)
-            if n is None:
-                missing.append(chunk)
-            else:
-                total += n
+        known, chunks = self.known, CHUNK.findall(text)
+        missing = [chunk for chunk in chunks if chunk not in known]
+        total = sum(map(known.get, chunks, repeat(0)))
         if missing:
             fresh = list(dict.fromkeys(missing))
             if len(known) + len(fresh) > self.remembered:

@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import os
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -42,6 +45,21 @@ def test_chunk_counts_equal_the_library():
         assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids), text
 
 
+def test_a_task_counts_in_its_own_thread():
+    # In a new process: threads that other tests started would hide those of the library.
+    code = """
+import os, sys
+from plumbline.llm.token_counts import ChunkCounter
+counter = ChunkCounter.of(sys.argv[1])
+before = len(os.listdir("/proc/self/task"))
+counter.count(" ".join(f"w{i}" for i in range(10_000)))
+print(len(os.listdir("/proc/self/task")) - before)
+"""
+    own = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"} | {"PYTHONPATH": os.pathsep.join(sys.path)}
+    found = subprocess.run([sys.executable, "-c", code, BYTE_JSON], env=own, capture_output=True, text=True, timeout=120)
+    assert found.stdout.strip() == "0", found.stderr
+
+
 def test_merge_replay_equals_tiktoken():
     codec, texts = Codec(MULTI, public_tokenizers.PATTERN), strange_texts()
     with open(MULTI, "rb") as file:
