@@ -34,6 +34,8 @@ HELD_PHRASES = 1_000_000
 #: Bits of the table of proposed phrases (a power of two), and bits set for each phrase.
 TABLE_BITS = 1 << 27
 PROBES = 2
+#: First bytes of a key that a block leaves out if the key before has them too; at most 255.
+SHARED_BYTES = 8
 
 #: The end of a piece. No UTF-8 text holds this byte.
 CUT = b"\xff"
@@ -166,22 +168,60 @@ def spelled(phrases: np.ndarray, words: pa.Array) -> pa.Array:
     return columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, " ")
 
 
+def packed(column: np.ndarray) -> bytes:
+    """Numbers from 0 on in their narrowest type, compressed by themselves: unlike columns mix badly."""
+    narrow = column.astype(np.min_scalar_type(int(column.max(initial=0))), copy=False)
+    block = pa.compress(narrow.tobytes(), codec="zstd", asbytes=True)
+    return np.array([narrow.itemsize, narrow.nbytes, len(block)], "<u4").tobytes() + block
+
+
+def unpacked(block: bytes) -> Iterator[np.ndarray]:
+    """The columns of one ``packed`` after another."""
+    at = 0
+    while at < len(block):
+        width, size, taken = np.frombuffer(block, "<u4", 3, at).tolist()
+        at += 12
+        whole = pa.decompress(block[at : at + taken], decompressed_size=size, codec="zstd", asbytes=True)
+        yield np.frombuffer(whole, f"<u{width}")
+        at += taken
+
+
+def own_bytes(offsets: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Which bytes of the keys between ``offsets`` come after the first ``shared`` of their key."""
+    return np.repeat(offsets[:-1] + shared, np.diff(offsets)) <= np.arange(offsets[-1], dtype=np.int32)
+
+
 def block_of(keys: pa.Array, counts: np.ndarray) -> bytes:
-    """Sorted keys and their counts, compressed: what many phrases share takes little room."""
+    """Sorted keys and their counts, compressed. The first bytes that a key shares with the one before
+    (``SHARED_BYTES`` at most) are left out."""
     offsets = np.frombuffer(keys.buffers()[1], np.int32)[keys.offset : keys.offset + len(keys) + 1]
-    text = memoryview(keys.buffers()[2] or b"")[offsets[0] : offsets[-1]]
-    whole = np.diff(offsets).astype("<i4").tobytes() + counts.astype("<i8").tobytes() + bytes(text)
-    head = np.array([len(keys), len(whole)], "<i8").tobytes()
-    return head + pa.compress(whole, codec="zstd", asbytes=True)
+    text = np.frombuffer(keys.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    lengths = np.diff(offsets)
+    padded = np.append(text, np.zeros(SHARED_BYTES, np.uint8))
+    heads = np.lib.stride_tricks.sliding_window_view(padded, SHARED_BYTES)[offsets[:-1]]
+    same = heads[1:] == heads[:-1]
+    equal = np.where(same.all(axis=1), SHARED_BYTES, same.argmin(axis=1))
+    shared = np.zeros(len(keys), np.int32)
+    shared[1:] = np.minimum(equal, np.minimum(lengths[1:], lengths[:-1]))
+    rest = text[own_bytes(offsets, shared)]
+    return b"".join(map(packed, (shared, lengths - shared, counts, rest)))
 
 
 def table_of(block: bytes) -> pa.Table:
     """The keys and counts of a block."""
-    n, size = np.frombuffer(block, "<i8", 2).tolist()
-    whole = pa.decompress(block[16:], decompressed_size=size, codec="zstd", asbytes=True)
-    offsets = np.append(np.int32(0), np.cumsum(np.frombuffer(whole, "<i4", n), dtype=np.int32))
-    keys = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), pa.py_buffer(whole[12 * n :])])
-    return pa.table({"key": keys, "f": np.frombuffer(whole, "<i8", n, 4 * n)})
+    shared, rests, counts, rest = unpacked(block)
+    shared = shared.astype(np.int32)
+    offsets = np.append(np.int32(0), np.cumsum(shared + rests, dtype=np.int32))
+    text = np.empty(offsets[-1], np.uint8)
+    text[own_bytes(offsets, shared)] = rest
+    # A shared byte is that of the last key before which didn't share it.
+    place, starts = np.arange(SHARED_BYTES, dtype=np.int32)[:, None], offsets[:-1]
+    left_out = place < shared
+    owner = np.maximum.accumulate(np.where(left_out, 0, np.arange(len(shared), dtype=np.int32)), axis=1)
+    text[(starts + place)[left_out]] = text[(starts[owner] + place)[left_out]]
+    keys = pa.Array.from_buffers(pa.string(), len(shared), [None, pa.py_buffer(offsets), pa.py_buffer(text)])
+    return pa.table({"key": keys, "f": counts.astype(np.int64)})
 
 
 def counted(
@@ -410,10 +450,8 @@ def collocations(
     Further keywords go to ``frequent_phrases``.
     """
     spark = df.sparkSession
-    counts = cut_lineage(
-        frequent_phrases(
-            df, id_col=id_col, text_col=text_col, lang_col=lang_col, least=least, longest=longest, **mining
-        )
+    counts = frequent_phrases(
+        df, id_col=id_col, text_col=text_col, lang_col=lang_col, least=least, longest=longest, **mining
     )
     totals = counts.where("size = 0").select("lang", F.col("f").alias("n"))
     parts = counts.where(f"size BETWEEN 1 AND {longest - 1}").select("lang", F.col("phrase").alias("part"), "f")

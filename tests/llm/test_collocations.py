@@ -1,12 +1,14 @@
 """Collocations against brute force."""
 
+import os
 import random
 import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from plumbline.llm.collocations import at_cuts, collocations, frequent_phrases, words_and_cuts
+from plumbline.llm.collocations import at_cuts, block_of, collocations, frequent_phrases, table_of, words_and_cuts
 
 UPPER = {i: i + 32 for i in range(65, 91)}
 COLUMNS = "doc_id long, text string, lang string"
@@ -108,3 +110,34 @@ def test_words_and_cuts():
     assert words_and_cuts("A  b\tC.d\x0c\x1ce") == [b"a", b"b", b"c", b"\xff", b"d", b"\xff", b"\x1ce", b"\xff"]
     assert words_and_cuts("") == [b"\xff"]
     assert np.frombuffer(b"".join(words_and_cuts("ÀB")), np.uint8).tolist() == [0xC3, 0x80, 98, 255]
+
+
+def test_blocks_hold_keys_and_counts():
+    odd = ["", "\n", "en\n", "en\n", "en\nab", "en\na", "en\nabcdefghij", "en\nabcdefghijk", "é\nÖ", "é\nÜ", "und\n\x00", "z"]
+    for keys in (odd, sorted(odd), odd[::-1], ["only"], [""], ["same"] * 300, ["a\n" + "x" * 70_000, "a\n" + "x" * 70_001]):
+        counts = np.array([1, 300, 70_000, 1 << 40][: len(keys)] + [1] * (len(keys) - 4), np.int64)
+        for start in (0, len(keys) // 2):
+            table = table_of(block_of(pa.array(["before", *keys], pa.string()).slice(1 + start), counts[start:]))
+            assert table.column("key").to_pylist() == keys[start:]
+            assert table.column("f").to_pylist() == counts[start:].tolist() and table.schema.field("f").type == pa.int64()
+
+
+def test_blocks_leave_out_what_sorted_keys_share():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("etaoinshr", k=rng.randint(2, 9))) for _ in range(3000)]
+    keys = sorted({f"en\n{rng.choice(words[:300])} {rng.choice(words)}" for _ in range(5000)})
+    counts = np.array([1 if rng.random() < 0.9 else rng.randrange(50) for _ in keys], np.int64)
+    lengths = np.array([len(k) for k in keys], "<i4")
+    one_frame = pa.compress(lengths.tobytes() + counts.tobytes() + "".join(keys).encode(), codec="zstd", asbytes=True)
+    assert len(block_of(pa.array(keys), counts)) < 0.8 * len(one_frame)
+
+
+def test_frequent_phrases_are_kept_once(spark, rows):
+    def folders():
+        top = spark.sparkContext.getCheckpointDir()
+        return len([name for name in os.listdir(top.removeprefix("file:")) if name.startswith("rdd-")]) if top else 0
+
+    before = folders()
+    assert found(spark.createDataFrame(rows, COLUMNS).repartition(3), **SMALL, sample_of=10**9) == brute(rows, 6)
+    # One for each of the two full passes.
+    assert folders() - before == 2
